@@ -43,3 +43,24 @@ def let(value: Column, body) -> Column:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further columns of the input can't clash with working names."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
+
+
+#: Bits of a presence map: 256 bitmaps of 4096 bytes, so at most 1 MB is broadcast whatever the input.
+MAP_BITS = 1 << 23
+
+
+def with_presence(df: DataFrame, key: Column, present: DataFrame, name: str) -> DataFrame:
+    """`df` with a boolean column `name`: false only where no row of `present` (one bigint column) equals `key`.
+
+    A map of `MAP_BITS` bits of the keys, of a fixed size, is broadcast. It saves moving rows that
+    can't match; what remains is for an exact join.
+    """
+    value = F.col(present.columns[0])
+    pos = value.bitwiseAND(F.lit(MAP_BITS - 1))
+    maps = present.groupBy(F.shiftright(pos, 15).alias("_part")).agg(F.bitmap_construct_agg(pos.bitwiseAND(F.lit(32767))).alias("_map"))
+    at = key.bitwiseAND(F.lit(MAP_BITS - 1))
+    low = at.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(low, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, low.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1))
+    joined = df.withColumn("_part_of", F.shiftright(at, 15)).join(F.broadcast(maps), F.col("_part_of") == F.col("_part"), "left")
+    return joined.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_part_of", "_part", "_map")
