@@ -64,3 +64,36 @@ def with_presence(df: DataFrame, key: Column, present: DataFrame, name: str) ->
     bit = F.call_function("shiftright", byte, low.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1))
     joined = df.withColumn("_part_of", F.shiftright(at, 15)).join(F.broadcast(maps), F.col("_part_of") == F.col("_part"), "left")
     return joined.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_part_of", "_part", "_map")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A number that rows of the same id and text share."""
+    return F.xxhash64(doc_id, text)
+
+
+def drop_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """`docs` without the rows of `rejected` (doc_id, row_key); only rows that may be rejected are moved."""
+    marked = with_presence(docs.withColumn("_row_key", row_key(F.col("doc_id"), F.col("text"))), F.col("_row_key"), rejected.select("row_key"), "_maybe")
+    out = rejected.select(F.col("doc_id").alias("_gone"), F.col("row_key").alias("_gone_key")).distinct()
+    maybe = marked.filter("_maybe").join(out, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_row_key") == F.col("_gone_key")), "left_anti")
+    return marked.filter("not _maybe").select(*docs.columns).union(maybe.select(*docs.columns))
+
+
+#: A key is hot if more than one row in so many has it; there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_spread(rows: DataFrame, by_key: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join with a table of one row per `key`, whose column `count` says how many of `rows` have it.
+
+    The rows of hot keys, of which there are fewer than HOT_SHARE, are joined by a broadcast of these
+    keys' short rows, so they stay spread over the tasks; the others by a shuffle.
+    """
+    total = by_key.agg(F.sum(count)).first()[0] or 0
+    hot = by_key.filter(F.col(count) * HOT_SHARE > total)
+    values = [c for c in by_key.columns if c not in (key, count)]
+    known = hot.select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
+    marked = rows.join(F.broadcast(known), F.col(key) == F.col("_hot_key"), "left")
+    near = marked.filter("_hot_key is not null").select(*rows.columns, "_hot.*")
+    rest = marked.filter("_hot_key is null").select(*rows.columns).join(by_key.filter(F.col(count) * HOT_SHARE <= total).select(key, *values), key)
+    return near.union(rest.select(*rows.columns, *values))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, only
+from .common import drop_rows, durable, join_spread, only, row_key
 from .components import connected_components
 
 TAU, SEGMENTS, SHINGLE = 3, 6, 3
@@ -63,14 +63,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (bigint, the fingerprint as a signed number) of every row."""
+    """doc_id, row_key and fp (bigint, the fingerprint as a signed number) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fps], ["doc_id", "row_key", "fp"])
 
-    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def _mask(segments: tuple[int, ...]) -> int:
@@ -142,18 +143,26 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     smallest id (null if the class has none). An empty table gives no rows; further
     columns of `docs` are ignored.
     """
+    found = _classes(docs, bucket)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, bucket: int) -> DataFrame:
     prints = durable(with_fingerprints(docs))
-    classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     parts = connected_components(links(classes.select("fp"), bucket))
     linked = classes.join(parts.select(F.col("node").alias("fp"), "root"), "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = linked.join(least, "root").select("fp", "least")
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = durable(classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")))
+    return join_spread(prints, named, "fp", "n")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: of each class the one with the smallest doc_id (of repeated ids, all rows)."""
-    kept = near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    ids = kept.withColumnRenamed("doc_id", "_kept_id")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: of each class the one with the smallest doc_id.
+
+    Rows that repeat both that id and its text all stay (exact duplicates are another operator's work),
+    as do rows of a class without any id.
+    """
+    found = durable(_classes(docs, bucket))
+    return drop_rows(docs, found.filter("not (doc_id <=> component_id)").select("doc_id", "row_key"))
