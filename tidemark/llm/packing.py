@@ -33,49 +33,41 @@ from pyspark.sql import Window as W
 from .common import durable, only
 
 CAPACITY, END_ID, SALTS = 1024, 2, 64
-#: Words whose ids a task keeps.
-MEMO = 300_000
+#: Documents that a worker encodes at a time.
+AT_ONCE = 128
+# The pre-tokenizing pattern that byte-level BPE files name by `use_regex`.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict[str, Callable[[list[str | None]], list[bytes]]] = {}
 
 
+def _bytes_of() -> dict[str, int]:
+    """Characters by which byte-level vocabularies write bytes: printable ones stand for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Texts -> their ids as little-endian unsigned 32-bit numbers, by the tokenizer of a file.
+    """Texts -> their ids as little-endian unsigned 32-bit numbers, by the byte-level BPE of a tokenizer file.
 
-    The vocabulary's words start with their space, so a text whose words are parted by single
-    spaces is the concatenation of its words' ids; these are kept. Other texts are encoded whole.
+    The file's vocabulary is run by a faster engine with the same ids; texts with a special token's string
+    are left to the file's own tokenizer.
     """
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    memo: dict[str, bytes] = {}
-
-    def packed(ids: list[int]) -> bytes:
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    letters = _bytes_of()
+    ranks = {bytes(letters[c] for c in word): i for word, i in tokenizer.get_vocab(with_added_tokens=False).items() if word not in added}
+    engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> bytes:
+        special = any(s in text for s in added)
+        ids = tokenizer.encode(text, add_special_tokens=False).ids if special else engine.encode_ordinary(text)
         return np.asarray(ids, "<u4").tobytes()
 
-    def whole(text: str) -> bool:
-        return any(s in text for s in specials)
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            words = (t or "").split(" ")
-            regular = all(words) and not whole(t or "") and not any(w[0].isspace() or w[-1].isspace() for w in words)
-            split.append(["", *words] if regular else None)
-        # the first word has no space before it: it is looked up under a key that no other word has
-        for words in split:
-            if words:
-                words[0:2] = ["\n" + words[1]]
-        new = {w for words in split if words for w in words if w not in memo}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = {w for words in split if words for w in words}
-        todo = list(new)
-        for w, e in zip(todo, tokenizer.encode_batch([w[1:] if w[0] == "\n" else " " + w for w in todo], add_special_tokens=False)):
-            memo[w] = packed(e.ids)
-        return [b"".join(map(memo.__getitem__, words)) if words else packed(tokenizer.encode(t or "", add_special_tokens=False).ids) for words, t in zip(split, texts)]
-
-    return encode
+    return lambda texts: [encode(t or "") for t in texts]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -86,11 +78,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encode = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, encoder(tokenizer))
         for b in batches:
             out: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                out += [(doc, k, a, z - a, zlib.crc32(ids[4 * a : 4 * z])) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                    ids += end
+                    n = len(ids) // 4
+                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                    out += [(doc, k, a, z - a, zlib.crc32(ids[4 * a : 4 * z])) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
