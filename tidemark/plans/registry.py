@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import web
+
+QUERIES: dict = {**web.QUERIES}
+ORACLES: dict[str, str] = {**web.ORACLES}
