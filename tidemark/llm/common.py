@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import durable, shared_dir  # noqa: F401  also for the other modules here
+
 #: White space that separates words, and its complement, in Java's and DuckDB's regex syntax.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,20 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that no lost executor causes it to be worked out again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def word_array(text: Column) -> Column:
     """Words of `text`; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
