@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import web
+from . import feeds, web
 
-QUERIES: dict = {**web.QUERIES}
-ORACLES: dict[str, str] = {**web.ORACLES}
+QUERIES: dict = {**web.QUERIES, **feeds.QUERIES}
+ORACLES: dict[str, str] = {**web.ORACLES, **feeds.ORACLES}
