@@ -160,7 +160,7 @@ def jurisdiction_matches(query: str, stored: Column) -> Column:
     out = F.lit(False)
     for a in sorted(asked):
         out = out | held(a, s)
-        out = out | F.lit(a).rlike(F.concat(F.lit(r"\b\Q"), s, F.lit(r"\E\b")))
+        out = out | F.regexp(F.lit(a), F.concat(F.lit(r"\b\Q"), s, F.lit(r"\E\b")))
     for g in ALIAS_GROUPS:
         has = F.lit(False)
         for m in g:

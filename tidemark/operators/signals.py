@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..durable import durable
@@ -127,8 +128,8 @@ def rate_limit(requests: DataFrame, per_minute: int) -> DataFrame:
                 waits += out
             yield b.assign(wait_s=pd.Series(waits, index=b.index, dtype="float64")).drop(columns="_us")
 
-    rows = requests.select("key", "ts", "request_id", F.unix_micros("ts").alias("_us"))
-    return rows.repartition("key").sortWithinPartitions("key", "ts", "request_id").mapInPandas(run, "key long, ts timestamp, request_id long, wait_s double")
+    rows = requests.select("key", "ts", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "request_id").mapInPandas(run, T.StructType([*rows.schema.fields[:3], T.StructField("wait_s", T.DoubleType())]))
 
 
 def daily_usage(allowed: DataFrame, limit: int) -> DataFrame:

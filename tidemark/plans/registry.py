@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feeds, web
+from . import feeds, policy, web
 
-QUERIES: dict = {**web.QUERIES, **feeds.QUERIES}
-ORACLES: dict[str, str] = {**web.ORACLES, **feeds.ORACLES}
+QUERIES: dict = {**web.QUERIES, **feeds.QUERIES, **policy.QUERIES}
+ORACLES: dict[str, str] = {**web.ORACLES, **feeds.ORACLES, **policy.ORACLES}

@@ -37,7 +37,7 @@ def from_staging(df: DataFrame) -> DataFrame:
     """IO-06: staging rows as policies; blanks take the defaults, a region wins over its country unless it is National or Regional."""
     g = lambda h: F.trim(F.coalesce(F.col(f"`{h}`"), F.lit("")))
     other = lambda h, value: F.when(g(h) == "", F.lit(value)).otherwise(g(h))
-    parts = lambda h, sep: F.filter(F.transform(F.split(g(h), sep), F.trim), lambda x: x != "")
+    parts = lambda h, sep: F.filter(F.transform(F.split(g(h), sep), lambda x: F.trim(x)), lambda x: x != "")
     place = F.when((g("Region") != "") & ~g("Region").isin("National", "Regional"), g("Region")).otherwise(g("Country"))
     when = F.coalesce(F.try_to_timestamp(g("Discovered At"), F.lit("yyyy-MM-dd H:mm:ss")), F.try_to_timestamp(g("Discovered At")))
     keep = [F.col(c) for c in df.columns if c not in HEADERS]

@@ -81,5 +81,5 @@ def stream_rate_limit(stream: DataFrame, per_minute: int) -> DataFrame:
         state.update((recent,))
         yield pd.DataFrame({"key": rows["key"], "request_id": rows["request_id"], "wait_s": pd.Series(waits, index=rows.index, dtype="float64")})
 
-    rows = stream.select("key", F.unix_micros("ts").alias("us"), "request_id")
+    rows = stream.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "request_id")
     return rows.groupBy("key").applyInPandasWithState(update, "key long, request_id long, wait_s double", "recent array<double>", "append", "NoTimeout")
