@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import only
 
-COVERAGE, SPAN = 0.8, 2
+COVERAGE, SPAN = 0.8, 1.5
 
 # Notices of public licences, as they stand in their texts.
 TEMPLATES = {
@@ -94,7 +94,7 @@ def scan(text: str | None, templates: dict[str, list[str]], coverage: float = CO
     hits = [(i, w) for i, w in enumerate(words) if w in vocabulary]
     found = []
     for name, template in templates.items():
-        own, need, reach = set(template), max(1, int(-(-coverage * len(template) // 1))), SPAN * len(template)
+        own, need, reach = set(template), max(1, int(-(-coverage * len(template) // 1))), int(SPAN * len(template))
         at = [i for i, w in hits if w in own]
         regions: list[list[int]] = []
         for x in range(len(at) - need + 1):

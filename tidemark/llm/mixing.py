@@ -21,6 +21,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import SPACE, WORD, durable, join_spread, only, row_key
@@ -114,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return full.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "row_key")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
     """The text up to the end of its n-th word, as it stands; empty for n = 0."""
 
@@ -135,7 +136,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_row_key", row_key(F.col("doc_id"), F.col("text")))
     found = keyed.join(amounts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("row_key")))
     # rows that repeat an id and text share what they are taken
-    share = F.floor(F.col("_taken") / F.col("_rows"))
+    like = W.partitionBy("_id", "row_key").orderBy(*(c for c in docs.columns if c != "text"))
+    found = found.withColumn("_turn", F.row_number().over(like))
+    upto = lambda i: F.floor(i * F.col("_taken") / F.col("_rows"))
+    share = upto(F.col("_turn")) - upto(F.col("_turn") - 1)
     one = F.floor(F.col("_size") / F.col("_rows"))
     whole, rest = F.floor(share / one), F.pmod(share, one)
     part = first_words(F.col("text"), rest.cast("long"))
