@@ -324,7 +324,7 @@ def groups(spark, sf_dir):
 @query(f"""
 WITH {D}, t(i, target) AS (VALUES (0, 'dom7'), (1, 'nation_2'), (2, 'g3'), (3, 'file1'), (4, 'zzz')),
 h AS (SELECT i, d.id, CASE WHEN target = 'g3' AND seq % 7 = 3 OR target = region AND enabled THEN 1 WHEN target = source_file AND enabled THEN 2 WHEN target = id THEN 3 END AS rank FROM t JOIN d ON target = 'g3' AND seq % 7 = 3 OR target = region AND enabled OR target = source_file AND enabled OR target = id)
-SELECT min(i) AS target_seq, id, FALSE AS unknown FROM h GROUP BY id UNION ALL SELECT 4, NULL, TRUE""")
+SELECT min(i) AS target_seq, id, FALSE AS unknown FROM h GROUP BY id UNION ALL SELECT i, NULL, TRUE FROM t WHERE i NOT IN (SELECT i FROM h)""")
 def sc01_targets(spark, sf_dir):
     return scans.resolve_targets(domains(spark, sf_dir), groups(spark, sf_dir), "dom7, nation_2,g3,file1,,zzz").select("target_seq", "id", "unknown")
 

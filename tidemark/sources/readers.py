@@ -30,9 +30,9 @@ def page_errors(df: DataFrame) -> DataFrame:
 
 
 def read_policies_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """IO-02: policies of JSON array files, and the records that can't be read, as text."""
+    """IO-02: policies of JSON array files; and the records that can't be read, as text, with their url if that can."""
     rows = spark.read.schema(POLICY + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.filter("_corrupt is null").drop("_corrupt"), rows.filter("_corrupt is not null").select("_corrupt")
+    return rows.filter("_corrupt is null").drop("_corrupt"), rows.filter("_corrupt is not null").select("url", "_corrupt")
 
 
 def parse_log(lines: DataFrame) -> DataFrame:

@@ -50,13 +50,14 @@ def stream_progress(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return progress(stream.withWatermark("ts", delay))
 
 
-def stream_changed(stream: DataFrame, ttl_ms: int = 90 * 86400 * 1000) -> DataFrame:
-    """CD-08: records (record_id, seq, change_hash) the first time and whenever their hash changes, by state per record."""
+def stream_changed(stream: DataFrame) -> DataFrame:
+    """CD-08: records (record_id, seq, change_hash) the first time and whenever their hash changes.
+
+    The state of a record is its last hash and stays: a record that is forgotten would come again as new, and
+    a timeout by processing time would keep a run over what is there from ending.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last, out = state.get[0] if state.exists else None, []
         known = state.exists
         for row in pd.concat(list(batches)).sort_values("seq").itertuples():
@@ -64,11 +65,10 @@ def stream_changed(stream: DataFrame, ttl_ms: int = 90 * 86400 * 1000) -> DataFr
                 out.append((row.record_id, row.seq, row.change_hash))
             known, last = True, row.change_hash
         state.update((last,))
-        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["record_id", "seq", "change_hash"])
 
     rows = stream.select("record_id", "seq", "change_hash")
-    return rows.groupBy("record_id").applyInPandasWithState(update, "record_id string, seq long, change_hash string", "change_hash string", "append", "ProcessingTimeTimeout")
+    return rows.groupBy("record_id").applyInPandasWithState(update, "record_id string, seq long, change_hash string", "change_hash string", "append", "NoTimeout")
 
 
 def stream_rate_limit(stream: DataFrame, per_minute: int) -> DataFrame:
