@@ -73,10 +73,60 @@ QUERIES = {
 #: DuckDB's form of a normalised text.
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+
+def _seats(parts: str, keys: str, seats: str, weight: str, most: str, tie: str) -> str:
+    """All quotients of all parts, and each part's number among the highest: Sainte-Lague without the short cut."""
+    over = f"PARTITION BY {keys} " if keys else ""
+    return f"""SELECT p.*, coalesce(w.quota, 0) AS quota FROM {parts} p LEFT JOIN (
+            SELECT {keys + ',' if keys else ''} {tie}, count(*) AS quota FROM (
+                SELECT *, row_number() OVER ({over}ORDER BY {weight} / (2 * k - 1) DESC, {tie} ASC NULLS LAST) AS turn
+                FROM (SELECT *, unnest(generate_series(1, CAST({most} AS BIGINT))) AS k FROM {parts})) WHERE turn <= {seats} GROUP BY ALL) w
+        ON p.{tie} IS NOT DISTINCT FROM w.{tie} {''.join(f'AND p.{k.strip()} IS NOT DISTINCT FROM w.{k.strip()} ' for k in keys.split(',') if k)}"""
+
+
+def _hash(*parts: str) -> str:
+    return "('0x' || left(md5(concat_ws('/', 'mix-1', " + ", ".join(f"coalesce(CAST({p} AS STRING), 'null')" for p in parts) + ")), 15))::BIGINT"
+
+
+_GROUP = "CASE WHEN source IS NULL THEN '{}' ELSE '{\"source\":\"' || source || '\"}' END"
+_MIX = f"""
+        WITH d AS (SELECT doc_id, source, {_GROUP} AS grp, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, grp, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w FROM d GROUP BY source, grp),
+        f AS (SELECT *, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER o, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS wleft
+              FROM s WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT arg_min(rest / wleft, most / w) AS level FROM f WHERE most * wleft > w * rest),
+        a AS (SELECT source, grp, source_size, CASE WHEN most * wleft <= w * rest THEN most ELSE least(most, w * level) END AS target, 2 * CAST(ceil(source_size / 16) AS BIGINT) AS cap FROM f LEFT JOIN l ON TRUE),
+        a2 AS (SELECT *, CAST(round(sum(target) OVER () / 16) AS BIGINT) AS seats, greatest(1, CAST(ceil(source_size / 1048576) AS BIGINT)) AS shards FROM a),
+        q AS ({_seats('a2', '', 'seats', 'target', 'cap', 'source')}),
+        p AS (SELECT d.doc_id, d.size, q.grp, q.source_size, q.target, q.quota AS source_quota, {_hash("'shard'", 'd.doc_id')} % q.shards AS shard, {_hash('d.doc_id')} AS turn FROM d JOIN q ON d.grp = q.grp),
+        u AS (SELECT *, sum(size) OVER (PARTITION BY grp, shard ORDER BY turn, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM p),
+        h AS (SELECT grp, shard, CAST(max(upto) AS BIGINT) AS words, any_value(source_quota) AS source_quota FROM u GROUP BY grp, shard),
+        h2 AS (SELECT *, greatest(1, CAST(ceil(words / 16) AS BIGINT)) AS blocks, words::DOUBLE AS weight, CASE WHEN words > 0 THEN 2 * greatest(1, CAST(ceil(words / 16) AS BIGINT)) ELSE 0 END AS cap FROM h),
+        g AS (SELECT *, {_hash("'start'", 'grp', 'shard')} % blocks AS start FROM ({_seats('h2', 'grp', 'source_quota', 'weight', 'cap', 'shard')})),
+        e AS (SELECT u.*, unnest([CAST(upto AS BIGINT), CAST(upto - size AS BIGINT)]) AS pos, unnest([1, -1]) AS sign, quota, blocks, start FROM u JOIN g ON u.grp = g.grp AND u.shard = g.shard),
+        t AS (SELECT *, ((pos // 16) * quota + start) // blocks AS low, ((pos // 16 + 1) * quota + start) // blocks AS high FROM e)
+        SELECT doc_id, size, source_size, target, CAST(sum(sign * (low * 16 + (high - low) * (pos % 16))) AS BIGINT) AS taken FROM t GROUP BY doc_id, size, source_size, target, grp, shard, upto"""
+
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_NORMAL} AS t FROM documents),
         g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                      row_number() OVER (PARTITION BY t ORDER BY doc_id) AS rn FROM d)
         SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(t) AS text_sha256 FROM g""",
+    "op5_chat_formatting": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+        -- a text is escaped only where the parser would take a part of it for a control string or an escape
+        e AS (SELECT *, CASE WHEN contains(text, '</turn>' || chr(10)) OR regexp_matches(text, '\\[\\#<:]')
+                             THEN replace(replace(replace(text, '</turn>', '\</turn>'), '###', '\###'), ': ', '\: ') ELSE text END AS escaped FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('### ' || role || ': ' || escaped || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op10_html_extraction": r"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+        u AS (SELECT page_id, url, replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS t FROM a)
+        SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS n_chars FROM u""",
+    "op6_source_mixing": _MIX,
 }
