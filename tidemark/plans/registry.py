@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feeds, policy, web
+from . import feeds, live, policy, web
 
-QUERIES: dict = {**web.QUERIES, **feeds.QUERIES, **policy.QUERIES}
-ORACLES: dict[str, str] = {**web.ORACLES, **feeds.ORACLES, **policy.ORACLES}
+QUERIES: dict = {**web.QUERIES, **feeds.QUERIES, **policy.QUERIES, **live.QUERIES}
+ORACLES: dict[str, str] = {**web.ORACLES, **feeds.ORACLES, **policy.ORACLES, **live.ORACLES}
