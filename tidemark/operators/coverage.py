@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..durable import durable
 from .places import LOCAL_KINDS
 
 
@@ -33,7 +34,8 @@ def coverage(policies: DataFrame, sources: DataFrame, registry: DataFrame, rollu
 
     Group and supranational tags of sources give no place a source.
     """
-    p = located(policies, registry, rollup).filter("spot <> 'unresolved'")
+    # read four times below: written once, with the few columns that are needed
+    p = durable(located(policies, registry, rollup).filter("spot <> 'unresolved'").select("place", "spot", "kind", "slug", "seq", "relevance_score", "policy_name"))
     s = located(sources, registry, rollup).filter("country is not null").select("id", "slug", "kind", "place", "spot").distinct()
     local = F.col("kind").isin(*LOCAL_KINDS)
     counts = p.groupBy("place").agg(F.first("spot").alias("p_spot"), F.count("*").alias("policies"))

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .changes import first_rows
 
 REVIEW = ("new", "confirmed", "rejected", "needs_review")
@@ -74,16 +75,20 @@ def search_text(store: DataFrame, query: str, limit: int = 50, weights: tuple[fl
 
     def hits(field: str, i: int) -> Column:
         phrase, last = phrases[i], i == len(phrases) - 1
-        w = F.col(f"_w_{field}")
 
-        def here(x: Column, at: Column) -> Column:
-            out = F.lit(True)
-            for k, p in enumerate(phrase):
-                y = F.get(w, at + k)
-                out = out & F.coalesce(y.startswith(p) if last and k == len(phrase) - 1 else y == p, F.lit(False))
-            return out
+        def count(w: Column) -> Column:
+            def here(x: Column, at: Column) -> Column:
+                out = F.lit(True)
+                for k, p in enumerate(phrase):
+                    y = x if k == 0 else F.get(w, at + k)
+                    out = out & F.coalesce(y.startswith(p) if last and k == len(phrase) - 1 else y == p, F.lit(False))
+                return out
+
+            return F.size(F.filter(w, here))
 
-        return F.size(F.filter(w, here))
+        w = F.col(f"_w_{field}")
+        # most texts don't hold the phrase's first word at all
+        return F.when(F.array_join(w, " ").contains(phrase[0]), let(w, count)).otherwise(0)
 
     counted = rows.select("*", *(hits(f, i).alias(f"_n{i}_{k}") for i in range(len(phrases)) for k, f in enumerate(TEXT_FIELDS)), sum((F.size(f"_w_{f}") for f in TEXT_FIELDS), F.lit(0)).alias("_len"))
     counted = counted.drop(*(f"_w_{f}" for f in TEXT_FIELDS))
