@@ -83,6 +83,18 @@ def test_simhash_matches_brute_force(spark, sf, bucket):
     assert sorted(map(tuple, got), key=repr) == components(rows)
 
 
+@pytest.mark.parametrize("stage", [simhash.keep_one, exact_dedup.keep_first, quality_rules.keep_good, mixing.mixed_documents])
+def test_stages_leave_other_columns_alone(spark, stage):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "a", 5) for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS)
+    for n in (*NAMES, "_row_key", "_doc", "_id", "_turn", "_text", "_rows"):
+        df = df.withColumn(n, F.lit("x"))
+    out = stage(df)
+    got = out.collect()
+    assert out.columns == df.columns and got
+    assert all(r[n] == "x" for r in got for n in df.columns[5:])
+
+
 def test_simhash_awkward(spark):
     got = simhash.near_duplicates(awkward(spark)).collect()
     assert sorted(map(tuple, got), key=repr) == components([(r[0], r[1]) for r in AWKWARD])

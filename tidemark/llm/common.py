@@ -57,12 +57,19 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as `_doc`, so that no column of the input can clash with working names."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole)
+
+
 def drop_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """`docs` without the rows of `rejected` (doc_id, row_key); only rows that may be rejected are moved."""
-    marked = with_presence(docs.withColumn("_row_key", row_key(F.col("doc_id"), F.col("text"))), F.col("_row_key"), rejected.select("row_key"), "_maybe")
+    keyed = packed(docs).select("_doc", "doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_row_key"))
+    marked = with_presence(keyed, F.col("_row_key"), rejected.select("row_key"), "_maybe")
     out = rejected.select(F.col("doc_id").alias("_gone"), F.col("row_key").alias("_gone_key")).distinct()
     maybe = marked.filter("_maybe").join(out, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_row_key") == F.col("_gone_key")), "left_anti")
-    return marked.filter("not _maybe").select(*docs.columns).union(maybe.select(*docs.columns))
+    return marked.filter("not _maybe").select("_doc.*").union(maybe.select("_doc.*"))
 
 
 #: A key is hot if more than one row in so many has it; there are fewer hot keys than this.

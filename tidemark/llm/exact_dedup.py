@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE, durable, only, with_presence
+from .common import SPACE, durable, only, packed, with_presence
 
 #: Entries a bucket holds before it splits, and the most leading bits that name a bucket.
 CAPACITY, MAX_DEPTH = 4096, 16
@@ -107,10 +107,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; only texts that may have copies are moved."""
     index = build_index(docs)
     verdicts = durable(_decide(docs, index, HASHES))
-    marked = with_presence(docs.withColumn("_key", F.xxhash64(normalised(F.col("text")))), F.col("_key"), index.filter("n > 1").select("key"), "_maybe")
+    keyed = packed(docs).select("_doc", "doc_id", normalised(F.col("text")).alias("_norm")).withColumn("_key", F.xxhash64("_norm"))
+    marked = with_presence(keyed, F.col("_key"), index.filter("n > 1").select("key"), "_maybe")
     alone = marked.filter("not _maybe")
-    maybe = marked.filter("_maybe").withColumn("_digest", F.lower(F.hex(sha256(normalised(F.col("text"))))))
+    maybe = marked.filter("_maybe").withColumn("_digest", F.lower(F.hex(sha256(F.col("_norm"))))).drop("_norm")
     maybe = maybe.withColumn("_turn", F.row_number().over(W.partitionBy("_key", "_digest", "doc_id").orderBy("_key"))).filter("_turn = 1")
     kept = verdicts.filter("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("text_sha256").alias("_sha"))
     stay = maybe.join(kept, maybe["doc_id"].eqNullSafe(kept["_id"]) & (F.col("_key") == F.col("_k")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    return alone.select(*docs.columns).union(stay.select(*docs.columns))
+    return alone.select("_doc.*").union(stay.select("_doc.*"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import SPACE, WORD, durable, join_spread, only, row_key
+from .common import SPACE, WORD, durable, join_spread, only, packed, row_key
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 #: Words of a block, and words of a source for each of its shards.
@@ -133,10 +133,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     where the table has it, follows the text.
     """
     amounts = durable(mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), "row_key").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"), F.count("*").alias("_rows")))
-    keyed = docs.withColumn("_row_key", row_key(F.col("doc_id"), F.col("text")))
+    keyed = packed(docs).withColumn("_row_key", row_key(F.col("doc_id"), F.col("text")))
     found = keyed.join(amounts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("row_key")))
     # rows that repeat an id and text share what they are taken
-    like = W.partitionBy("_id", "row_key").orderBy(*(c for c in docs.columns if c != "text"))
+    like = W.partitionBy("_id", "row_key").orderBy("_row_key")
     found = found.withColumn("_turn", F.row_number().over(like))
     upto = lambda i: F.floor(i * F.col("_taken") / F.col("_rows"))
     share = upto(F.col("_turn")) - upto(F.col("_turn") - 1)
@@ -144,7 +144,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     whole, rest = F.floor(share / one), F.pmod(share, one)
     part = first_words(F.col("text"), rest.cast("long"))
     copies = F.concat(F.array_repeat(F.col("text"), whole.cast("int")), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = found.select(*(c for c in docs.columns if c != "text"), F.explode(copies).alias("text"))
+    out = found.select("_doc", F.explode(copies).alias("_text"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))

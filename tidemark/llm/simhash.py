@@ -49,13 +49,8 @@ def fingerprint(text: str | None) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    if len(words) < SHINGLE:
-        words = [b" ".join(words)]
-        shingles: Iterator = iter([tuple(words)])
-        total = 1
-    else:
-        shingles = zip(*(itertools.islice(words, i, None) for i in range(SHINGLE)))
-        total = len(words) - SHINGLE + 1
+    total = max(1, len(words) - SHINGLE + 1)
+    shingles = zip(*(itertools.islice(words, i, None) for i in range(min(SHINGLE, len(words)))))
     counts = np.zeros(64, np.int64)
     while part := b"".join(map(_hash, map(b" ".join, itertools.islice(shingles, _SLICE)))):
         counts += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
