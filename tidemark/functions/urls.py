@@ -16,17 +16,34 @@ PRIORITY_TERMS = ["law", "legislation", "statute", "regulation", "directive", "a
 
 # Host suffix -> region tags.
 SUFFIX_REGIONS = {
-    ".gov.uk": "uk", ".gov.au": "apac australia", ".gov.sg": "apac singapore", ".gouv.fr": "eu eu_central france", ".gouv.qc.ca": "north_america canada quebec", ".gv.at": "eu eu_central austria", ".admin.ch": "eu_central switzerland",
-    ".europa.eu": "eu", ".riksdagen.se": "eu nordic sweden", ".retsinformation.dk": "eu nordic denmark", ".go.jp": "apac japan", ".go.kr": "apac south_korea", ".gob.es": "eu eu_south spain", ".gov.it": "eu eu_south italy", ".gov.pl": "eu eu_east poland",
-    ".gov.pt": "eu eu_south portugal", ".gov.cz": "eu eu_east czech_republic", ".gov.gr": "eu eu_south greece", ".gov.hu": "eu eu_east hungary", ".gov.ro": "eu eu_east romania", ".kormany.hu": "eu eu_east hungary", ".sejm.gov.pl": "eu eu_east poland",
-    ".gov.in": "apac india", ".nic.in": "apac india", ".gov.br": "south_america brazil", ".gov.ae": "middle_east uae", ".gov.sa": "middle_east saudi_arabia", ".gob.mx": "north_america mexico", ".gov.za": "africa south_africa", ".gc.ca": "north_america canada",
-    ".gov.bc.ca": "north_america canada british_columbia", ".gov": "", ".be": "eu eu_west belgium", ".fi": "eu nordic finland", ".no": "eu nordic norway", ".is": "nordic iceland", ".ie": "eu eu_west ireland", ".nl": "eu eu_west netherlands", ".se": "eu nordic sweden",
-    ".dk": "eu nordic denmark", ".de": "eu eu_central germany", ".fr": "eu eu_central france", ".ch": "eu_central switzerland", ".at": "eu eu_central austria", ".au": "apac australia", ".jp": "apac japan", ".kr": "apac south_korea", ".sg": "apac singapore",
-    ".ca": "north_america canada", ".in": "apac india", ".br": "south_america brazil", ".ae": "middle_east uae", ".sa": "middle_east saudi_arabia", ".mx": "north_america mexico", ".za": "africa south_africa",
+    ".gov.uk": ["uk"], ".gov.au": ["apac", "australia"], ".gov.sg": ["apac", "singapore"], ".gouv.fr": ["eu", "eu_central", "france"],
+    ".gouv.qc.ca": ["north_america", "canada", "quebec"], ".gv.at": ["eu", "eu_central", "austria"], ".admin.ch": ["eu_central", "switzerland"], ".europa.eu": ["eu"],
+    ".riksdagen.se": ["eu", "nordic", "sweden"], ".retsinformation.dk": ["eu", "nordic", "denmark"], ".go.jp": ["apac", "japan"], ".go.kr": ["apac", "south_korea"],
+    ".gob.es": ["eu", "eu_south", "spain"], ".gov.it": ["eu", "eu_south", "italy"], ".gov.pl": ["eu", "eu_east", "poland"], ".gov.pt": ["eu", "eu_south", "portugal"],
+    ".gov.cz": ["eu", "eu_east", "czech_republic"], ".gov.gr": ["eu", "eu_south", "greece"], ".gov.hu": ["eu", "eu_east", "hungary"], ".gov.ro": ["eu", "eu_east", "romania"],
+    ".kormany.hu": ["eu", "eu_east", "hungary"], ".sejm.gov.pl": ["eu", "eu_east", "poland"], ".gov.in": ["apac", "india"], ".nic.in": ["apac", "india"],
+    ".gov.br": ["south_america", "brazil"], ".gov.ae": ["middle_east", "uae"], ".gov.sa": ["middle_east", "saudi_arabia"], ".gob.mx": ["north_america", "mexico"],
+    ".gov.za": ["africa", "south_africa"], ".gc.ca": ["north_america", "canada"], ".gov.bc.ca": ["north_america", "canada", "british_columbia"], ".gov": [],
+    ".be": ["eu", "eu_west", "belgium"], ".fi": ["eu", "nordic", "finland"], ".no": ["eu", "nordic", "norway"], ".is": ["nordic", "iceland"],
+    ".ie": ["eu", "eu_west", "ireland"], ".nl": ["eu", "eu_west", "netherlands"], ".se": ["eu", "nordic", "sweden"], ".dk": ["eu", "nordic", "denmark"],
+    ".de": ["eu", "eu_central", "germany"], ".fr": ["eu", "eu_central", "france"], ".ch": ["eu_central", "switzerland"], ".at": ["eu", "eu_central", "austria"],
+    ".au": ["apac", "australia"], ".jp": ["apac", "japan"], ".kr": ["apac", "south_korea"], ".sg": ["apac", "singapore"],
+    ".ca": ["north_america", "canada"], ".in": ["apac", "india"], ".br": ["south_america", "brazil"], ".ae": ["middle_east", "uae"],
+    ".sa": ["middle_east", "saudi_arabia"], ".mx": ["north_america", "mexico"], ".za": ["africa", "south_africa"],
 }
 
 # Two-letter names of states whose hosts have an id prefix of their own.
-STATES = "alabama al alaska ak arizona az arkansas ar california ca colorado co connecticut ct delaware de florida fl georgia ga hawaii hi idaho id illinois il indiana in iowa ia kansas ks kentucky ky louisiana la maine me maryland md massachusetts ma michigan mi minnesota mn mississippi ms missouri mo montana mt nebraska ne nevada nv new-hampshire nh new-jersey nj new-mexico nm new-york ny north-carolina nc north-dakota nd ohio oh oklahoma ok oregon or pennsylvania pa rhode-island ri south-carolina sc south-dakota sd tennessee tn texas tx utah ut vermont vt virginia va washington wa west-virginia wv wisconsin wi wyoming wy district-of-columbia dc"
+STATES = {
+    "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co",
+    "connecticut": "ct", "delaware": "de", "florida": "fl", "georgia": "ga", "hawaii": "hi", "idaho": "id",
+    "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la",
+    "maine": "me", "maryland": "md", "massachusetts": "ma", "michigan": "mi", "minnesota": "mn", "mississippi": "ms",
+    "missouri": "mo", "montana": "mt", "nebraska": "ne", "nevada": "nv", "new-hampshire": "nh", "new-jersey": "nj",
+    "new-mexico": "nm", "new-york": "ny", "north-carolina": "nc", "north-dakota": "nd", "ohio": "oh", "oklahoma": "ok",
+    "oregon": "or", "pennsylvania": "pa", "rhode-island": "ri", "south-carolina": "sc", "south-dakota": "sd", "tennessee": "tn",
+    "texas": "tx", "utah": "ut", "vermont": "vt", "virginia": "va", "washington": "wa", "west-virginia": "wv",
+    "wisconsin": "wi", "wyoming": "wy", "district-of-columbia": "dc",
+}
 
 # Signs of a denied page, in the order in which they are looked for.
 DENIALS = [("cloudflare", "Cloudflare bot protection"), ("akamaighost", "Akamai WAF"), ("access denied", "Access Denied"), ("403 forbidden", "Forbidden"), ("bot detection", "bot detection"), ("rate limit", "rate limited"), ("sign in to continue", "sign-in required"), ("login required", "login required")]
@@ -123,18 +140,17 @@ def detect_region(host: Column) -> Column:
     h, suffix = bare_host(host), region_suffix(host)
     parts = F.split(h, r"\.")
     state = F.regexp_replace(F.element_at(parts, -2), "-", "_")
-    gov = F.when((F.size(parts) >= 3) & h.endswith(".gov"), F.array(F.lit("us"), F.lit("us_states"), state)).otherwise(F.array(F.lit("us")))
-    tags = F.create_map(*(F.lit(x) for k, v in SUFFIX_REGIONS.items() for x in (k, v)))
     none = F.array().cast("array<string>")
-    return F.when(F.coalesce(host, F.lit("")) == "", none).when(suffix.isNull(), none).when(suffix == ".gov", gov).otherwise(F.split(tags[suffix], " "))
+    gov = F.when((F.size(parts) >= 3) & h.endswith(".gov"), F.array(F.lit("us"), F.lit("us_states"), state)).otherwise(F.array(F.lit("us")))
+    tags = F.create_map(*(x for k, v in SUFFIX_REGIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if v else none)))
+    return F.when(F.coalesce(host, F.lit("")) == "", none).when(suffix.isNull(), none).when(suffix == ".gov", gov).otherwise(tags[suffix])
 
 
 def domain_id(host: Column) -> Column:
     """URL-14: a stable id of at most 30 characters."""
     h, suffix = bare_host(host), region_suffix(host)
     parts = F.split(h, r"\.")
-    names = STATES.split()
-    short = F.create_map(*(F.lit(x) for x in names))
+    short = F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair))
     state = F.element_at(parts, -2)
     agency = F.when(F.size(parts) == 3, F.get(parts, F.lit(0))).otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), "_"))
     tidy = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[.-]", "_"), "_+", "_"), "^_+|_+$", "")

@@ -39,7 +39,8 @@ def extract_json(raw: Column) -> Column:
 
 
 def truth(text: Column) -> Column:
-    return F.coalesce(F.lower(text).isin(*YES), F.lit(False)) | F.coalesce(text.try_cast("double") != 0, F.lit(False)) & ~F.coalesce(F.lower(text).isin(*YES), F.lit(False)) & text.rlike(r"^-?\d+(\.\d+)?$")
+    """Words for yes, and numbers but 0."""
+    return F.coalesce(F.lower(text).isin(*YES) | (text.rlike(r"^-?\d+(\.\d+)?$") & (text.try_cast("double") != 0)), F.lit(False))
 
 
 def score(text: Column) -> Column:

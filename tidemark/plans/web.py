@@ -143,7 +143,7 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH h AS (SELECT page_id, {_SITE_SQL} AS h FROM pages), s AS (SELECT *, {_SUFFIX} AS suffix FROM h)
-SELECT page_id, coalesce(CASE WHEN suffix = '.gov' AND len(string_split(h, '.')) >= 3 THEN 'us us_states ' || replace(list_extract(string_split(h, '.'), -2), '-', '_') WHEN suffix = '.gov' THEN 'us' {' '.join(f"WHEN suffix = '{k}' THEN '{v}'" for k, v in U.SUFFIX_REGIONS.items() if v)} END, '') AS regions FROM s""")
+SELECT page_id, coalesce(CASE WHEN suffix = '.gov' AND len(string_split(h, '.')) >= 3 THEN 'us us_states ' || replace(list_extract(string_split(h, '.'), -2), '-', '_') WHEN suffix = '.gov' THEN 'us' {' '.join(f"WHEN suffix = '{k}' THEN '{' '.join(v)}'" for k, v in U.SUFFIX_REGIONS.items() if v)} END, '') AS regions FROM s""")
 def url13_regions(spark, sf_dir):
     return hosts(spark, sf_dir).select("page_id", F.array_join(U.detect_region(F.col("host")), " ").alias("regions"))
 
