@@ -322,6 +322,31 @@ def test_mixing(spark, sf):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_holds_the_words_of_the_selected_blocks(spark):
+    rng = np.random.default_rng(4)
+    sizes = {(i, s): int(n) for s in "abc" for i, n in enumerate(rng.integers(1, 400, 12))}
+    texts = {(i, s): "  ".join(f"{s}{i}w{j}" for j in range(n)) for (i, s), n in sizes.items()}
+    twice, both = " ".join(f"t{j}" for j in range(150)), " ".join(f"u{j}" for j in range(90))
+    rows = [(i, t, s) for (i, s), t in texts.items()] + [(50, twice, "a")] * 2 + [(51, both, "b"), (51, both, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    number = lambda *parts: int(hashlib.md5("/".join(map(str, ("mix-1", *parts))).encode()).hexdigest()[:15], 16)
+    taken = Counter()
+    for r, (_, _, s) in ((r, x) for r in mixing.mix(df).collect() for x in rows if x[0] == r.doc_id and len(x[1].split()) == r.size and sum(len(y[1].split()) for y in rows if y[2] == x[2]) == r.source_size):
+        taken[s] += r.taken / (2 if r.doc_id == 50 else 1)
+    want = Counter()
+    for s in "abc":
+        stream = [(s, r[0], w) for r in sorted((r for r in rows if r[2] == s), key=lambda r: (number(r[0]), r[0])) for w in r[1].split()]
+        blocks = -(-len(stream) // 16)
+        begin = number("start", f'{{"source":"{s}"}}', 0) % blocks
+        times = lambda q: [((k + 1) * q + begin) // blocks - (k * q + begin) // blocks for k in range(blocks)]
+        quota = next(q for q in range(2 * blocks + 1) if sum(times(q)[p // 16] for p in range(len(stream))) == taken[s])
+        for p, x in enumerate(stream):
+            want[x] += times(quota)[p // 16]
+    got = Counter((r.source, r.doc_id, w) for r in mixing.mixed_documents(df).collect() for w in r.text.split())
+    assert got == +want
+    assert mixing.block_words(" a b  c\td e f ", 1, 1, 1, 2, block=2) == "a\nd e"
+
+
 def test_license_scan(spark):
     notice = license_scan.TEMPLATES["mit-grant"]
     words = notice.split()

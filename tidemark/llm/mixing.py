@@ -16,6 +16,7 @@ Quotients near the last seat alone are ranked (see `apportion`), so rows don't g
 from __future__ import annotations
 
 import re
+from collections import deque
 from itertools import islice
 
 import pandas as pd
@@ -76,13 +77,8 @@ def apportion(parts: DataFrame, keys: list[str], seats: str, weight: str, most:
     return won.groupBy(*parts.columns, "_low").agg(F.sum("_won").alias("_more")).withColumn("quota", F.col("_low") + F.col("_more")).select(*parts.columns, "quota")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and row_key of every row of `docs`.
-
-    Null and empty texts have size 0 and give nothing. A null source is a source, the last. Repeated
-    rows each get their row, one after the other in their shard. An empty table gives no rows; further
-    columns are ignored.
-    """
+def placed_rows(docs: DataFrame, weights: tuple[int, ...], share: float, cap: int, block: int, shard_words: int) -> DataFrame:
+    """The columns of `mix`, the source's `group`, the `first` word's place in the shard's stream and what its blocks are dealt by."""
     rows = only(docs, "doc_id", "text", "source")
     size = F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), SPACE), "")).cast("long")
     sized = durable(rows.select("doc_id", "source", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), size.alias("size")).withColumn("group", F.to_json(F.struct("source"))))
@@ -112,39 +108,66 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         return blocks_of(whole) * block + (blocks_of(whole + 1) - blocks_of(whole)) * (at - whole * block)
 
     taken = F.when(F.col("size") > 0, before(F.col("upto")) - before(F.col("upto") - F.col("size"))).otherwise(F.lit(0))
-    return full.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "row_key")
+    first = F.col("upto") - F.col("size")
+    return full.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "row_key", "group", first.alias("first"), "quota", "begin", "blocks")
 
 
-@F.pandas_udf(T.StringType())
-def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
-    """The text up to the end of its n-th word, as it stands; empty for n = 0."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken and row_key of every row of `docs`.
+
+    Null and empty texts have size 0 and give nothing. A null source is a source, the last. Repeated
+    rows each get their row, one after the other in their shard. An empty table gives no rows; further
+    columns are ignored.
+    """
+    return placed_rows(docs, weights, share, cap, block, shard_words).select("doc_id", "size", "source_size", "target", "taken", "row_key")
 
-    def cut(text: str | None, n: int) -> str:
-        last = next(islice(re.finditer(WORD, text or ""), n - 1, None), None) if n > 0 else None
-        return text[: last.end()] if last else ""
 
-    return pd.Series([cut(t, n) for t, n in zip(texts, counts)], dtype="object")
+def block_words(text: str, first: int, quota: int, begin: int, blocks: int, block: int = BLOCK) -> str:
+    """The words of `text`, the first of which is word `first` of its shard, in blocks that are taken once more than others.
+
+    Blocks in a row stay as they stand in the text; a line feed is where words are left out.
+    """
+    words, at, runs, last = re.finditer(WORD, text), first, [], None
+    while True:
+        k = at // block
+        n = (k + 1) * block - at
+        at += n
+        if ((k + 1) * quota + begin) // blocks - (k * quota + begin) // blocks > quota // blocks:
+            head = next(words, None)
+            if head is None:
+                break
+            tail = (deque(islice(words, n - 1), maxlen=1) or [head])[-1]
+            if last == k - 1:
+                runs[-1][1] = tail.end()
+            else:
+                runs.append([head.start(), tail.end()])
+            last = k
+        elif next(islice(words, n - 1, None), None) is None:
+            break
+    return "\n".join(text[i:j] for i, j in runs)
+
+
+@F.pandas_udf(T.StringType())
+def extra_words(texts: pd.Series, first: pd.Series, quota: pd.Series, begin: pd.Series, blocks: pd.Series) -> pd.Series:
+    return pd.Series([block_words(*x) if x[0] and x[2] % x[4] else "" for x in zip(texts, first, quota, begin, blocks)], dtype="object")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: `docs` with their columns, each text as often as it is taken.
+    """The mix itself: `docs` with their columns, each word as often as its block is taken.
 
-    A text that is taken k times and w words has k copies and one of its first w words; n_chars,
-    where the table has it, follows the text.
+    A shard's blocks are taken k or k + 1 times: its texts have k whole copies and one of their words in
+    the blocks that are taken once more; n_chars, where the table has it, follows the text.
     """
-    amounts = durable(mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), "row_key").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"), F.count("*").alias("_rows")))
-    keyed = packed(docs).withColumn("_row_key", row_key(F.col("doc_id"), F.col("text")))
-    found = keyed.join(amounts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("row_key")))
-    # rows that repeat an id and text share what they are taken
-    like = W.partitionBy("_id", "row_key").orderBy("_row_key")
-    found = found.withColumn("_turn", F.row_number().over(like))
-    upto = lambda i: F.floor(i * F.col("_taken") / F.col("_rows"))
-    share = upto(F.col("_turn")) - upto(F.col("_turn") - 1)
-    one = F.floor(F.col("_size") / F.col("_rows"))
-    whole, rest = F.floor(share / one), F.pmod(share, one)
-    part = first_words(F.col("text"), rest.cast("long"))
-    copies = F.concat(F.array_repeat(F.col("text"), whole.cast("int")), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = found.select("_doc", F.explode(copies).alias("_text"))
+    placed = placed_rows(docs, WEIGHTS, SHARE, CAP, BLOCK, SHARD_WORDS).groupBy(F.col("doc_id").alias("_id"), F.col("group").alias("_group"), "row_key")
+    amounts = durable(placed.agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.min("first").alias("_first"), *(F.first(c).alias(f"_{c}") for c in ("quota", "begin", "blocks"))).filter("_taken > 0"))
+    keyed = packed(docs).withColumn("_row_key", row_key(F.col("doc_id"), F.col("text"))).withColumn("_of", F.to_json(F.struct(F.col("_doc")["source"].alias("source"))))
+    found = keyed.join(amounts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_group")) & (F.col("_row_key") == F.col("row_key")))
+    # rows that repeat an id, text and source lie one after the other in their shard
+    like = W.partitionBy("_id", "_group", "row_key").orderBy("_row_key")
+    found = found.withColumn("_at", F.col("_first") + (F.row_number().over(like) - 1) * F.col("_size"))
+    whole = F.floor(F.col("_quota") / F.col("_blocks")).cast("int")
+    part = extra_words(F.col("text"), F.col("_at"), F.col("_quota"), F.col("_begin"), F.col("_blocks"))
+    out = found.select("_doc", F.explode(F.concat(F.array_repeat(F.col("text"), whole), F.array(part))).alias("_text")).filter("_text <> ''")
     new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
