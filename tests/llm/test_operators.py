@@ -366,6 +366,17 @@ def test_license_scan(spark):
     assert license_scan.scan_documents(df.limit(0)).count() == 0
 
 
+def test_license_scan_keeps_every_match():
+    split = {k: license_scan.words_of(v) for k, v in sorted(license_scan.TEMPLATES.items())}
+    spans = lambda text: [(m[0], m[2], m[3]) for m in license_scan.scan(text, split)]
+    nc, by = "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0."
+    assert spans(f"{nc} and then {by}") == [("cc-by-4.0", 9, 15), ("cc-by-nc-4.0", 0, 7)]
+    assert spans(f"{nc} {by} {nc} {by}") == [("cc-by-4.0", 7, 13), ("cc-by-4.0", 20, 26), ("cc-by-nc-4.0", 0, 7), ("cc-by-nc-4.0", 13, 20)]
+    full, short = license_scan.TEMPLATES["apache-2.0-header"], license_scan.TEMPLATES["apache-2.0"]
+    assert [m[0] for m in spans(full + " filler" * 9 + " " + short)] == ["apache-2.0", "apache-2.0-header"]
+    assert spans("Released under the MIT License. a b c d " * 5) == [("mit", 9 * i, 9 * i + 5) for i in range(5)]
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(200):

@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,10 +90,22 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def scan(text: str | None, templates: dict[str, list[str]], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-    """(template, coverage, first word, last word + 1) of the best match of each template that reaches `coverage`, without those that overlap a longer one."""
+    """(template, coverage, first word, last word + 1) of all matches that reach `coverage`, without those that overlap a heavier one; by template and place."""
     words, vocabulary = words_of(text or ""), {w for t in templates.values() for w in t}
     hits = [(i, w) for i, w in enumerate(words) if w in vocabulary]
-    found = []
+    found: list[tuple[int, int, int, str, int, float, int, int]] = []
+    seen: set[tuple[str, int, int]] = set()
+
+    def seek(name: str, low: int, high: int) -> None:
+        template = templates[name]
+        if high - low < coverage * len(template) or (name, low, high) in seen:
+            return
+        seen.add((name, low, high))
+        pairs = align(template, words[low:high])
+        if pairs and len(pairs) / len(template) >= coverage:
+            first, end = low + pairs[0][1], low + pairs[-1][1] + 1
+            heappush(found, (-len(pairs), end - first, first, name, end, len(pairs) / len(template), low, high))
+
     for name, template in templates.items():
         own, need, reach = set(template), max(1, int(-(-coverage * len(template) // 1))), int(SPAN * len(template))
         at = [i for i, w in hits if w in own]
@@ -105,21 +118,24 @@ def scan(text: str | None, templates: dict[str, list[str]], coverage: float = CO
                         regions[-1][1] = max(regions[-1][1], at[x + need - 1] + 1)
                         continue
                 regions.append([low, high])
-        best = (0.0, 0, 0)
         for low, high in regions:
-            pairs = align(template, words[low:high])
-            part = len(pairs) / len(template)
-            if part > best[0]:
-                best = (part, low + pairs[0][1], low + pairs[-1][1] + 1)
-        if best[0] >= coverage:
-            found.append((name, *best))
-    # of notices that share words, the one with the most aligned words stands
-    weight = {m[0]: round(m[1] * len(templates[m[0]])) for m in found}
-    return [m for m in found if not any(weight[o[0]] > weight[m[0]] and o[2] < m[3] and m[2] < o[3] for o in found)]
+            seek(name, low, high)
+    # of matches that share words, the one with the most aligned words stands, then the one with fewer words between;
+    # the other notice is sought again in what the first leaves of its region
+    kept: list[tuple[str, float, int, int]] = []
+    while found:
+        _, _, first, name, end, part, low, high = heappop(found)
+        over = next((o for o in kept if o[2] < end and first < o[3]), None)
+        if over is None:
+            kept.append((name, part, first, end))
+            over = ("", 0.0, first, end)
+        seek(name, low, over[2])
+        seek(name, over[3], high)
+    return sorted(kept, key=lambda m: (m[0], m[2]))
 
 
 def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id and matches (array of license, coverage, first_word, end_word; by license) of every row of `docs`.
+    """doc_id and matches (array of license, coverage, first_word, end_word; by license and place) of every row of `docs`.
 
     Null, empty and license-free texts have an empty array. Repeated rows each get their row; an empty
     table gives none; further columns are ignored.

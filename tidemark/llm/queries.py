@@ -39,7 +39,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_documents(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.col("matches.license"), ",").alias("licenses"), F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("coverage"))
+    return found.select("doc_id", F.size(F.array_distinct("matches.license")).cast("long").alias("n_licenses"), F.array_join(F.array_distinct("matches.license"), ",").alias("licenses"), F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("coverage"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
