@@ -448,6 +448,17 @@ PAGES = [
 ]
 
 
+def test_html_extraction_joins_the_parts_of_one_text():
+    one, two = "first words of the text. " * 9, "more words of the text. " * 12
+    links = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(3))
+    flat = lambda *parts: " ".join(" ".join(parts).split())
+    listed = flat("link 0 link 1 link 2")
+    assert html_extract.main_text(f"<body><div><p>{one}</p><ul>{links}</ul><p>{two}</p></div>") == flat(one, listed, two)
+    assert html_extract.main_text(f"<main><p>{one}</p><article><p>{two}</p></article><p>end of it</p></main>") == flat(one, two, "end of it")
+    assert html_extract.main_text(f"<article><p>{one}</p><article><p>{two}</p></article><p>end</p></article>") == flat(one, two, "end")
+    assert html_extract.main_text(f"<body><div>Home | News</div><div><p>{one}</p><p>{two}</p></div><div>\u00a9 2020 Someone</div>") == flat(one, two)
+
+
 def test_html_extraction(spark):
     df = spark.createDataFrame([(i, None if i % 2 else f"u{i}", h, 0) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text int")
     got = {r.page_id: r for r in html_extract.extract(df).collect()}

@@ -3,10 +3,10 @@
 Markup is stripped to lines, one per block element, in page order. Lines of scripts, styles,
 menus, headers, footers, sidebars, notices, adverts, forms and comments count nothing; nor do
 lines outside an article that are links only. The text lengths of `WINDOW` lines from each line on are summed.
-Text starts (surge) at a line whose sum passes the threshold after a gap and ends (dive) where the
-sum falls to nothing. Where an article or main element begins or ends, a gap of empty lines is
-put in, so spans don't reach over it. The span with the most text is kept with all its
-lines.
+Text starts at a line with text after a gap and ends (dive) where the sum falls to nothing; it is a
+surge if a sum in it reaches `SURGE`. Surges parted by links with less text than they have are one
+text, links included. Spans don't reach over the begin or end of an outermost article or main
+element. The text with most is kept with all its lines; without a surge, the longest span.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import only
 
-WINDOW, SURGE = 3, 1
+WINDOW, SURGE = 3, 40
 
 # Elements by what they do to lines.
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -34,6 +34,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt"
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|comments?|comment-?list|disqus|respond|cookies?|consent|footer|footnav|header|masthead|menus?|nav|navbar|navigation|notices?|alerts?|newsletter|subscribe|popup|modal|promos?|promotions?|sponsored|related|share|sharing|social|sidebars?|widgets?|toolbar|pagination|pager|skip-?link|login|signup)(?=$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
+#: Outside containers, lines of short items between bars, and copyright lines: they start no text.
+_MENU = re.compile(r"(?:©|copyright\b|\(c\) ).{0,200}|(?:[^|·»]{1,24}[|·»])+[^|·»]{1,24}", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
@@ -49,7 +51,7 @@ def _unwanted(tag: str, attrs: dict[str, str], inside: bool) -> bool:
 
 
 def lines(page: str) -> Iterator[tuple[str, bool] | None]:
-    """(text, whether it is all links) of each block in page order; None where a container begins or ends."""
+    """(text, whether it is all links or a menu) of each block in page order; None where an outermost container begins or ends."""
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are unwanted
     bad = links = inside = at = 0
     parts: list[str] = []
@@ -61,7 +63,7 @@ def lines(page: str) -> Iterator[tuple[str, bool] | None]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                yield text, linked > 0 and not plain and not inside
+                yield text, not inside and (linked > 0 and not plain or bool(_MENU.fullmatch(text)))
         linked = plain = 0
 
     def pop() -> str:
@@ -88,12 +90,12 @@ def lines(page: str) -> Iterator[tuple[str, bool] | None]:
         tag = m[2].lower()
         if m[1]:
             if any(t == tag for t, _ in stack):
-                edge = False
+                within = inside
                 if tag in BLOCKS:
                     yield from flush()
-                while (gone := pop()) != tag:
-                    edge |= gone in CONTAINERS
-                if tag in CONTAINERS or edge:
+                while pop() != tag:
+                    pass
+                if within and not inside:
                     yield None
             elif tag in BLOCKS:
                 yield from flush()
@@ -135,27 +137,44 @@ def lines(page: str) -> Iterator[tuple[str, bool] | None]:
         links += tag == "a"
         if tag in CONTAINERS and not worthless:
             inside += 1
-            yield None
+            if inside == 1:
+                yield None
     yield from flush()
 
 
-def main_text(page: str | None) -> str:
-    """The lines from surge to dive that hold the most text, joined by a space; the first of equal spans."""
-    found: list[tuple[str, bool]] = []
-    for x in lines(page or ""):
-        found += [x] if x else [("", False)] * WINDOW
-    weights = [0 if link else len(text) for text, link in found]
-    best, start, most = (0, 0), None, 0
-    for i in range(len(found) + 1):
+def _text(section: list[tuple[str, bool]]) -> tuple[int, int, int]:
+    """(weight, first line, last line + 1) of the main text of lines without a container's edge."""
+    weights = [0 if link else len(text) for text, link in section]
+    spans: list[tuple[int, int, int]] = []
+    surges: list[tuple[int, int, int]] = []
+    start, high = None, 0
+    for i in range(len(section) + 1):
         total = sum(weights[i : i + WINDOW])
-        if start is None and total >= SURGE and weights[i]:
-            start = i
+        if start is None and i < len(section) and weights[i]:
+            start, high = i, total
         elif start is not None and not total:
-            held = sum(weights[start:i])
-            if held > most:
-                most, best = held, (start, i)
+            spans.append((sum(weights[start:i]), start, i))
+            if high >= SURGE:
+                part = spans[-1]
+                while surges and sum(len(t) for t, _ in section[surges[-1][2] : part[1]]) <= surges[-1][0] + part[0]:
+                    before = surges.pop()
+                    part = (sum(weights[before[1] : part[2]]), before[1], part[2])
+                surges.append(part)
             start = None
-    return " ".join(t for t, _ in found[best[0] : best[1]] if t)
+        high = max(high, total)
+    return max(surges or spans, key=lambda x: x[0], default=(0, 0, 0))
+
+
+def main_text(page: str | None) -> str:
+    """The lines of the main text, joined by a space; the first of equal texts."""
+    sections: list[list[tuple[str, bool]]] = [[]]
+    for x in lines(page or ""):
+        if x:
+            sections[-1].append(x)
+        else:
+            sections.append([])
+    section, (_, i, j) = max(((s, _text(s)) for s in sections), key=lambda x: x[1][0])
+    return " ".join(t for t, _ in section[i:j])
 
 
 def extract(pages: DataFrame) -> DataFrame:
