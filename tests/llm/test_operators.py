@@ -108,7 +108,30 @@ def test_chain_condition_never_loses_a_pair(spark):
     rng = np.random.default_rng(7)
     flips = [int(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in (1, 2, 3) for _ in range(300)]
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in flips], "d long")
-    assert df.filter(~simhash.chain_ok(F.col("d")) | simhash._first_triple(F.col("d")).isNull()).count() == 0
+    assert df.filter(simhash.first_slot(F.col("d")).isNull()).count() == 0
+
+
+def test_chains_prune_candidates_before_the_hamming_test(spark):
+    """Of pairs with one equal segment, most leave a budget on the way; what stays holds every near pair."""
+    rng = np.random.default_rng(8)
+    base = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 6, dtype=np.int64)]
+    # an equal first segment, and up to ten other bits that differ
+    fps = sorted({b ^ int(sum(1 << int(k) for k in rng.choice(np.arange(16, 63), n, replace=False))) for b in base for n in rng.integers(0, 11, 80)})
+    members = simhash.slotted(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    got = [(r.u, r.v, r["diff"]) for r in simhash.candidates(members).select("u", "v", "diff").distinct().collect()]
+    signed = lambda d: d & ((1 << 64) - 1)
+    pairs = [(a, b, signed(a ^ b)) for i, a in enumerate(fps) for b in fps[i + 1 :]]
+    equal = [p for p in pairs if any(not (p[2] >> 16 * i) & 0xFFFF for i in range(4))]
+
+    def chain(d, start):
+        parts = [((d >> 16 * ((start + k) % 4)) & 0xFFFF).bit_count() for k in range(3)]
+        return parts[0] == 0 and sum(parts[:2]) <= 1 and sum(parts) <= 2
+
+    want = {(a, b) for a, b, d in pairs if any(chain(d, i) for i in range(4))}
+    assert {(a, b) for a, b, _ in got} == want
+    near = {(a, b) for a, b, d in pairs if d.bit_count() <= 3}
+    assert near < want and len(want) < len(equal) / 3  # dropped before the Hamming test
+    assert any(signed(d).bit_count() > 3 for _, _, d in got)  # and the test has something left to drop
 
 
 def normal(text):

@@ -5,20 +5,22 @@ shingles (XXH64, seed 42) have it. Texts link when their fingerprints differ in
 at most `TAU` bits; classes are the connected components of the links.
 
 Search for links (pigeonring principle): the bits form a ring of `SEGMENTS`
-segments. If two fingerprints differ in at most TAU bits, there is a segment
-from which every chain of l consecutive segments holds at most
-floor(l * TAU / SEGMENTS) differing bits. With 6 segments and 3 bits, such a
-chain leaves three segments equal, so pairs are looked for among fingerprints
-that agree in one of the 20 triples of segments (about 32 bits); a pair must pass the chain
-test within the join, then the full Hamming test. Only distinct fingerprints
-are joined, so copies cost nothing.
-
-A bucket (fingerprints agreeing in a triple) of more than `BUCKET` members
-isn't joined with itself. There a link is found at a meeting point: fingerprints
-at distance d <= 3 have a value within 1 bit of one and 2 bits of the other. Each
-member emits its near values (33 and 529, as three segments are equal), and per
-value all members are linked to one that is 1 bit away at most: as many rows as
-members, and the same components. Both ways are exact.
+segments. If two fingerprints differ in at most TAU bits, there is a segment from
+which every chain of l consecutive segments holds at most BUDGETS[l - 1] =
+floor(l * TAU / SEGMENTS) differing bits: none in the first segment, 1 in two, 2 in three.
+
+* A chain of three segments is looked up by equality: its first segment is equal and
+  so are two of the four bytes after it, in one of five ways (`SLOTS`: 4 starts x 5).
+* Candidates extend their chain segment by segment and fall out where it leaves its
+  budget; only those that stay get the full Hamming test.
+
+Only distinct fingerprints are joined, so copies cost nothing. A bucket (fingerprints
+that agree in a slot) of more than `BUCKET` members isn't joined with itself, as that
+would be all pairs of it. There the chain is extended from either side to meeting points:
+fingerprints at distance d <= 3 have a value within 1 bit of one and 2 bits of the other.
+Each member emits the values near it that stay within the chain's budgets, and per value
+all members are linked to one that is 1 bit away at most: rows in proportion to members,
+and the same components. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ from pyspark.sql import functions as F
 from .common import drop_rows, durable, join_spread, only, row_key
 from .components import connected_components
 
-TAU, SEGMENTS, SHINGLE = 3, 6, 3
+TAU, SEGMENTS, SHINGLE = 3, 4, 3
+SEGMENT_BITS = 64 // SEGMENTS
+#: Differing bits that a chain of 1, 2, ... segments may hold.
+BUDGETS = [length * TAU // SEGMENTS for length in range(1, SEGMENTS + 1)]
 #: Members up to which a bucket is joined with itself.
 BUCKET = 512
-EDGES = [round(64 * i / SEGMENTS) for i in range(SEGMENTS + 1)]
 _SLICE = 1 << 16  # shingles counted at a time, so that a very long text takes bounded memory
 _hash = partial(xxhash.xxh64_digest, seed=42)
 
@@ -69,63 +73,89 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
-def _mask(segments: tuple[int, ...]) -> int:
-    m = sum(((1 << EDGES[i + 1]) - 1) ^ ((1 << EDGES[i]) - 1) for i in segments)
-    return m - (1 << 64) if m >> 63 else m
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
-TRIPLES = [_mask(t) for t in itertools.combinations(range(SEGMENTS), SEGMENTS - TAU)]
+def _byte(start: int, k: int) -> int:
+    """Mask of byte k of the ring that begins with segment `start`."""
+    return 0xFF << (start * SEGMENT_BITS + 8 * k) % 64
 
 
-def chain_ok(diff: Column) -> Column:
-    """Whether some segment starts chains within their budgets, for differing bits `diff`."""
-    d = [F.bit_count(diff.bitwiseAND(F.lit(_mask((i,))))) for i in range(SEGMENTS)]
+#: (first segment of the chain, mask of what is equal): a chain within its budgets has its first two bytes
+#: equal and, of the next two and the two after these, the first pair or one of each.
+SLOTS = [(i, sum(_byte(i, k) for k in (0, 1, *two))) for i in range(SEGMENTS) for two in ((2, 3), (2, 4), (2, 5), (3, 4), (3, 5))]
+_WAYS = len(SLOTS) // SEGMENTS
 
-    def starts(i: int) -> Column:
-        sums, total = [], F.lit(0)
-        for length in range(1, SEGMENTS + 1):
-            total = total + d[(i + length - 1) % SEGMENTS]
-            sums.append(total <= length * TAU // SEGMENTS)
-        out = sums[0]
-        for x in sums[1:]:
-            out = out & x
-        return out
 
-    out = starts(0)
-    for i in range(1, SEGMENTS):
-        out = out | starts(i)
+def chain_ok(diff: Column, start: Column | int, length: int) -> Column:
+    """Whether the chain of `length` segments from segment `start` of the differing bits `diff` is within its budget."""
+    turn = F.lit(start) * SEGMENT_BITS
+    ring = F.call_function("shiftrightunsigned", diff, turn.cast("int")).bitwiseOR(F.call_function("shiftleft", diff, (64 - turn).cast("int")))
+    return F.bit_count(ring.bitwiseAND(F.lit(_signed((1 << length * SEGMENT_BITS) - 1)))) <= BUDGETS[length - 1]
+
+
+def chains_ok(diff: Column, start: Column | int) -> Column:
+    """Whether all chains from `start` but the whole ring, which is the Hamming test, are within their budgets."""
+    out = chain_ok(diff, start, 1)
+    for length in range(2, SEGMENTS):
+        out = out & chain_ok(diff, start, length)
     return out
 
 
-def _first_triple(diff: Column) -> Column:
-    """Number of the first triple in which both agree: each pair comes from one bucket only."""
-    return F.coalesce(*(F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(TRIPLES)))
+def first_slot(diff: Column) -> Column:
+    """Number of the first slot that finds a pair, so that it comes from one bucket only."""
+    return F.coalesce(*(F.when((diff.bitwiseAND(F.lit(_signed(mask))) == 0) & chains_ok(diff, i), F.lit(t)) for t, (i, mask) in enumerate(SLOTS)))
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """u, v, diff and t of pairs that share a bucket and whose chains, from the slot's first segment on, are within their budgets.
+
+    `members` has t (the number of a slot), key (the bits equal in it) and fp.
+    """
+    a, b = members.alias("a"), members.alias("b")
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
+    pairs = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"), F.col("a.fp").bitwiseXOR(F.col("b.fp")).alias("diff"), F.col("a.t").alias("t"))
+    return pairs.filter(chains_ok(F.col("diff"), F.floor(F.col("t") / _WAYS)))
+
+
+def slotted(fps: DataFrame) -> DataFrame:
+    """fp with each slot's number t and key."""
+    slots = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for t, (_, mask) in enumerate(SLOTS)))
+    return fps.select("fp", F.inline(slots))
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (u, v) that connect distinct fingerprints `fp` into the same components as all links do."""
-    slots = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(TRIPLES)))
-    keyed = fps.select("fp", F.inline(slots))
+    keyed = slotted(fps)
     sizes = keyed.groupBy("t", "key").count().filter("count > 1")
     full = durable(keyed.join(sizes, ["t", "key"]))
     light, heavy = full.filter(F.col("count") <= bucket).drop("count"), full.filter(F.col("count") > bucket).drop("count")
-
-    a, b = light.alias("a"), light.alias("b")
-    diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (_first_triple(diff) == F.col("a.t")) & chain_ok(diff))
-    near = pairs.filter(F.bit_count(diff) <= TAU).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    near = candidates(light).filter(F.bit_count("diff") <= TAU).filter(first_slot(F.col("diff")) == F.col("t")).select("u", "v")
     return near.union(_dense(heavy))
 
 
+def near_flips(slot: int) -> tuple[list[int], list[int]]:
+    """Flips of no or one bit, and of two bits, that keep the slot's equal bits and its chain's budgets."""
+    start, mask = SLOTS[slot]
+    free = [1 << b for b in range(64) if not (mask >> b) & 1]
+
+    def within(bits: int) -> bool:
+        ring = (bits >> start * SEGMENT_BITS | bits << 64 - start * SEGMENT_BITS) & ((1 << 64) - 1)
+        return all((ring & ((1 << n * SEGMENT_BITS) - 1)).bit_count() <= BUDGETS[n - 1] for n in range(1, SEGMENTS + 1))
+
+    two = [x | y for x, y in itertools.combinations(free, 2) if within(x | y)]
+    return [0, *map(_signed, free)], list(map(_signed, two))
+
+
 def _dense(members: DataFrame) -> DataFrame:
     """Links within large buckets, by values at most 1 bit from one and 2 bits from the other fingerprint."""
-    free = [[1 << b if b < 63 else -(1 << 63) for b in range(64) if not (m >> b) & 1] for m in TRIPLES]
-    flips = F.create_map(*(x for t, f in enumerate(free) for x in (F.lit(t), F.array(*(F.lit(v) for v in f)))))
-    bits = members.withColumn("bits", flips[F.col("t")])
-    one = F.concat(F.array(F.lit(0).cast("long")), F.col("bits"))
-    two = F.flatten(F.transform("bits", lambda x, i: F.transform(F.slice(F.col("bits"), 1, i), lambda y: x.bitwiseXOR(y))))
-    rows = bits.select("fp", "t", F.explode(F.concat(F.transform(one, lambda x: F.struct(x.alias("x"), F.lit(True).alias("close"))), F.transform(two, lambda x: F.struct(x.alias("x"), F.lit(False).alias("close"))))).alias("s"))
-    at = rows.select("fp", "t", F.col("fp").bitwiseXOR(F.col("s.x")).alias("z"), F.col("s.close").alias("close"))
+    spark = members.sparkSession
+    # a row for each slot's flips, some ten thousand numbers whatever the input
+    flips = spark.createDataFrame([(t, *near_flips(t)) for t in range(len(SLOTS))], "_t int, one array<bigint>, two array<bigint>")
+    near = members.join(F.broadcast(flips), F.col("t") == F.col("_t"))
+    marked = F.concat(F.transform("one", lambda x: F.struct(x.alias("x"), F.lit(True).alias("close"))), F.transform("two", lambda x: F.struct(x.alias("x"), F.lit(False).alias("close"))))
+    at = near.select("fp", "t", F.explode(marked).alias("s")).select("fp", "t", F.col("fp").bitwiseXOR(F.col("s.x")).alias("z"), F.col("s.close").alias("close"))
     hub = at.groupBy("t", "z").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("v"), F.count("*").alias("n")).filter("v is not null and n > 1")
     return at.join(hub, ["t", "z"]).filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
