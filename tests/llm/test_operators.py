@@ -172,10 +172,42 @@ def test_exact_dedup_chains_collisions(spark):
 
 
 def test_directory_splits_overfull_buckets(spark):
-    entries = spark.range(4000).select(F.xxhash64("id").alias("key"))
-    d = exact_dedup.directory(entries, 100)
-    slots = entries.select(F.shiftrightunsigned("key", 48).alias("slot")).join(d, "slot").groupBy("depth", "bucket").count().collect()
-    assert max(r["count"] for r in slots) <= 100 and sum(r["count"] for r in slots) == 4000
+    """Buckets are those of an extendible hash table that takes the keys one by one."""
+    rng = np.random.default_rng(6)
+    # a third of the keys share their first 20 bits, so one place must split far deeper than the others
+    keys = {int(k) for k in rng.integers(-(1 << 63), 1 << 63, 2000, dtype=np.int64)} | {(0x5A5A5 << 43) + int(k) for k in rng.integers(0, 1 << 43, 1000)}
+    bits64 = {k: f"{k & ((1 << 64) - 1):064b}" for k in keys}
+    want, todo = {}, [""]
+    while todo:
+        prefix = todo.pop()
+        inside = [k for k in keys if bits64[k].startswith(prefix)]
+        if len(inside) > 100:
+            todo += [prefix + "0", prefix + "1"]
+        else:
+            want |= dict.fromkeys(inside, prefix)
+    entries = spark.createDataFrame([(k,) for k in keys], "key long")
+    slots, bits = exact_dedup.directory(entries, 100)
+    got = entries.withColumn("slot", exact_dedup.leading("key", bits)).join(slots, "slot").collect()
+    assert {r.key: f"{r.bucket:0{bits}b}"[: r.depth] for r in got} == want
+    assert max(len(p) for p in want.values()) > 20
+
+
+def test_exact_dedup_reads_the_index(spark):
+    """Groups come from the stored index: without an entry there, its rows aren't found."""
+    df = spark.createDataFrame([(i, f"t{i % 5}") for i in range(20)], "doc_id long, text string")
+    rows = exact_dedup.hashed(df)
+    index = exact_dedup.build_index(rows, 2)
+    assert index.select("bucket").distinct().count() > 1
+    gone = index.filter("keep_id <> 3")
+    got = exact_dedup._decide(df, rows, gone, exact_dedup.HASHES).collect()
+    assert {r.doc_id % 5 for r in got} == {0, 1, 2, 4} and len(got) == 16
+
+
+def test_exact_dedup_of_many_copies(spark):
+    rows = [(i, f"same  text\t{'x' * 50}" if i % 3 == 0 else f"same text {'x' * 50}" if i % 3 == 1 else f"other {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    check_exact(rows, exact_dedup.exact_duplicates(df, 64).collect())
+    assert exact_dedup.keep_first(df).count() == 1001
 
 
 def test_plan_places_every_item_without_gaps():

@@ -76,7 +76,7 @@ def drop_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def join_spread(rows: DataFrame, by_key: DataFrame, key: str, count: str) -> DataFrame:
+def join_spread(rows: DataFrame, by_key: DataFrame, key: str, count: str, keep_count: bool = False) -> DataFrame:
     """Inner join with a table of one row per `key`, whose column `count` says how many of `rows` have it.
 
     The rows of hot keys, of which there are fewer than HOT_SHARE, are joined by a broadcast of these
@@ -84,9 +84,9 @@ def join_spread(rows: DataFrame, by_key: DataFrame, key: str, count: str) -> Dat
     """
     total = by_key.agg(F.sum(count)).first()[0] or 0
     hot = by_key.filter(F.col(count) * HOT_SHARE > total)
-    values = [c for c in by_key.columns if c not in (key, count)]
-    known = hot.select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
+    values = [c for c in by_key.columns if c != key and (keep_count or c != count)]
+    known = hot.select(F.col(key).alias("_hot_key"), F.struct(F.lit(True).alias("_is"), *values).alias("_hot"))
     marked = rows.join(F.broadcast(known), F.col(key) == F.col("_hot_key"), "left")
-    near = marked.filter("_hot_key is not null").select(*rows.columns, "_hot.*")
+    near = marked.filter("_hot_key is not null").select(*rows.columns, *(F.col(f"_hot.{v}").alias(v) for v in values))
     rest = marked.filter("_hot_key is null").select(*rows.columns).join(by_key.filter(F.col(count) * HOT_SHARE <= total).select(key, *values), key)
     return near.union(rest.select(*rows.columns, *values))
