@@ -514,12 +514,50 @@ def test_html_extraction_joins_the_parts_of_one_text():
     assert html_extract.main_text(f"<body><div>Home | News</div><div><p>{one}</p><p>{two}</p></div><div>\u00a9 2020 Someone</div>") == flat(one, two)
 
 
+def test_html_text_is_found_by_the_distribution():
+    """No tag or class tells these parts: only the sums over line blocks do."""
+    long = "real words of a long paragraph that go on for a while. " * 4
+    flat = lambda *parts: " ".join(" ".join(parts).split())
+    notes = "".join(f"<div>reader {i}: nice post</div>" for i in range(5))
+    page = f"<body><div>menu text here</div><div>one two three</div><div><h2>Title</h2><p>{long}</p><p>{long}</p><p>short end.</p></div>{notes}<div>Contact us</div>"
+    assert html_extract.main_text(page) == flat("Title", long, long, "short end.")
+    # the heavier of two texts that lie apart
+    small = "<div>" + "a short blurb of another kind, not the text. " * 2 + "</div>"
+    assert html_extract.main_text(f"<body>{small}{notes}<div><p>{long}</p><p>{long}</p></div>{notes}{small}") == flat(long, long)
+    assert html_extract.surges([5, 5, 5, 300, 200, 100, 5, 5, 5, 5, 120], 100) == [(3, 6), (10, 11)]
+    assert html_extract.block_sums([1, 2, 3, 4]) == [1, 3, 6, 9, 7, 4]
+    assert html_extract.surges([1, 1, 60, 1, 39, 1, 1], 100) == [(2, 5)]
+
+
+def test_html_text_without_any_names(spark, sf):
+    """The given pages with plain divs for article, menu, advert and footer."""
+    import html
+
+    right = n = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<b>", "").replace("</b>", "")
+        want = " ".join(html.unescape(re.sub(r"</?(?:h1|p|br)>", " ", article)).split())
+        got = html_extract.main_text(re.sub(r"<(/?)(?:article|nav|footer|div)[^>]*>", r"<\1div>", r.html))
+        right, n = right + (got == want), n + 1
+    assert right / n > 0.95
+
+
+@pytest.mark.parametrize("page", ["<div>" * 16_000 + "</span></b>" * 16_000 + "x", "<ul>" + "<div>" * 16_000 + "<li>x" * 16_000, "<p>" + "<b>" * 16_000 + "<p>x" * 16_000, "<p>" + "word " * 20 + "</p><p><a>x</a></p><p><a>x</a></p><p><a>x</a></p>" * 8_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 2
+
+
 def test_html_extraction(spark):
     df = spark.createDataFrame([(i, None if i % 2 else f"u{i}", h, 0) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text int")
     got = {r.page_id: r for r in html_extract.extract(df).collect()}
     for i, (_, want) in enumerate(PAGES):
         assert got[i].text == want and got[i].n_chars == len(want), i
     assert html_extract.extract(df.limit(0)).count() == 0
+    assert Counter(map(tuple, html_extract.extract(df.union(df)).collect())) == Counter([tuple(r) for r in got.values()] * 2)
     broken = ["<", "<p", "<a href='", "&#xZZ;", "</p></p>", "<!--", "<script>", "<p " + "a=" * 5000, "<div>" * 3000, "<![CDATA["]
     assert all(isinstance(html_extract.main_text(x), str) for x in broken)
 

@@ -1,19 +1,26 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one per block element, in page order. Lines of scripts, styles,
-menus, headers, footers, sidebars, notices, adverts, forms and comments count nothing; nor do
-lines outside an article that are links only. The text lengths of `WINDOW` lines from each line on are summed.
-Text starts at a line with text after a gap and ends (dive) where the sum falls to nothing; it is a
-surge if a sum in it reaches `SURGE`. Surges parted by links with less text than they have are one
-text, links included. Spans don't reach over the begin or end of an outermost article or main
-element. The text with most is kept with all its lines; without a surge, the longest span.
+menus, headers, footers, sidebars, notices, adverts, forms and comments are left out; outside an
+article or main element, lines that are links or a menu only have no weight. A line's weight is its length.
+
+Distribution: the weights of `WINDOW` lines in a row are summed over a sliding window. Text begins at the
+line that enters when the sum reaches the page's threshold (surge) and ends with the line that
+leaves when the sum falls below it (dive). The threshold is a part of the page's largest sum, within
+LOWEST and HIGHEST. Texts parted by less text than they have are one, if they lie in one
+element. The heaviest text is the main one. It is completed by what belongs to its ends: headings right before it,
+and short lines next to it in the same element. If most of it lies in an article or main
+element, it is that element's lines. A page without a surge gives its longest stretch of lines.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import only
 
-WINDOW, SURGE = 3, 40
+WINDOW = 3
+#: The threshold of a sum is this part of the page's largest one, but not under LOWEST or over HIGHEST.
+PART, LOWEST, HIGHEST = 1 / 3, 40, 240
+#: How much more the lines of an article or main element weigh when the main text is chosen.
+FAVOUR = 4
 
 # Elements by what they do to lines.
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -29,6 +40,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp noscript iframe noembed noframes template".split())
 UNWANTED = set("head title script style noscript template iframe object svg canvas nav menu footer aside form button select textarea input dialog noembed noframes xmp audio video map".split())
 CONTAINERS = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+TEXTS = HEADINGS | {"p", "li", "dd", "dt", "blockquote", "pre", "td", "th", "figcaption", "caption", "summary"}
 #: Open elements that a start tag ends, and the elements beyond which it ends none.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|comments?|comment-?list|disqus|respond|cookies?|consent|footer|footnav|header|masthead|menus?|nav|navbar|navigation|notices?|alerts?|newsletter|subscribe|popup|modal|promos?|promotions?|sponsored|related|share|sharing|social|sidebars?|widgets?|toolbar|pagination|pager|skip-?link|login|signup)(?=$|[\s_-])", re.I)
@@ -50,29 +63,54 @@ def _unwanted(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     return tag not in ("html", "body", "main") and any(NAMES.search(attrs.get(k, "")) for k in ("class", "id"))
 
 
-def lines(page: str) -> Iterator[tuple[str, bool] | None]:
-    """(text, whether it is all links or a menu) of each block in page order; None where an outermost container begins or ends."""
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are unwanted
-    bad = links = inside = at = 0
+class Line(NamedTuple):
+    """A block's text, its weight, its element (tag and number), the elements around that (-1 for the page itself) and its outermost container (0 if none)."""
+
+    text: str
+    weight: int
+    tag: str
+    element: int
+    parent: int
+    above: int
+    container: int
+
+
+def lines(page: str) -> Iterator[Line]:
+    """The lines of a page in page order; every tag takes the same time, however deep it lies."""
+    stack: list[tuple[str, bool, int]] = []  # open elements: tag, whether unwanted, number
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of a tag are
+    blocks: list[int] = []  # where the open block elements are
+    bad = links = inside = at = number = container = 0
     parts: list[str] = []
     linked = plain = 0
 
-    def flush() -> Iterator[tuple[str, bool]]:
+    def around(i: int) -> int:
+        return stack[i][2] if i >= 0 and stack[i][0] not in ("body", "html") else -1
+
+    def flush() -> Iterator[Line]:
         nonlocal linked, plain
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                yield text, not inside and (linked > 0 and not plain or bool(_MENU.fullmatch(text)))
+                worthless = not inside and (linked > 0 and not plain or bool(_MENU.fullmatch(text)))
+                i = blocks[-1] if blocks else -1
+                tag, _, element = stack[i] if i >= 0 else ("", False, -1)
+                yield Line(text, 0 if worthless else len(text), tag, element, around(i - 1), around(i - 2), container if inside else 0)
         linked = plain = 0
 
-    def pop() -> str:
+    def pop() -> None:
         nonlocal bad, links, inside
-        tag, was_bad = stack.pop()
+        tag, was_bad, _ = stack.pop()
+        places[tag].pop()
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
         bad -= was_bad
         links -= tag == "a"
         inside -= tag in CONTAINERS and not was_bad
-        return tag
+
+    def last(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -88,35 +126,27 @@ def lines(page: str) -> Iterator[tuple[str, bool] | None]:
         if not m[2]:
             continue
         tag = m[2].lower()
+        if tag in BLOCKS:
+            yield from flush()
         if m[1]:
-            if any(t == tag for t, _ in stack):
-                within = inside
-                if tag in BLOCKS:
+            if places[tag]:
+                to = places[tag][-1]
+                if tag not in BLOCKS and blocks and blocks[-1] > to:
                     yield from flush()
-                while pop() != tag:
-                    pass
-                if within and not inside:
-                    yield None
-            elif tag in BLOCKS:
-                yield from flush()
+                while len(stack) > to:
+                    pop()
             continue
         attrs = _attributes(m[3])
-        if tag in BLOCKS:
-            yield from flush()
-            if tag != "br" and any(t == "p" for t, _ in stack[-6:]):
-                keep = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p")
-                if not any(t in BLOCKS for t, _ in stack[keep + 1 :]):
-                    while len(stack) > keep:
-                        pop()
+        if tag in BLOCKS and tag != "br" and places["p"] and blocks[-1] == places["p"][-1]:
+            while len(stack) > blocks[-1] + 1:
+                pop()
+            pop()
         if tag in ENDS:
             ended, limits = ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in limits:
-                    break
-                if stack[i][0] in ended:
-                    while len(stack) > i:
-                        pop()
-                    break
+            to = last(ended)
+            if to > last(limits):
+                while len(stack) > to:
+                    pop()
         if tag in VOID:
             continue
         worthless = _unwanted(tag, attrs, inside > 0)
@@ -132,56 +162,107 @@ def lines(page: str) -> Iterator[tuple[str, bool] | None]:
             continue
         if m[3].rstrip().endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "span"):
             continue
-        stack.append((tag, worthless))
+        number += 1
+        places[tag].append(len(stack))
+        if tag in BLOCKS:
+            blocks.append(len(stack))
+        stack.append((tag, worthless, number))
         bad += worthless
         links += tag == "a"
         if tag in CONTAINERS and not worthless:
             inside += 1
             if inside == 1:
-                yield None
+                container = number
     yield from flush()
 
 
-def _text(section: list[tuple[str, bool]]) -> tuple[int, int, int]:
-    """(weight, first line, last line + 1) of the main text of lines without a container's edge."""
-    weights = [0 if link else len(text) for text, link in section]
-    spans: list[tuple[int, int, int]] = []
-    surges: list[tuple[int, int, int]] = []
-    start, high = None, 0
-    for i in range(len(section) + 1):
-        total = sum(weights[i : i + WINDOW])
-        if start is None and i < len(section) and weights[i]:
-            start, high = i, total
-        elif start is not None and not total:
-            spans.append((sum(weights[start:i]), start, i))
-            if high >= SURGE:
-                part = spans[-1]
-                while surges and sum(len(t) for t, _ in section[surges[-1][2] : part[1]]) <= surges[-1][0] + part[0]:
-                    before = surges.pop()
-                    part = (sum(weights[before[1] : part[2]]), before[1], part[2])
-                surges.append(part)
+def block_sums(weights: list[int]) -> list[int]:
+    """Sums over windows of WINDOW lines; the first window holds the first line alone, the last one the last."""
+    upto = [0, *accumulate(weights)]
+    n = len(weights)
+    return [upto[min(n, i + 1)] - upto[max(0, i + 1 - WINDOW)] for i in range(n + WINDOW - 1)]
+
+
+def surges(weights: list[int], threshold: int) -> list[tuple[int, int]]:
+    """(first line, last line + 1) of each text between a surge and its dive."""
+    found, start = [], None
+    for i, total in enumerate(block_sums(weights)):
+        if start is None and total >= threshold:
+            start = i
+        elif start is not None and total < threshold:
+            end = i - WINDOW + 1
+            if end <= start:  # no line that enters and leaves: the lines of the last window, together
+                start, end = max(i - WINDOW, found[-1][1] if found else 0), min(i, len(weights))
+            found.append((start, end))
             start = None
-        high = max(high, total)
-    return max(surges or spans, key=lambda x: x[0], default=(0, 0, 0))
+    if start is not None:
+        found.append((min(start, len(weights) - 1), len(weights)))
+    return found
+
+
+def _related(a: Line, b: Line) -> bool:
+    """Whether both lie in one element below the page's body, or are text blocks of the body itself."""
+    if a.parent == b.parent:
+        return a.parent != -1 or a.tag in TEXTS and b.tag in TEXTS
+    return a.above == b.above != -1 or a.parent == b.above != -1 or a.above == b.parent != -1
+
+
+def _joined(page: list[Line], parts: list[tuple[int, int]], upto: list[int], chars: list[int]) -> list[tuple[int, int]]:
+    """Texts that are parted by less text than they have and lie in one element are one."""
+    out: list[tuple[int, int]] = []
+    for i, j in parts:
+        while out:
+            before, end = out[-1]
+            if not _related(page[end - 1], page[i]) or chars[i] - chars[end] > upto[end] - upto[before] + upto[j] - upto[i]:
+                break
+            out.pop()
+            i = before
+        out.append((i, j))
+    return out
+
+
+def _completed(page: list[Line], i: int, j: int) -> tuple[int, int]:
+    """The text with the lines that belong to its ends."""
+
+    def belongs(line: Line, to: Line) -> bool:
+        return line.weight > 0 and (line.element == to.element or line.parent == to.parent and line.tag in TEXTS and to.tag in TEXTS)
+
+    while i > 0 and (page[i - 1].weight and page[i - 1].tag in HEADINGS or belongs(page[i - 1], page[i])):
+        i -= 1
+    while j < len(page) and belongs(page[j], page[j - 1]):
+        j += 1
+    return i, j
 
 
-def main_text(page: str | None) -> str:
-    """The lines of the main text, joined by a space; the first of equal texts."""
-    sections: list[list[tuple[str, bool]]] = [[]]
-    for x in lines(page or ""):
-        if x:
-            sections[-1].append(x)
-        else:
-            sections.append([])
-    section, (_, i, j) = max(((s, _text(s)) for s in sections), key=lambda x: x[1][0])
-    return " ".join(t for t, _ in section[i:j])
+def main_text(html_text: str | None) -> str:
+    """The lines of the main text, joined by a space; the first of equally heavy texts."""
+    page = list(lines(html_text or ""))
+    weights = [x.weight for x in page]
+    highest = max(block_sums(weights), default=0)
+    threshold = max(LOWEST, min(HIGHEST, highest * PART))
+    found = surges(weights, threshold if highest >= threshold else 1)
+    if not found:
+        return " ".join(x.text for x in page) if len(page) == 1 else ""
+    upto, chars = [0, *accumulate(weights)], [0, *accumulate(len(x.text) for x in page)]
+    held = [0, *accumulate(x.weight if x.container else 0 for x in page)]
+    i, j = max(_joined(page, found, upto, chars), key=lambda s: upto[s[1]] - upto[s[0]] + (FAVOUR - 1) * (held[s[1]] - held[s[0]]))
+    if (held[j] - held[i]) * FAVOUR >= (upto[j] - upto[i]) - (held[j] - held[i]):
+        within = Counter()
+        for x in page[i:j]:
+            within[x.container] += x.weight if x.container else 0
+        best = max(within, key=within.get)
+        if best:
+            return " ".join(x.text for x in page if x.container == best)
+    i, j = _completed(page, i, j)
+    return " ".join(x.text for x in page[i:j])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (its code points) of every row of `pages`.
 
-    Null and empty html, and pages without text, give an empty text. Repeated rows each get their
-    row; an empty table gives none; further columns are ignored.
+    Null and empty html, and pages without text, give an empty text. Pages of any length and depth of nesting are
+    read whole, in time linear in their length. Of equally heavy texts the first counts. Repeated rows each get
+    their row; an empty table gives none; further columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
