@@ -2,9 +2,11 @@
 
 A text's words are aligned with each template's: words that occur once in both are anchors, the longest
 increasing subsequence of their places is kept, and the gaps between are aligned in the same way (a
-gap without anchors by its equal ends). Coverage is the share of the template's words aligned.
+gap without anchors by its equal ends). Coverage is the share of words aligned, of the template's
+words and half of those that the text has between them.
 
-A match lies within SPAN times the template's length. Places that may hold one are those where so many words
+A template has required phrases, which tell its licence from its siblings: a match must hold them word
+by word. A match lies within SPAN times the template's length. Places that may hold one are those where so many words
 in a row have at least COVERAGE of the template's length among them; only these are aligned, so whole
 texts are read but few aligned.
 """
@@ -15,7 +17,9 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from heapq import heappop, heappush
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,19 +29,35 @@ from .common import only
 
 COVERAGE, SPAN = 0.8, 1.5
 
-# Notices of public licences, as they stand in their texts.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "mit": "Released under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+
+
+class Template(NamedTuple):
+    """A licence's wording and the phrases (as lower-case words) that a match must hold."""
+
+    license: str
+    text: str
+    required: tuple[str, ...]
+
+
+# Names and wordings of public licences.
+GNU = {"gpl": ("GNU General Public License", ("1", "2", "3")), "lgpl": ("GNU Lesser General Public License", ("2.1", "3")), "agpl": ("GNU Affero General Public License", ("3",))}
+CREATIVE = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+NAMED = {"mit": "MIT License", "bsd": "BSD License", "isc": "ISC License", "zlib": "zlib License", "bsl-1.0": "Boost Software License", "unlicense": "Unlicense", "artistic-2.0": "Artistic License 2.0", "epl-2.0": "Eclipse Public License 2.0", "apache-2.0": "Apache License, Version 2.0", "apache-1.1": "Apache License, Version 1.1", "bsd-2-clause": "BSD 2-Clause License", "bsd-3-clause": "BSD 3-Clause License", "mpl-2.0": "Mozilla Public License, v. 2.0", "mpl-1.1": "Mozilla Public License, v. 1.1"}
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+TEXTS = {
+    "apache-2.0-header": Template("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", ("apache license version 2 0",)),
+    "bsd-2-clause-text": Template("bsd-2-clause", f"{_REDISTRIBUTION} {_AS_IS}", ("source and binary forms",)),
+    "bsd-3-clause-text": Template("bsd-3-clause", f"{_REDISTRIBUTION} {_ENDORSE} {_AS_IS}", ("source and binary forms", "to endorse or promote products")),
+    "bsd-grant": Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("source and binary forms",)),
+    "gpl-3.0-header": Template("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("gnu general public license", "version 3")),
+    "gpl-2.0-header": Template("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("gnu general public license", "version 2")),
+    "agpl-3.0-header": Template("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("gnu affero general public license", "version 3")),
+    "isc-text": Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", ("without fee",)),
+    "mit-text": Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ("hereby granted",)),
+    "mit-grant": Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("hereby granted",)),
+    "unlicense-text": Template("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("public domain",)),
 }
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -46,6 +66,47 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+def named_templates() -> dict[str, Template]:
+    """Short notices: how texts name each licence and, by its version, its siblings."""
+    plain = lambda *phrases: tuple(" ".join(words_of(p)) for p in phrases)
+    out = {}
+    for kind, (name, versions) in GNU.items():
+        for v in versions:
+            own = f"{kind}-{v if '.' in v else v + '.0'}"
+            out[f"{own}-version"] = Template(own, f"under the {name}, version {v}", plain(name, f"version {v}"))
+            out[f"{own}-v"] = Template(own, f"under the {name} v{v}", plain(f"{name} v{v}"))
+    for kind, name in CREATIVE.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            own = f"cc-{kind}-{v}"
+            out[f"{own}-short"] = Template(own, f"under CC {kind} {v}", plain(f"CC {kind} {v}"))
+            out[f"{own}-long"] = Template(own, f"licensed under a Creative Commons {name} {v} International License", plain(f"Creative Commons {name} {v}"))
+    for own, name in NAMED.items():
+        out[f"{own}-name"] = Template(own, f"Licensed under the {name}", plain(name))
+        out[f"{own}-released"] = Template(own, f"Released under the {name}", plain(name))
+    return out
+
+
+TEMPLATES = named_templates() | TEXTS
+
+
+class Prepared(NamedTuple):
+    """A template's words, its required phrases between spaces, and the words of these."""
+
+    license: str
+    words: list[str]
+    own: frozenset[str]
+    phrases: list[str]
+    must: frozenset[str]
+
+
+def prepare(templates: dict[str, Template]) -> dict[str, Prepared]:
+    out = {}
+    for name, t in sorted(templates.items()):
+        words = words_of(t.text)
+        out[name] = Prepared(t.license, words, frozenset(words), [f" {p} " for p in t.required], frozenset(w for p in t.required for w in p.split()))
+    return out
+
+
 def _increasing(values: list[int]) -> list[int]:
     """Indexes of a longest increasing subsequence."""
     ends: list[int] = []
@@ -89,32 +150,58 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan(text: str | None, templates: dict[str, list[str]], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
+def share(aligned: int, template: int, between: int) -> float:
+    """Aligned words, of the template's and half of those between them."""
+    return aligned / (template + between / 2)
+
+
+def trimmed(pairs: list[tuple[int, int]], template: int) -> list[tuple[int, int]]:
+    """The pairs without those at either end that are so far away that they lower the coverage."""
+    between = lambda a, b: pairs[b][1] - pairs[a][1] + 1 - (b - a + 1)
+    first, last = 0, len(pairs) - 1
+    first = max(range(len(pairs)), key=lambda i: (share(last - i + 1, template, between(i, last)), -i))
+    last = max(range(first, len(pairs)), key=lambda i: (share(i - first + 1, template, between(first, i)), i))
+    return pairs[first : last + 1]
+
+
+def scan(text: str | None, templates: dict[str, Prepared], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """(template, coverage, first word, last word + 1) of all matches that reach `coverage`, without those that overlap a heavier one; by template and place."""
-    words, vocabulary = words_of(text or ""), {w for t in templates.values() for w in t}
+    words = words_of(text or "")
+    present = set(words)
+    templates = {k: t for k, t in templates.items() if t.must <= present}
+    if not templates:
+        return []
+    vocabulary = frozenset().union(*(t.own for t in templates.values()))
     hits = [(i, w) for i, w in enumerate(words) if w in vocabulary]
     found: list[tuple[int, int, int, str, int, float, int, int]] = []
     seen: set[tuple[str, int, int]] = set()
 
     def seek(name: str, low: int, high: int) -> None:
         template = templates[name]
-        if high - low < coverage * len(template) or (name, low, high) in seen:
+        size = len(template.words)
+        if high - low < coverage * size or (name, low, high) in seen:
             return
         seen.add((name, low, high))
-        pairs = align(template, words[low:high])
-        if pairs and len(pairs) / len(template) >= coverage:
-            first, end = low + pairs[0][1], low + pairs[-1][1] + 1
-            heappush(found, (-len(pairs), end - first, first, name, end, len(pairs) / len(template), low, high))
+        pairs = align(template.words, words[low:high])
+        if not pairs:
+            return
+        pairs = trimmed(pairs, size)
+        first, end = low + pairs[0][1], low + pairs[-1][1] + 1
+        part = share(len(pairs), size, end - first - len(pairs))
+        held = " " + " ".join(words[first:end]) + " "
+        if part >= coverage and all(p in held for p in template.phrases):
+            heappush(found, (-len(pairs), end - first, first, name, end, part, low, high))
 
     for name, template in templates.items():
-        own, need, reach = set(template), max(1, int(-(-coverage * len(template) // 1))), int(SPAN * len(template))
-        at = [i for i, w in hits if w in own]
+        size = len(template.words)
+        need, reach = max(1, int(-(-coverage * size // 1))), int(SPAN * size)
+        at = [i for i, w in hits if w in template.own]
         regions: list[list[int]] = []
         for x in range(len(at) - need + 1):
             if at[x + need - 1] - at[x] < reach:
                 low, high = at[x], min(len(words), at[x] + reach)
-                if regions and low <= regions[-1][1] - len(template):
-                    if at[x + need - 1] >= regions[-1][1] or low - regions[-1][0] < len(template):
+                if regions and low <= regions[-1][1] - size:
+                    if at[x + need - 1] >= regions[-1][1] or low - regions[-1][0] < size:
                         regions[-1][1] = max(regions[-1][1], at[x + need - 1] + 1)
                         continue
                 regions.append([low, high])
@@ -134,19 +221,26 @@ def scan(text: str | None, templates: dict[str, list[str]], coverage: float = CO
     return sorted(kept, key=lambda m: (m[0], m[2]))
 
 
-def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id and matches (array of license, coverage, first_word, end_word; by license and place) of every row of `docs`.
+@cache
+def _default() -> dict[str, Prepared]:
+    return prepare(TEMPLATES)
+
+
+def scan_documents(docs: DataFrame, templates: dict[str, Template] | None = None, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id and matches (array of license, template, coverage, first_word, end_word; by license and place) of every row of `docs`.
 
-    Null, empty and license-free texts have an empty array. Repeated rows each get their row; an empty
-    table gives none; further columns are ignored.
+    Null, empty and license-free texts have an empty array. Texts of any length are read whole. Of matches that
+    overlap, the one with most aligned words stands; of equal ones the one with fewer words between, then the earlier, then
+    the first template by name. Repeated rows each get their row; an empty table gives none; further columns are ignored.
     """
-    split = {k: words_of(v) for k, v in sorted(templates.items())}
-    kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
+    names = ("license", "template", "coverage", "first_word", "end_word")
+    kind = pa.list_(pa.struct([("license", pa.string()), ("template", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _default() if templates is None else prepare(templates)
         for b in batches:
-            found = [[dict(zip(("license", "coverage", "first_word", "end_word"), m)) for m in scan(t, split, coverage)] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["doc_id", "matches"])
+            found = [sorted(((known[m[0]].license, *m) for m in scan(t, known, coverage)), key=lambda m: (m[0], m[3])) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[dict(zip(names, m)) for m in x] for x in found], kind)], ["doc_id", "matches"])
 
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, matches array<struct<license string, coverage double, first_word long, end_word long>>")
+    return rows.mapInArrow(run, "doc_id long, matches array<struct<license string, template string, coverage double, first_word long, end_word long>>")
