@@ -1,12 +1,12 @@
 """URL filters: a rule table first, then a logistic regression on hashed character n-grams.
 
-The model is trained on the driver from a small table of labelled URLs (a fixed
-size, see `labelled_urls`), so every run gives the same weights. Scoring is a vectorised function of host and path.
+The model is trained on the driver from a small table of labelled URLs (a fixed size, composed by
+`labelled_urls` from a list of words), so every run gives the same weights. Scoring takes whole batches: n-grams
+of all hosts and paths are hashed at once and summed as one sparse product.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,49 +18,82 @@ from .common import only
 
 #: (pattern, action): the host up to the first "/", and with it the start of the path.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-BUCKETS, GRAMS, PATH_WEIGHT, THRESHOLD = 1 << 14, (3, 4, 5), 0.2, 0.5
-
-# Labelled site names and paths of the training table.
-UNWANTED = ["ad-server", "adclick", "banner-ads", "track-pixel", "ads-tracker", "popup-ads", "spam-links", "link-farm", "spamfarm", "seo-spam", "casino-royal", "online-casino", "jackpot-slots", "poker-room", "free-betting", "sport-bets", "bets-online", "adult-video", "adult-cams", "xxx-tube", "porn-hub", "escort-x", "cheap-meds", "pills-online", "cheap-viagra", "pharma-pills", "replica-watch", "payday-loans", "malware-drop", "warez-keys", "torrent-crack", "phish-login", "win-prize", "lottery-win", "crypto-doubler", "clickbait"]
-WANTED = ["library", "museum", "university", "city-council", "weather", "recipes", "wiki", "docs", "history", "science", "garden", "music-school", "parliament", "law-review", "health-service", "open-data", "news-daily", "river-trust", "railways", "astronomy", "poetry", "harbour", "theatre", "bakery", "cycling", "chess-club", "the-gazette", "townhall", "archive", "journal", "forest", "energy", "standards", "education", "statistics", "photography", "kitchen", "travel-notes", "the-north", "mountain"]
-ENDINGS = ["example.com", "example.org", "example.net", "com", "org", "net"]
-PATHS = ["/en/12", "/de/407/", "/fr/33.html", "/es/9", "/articles/2021/05", "/about", "/"]
-UNWANTED_PATHS = ["/click/1", "/win/now", "/free/bonus"]
+BUCKETS, GRAMS, PATH_WEIGHT, THRESHOLD = 1 << 14, (3, 4, 5), 0.3, 0.35
+
+# Words of the training table's sites and paths. The last line of WANTED holds words that look like unwanted ones.
+UNWANTED = """casino poker slots betting bets jackpot roulette blackjack bingo gambling lottery porn xxx sexy sexcam adult nude webcams escort hookup fetish
+    viagra cialis pharma pills meds steroids weightloss payday loans debtfix forex crypto doubler ads adserver adclick banners popup tracker pixel affiliate
+    clickbait spam linkfarm seo backlinks malware phishing warez crack keygen torrents pirate cheats replica counterfeit prizes winner giveaway freegift""".split()
+WANTED = """library museum university college school council city town village county parliament ministry court law review journal press gazette times herald news
+    weather climate energy water river forest mountain garden farm bakery kitchen recipes bread coffee travel railway harbour airport theatre music orchestra
+    opera poetry novel books chess cycling football hiking sailing history archive heritage science physics chemistry biology astronomy statistics data docs wiki
+    software python linux health hospital clinic charity church trust foundation photo design craft pottery textile gov edu standards
+    sussex essex alphabet betty winter windows pillow cameron campus adelaide advent address analysis therapist cocktail class hackney torrential loanwords""".split()
+NEUTRAL = "online club shop world hub zone direct my the go best top house point live day new group".split()
+ENDINGS = ["com", "org", "net", "info", "co.uk", "io", "example.com", "example.org", "example.net"]
+PATHS = ["/en/12", "/de/407/", "/fr/33.html", "/es/9", "/articles/2021/05", "/about", "/", "/index.html", "/blog/post-7", ""]
+UNWANTED_PATHS = ["/click/1", "/win/now", "/free/bonus", "/aff/77", "/track/px.gif", "/ads/show"]
+WANTED_PATHS = ["/docs/guide", "/news/2020/08", "/research/paper.pdf", "/events", "/contact", "/history"]
+SITES = (5, 6)  # of each wanted and unwanted word
+#: Sites with names that say nothing, as most have; they are wanted.
+SYLLABLES, PLAIN_SITES = "an the re on in er st ou nd es".split(), 160
+#: URLs hashed at a time.
+AT_ONCE = 1024
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 if unwanted): each site name under each ending; wanted ones twice, as most sites are.
+    """(host, path, 1 if unwanted): so many names for each word, joined with another of its kind or a neutral one.
 
-    Both kinds have the same plain paths, so that these decide nothing by themselves.
+    One path in four is of its site's kind; the others are plain, as are endings, and decide nothing.
     """
     out = []
-    for label, names in ((1, UNWANTED), (0, WANTED)):
-        for i, name in enumerate(names):
-            for j, ending in enumerate(ENDINGS):
-                prefix = ("", "www.", "m.", "blog.")[(i + j) % 4]
-                own = UNWANTED_PATHS[i % len(UNWANTED_PATHS)] if label and j == 0 else PATHS[(i + 2 * j) % len(PATHS)]
-                out.append((f"{prefix}{name}.{ending}", own, label))
-                if not label:
-                    out.append((f"{name}.{ending}", PATHS[(i + 2 * j + 3) % len(PATHS)], label))
+    for label, words, own in ((1, UNWANTED, UNWANTED_PATHS), (0, WANTED, WANTED_PATHS)):
+        for i, word in enumerate(words):
+            for j in range(SITES[label]):
+                other = words[(i * (j + 2) + 7 * j + 3) % len(words)] if j % 2 else NEUTRAL[(3 * i + 5 * j) % len(NEUTRAL)]
+                first, second = (other, word) if (i + j) % 3 == 0 else (word, other)
+                name = first + ("-", "", "", str(i % 9 + 1))[(i + j) % 4] + second
+                host = ("", "www.", "", "m.", "blog.")[(i + 2 * j) % 5] + f"{name}.{ENDINGS[(i + 4 * j) % len(ENDINGS)]}"
+                out.append((host, own[i % len(own)] if j == 3 else PATHS[(i + 3 * j) % len(PATHS)], label))
+    n = len(SYLLABLES)
+    for i in range(PLAIN_SITES):
+        name = "".join(SYLLABLES[(i // n**k + k * i) % n] for k in range(2 + i % 3))
+        out.append((("", "www.", "m.")[i % 3] + f"{name}.{ENDINGS[i % len(ENDINGS)]}", PATHS[i % len(PATHS)], 0))
     return out
 
 
-def ngrams(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of the n-grams of host and path, without repeats, and their values; a path weighs less than its host."""
-    values: dict[int, float] = {}
-    for kind, text, weight in (("p", f"^{path}$", PATH_WEIGHT), ("h", f"^{host}$", 1.0)):
-        found = {zlib.crc32((kind + text[i : i + n]).encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for i in range(len(text) - n + 1)}
-        values |= dict.fromkeys(found, weight / max(1, len(found)) ** 0.5)
-    return np.fromiter(values, np.int64, len(values)), np.fromiter(values.values(), float, len(values))
+def ngrams(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of the n-grams of all texts, a bucket once for each row; a row's values have length one."""
+    framed = [f"^{t}$" for t in texts]
+    codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.array([len(t) for t in framed], np.int64)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # code points to the text's end
+    found = []
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), 1469598103934665603 + 31 * seed + n, np.uint64)
+        for k in range(n):
+            h = (h ^ codes[at + k]) * np.uint64(1099511628211)
+        h ^= h >> np.uint64(29)
+        found.append(row[at] * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
+    pairs = np.unique(np.concatenate(found))
+    row, bucket = np.divmod(pairs, BUCKETS)
+    return row, bucket, 1 / np.sqrt(np.bincount(row, minlength=len(texts)))[row]
+
+
+def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of hosts and paths; a path weighs less than its host."""
+    host, path = ngrams(hosts, 0), ngrams(paths, 1)
+    return np.concatenate([host[0], path[0]]), np.concatenate([host[1], path[1]]), np.concatenate([host[2], PATH_WEIGHT * path[2]])
 
 
 def train(rows: list[tuple[str, str, int]] | None = None, l2: float = 0.02, steps: int = 12) -> np.ndarray:
     """Weights of the buckets, then the bias: Newton steps in the space of the rows, of which there are few."""
     rows = labelled_urls() if rows is None else rows
     x = np.zeros((len(rows), BUCKETS + 1))
-    for i, (host, path, _) in enumerate(rows):
-        g, v = ngrams(host, path)
-        x[i, g] = v
+    row, bucket, value = features([r[0] for r in rows], [r[1] for r in rows])
+    np.add.at(x, (row, bucket), value)
     x[:, BUCKETS] = 1
     y, kernel, a = np.array([r[2] for r in rows], float), x @ x.T, np.zeros(len(rows))
     for _ in range(steps):
@@ -71,17 +104,20 @@ def train(rows: list[tuple[str, str, int]] | None = None, l2: float = 0.02, step
     return x.T @ a
 
 
-def score(weights: np.ndarray, host: str, path: str) -> float:
-    """Odds in (0, 1) that the URL is unwanted."""
-    g, v = ngrams(host, path)
-    return float(1 / (1 + np.exp(-(weights[g] @ v + weights[BUCKETS]))))
+def scores(weights: np.ndarray, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """Odds in (0, 1) that each URL is unwanted."""
+    if not hosts:
+        return np.zeros(0)
+    row, bucket, value = features(hosts, paths)
+    return 1 / (1 + np.exp(-(np.bincount(row, weights[bucket] * value, len(hosts)) + weights[BUCKETS])))
 
 
 def scorer(weights: np.ndarray):
     @F.pandas_udf("double")
     def unwanted(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in parts:
-            yield pd.Series([score(weights, h, p) for h, p in zip(hosts, paths)], dtype="float64")
+            h, p = hosts.tolist(), paths.tolist()
+            yield pd.Series(np.concatenate([np.zeros(0), *(scores(weights, h[i : i + AT_ONCE], p[i : i + AT_ONCE]) for i in range(0, len(h), AT_ONCE))]))
 
     return unwanted
 
@@ -107,8 +143,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, weights: np.nd
     """page_id, host, path, rule, verdict and score (the model's, for every url) of every row.
 
     A null url, or one without "://", has an empty host and path, fits no rule and gets the
-    model's verdict on the empty host. Repeated rows each get their row; an empty table gives none;
-    further columns of `pages` are ignored.
+    model's verdict on the empty host. Urls of any length are judged whole. Of rules that fit, the longest wins (of
+    equally long ones the last in order). Repeated rows each get their row; an empty table gives none; further columns of
+    `pages` are ignored.
     """
     host, path = host_path(F.col("url"))
     at = only(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
