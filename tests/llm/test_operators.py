@@ -571,6 +571,53 @@ def test_estimate_matches_numpy(spark):
     assert all(abs(got[tuple(map(int, r))] - w) < 1e-6 for r, w in zip(z, want))
 
 
+def _mcd(z, seeds):
+    """Smallest determinant that concentration steps on sorted distances reach from many random starts, and its log determinant."""
+    rng, n = np.random.default_rng(seeds), len(z)
+    h = int(np.ceil(quality_rules.SHARE * n))
+
+    def fit(x):
+        cov = quality_rules.CONSISTENCY * np.cov(x.T, bias=True) + quality_rules.UNITS**2 * np.eye(5)
+        return x.mean(0), cov, np.linalg.slogdet(cov)[1] / 2
+
+    best = (np.inf, None)
+    for _ in range(30):
+        mean, cov, det = fit(z[rng.choice(n, 12, replace=False)])
+        last = np.inf
+        while det < last - 1e-9 or last == np.inf:
+            off = z - mean
+            near = np.argsort((off @ np.linalg.inv(cov) * off).sum(1))[:h]
+            last = det if last != np.inf else det + 1
+            mean, cov, det = fit(z[near])
+        best = min(best, (det, tuple(mean)))
+    return best
+
+
+def test_concentration_finds_the_least_determinant(spark):
+    """Groups with a fifth or a third of far rows: as small as brute force, and its centre among the good rows."""
+    rng = np.random.default_rng(11)
+    groups = {}
+    for g, far in enumerate((0, 40, 65)):
+        good = rng.normal(0, 14, (200 - far, 5)) @ np.diag([1, 2, 1, 0.5, 1])
+        groups[str(g)] = np.rint(np.vstack([good, rng.normal(180, 10, (far, 5))])).astype(int)
+    rows = [(g, *map(int, r), 1) for g, z in groups.items() for r in z]
+    cells = spark.createDataFrame(rows, "pool string, " + ", ".join(f"{f} long" for f in quality_rules.FEATURES) + ", w long")
+    got = {r.pool: r for r in quality_rules.concentrate(cells).collect()}
+    for g, z in groups.items():
+        det, mean = _mcd(z.astype(float), 1)
+        assert got[g].logdet < det + 0.1  # whole bins of like distances count, so a few rows more may be fitted
+        assert np.abs(np.array([got[g][f"m{i}"] for i in range(5)]) - mean).max() < 8
+    again = {r.pool: r for r in quality_rules.concentrate(cells.repartition(5)).collect()}
+    assert again == got
+
+
+def test_small_groups_are_judged_together(spark):
+    rows = [("en", "big")] * 30 + [("en", "b")] * 6 + [("en", "c")] * 5 + [("fr", "b")] * 3 + [(None, None)] * 2
+    df = spark.createDataFrame(rows, "lang string, source string").withColumn("group", F.to_json(F.struct("lang", "source")))
+    got = {r.group: r.pool for r in quality_rules.pools(df, 10).collect()}
+    assert got == {'{"lang":"en","source":"big"}': '{"lang":"en","source":"big"}', '{"lang":"en","source":"b"}': '{"lang":"en"}', '{"lang":"en","source":"c"}': '{"lang":"en"}', '{"lang":"fr","source":"b"}': "small", "{}": "small"}
+
+
 PAGES = [
     ("<body><ul class=menu><li><a href=a>Home</a><li><a>News</a></ul><div id=content><h1>T</h1>a &lt;b&gt; &eacute;<p>x<b>y</b>z<div class='comments'><p>no</div></div><div class=copyright-footer>&copy;</div>", "T a <b> é xyz"),
     ("<html><head><title>t</title><style>p{}</style></head><body><nav>n</nav><header>h</header><main><h1>Head</h1><p>one<br>two<p>three</main><aside>s</aside><footer>f</footer>", "Head one two three"),

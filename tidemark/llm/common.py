@@ -76,13 +76,14 @@ def drop_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def join_spread(rows: DataFrame, by_key: DataFrame, key: str, count: str, keep_count: bool = False) -> DataFrame:
-    """Inner join with a table of one row per `key`, whose column `count` says how many of `rows` have it.
+def join_spread(rows: DataFrame, by_key: DataFrame, key: str, count: str, keep_count: bool = False, total: int | None = None) -> DataFrame:
+    """Inner join with a table of one row per `key`, whose column `count` says how many of `rows` have it (`total` together).
 
     The rows of hot keys, of which there are fewer than HOT_SHARE, are joined by a broadcast of these
     keys' short rows, so they stay spread over the tasks; the others by a shuffle.
     """
-    total = by_key.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = by_key.agg(F.sum(count)).first()[0] or 0
     hot = by_key.filter(F.col(count) * HOT_SHARE > total)
     values = [c for c in by_key.columns if c != key and (keep_count or c != count)]
     known = hot.select(F.col(key).alias("_hot_key"), F.struct(F.lit(True).alias("_is"), *values).alias("_hot"))

@@ -5,12 +5,16 @@ judged by the minimum-covariance-determinant estimate of their language and sour
 the mean and covariance of that share of the group's rows which has the smallest
 determinant; rows far from it (Mahalanobis distance) are rejected.
 
+A group of fewer than `LEAST` rows is judged with the other small groups of its language, and these, if they
+are still fewer, with those of all languages.
+
 The transformed statistics are whole numbers (eighths of the deviation that is tolerated
-anyway, FLOORS), so sums are exact and reruns agree. Rows fall into few cells, and all
-iterations work on the counts of cells, however many rows a group has. From two starts
-(medians and median deviations; mean and covariance of all) concentration steps repeat:
-fit, order the cells by distance, keep the nearest `SHARE` of the rows. The start with the
-smaller determinant wins. FLOORS**2 is added to the variances, as some statistics are
+anyway, FLOORS), so sums are exact and reruns agree. All iterations work on the counts of cells (rows
+with like statistics). From two starts (medians and median deviations; mean and covariance of all)
+concentration steps repeat until no group's determinant falls any more: fit, measure the
+cells' distances, keep the nearest `SHARE` of the rows. Distances are counted in `BINS` to a doubling, so which are
+nearest is told from a few counts a group, not by sorting its cells. The fit with the
+smallest determinant wins. FLOORS**2 is added to the variances, as some statistics are
 nearly constant in clean text.
 """
 
@@ -23,10 +27,14 @@ from pyspark.sql import Window as W
 from .common import SPACE, drop_rows, durable, join_spread, let, only, row_key
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
-#: Share of a group's rows that is fitted, the factor that makes its covariance that of all, steps, and the largest squared distance (of a chi-square variable with five degrees, one in 100,000 lies beyond it).
-SHARE, CONSISTENCY, STEPS, CUTOFF = 0.6, 1.66, 3, 30.9
+#: Rows that a group of its own has at least.
+LEAST = 100
+#: By how much less the logarithm of a determinant's root doesn't count as falling.
+STILL = 1e-3
+#: Share of a group's rows that is fitted, the factor that makes its covariance that of all, bins of distances, and the largest squared distance (of a chi-square variable with five degrees, one in 100,000 lies beyond it).
+SHARE, CONSISTENCY, BINS, CUTOFF = 0.6, 1.66, 64, 30.9
 FEATURES = ["z_length", "z_symbols", "z_shouts", "z_lines", "z_repeats"]
-FLOORS = [0.1, 0.8, 0.4, 1.5, 1.5]
+FLOORS = [0.1, 0.8, 0.4, 0.9, 1.5]
 UNITS = 8  # whole numbers to a floor
 _D = len(FEATURES)
 _M, _T = [f"m{i}" for i in range(_D)], [f"t{i}{j}" for i in range(_D) for j in range(i + 1)]
@@ -98,83 +106,99 @@ def with_features(counts: DataFrame) -> DataFrame:
 
 def _estimate(chosen: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: mean m0.., inverse Cholesky factor t00.., log determinant of the floored covariance; from cells of `w` rows."""
-    sums = [F.sum(F.col("w") * F.col(z)).alias(f"s{i}") for i, z in enumerate(FEATURES)]
-    pairs = [F.sum(F.col("w") * F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i in range(_D) for j in range(i + 1)]
-    out = chosen.groupBy(*keys).agg(F.sum("w").alias("n"), *sums, *pairs)
-    out = out.select(*keys, "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_D)), *(F.col(f"p{i}{j}") for i in range(_D) for j in range(i + 1)))
-    cov = lambda i, j: CONSISTENCY * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (UNITS**2 if i == j else 0)
-    out = out.select(*keys, "n", *_M, *(cov(i, j).alias(f"c{i}{j}") for i in range(_D) for j in range(i + 1)))
-    for i in range(_D):  # Cholesky factor, row by row
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
-    for j in range(_D):  # its inverse, column by column
-        for i in range(j, _D):
-            if i == j:
-                out = out.withColumn(f"t{i}{j}", 1 / F.col(f"l{i}{i}"))
-            else:
-                total = F.lit(0.0)
-                for k in range(j, i):
-                    total = total + F.col(f"l{i}{k}") * F.col(f"t{k}{j}")
-                out = out.withColumn(f"t{i}{j}", -total / F.col(f"l{i}{i}"))
-    logdet = F.lit(0.0)
-    for i in range(_D):
-        logdet = logdet + F.log(f"l{i}{i}")
-    return out.select(*keys, *_M, *_T, logdet.alias("logdet"))
+    # expressions as SQL text, which is built and planned quickly
+    pairs = [(i, j) for i in range(_D) for j in range(i + 1)]
+    sums = [F.expr(f"sum(w * {z})").alias(f"s{i}") for i, z in enumerate(FEATURES)]
+    products = [F.expr(f"sum(w * {FEATURES[i]} * {FEATURES[j]})").alias(f"p{i}{j}") for i, j in pairs]
+    out = chosen.groupBy(*keys).agg(F.expr("sum(w)").alias("n"), *sums, *products)
+    cov = lambda i, j: f"{CONSISTENCY}D * (p{i}{j} / n - s{i} / n * s{j} / n) + {UNITS**2 if i == j else 0} AS c{i}{j}"
+    out = out.selectExpr(*keys, *(f"s{i} / n AS m{i}" for i in range(_D)), *(cov(i, j) for i, j in pairs))
+    # the Cholesky factor column by column, then its inverse diagonal by diagonal
+    for j in range(_D):
+        rest = lambda i, k=j: " - ".join([f"c{i}{k}", *(f"l{i}{m} * l{k}{m}" for m in range(k))])
+        root = f"sqrt(greatest({rest(j)}, 1e-6D))"
+        out = out.selectExpr("*", f"{root} AS l{j}{j}", *(f"({rest(i)}) / {root} AS l{i}{j}" for i in range(j + 1, _D)))
+    out = out.selectExpr("*", *(f"1 / l{i}{i} AS t{i}{i}" for i in range(_D)))
+    for off in range(1, _D):
+        out = out.selectExpr("*", *(f"-({' + '.join(f'l{i}{k} * t{k}{i - off}' for k in range(i - off, i))}) * t{i}{i} AS t{i}{i - off}" for i in range(off, _D)))
+    return out.selectExpr(*keys, *_M, *_T, " + ".join(f"ln(l{i}{i})" for i in range(_D)) + " AS logdet")
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance of a row's features from its estimate."""
-    total = F.lit(0.0)
-    for i in range(_D):
-        y = F.lit(0.0)
-        for j in range(i + 1):
-            y = y + F.col(f"t{i}{j}") * (F.col(FEATURES[j]) - F.col(f"m{j}"))
-        total = total + y * y
-    return total
+    parts = [" + ".join(f"t{i}{j} * ({FEATURES[j]} - m{j})" for j in range(i + 1)) for i in range(_D)]
+    return F.expr(" + ".join(f"({p}) * ({p})" for p in parts))
 
 
 def _nearest(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """The cells of smallest `d` that hold SHARE of a group's rows, all of those at the last distance included."""
-    upto = W.partitionBy(*keys).orderBy("d").rangeBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(*keys)
-    ranked = cells.select("*", F.sum("w").over(upto).alias("_upto"), F.min("d").over(whole).alias("_least"), F.sum("w").over(whole).alias("_all"))
-    return ranked.filter((F.col("_upto") - F.col("w") < F.ceil(F.col("_all") * SHARE)) | (F.col("d") == F.col("_least"))).drop("_upto", "_least", "_all")
+    """The cells of smallest `d` that hold SHARE of a group's rows, all of those in the last bin included."""
+    binned = cells.withColumn("_bin", F.floor(F.log2(1 + F.col("d")) * BINS))
+    upto = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = binned.groupBy(*keys, "_bin").agg(F.sum("w").alias("_w")).select(*keys, "_bin", F.sum("_w").over(upto).alias("_upto"), F.sum("_w").over(W.partitionBy(*keys)).alias("_all"))
+    last = counts.filter(F.col("_upto") >= F.ceil(F.col("_all") * SHARE)).groupBy(*keys).agg(F.min("_bin").alias("_last"))
+    return binned.join(last, keys).filter(F.col("_bin") <= F.col("_last")).drop("_bin", "_last")
 
 
 def _medians(cells: DataFrame, value: str) -> DataFrame:
-    """Weighted lower median of `value` per group and axis."""
-    order = W.partitionBy("group", "axis").orderBy(value)
-    counted = cells.groupBy("group", "axis", value).agg(F.sum("w").alias("w"))
-    ranked = counted.select("*", F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("_upto"), F.sum("w").over(W.partitionBy("group", "axis")).alias("_all"))
-    return ranked.filter("2 * _upto >= _all").groupBy("group", "axis").agg(F.min(value).alias("median"))
+    """Weighted lower median of `value` per pool and axis."""
+    order = W.partitionBy("pool", "axis").orderBy(value)
+    counted = cells.groupBy("pool", "axis", value).agg(F.sum("w").alias("w"))
+    ranked = counted.select("*", F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("_upto"), F.sum("w").over(W.partitionBy("pool", "axis")).alias("_all"))
+    return ranked.filter("2 * _upto >= _all").groupBy("pool", "axis").agg(F.min(value).alias("median"))
+
+
+def pools(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """group, rows (their number) and pool: the group itself, or what it is judged with if it has fewer than `least` rows."""
+    sizes = rows.groupBy("group", "lang").agg(F.count("*").alias("rows"))
+    small = F.col("rows") < least
+    rest = sizes.filter(small).groupBy(F.col("lang").alias("_lang")).agg(F.sum("rows").alias("_rest"))
+    named = sizes.join(rest, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    pool = F.when(~small, F.col("group")).when(F.col("_rest") >= least, F.to_json(F.struct("lang"))).otherwise(F.lit("small"))
+    return durable(named.select("group", "rows", pool.alias("pool")))
+
+
+def _fits(start: DataFrame) -> DataFrame:
+    """pool, start and the estimate of the nearest cells of each, written to the shared folder."""
+    return durable(_estimate(_nearest(start, ["pool", "start"]), ["pool", "start"]))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Per group: rows, m0.., t00.. of its minimum-covariance-determinant estimate."""
-    cells = durable(rows.groupBy("group", *FEATURES).agg(F.count("*").alias("w")))
-    axes = cells.select("group", "w", F.posexplode(F.array(*FEATURES)).alias("axis", "z"))
+def concentrate(cells: DataFrame) -> DataFrame:
+    """Per pool the minimum-covariance-determinant estimate (m0.., t00.., logdet) of its cells (pool, FEATURES, w)."""
+    axes = cells.select("pool", "w", F.posexplode(F.array(*FEATURES)).alias("axis", "z"))
     middle = durable(_medians(axes, "z"))
-    away = axes.join(middle, ["group", "axis"]).withColumn("off", F.abs(F.col("z") - F.col("median")))
+    away = axes.join(middle, ["pool", "axis"]).withColumn("off", F.abs(F.col("z") - F.col("median")))
     spread = _medians(away, "off").withColumnRenamed("median", "mad")
-    robust = middle.join(spread, ["group", "axis"]).groupBy("group").agg(*(F.max(F.when(F.col("axis") == i, F.col(c))).alias(f"{c}{i}") for i in range(_D) for c in ("median", "mad")))
+    robust = middle.join(spread, ["pool", "axis"]).groupBy("pool").agg(*(F.max(F.when(F.col("axis") == i, F.col(c))).alias(f"{c}{i}") for i in range(_D) for c in ("median", "mad")))
+    # how many cells each pool has, for joins that keep those of a large one spread
+    counts = durable(cells.groupBy("pool").agg(F.count("*").alias("n")))
+    spread_over = lambda by_pool: join_spread(cells, by_pool.join(counts, "pool"), "pool", "n", total=total)
+    total = counts.agg(F.sum("n")).first()[0] or 0
     from_medians = F.lit(0.0)
     for i, z in enumerate(FEATURES):
         from_medians = from_medians + ((F.col(z) - F.col(f"median{i}")) / F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(float(UNITS)))) ** 2
-    keys = ["group", "start"]
-    base = cells.select("group", *FEATURES, "w")
-    first = base.join(robust, "group").select(*base.columns, F.lit(0).alias("start"), from_medians.alias("d"))
-    second = base.join(_estimate(base, ["group"]), "group").select(*base.columns, F.lit(1).alias("start"), _distance().alias("d"))
-    now = durable(first.union(second))
-    both = base.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
-    for _ in range(STEPS - 1):
-        fitted = _estimate(_nearest(now, keys), keys)
-        now = durable(both.join(fitted, keys).select(*base.columns, "start", _distance().alias("d")))
-    last = _estimate(_nearest(now, keys), keys)
-    best = last.groupBy("group").agg(F.min(F.struct("logdet", "start", *_M, *_T)).alias("b")).select("group", *(F.col(f"b.{c}").alias(c) for c in [*_M, *_T]))
-    return durable(best.join(base.groupBy("group").agg(F.sum("w").alias("n")), "group"))
+    first = spread_over(robust).select(*cells.columns, F.lit(0).alias("start"), from_medians.alias("d"))
+    second = spread_over(_estimate(cells, ["pool"])).select(*cells.columns, F.lit(1).alias("start"), _distance().alias("d"))
+    now = _fits(first.union(second))
+    seen = now
+    while True:
+        both = now.groupBy("pool").agg(F.collect_list(F.struct("start", *_M, *_T)).alias("fits"))  # two
+        at = spread_over(both).select(*cells.columns, F.explode("fits").alias("fit")).select(*cells.columns, "fit.*")
+        now = _fits(at.select(*cells.columns, "start", _distance().alias("d")))
+        least = seen.groupBy("pool", "start").agg(F.min("logdet").alias("least"))
+        lower = now.join(least, ["pool", "start"]).filter(F.col("logdet") < F.col("least") - STILL)
+        seen = seen.union(now)
+        if lower.isEmpty():
+            break
+    values = [*_M, *_T]
+    return seen.groupBy("pool").agg(F.min(F.struct("logdet", "start", *values)).alias("b")).select("pool", *(F.col(f"b.{c}").alias(c) for c in [*values, "logdet"]))
+
+
+def estimates(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """Per group: n (its rows), m0.., t00.. of the estimate that it is judged by."""
+    known = pools(rows, least)
+    cells = rows.groupBy("group", *FEATURES).agg(F.count("*").alias("w")).join(known.select("group", "pool"), "group")
+    cells = durable(cells.groupBy("pool", *FEATURES).agg(F.sum("w").alias("w")))
+    return durable(known.join(concentrate(cells), "pool").select("group", F.col("rows").alias("n"), *_M, *_T))
 
 
 def _judged(docs: DataFrame) -> DataFrame:
@@ -187,14 +211,15 @@ def _judged(docs: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and distance of every row of `docs`.
 
-    A null or empty text has no words and fails the limits. Null languages and sources
-    are groups of their own. Repeated rows each get their row; a group of a few like rows keeps
-    them, as its estimate is at these rows. An empty table gives no rows; further columns are ignored.
+    A null or empty text has no words and fails the limits; texts of any length are counted whole. Null languages and
+    sources are groups of their own. Repeated rows each get their row and weigh as often; a few like rows alone in a table
+    are kept, as the estimate is at these rows. Ties: rows with like statistics are kept or rejected together. An empty
+    table gives no rows; further columns are ignored.
     """
     return _judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, with all their columns."""
+    """The rows of `docs` that the rules keep, with all their columns; nulls, empty texts and repeated rows as in `apply_rules`."""
     rejected = durable(_judged(docs).filter("not kept").select("doc_id", "row_key"))
     return drop_rows(docs, rejected)
