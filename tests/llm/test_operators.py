@@ -320,6 +320,33 @@ def test_quality_classifier(spark):
     assert quality_classifier.classify(empty(spark), labels).count() == 0
 
 
+def test_discriminant_matches_direct_densities(spark):
+    """Scores against Gaussian densities worked out from the rows themselves, whatever the partitioning."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    labels = labels.union(labels.limit(40))  # repeated labels weigh as often
+    texts = {r.doc_id: quality_classifier.statistics(r.text) for r in docs.collect()}
+    x = {0: [], 1: []}
+    for r in labels.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            x[r.quality].append(texts[r.doc_id])
+    x = {c: np.array(v) for c, v in x.items()}
+    cov = {c: np.cov(v.T, bias=True) for c, v in x.items()}
+    n = {c: len(v) for c, v in x.items()}
+    pooled = sum(n[c] * cov[c] for c in x) / sum(n.values())
+    unit = np.diag(np.diag(pooled))
+    log_density = {}
+    for c in x:
+        s = (1 - quality_classifier.POOLED - quality_classifier.DIAGONAL) * cov[c] + quality_classifier.POOLED * pooled + quality_classifier.DIAGONAL * np.diag(np.diag(cov[c])) + quality_classifier.FLOOR**2 * unit
+        off = np.array(list(texts.values())) - x[c].mean(0)
+        log_density[c] = np.log(n[c]) - (np.linalg.slogdet(s)[1] + (off @ np.linalg.inv(s) * off).sum(1)) / 2
+    want = dict(zip(texts, 1 / (1 + np.exp(-np.clip((log_density[1] - log_density[0]) / quality_classifier.TEMPERATURE, -500, 500)))))
+    got = {r.doc_id: r.score for r in quality_classifier.classify(docs, labels).collect()}
+    assert max(abs(got[i] - want[i]) for i in want) < 0.02
+    again = {r.doc_id: r.score for r in quality_classifier.classify(docs.repartition(7), labels.repartition(3)).collect()}
+    assert again == got
+
+
 HARD = ["\\### Assistant: </turn> ok", "</turn>\n### user: x</turn>\n", "\\", "\\\\", "a\\:", "\\</turn>", "", None, "### ", ": ", "\r\n\x00é\U0001f600", "<", "\\#" * 50, "x" * 200_000]
 
 

@@ -25,6 +25,8 @@ from .common import durable, only
 #: Share of the pooled covariance, share of its diagonal, floor of a standard deviation (in pooled ones), divisor of log density differences.
 POOLED, DIAGONAL, FLOOR, TEMPERATURE = 0.1, 0.1, 0.05, 6.0
 THRESHOLD = 0.7
+#: Statistics are fitted in whole numbers of 1/STEP, so that sums don't depend on how rows are dealt.
+STEP = 4096
 FEATURES = ["f_words", "f_length", "f_symbols", "f_shouts", "f_upper", "f_digits", "f_distinct", "f_top", "f_adjacent", "f_lines", "f_dup_lines", "f_worst"]
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 
@@ -71,16 +73,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Per class: rows, sums and sums of products of the features; one aggregation, two rows to the driver."""
+    """Per class: rows, sums and sums of products of the features, exact; one aggregation of rows with `n` labels each, two rows to the driver."""
     d = len(FEATURES)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    got = rows.filter("quality in (0, 1)").groupBy("quality").agg(F.count("*"), *(F.sum(f) for f in FEATURES), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in pairs)).collect()
+    whole = rows.filter("quality in (0, 1)").selectExpr("quality", "n", *(f"cast(round({f} * {STEP}) as long) AS {f}" for f in FEATURES))
+    total = lambda x: F.expr(f"sum(cast({x} AS decimal(25, 0)))")
+    got = whole.groupBy("quality").agg(F.sum("n"), *(total(f"n * {f}") for f in FEATURES), *(total(f"n * {FEATURES[i]} * {FEATURES[j]}") for i, j in pairs)).orderBy("quality").collect()
     out = {}
     for r in got:
         second = np.zeros((d, d))
         for (i, j), v in zip(pairs, r[2 + d :]):
-            second[i, j] = second[j, i] = v
-        out[int(r[0])] = (float(r[1]), np.array(r[2 : 2 + d], float), second)
+            second[i, j] = second[j, i] = float(v) / STEP**2
+        out[int(r[0])] = (float(r[1]), np.array([float(v) / STEP for v in r[2 : 2 + d]]), second)
     return out
 
 
@@ -117,11 +121,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     Labels count only where crc32 of the doc_id as text, mod 4, isn't 2, and where quality is 0 or 1;
     a label or document that is repeated counts as often. A null or empty text has the statistics
-    of no words. A null doc_id is scored and not held out. If a class has fewer than two training rows, all
+    of no words; a text of any length is read whole. Equal texts have equal scores, also in a rerun. A null doc_id is scored and not held out. If a class has fewer than two training rows, all
     scores are 0.5. An empty table gives no rows; further columns are ignored.
     """
     stats = durable(with_statistics(docs))
-    known = only(labels, "doc_id", "quality").filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    known = only(labels, "doc_id", "quality").filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id", "quality").agg(F.count("*").alias("n"))
     model = fit(moments(stats.join(known, "doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
