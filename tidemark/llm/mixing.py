@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import SPACE, WORD, durable, join_spread, only, packed, row_key
+from .common import SPACE, WORD, durable, join_spread, only, packed, row_key, with_presence
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 #: Words of a block, and words of a source for each of its shards.
@@ -157,14 +157,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A shard's blocks are taken k or k + 1 times: its texts have k whole copies and one of their words in
     the blocks that are taken once more; n_chars, where the table has it, follows the text.
+    Null and empty texts give nothing. Rows that repeat an id, text and source are dealt one after the other; an empty table gives none.
     """
     placed = placed_rows(docs, WEIGHTS, SHARE, CAP, BLOCK, SHARD_WORDS).groupBy(F.col("doc_id").alias("_id"), F.col("group").alias("_group"), "row_key")
-    amounts = durable(placed.agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.min("first").alias("_first"), *(F.first(c).alias(f"_{c}") for c in ("quota", "begin", "blocks"))).filter("_taken > 0"))
-    keyed = packed(docs).withColumn("_row_key", row_key(F.col("doc_id"), F.col("text"))).withColumn("_of", F.to_json(F.struct(F.col("_doc")["source"].alias("source"))))
-    found = keyed.join(amounts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_group")) & (F.col("_row_key") == F.col("row_key")))
+    amounts = placed.agg(F.count("*").alias("_rows"), F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.min("first").alias("_first"), *(F.first(c).alias(f"_{c}") for c in ("quota", "begin", "blocks")))
+    amounts = durable(amounts.filter("_taken > 0"))
+    keyed = packed(docs).select("_doc", "doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_row_key"), F.to_json(F.struct(F.col("_doc")["source"].alias("source"))).alias("_of"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_group")) & (F.col("_row_key") == F.col("row_key"))
+    once = keyed.join(amounts.filter("_rows = 1"), same).withColumn("_at", F.col("_first"))
     # rows that repeat an id, text and source lie one after the other in their shard
+    several = amounts.filter("_rows > 1")
+    likely = with_presence(keyed, F.col("_row_key"), several.select("row_key"), "_maybe").filter("_maybe").drop("_maybe")
     like = W.partitionBy("_id", "_group", "row_key").orderBy("_row_key")
-    found = found.withColumn("_at", F.col("_first") + (F.row_number().over(like) - 1) * F.col("_size"))
+    repeated = likely.join(several, same).withColumn("_at", F.col("_first") + (F.row_number().over(like) - 1) * F.col("_size"))
+    found = once.union(repeated).withColumn("text", F.col("_doc")["text"].cast("string"))
     whole = F.floor(F.col("_quota") / F.col("_blocks")).cast("int")
     part = extra_words(F.col("text"), F.col("_at"), F.col("_quota"), F.col("_begin"), F.col("_blocks"))
     out = found.select("_doc", F.explode(F.concat(F.array_repeat(F.col("text"), whole), F.array(part))).alias("_text")).filter("_text <> ''")
