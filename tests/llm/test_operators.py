@@ -231,6 +231,55 @@ def test_plan_places_every_item_without_gaps():
             assert at <= capacity and sum(3 * n > capacity for _, n in items) <= 2
 
 
+def one_by_one(counts, capacity):
+    """Sequences of greedy matching and best fit, item by item."""
+    items = sorted((n for n, k in counts.items() for _ in range(k)), reverse=True)
+    large, rooms = [n for n in items if 3 * n > capacity], []
+    while large:
+        a = large.pop(0)
+        b = next((n for n in large if n <= capacity - a), None)
+        if b is not None:
+            large.remove(b)
+        rooms.append(capacity - a - (b or 0))
+    for n in (n for n in items if 3 * n <= capacity):
+        at = min((r for r in rooms if r >= n), default=None)
+        if at is None:
+            at = capacity
+        else:
+            rooms.remove(at)
+        rooms.append(at - n)
+    return len(rooms)
+
+
+def test_plan_is_greedy_matching_and_best_fit():
+    rng = np.random.default_rng(4)
+    for _ in range(80):
+        capacity = int(rng.choice([30, 100, 1024]))
+        counts = Counter((1 + rng.integers(0, capacity, rng.integers(1, 300)) ** rng.choice([1, 2]) % capacity).tolist())
+        bins = packing.plan(counts, capacity)[1]
+        least = -(-sum(n * k for n, k in counts.items()) // capacity)
+        assert least <= bins <= one_by_one(counts, capacity) + 1 and bins <= 1.5 * least + 1
+
+
+def test_other_tokenizer_files_keep_their_own_ids(tmp_path):
+    """A file that isn't a plain byte-level BPE is run by the library."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(TOKENIZER) as f:
+        spec = json.load(f)
+    assert packing._is_plain(spec)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    spec["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(spec, f)
+    text = "Some Words, in A text"
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(path)([text])[0], "<u4").tolist() == want != np.frombuffer(packing.encoder(TOKENIZER)([text])[0], "<u4").tolist()
+
+
 def test_packing(spark, sf):
     from tokenizers import Tokenizer
 

@@ -18,6 +18,7 @@ salts' counts, so that a length which a third of the pieces share is split.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -47,24 +48,38 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _is_plain(spec: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE whose merges are in the order of their ids, with nothing else that changes ids."""
+    model, pre, ids = spec["model"], spec.get("pre_tokenizer") or {}, spec["model"].get("vocab")
+    if model.get("type") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    merged = [ids.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    return all(a < b for a, b in zip([-1, *merged], merged)) and _bytes_of().keys() <= ids.keys()
+
+
 def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Texts -> their ids as little-endian unsigned 32-bit numbers, by the byte-level BPE of a tokenizer file.
+    """Texts -> their ids as little-endian unsigned 32-bit numbers, by a tokenizer file.
 
-    The file's vocabulary is run by a faster engine with the same ids; texts with a special token's string
-    are left to the file's own tokenizer.
+    The vocabulary of a plain byte-level BPE is run by a faster engine with the same ids; other files, and texts with a
+    special token's string, are left to the file's own tokenizer.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    spec = json.loads(tokenizer.to_str())
     added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    letters = _bytes_of()
-    ranks = {bytes(letters[c] for c in word): i for word, i in tokenizer.get_vocab(with_added_tokens=False).items() if word not in added}
-    engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    engine = None
+    if _is_plain(spec):
+        letters = _bytes_of()
+        ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
+        engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> bytes:
-        special = any(s in text for s in added)
-        ids = tokenizer.encode(text, add_special_tokens=False).ids if special else engine.encode_ordinary(text)
+        slow = engine is None or any(s in text for s in added)
+        ids = tokenizer.encode(text, add_special_tokens=False).ids if slow else engine.encode_ordinary(text)
         return np.asarray(ids, "<u4").tobytes()
 
     return lambda texts: [encode(t or "") for t in texts]
@@ -188,7 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     """All rows of `docs`, tokenised, cut and packed: one row per piece.
 
     Null and empty texts are the end id alone. Rows that repeat a doc_id are separate
-    documents; a null doc_id stays null. An empty table gives no rows; further columns
-    of `docs` are ignored.
+    documents; a null doc_id stays null. Texts of any length are encoded whole. An empty table gives no rows; further
+    columns of `docs` are ignored.
     """
     return pack(durable(pieces(docs, tokenizer, capacity, end_id)), capacity)
