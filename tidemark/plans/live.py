@@ -53,11 +53,14 @@ def cd08_changed_stream(spark, sf_dir):
     return collected(streams.stream_changed(records), "append").select("record_id", "seq", "change_hash")
 
 
-@query("SELECT min(o_orderkey) AS seq, 'https://x/' || CAST(o_custkey AS STRING) AS url FROM orders GROUP BY 2")
+@query("""SELECT min(o_orderkey) AS seq, 'https://x/' || CAST(o_custkey AS STRING) AS url FROM orders GROUP BY 2
+UNION ALL SELECT min(s_suppkey), 'https://s/' || CAST(s_suppkey % 50 AS STRING) FROM supplier GROUP BY 2""")
 def io11_stream_store(spark, sf_dir):
-    rows = stream_of(spark, sf_dir, "orders").selectExpr("o_orderkey AS seq", "'https://x/' || o_custkey AS url")
+    """Two runs over one store: what the first stored stays, and what comes again isn't stored again."""
     at = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    streams.stream_store(rows, at)
+    streams.stream_store(stream_of(spark, sf_dir, "orders").selectExpr("o_orderkey AS seq", "'https://x/' || o_custkey AS url"), at)
+    streams.stream_store(stream_of(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS seq", "'https://s/' || (s_suppkey % 50) AS url"), at)
+    streams.stream_store(stream_of(spark, sf_dir, "orders").selectExpr("o_orderkey AS seq", "'https://x/' || o_custkey AS url"), at)
     return spark.read.parquet(at).select("seq", "url")
 
 

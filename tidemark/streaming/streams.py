@@ -6,10 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import shared_dir
+from ..operators.changes import first_rows
 from ..operators.signals import decide, progress
 
 
@@ -23,28 +25,28 @@ def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None])
 def stream_store(stream: DataFrame, store_path: str) -> None:
     """IO-11: policies of each batch are appended at once, of each url the first that was ever seen.
 
-    A batch that is run again after a failure adds nothing: its urls are stored. Rows are written per batch
-    under its number, which a rerun overwrites.
+    Rows are written under the number of this run and of their batch: a batch that is run again after a failure overwrites
+    its own rows alone, and a later run, whose batches are numbered from 0 again, adds to what is there. Of the store
+    only the urls are read.
     """
     spark = stream.sparkSession
+    run = uuid.uuid4().hex
 
     def write(batch: DataFrame, number: int) -> None:
-        from ..operators.changes import first_rows
-
         once = first_rows(batch, ["url"], [F.col("seq")])
-        if _exists(spark, store_path):
-            stored = spark.read.option("basePath", store_path).parquet(store_path).filter(F.col("batch") != number)
-            once = once.join(stored.select("url"), "url", "left_anti")
-        once.write.mode("overwrite").parquet(f"{store_path}/batch={number}")
+        try:
+            stored = spark.read.option("basePath", store_path).parquet(store_path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            own = (F.col("run") == run) & (F.col("batch") == number)
+            once = once.join(stored.filter(~own).select("url"), "url", "left_anti")
+        once.write.mode("overwrite").parquet(f"{store_path}/run={run}/batch={number}")
 
     drain(stream, "append", write)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def stream_progress(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """SG-07: counters per scan and domain in update mode; the watermark bounds how late an event may come."""
     return progress(stream.withWatermark("ts", delay))
