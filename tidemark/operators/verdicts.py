@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Texts that stand for nothing, words for yes, stages and types.
 NULLS = ["null", "None", "N/A", "n/a", "", "unknown", "Unknown", "nicht verfügbar", "non disponible", "不明", "não disponível"]
 YES = ["true", "yes", "1", "ja", "oui", "sí", "是", "да", "sim"]
 STAGES = ["proposed", "consultation", "in_committee", "passed", "enacted", "amended", "unknown", "transposition_notified"]
-TYPES = ["law", "regulation", "directive", "incentive", "grant", "plan", "unknown"]
-ANALYSIS = "is_relevant string, relevance_score string, policy_type string, policy_name string, jurisdiction string, summary string, key_requirements string, effective_date string, bill_number string, confidence string, lifecycle_stage string, referenced_policies string, referenced_urls string"
+TYPES = ["law", "regulation", "directive", "incentive", "tax_incentive", "grant", "plan", "requirement", "standard", "guidance", "matching_platform", "unknown"]
+ONE = "is_relevant string, relevance_score string, policy_type string, policy_name string, jurisdiction string, summary string, key_requirements string, effective_date string, bill_number string, confidence string, lifecycle_stage string, referenced_policies string, referenced_urls string, relevance_explanation string, source_language string"
+#: A reply: the fields of one policy, and the further ones that the page has.
+ANALYSIS = f"{ONE}, additional_policies array<struct<{ONE}>>"
 
 
-@F.pandas_udf(T.StringType())
-def first_object(texts: pd.Series) -> pd.Series:
-    """The first balanced {...} of texts that begin with one; others as they are."""
-
-    def cut(text: str | None) -> str | None:
-        depth = 0
-        if text and text.startswith("{"):
-            for i, c in enumerate(text):
-                depth += (c == "{") - (c == "}")
-                if not depth:
-                    return text[: i + 1]
-        return text
-
-    return texts.map(cut)
+def first_object(text: Column) -> Column:
+    """The first balanced {...} of a text that begins with one; other texts as they are."""
+    # the braces alone, each with its place; the object ends where as many are closed as opened
+    braces = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("i"), F.when(c == "{", 1).when(c == "}", -1).otherwise(0).alias("step"))), lambda b: b["step"] != 0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("end"))
+    step = lambda a, b: F.when(a["end"] >= 0, a).otherwise(F.struct((a["depth"] + b["step"]).alias("depth"), F.when(a["depth"] + b["step"] == 0, b["i"]).otherwise(-1).alias("end")))
+    end = F.aggregate(braces, start, step)["end"]
+    simple = text.rlike(r"(?s)^\{[^{}]*\}$")  # nothing to look for: one object without others in it
+    return F.when(~text.startswith("{") | simple, text).otherwise(F.when(end >= 0, F.substring(text, F.lit(1), end + 1)).otherwise(text))
 
 
 def extract_json(raw: Column) -> Column:
@@ -60,18 +55,25 @@ def text_list(text: Column) -> Column:
     return F.when(text.isNull() | text.isin(*NULLS), none).otherwise(F.coalesce(F.filter(items, lambda x: x.isNotNull() & ~x.isin(*NULLS)), none))
 
 
-def coerce_verdicts(df: DataFrame, column: str = "analysis") -> DataFrame:
-    """PV-02: `column`, a struct of texts as ANALYSIS has them, with its values made regular."""
-    c = lambda n: F.col(column)[n]
+def coerced(verdict: Column) -> Column:
+    """One verdict, a struct of texts, with its values made regular."""
+    c = lambda n: verdict[n]
     relevant, empty, none = truth(c("is_relevant")), F.lit(""), F.lit(None).cast("string")
     kind = no_null(c("policy_type"), F.when(relevant, "unknown").otherwise("not_relevant"))
-    return df.withColumn(column, F.struct(
+    return F.struct(
         relevant.alias("is_relevant"), score(c("relevance_score")).alias("relevance_score"), kind.alias("policy_type"),
-        *(no_null(c(n), empty).alias(n) for n in ("policy_name", "jurisdiction", "summary", "key_requirements")),
-        *(no_null(c(n), none).alias(n) for n in ("effective_date", "bill_number")),
+        *(no_null(c(n), empty).alias(n) for n in ("policy_name", "jurisdiction", "summary", "key_requirements", "relevance_explanation")),
+        *(no_null(c(n), none).alias(n) for n in ("effective_date", "bill_number")), F.coalesce(c("source_language"), F.lit("English")).alias("source_language"),
         F.when(c("lifecycle_stage").isin(*STAGES), c("lifecycle_stage")).otherwise("unknown").alias("lifecycle_stage"),
         text_list(c("referenced_policies")).alias("referenced_policies"), text_list(c("referenced_urls")).alias("referenced_urls"),
-    ))
+    )
+
+
+def coerce_verdicts(df: DataFrame, column: str = "analysis") -> DataFrame:
+    """PV-02: `column`, a struct of texts as ANALYSIS has them, made regular, and `additional`, its further policies by the same rules; none where these aren't a list of objects."""
+    more = F.col(column)["additional_policies"]
+    extras = F.transform(F.filter(F.coalesce(more, F.array().cast(f"array<struct<{ONE}>>")), lambda v: v.isNotNull()), coerced)
+    return df.select(*(c for c in df.columns if c not in (column, "additional")), coerced(F.col(column)).alias(column), extras.alias("additional"))
 
 
 def route_screening(df: DataFrame, min_confidence: int = 5) -> DataFrame:
@@ -82,8 +84,12 @@ def route_screening(df: DataFrame, min_confidence: int = 5) -> DataFrame:
 
 
 def to_policies(df: DataFrame) -> DataFrame:
-    """PV-04, PV-05: policies of coerced verdicts (url, seq, analysis, additional, source_stage): the primary one, then the additional ones, relevant ones only."""
-    each = df.select("url", "seq", "source_stage", F.posexplode(F.concat(F.array("analysis"), F.coalesce("additional", F.slice(F.array("analysis"), 1, 0)))).alias("position", "p")).filter("p.is_relevant")
+    """PV-04, PV-05: policies of coerced verdicts (url, seq, analysis, additional, source_stage): the primary one, then the additional ones, relevant ones only.
+
+    The page's language, domain_id and scan_id go with each of its policies, where `df` has them.
+    """
+    own = [F.col(c) if c in df.columns else F.lit(other).alias(c) for c, other in (("language", None), ("domain_id", ""), ("scan_id", ""))]
+    each = df.select("url", "seq", "source_stage", *own, F.posexplode(F.concat(F.array("analysis"), F.coalesce("additional", F.slice(F.array("analysis"), 1, 0)))).alias("position", "p")).filter("p.is_relevant")
     p = lambda n: F.coalesce(F.col(f"p.{n}"), F.lit(""))
     place = F.when(p("jurisdiction") == "", "Unknown jurisdiction").otherwise(p("jurisdiction"))
     kind = F.when(p("policy_type").isin("", "unknown", "not_relevant"), "policy").otherwise(p("policy_type"))
@@ -92,7 +98,8 @@ def to_policies(df: DataFrame) -> DataFrame:
     return each.select(
         "url", "seq", "position", name.alias("policy_name"), F.when(p("jurisdiction") == "", "Unknown").otherwise(p("jurisdiction")).alias("jurisdiction"),
         F.when(p("policy_type").isin(*TYPES), p("policy_type")).otherwise("unknown").alias("policy_type"), p("summary").alias("summary"), F.col("p.relevance_score").alias("relevance_score"),
-        day.alias("effective_date"), F.coalesce(F.nullif("source_stage", F.lit("")), p("lifecycle_stage")).alias("lifecycle_stage"),
+        day.alias("effective_date"), F.coalesce(F.nullif("source_stage", F.lit("")), p("lifecycle_stage")).alias("lifecycle_stage"), p("key_requirements").alias("key_requirements"),
+        F.coalesce("language", p("source_language")).alias("source_language"), "domain_id", "scan_id", F.col("p.referenced_policies").alias("referenced_policies"), F.col("p.referenced_urls").alias("referenced_urls"),
     )
 
 

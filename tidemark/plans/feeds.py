@@ -149,11 +149,10 @@ def sr03_windows(spark, sf_dir):
 
 @query("""
 SELECT o_orderkey, o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 AS is_open,
-CASE WHEN o_orderkey % 5 = 0 THEN 'c' WHEN o_orderkey % 3 = 0 THEN 'b' WHEN o_orderkey % 4 <> 0 THEN 'a' WHEN o_orderkey % 7 = 0 THEN '' ELSE 'b' END AS start,
-CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 THEN 'z' WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 THEN 'y' WHEN o_orderkey % 4 <> 0 THEN 'x' WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'z' ELSE '' END ELSE 'y' END AS "end"
-FROM orders WHERE o_orderkey % 7 <> 0""")
+CASE WHEN o_orderkey % 5 = 0 THEN 'c' WHEN o_orderkey % 3 = 0 THEN 'b' WHEN o_orderkey % 4 <> 0 THEN 'a' ELSE 'b' END AS start,
+CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 THEN 'z' WHEN o_orderkey % 3 = 0 THEN 'y' WHEN o_orderkey % 4 <> 0 THEN 'x' ELSE 'y' END AS "end" FROM orders""")
 def sr04_feedback(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 0")
+    o = table(spark, sf_dir, "orders")
     statuses = F.expr("array(named_struct('state', 'CLOSED', 'start', IF(o_orderkey % 4 <> 0, 'a', ''), 'end', IF(o_orderkey % 4 <> 0, 'x', NULL)), named_struct('state', IF(o_orderkey % 3 = 0, 'OPEN', 'CLOSED'), 'start', 'b', 'end', 'y'), named_struct('state', IF(o_orderkey % 5 = 0, 'OPEN', NULL), 'start', 'c', 'end', IF(o_orderkey % 2 = 0, 'z', '')))")
     return o.select("o_orderkey", R.feedback_window(statuses).alias("w")).select("o_orderkey", "w.*")
 
@@ -214,7 +213,10 @@ def sr10_citations(spark, sf_dir):
 
 
 # Replies: a JSON object with an order's values, fenced, bare, or followed by more text.
-_OBJECT = "'{\"is_relevant\": \"' || CASE o_orderkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'Ja' WHEN 2 THEN 'no' ELSE 'true' END || '\", \"relevance_score\": \"' || CASE o_orderkey % 6 WHEN 0 THEN '8/10' WHEN 1 THEN '15' WHEN 2 THEN '-5' WHEN 3 THEN 'high' WHEN 4 THEN '7.9 of 10' ELSE CAST(o_orderkey % 11 AS STRING) END || '\", \"policy_name\": \"' || CASE WHEN o_orderkey % 5 = 0 THEN 'N/A' ELSE 'Act ' || CAST(o_orderkey AS STRING) END || '\", \"jurisdiction\": \"' || CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE 'N' || CAST(o_custkey % 25 AS STRING) END || '\", \"policy_type\": \"' || CASE o_orderkey % 3 WHEN 0 THEN 'law' WHEN 1 THEN 'treaty' ELSE 'unknown' END || '\", \"effective_date\": \"' || CASE WHEN o_orderkey % 8 = 0 THEN 'soon' WHEN o_orderkey % 8 = 1 THEN 'unknown' ELSE left(CAST(o_orderdate AS STRING), 10) END || '\", \"lifecycle_stage\": \"' || CASE WHEN o_orderkey % 2 = 0 THEN 'enacted' ELSE 'dead' END || '\", \"summary\": \"a {b} c\", \"referenced_urls\": \"' || CASE WHEN o_orderkey % 3 = 0 THEN 'https://r/' ELSE 'None' END || '\"}'"
+# A kind of each sort, one that isn't known, and one that says nothing.
+_SORTS = ["law", "regulation", "directive", "incentive", "tax_incentive", "grant", "plan", "requirement", "standard", "guidance", "matching_platform", "unknown", "treaty", "N/A"]
+_KINDS = "CASE o_orderkey % 14 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_SORTS)) + " END"
+_OBJECT = "'{\"is_relevant\": \"' || CASE o_orderkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'Ja' WHEN 2 THEN 'no' ELSE 'true' END || '\", \"relevance_score\": \"' || CASE o_orderkey % 6 WHEN 0 THEN '8/10' WHEN 1 THEN '15' WHEN 2 THEN '-5' WHEN 3 THEN 'high' WHEN 4 THEN '7.9 of 10' ELSE CAST(o_orderkey % 11 AS STRING) END || '\", \"policy_name\": \"' || CASE WHEN o_orderkey % 5 = 0 THEN 'N/A' ELSE 'Act ' || CAST(o_orderkey AS STRING) END || '\", \"jurisdiction\": \"' || CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE 'N' || CAST(o_custkey % 25 AS STRING) END || '\", \"policy_type\": \"' || [kinds] || '\", \"effective_date\": \"' || CASE WHEN o_orderkey % 8 = 0 THEN 'soon' WHEN o_orderkey % 8 = 1 THEN 'unknown' ELSE left(CAST(o_orderdate AS STRING), 10) END || '\", \"lifecycle_stage\": \"' || CASE WHEN o_orderkey % 2 = 0 THEN 'enacted' ELSE 'dead' END || '\", \"summary\": \"a {b} c\", \"referenced_urls\": \"' || CASE WHEN o_orderkey % 3 = 0 THEN 'https://r/' ELSE 'None' END || '\", \"additional_policies\": ' || CASE WHEN o_orderkey % 9 = 0 THEN '[{\"is_relevant\": \"yes\", \"relevance_score\": \"6/10\", \"policy_name\": \"null\", \"jurisdiction\": \"Q\", \"policy_type\": \"standard\", \"effective_date\": \"2020-02-30\", \"key_requirements\": \"k\", \"referenced_urls\": \"https://q/\"}, {\"is_relevant\": \"0\"}]' WHEN o_orderkey % 9 = 1 THEN '\"none\"' ELSE '[]' END || '}'".replace("[kinds]", _KINDS)
 _RAW = f"CASE o_orderkey % 3 WHEN 0 THEN 'Here: ```json' || chr(10) || {_OBJECT} || chr(10) || '``` done' WHEN 1 THEN ' ' || {_OBJECT} || ' and {{ more' ELSE '```' || {_OBJECT} || '```' END"
 
 
@@ -233,14 +235,14 @@ def pv01_extract_json(spark, sf_dir):
 _REL = "o_orderkey % 4 <> 2"
 _SCORE = "CAST(CASE o_orderkey % 6 WHEN 0 THEN 8 WHEN 1 THEN 10 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 7 ELSE o_orderkey % 11 END AS INT)"
 _PLACE = "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'N' || CAST(o_custkey % 25 AS STRING) END"
-_TYPE = f"CASE o_orderkey % 3 WHEN 0 THEN 'law' WHEN 1 THEN 'treaty' ELSE CASE WHEN {_REL} THEN 'unknown' ELSE 'not_relevant' END END"
+_TYPE = f"CASE WHEN o_orderkey % 14 NOT IN (11, 13) THEN {_KINDS} WHEN {_REL} THEN 'unknown' ELSE 'not_relevant' END"
 
 
 @query(f"""SELECT o_orderkey, {_REL} AS is_relevant, {_SCORE} AS relevance_score, {_TYPE} AS policy_type, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Act ' || CAST(o_orderkey AS STRING) END AS policy_name, {_PLACE} AS jurisdiction,
-CASE WHEN o_orderkey % 8 = 0 THEN 'soon' WHEN o_orderkey % 8 = 1 THEN NULL ELSE left(CAST(o_orderdate AS STRING), 10) END AS effective_date, CASE WHEN o_orderkey % 2 = 0 THEN 'enacted' ELSE 'unknown' END AS lifecycle_stage, CASE WHEN o_orderkey % 3 = 0 THEN 'https://r/' ELSE '' END AS referenced_urls FROM orders""")
+CASE WHEN o_orderkey % 8 = 0 THEN 'soon' WHEN o_orderkey % 8 = 1 THEN NULL ELSE left(CAST(o_orderdate AS STRING), 10) END AS effective_date, CASE WHEN o_orderkey % 2 = 0 THEN 'enacted' ELSE 'unknown' END AS lifecycle_stage, CASE WHEN o_orderkey % 3 = 0 THEN 'https://r/' ELSE '' END AS referenced_urls, CASE WHEN o_orderkey % 9 = 0 THEN 'standard true 6,not_relevant false 0' ELSE '' END AS further FROM orders""")
 def pv02_coerce(spark, sf_dir):
     a = analyses(spark, sf_dir)
-    return a.select("o_orderkey", *(f"analysis.{c}" for c in ("is_relevant", "relevance_score", "policy_type", "policy_name", "jurisdiction", "effective_date", "lifecycle_stage")), F.array_join("analysis.referenced_urls", ",").alias("referenced_urls"))
+    return a.select("o_orderkey", *(f"analysis.{c}" for c in ("is_relevant", "relevance_score", "policy_type", "policy_name", "jurisdiction", "effective_date", "lifecycle_stage")), F.array_join("analysis.referenced_urls", ",").alias("referenced_urls"), F.array_join(F.transform("additional", lambda v: F.concat_ws(" ", v["policy_type"], v["is_relevant"].cast("string"), v["relevance_score"].cast("string"))), ",").alias("further"))
 
 
 @query("""
@@ -253,14 +255,16 @@ def pv03_routing(spark, sf_dir):
 
 @query(f"""
 WITH a AS (SELECT o_orderkey AS seq, 0 AS position, {_REL} AS rel, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Act ' || CAST(o_orderkey AS STRING) END AS n, {_PLACE} AS j, {_TYPE} AS t, try_cast(CASE WHEN o_orderkey % 8 > 1 THEN left(CAST(o_orderdate AS STRING), 10) END AS DATE) AS d, {_SCORE} AS s, CASE WHEN o_orderkey % 10 = 0 THEN 'passed' WHEN o_orderkey % 2 = 0 THEN 'enacted' ELSE 'unknown' END AS l FROM orders),
-b AS (SELECT seq, 1 AS position, rel, '' AS n, j, t, d, s, l FROM a WHERE seq % 9 = 0 UNION ALL SELECT * FROM a)
+b AS (SELECT *, '' AS k, CASE WHEN seq % 3 = 0 THEN 'https://r/' ELSE '' END AS u FROM a UNION ALL SELECT seq, 1, TRUE, '', 'Q', 'standard', NULL, 6, CASE WHEN seq % 10 = 0 THEN 'passed' ELSE 'unknown' END, 'k', 'https://q/' FROM a WHERE seq % 9 = 0)
 SELECT seq, CAST(position AS INT) AS position, CASE WHEN n = '' THEN 'Untitled ' || CASE WHEN t IN ('unknown', 'not_relevant') THEN 'policy' ELSE t END || ' (' || CASE WHEN j = '' THEN 'Unknown jurisdiction' ELSE j END || ')' ELSE n END AS policy_name,
-CASE WHEN j = '' THEN 'Unknown' ELSE j END AS jurisdiction, CASE WHEN t = 'law' THEN 'law' ELSE 'unknown' END AS policy_type, s AS relevance_score, d AS effective_date, l AS lifecycle_stage FROM b WHERE rel""")
+CASE WHEN j = '' THEN 'Unknown' ELSE j END AS jurisdiction, CASE WHEN t = 'treaty' THEN 'unknown' ELSE t END AS policy_type, CAST(s AS INT) AS relevance_score, d AS effective_date, l AS lifecycle_stage,
+k AS key_requirements, u AS referenced_urls, CASE WHEN seq % 2 = 0 THEN 'Swedish' ELSE 'English' END AS source_language, 'd' || CAST(seq % 12 AS STRING) AS domain_id, 's1' AS scan_id FROM b WHERE rel""")
 def pv04_to_policies(spark, sf_dir):
     a = analyses(spark, sf_dir)
-    more = F.when(F.col("o_orderkey") % 9 == 0, F.array(F.col("analysis").withField("policy_name", F.lit(""))))
-    rows = a.select(F.col("raw").alias("url"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 10 == 0, "passed").when(F.col("o_orderkey") % 4 == 0, "").alias("source_stage"), "analysis", more.alias("additional"))
-    return verdicts.to_policies(rows).drop("url", "summary")
+    source = F.when(F.col("o_orderkey") % 10 == 0, "passed").when(F.col("o_orderkey") % 4 == 0, "").alias("source_stage")
+    page = [F.expr("IF(o_orderkey % 2 = 0, 'Swedish', NULL)").alias("language"), F.expr("'d' || (o_orderkey % 12)").alias("domain_id"), F.lit("s1").alias("scan_id")]
+    rows = a.select(F.col("raw").alias("url"), F.col("o_orderkey").alias("seq"), source, "analysis", "additional", *page)
+    return verdicts.to_policies(rows).withColumn("referenced_urls", F.array_join("referenced_urls", ",")).drop("url", "summary", "referenced_policies")
 
 
 @query("""
