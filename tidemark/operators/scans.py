@@ -8,38 +8,53 @@ from pyspark.sql import Window as W
 
 from .changes import first_rows
 
+#: Estimates: pages of a domain's budget, pages that pass the keywords, screenings that lead to an analysis.
 PAGE_SHARE, KEYWORD_SHARE, SCREEN_SHARE = 2, 0.10, 0.50
+# Dollars per screening, analysis and audit; ceilings per structured document and website by cost level; documents of a structured source.
+SCREEN_USD, ANALYSE_USD, AUDIT_USD = 0.0005625, 0.075, 0.045
+DOCUMENT_USD, WEBSITE_USD, DOCUMENTS = {"low": 0.004, "standard": 0.012, "high": 0.06}, {"low": 0.05, "standard": 0.15, "high": 0.60}, 25
+BROAD = ["us", "us_states", "eu", "nordic", "apac", "uk", "eu_central", "eu_west", "eu_south", "eu_east", "europe", "north_america", "south_america", "middle_east", "africa"]
+
+
+def tagged(domains: DataFrame, *columns: str) -> DataFrame:
+    """A row for each of a domain's region tags, as `tag`."""
+    return domains.select(*columns, F.explode("region").alias("tag"))
 
 
 def resolve_targets(domains: DataFrame, groups: DataFrame, targets: str) -> DataFrame:
-    """SC-01: domains of a comma list, each once, in order of the list: `all` (enabled ones), a group or region tag
+    """SC-01: enabled domains of a comma list, each once, in order of the list: `all`, a group or region tag
     together, else a source file, else an id. A target that names nothing gives a row with `unknown` set."""
     asked = [t.strip() for t in targets.split(",") if t.strip()]
     want = domains.sparkSession.createDataFrame(list(enumerate(asked)), "target_seq int, target string")
     member = groups.select(F.col("group").alias("target"), F.explode("domain_ids").alias("id"))
+    on = domains.filter("enabled")
     by = [
-        domains.filter("enabled").select(F.lit("all").alias("target"), "id", F.lit(0).alias("rank")),
+        on.select(F.lit("all").alias("target"), "id", F.lit(0).alias("rank")),
         member.select("target", "id", F.lit(1).alias("rank")),
-        domains.filter("enabled").select(F.col("region").alias("target"), "id", F.lit(1).alias("rank")),
-        domains.filter("enabled").select(F.col("source_file").alias("target"), "id", F.lit(2).alias("rank")),
-        domains.select(F.col("id").alias("target"), "id", F.lit(3).alias("rank")),
+        tagged(domains, "id").select(F.col("tag").alias("target"), "id", F.lit(1).alias("rank")),
+        on.select(F.col("source_file").alias("target"), "id", F.lit(2).alias("rank")),
+        on.select(F.col("id").alias("target"), "id", F.lit(3).alias("rank")),
     ]
     links = by[0]
     for more in by[1:]:
         links = links.unionByName(more)
-    hit = F.broadcast(want).join(links, "target")
+    hit = F.broadcast(want).join(links, "target")  # the list asked for, not the links, is sent to all
     best = hit.withColumn("_best", F.min("rank").over(W.partitionBy("target_seq"))).filter("rank = _best").select("target_seq", "target", "id").distinct()
-    known = best.join(domains, "id")
+    known = best.join(on, "id")
     chosen = first_rows(known, ["id"], [F.col("target_seq")]).withColumn("unknown", F.lit(False))
     missing = want.join(best.select("target_seq").distinct(), "target_seq", "left_anti").withColumn("unknown", F.lit(True))
     return chosen.unionByName(missing, allowMissingColumns=True)
 
 
-def filter_domains(df: DataFrame, category: str | None = None, tags: list[str] | None = None, region: str | None = None, channel: str | None = None) -> DataFrame:
-    """SC-02."""
-    for name, value in (("category", category), ("region", region), ("channel", channel)):
+def filter_domains(df: DataFrame, category: str | None = None, tags: list[str] | None = None, policy_type: str | None = None, region: str | None = None, channel: str | None = None) -> DataFrame:
+    """SC-02: enabled domains of a category, with one of the tags, of a policy type, in a region, of a channel."""
+    df = df.filter("enabled")
+    for name, value in (("category", category), ("channel", channel)):
         if value:
             df = df.filter(F.col(name) == value)
+    for name, value in (("policy_types", policy_type), ("region", region)):
+        if value:
+            df = df.filter(F.array_contains(name, value))
     return df.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags)))) if tags else df
 
 
@@ -55,12 +70,18 @@ def validate_sources(domains: DataFrame, groups: DataFrame, regions: DataFrame)
     out = row(member.join(domains, "id", "left_anti"), "unknown_id", "id")
     out = out.union(row(domains.filter("enabled").join(member, "id", "left_anti"), "ungrouped", "id"))
     out = out.union(row(domains.groupBy("id").count().filter("count > 1"), "repeated_id", "id"))
-    return out.union(row(domains.select("region").filter("region is not null").distinct().join(regions, "region", "left_anti"), "unknown_region", "region"))
+    return out.union(row(tagged(domains).select(F.col("tag").alias("region")).filter("region is not null").distinct().join(regions, "region", "left_anti"), "unknown_region", "region"))
 
 
-def source_counts(domains: DataFrame) -> DataFrame:
-    """SC-05: enabled sources per region, per wider region and in all."""
-    return domains.filter("enabled").rollup("world_region", "region").agg(F.count_distinct("id").alias("sources"))
+def source_counts(domains: DataFrame, groups: DataFrame, local: DataFrame) -> DataFrame:
+    """SC-05: (kind, name, sources): ids listed in each group but `all`, enabled sources of each region tag, which is broad, a
+    state (in `local`, of one column `slug`) or a country, and enabled sources in all."""
+    on = domains.filter("enabled")
+    listed = groups.filter(F.col("group") != "all").select(F.lit("group").alias("kind"), F.col("group").alias("name"), F.coalesce(F.size("domain_ids"), F.lit(0)).cast("long").alias("sources"))
+    per_tag = tagged(on, "id").groupBy("tag").agg(F.count("*").alias("sources"))
+    told = per_tag.join(local.select(F.col("slug").alias("tag"), F.lit(True).alias("_local")).distinct(), "tag", "left")
+    kind = F.when(F.col("tag").isin(*BROAD), "broad").when(F.col("_local"), "state").otherwise("country")
+    return listed.union(told.select(kind.alias("kind"), F.col("tag").alias("name"), "sources")).union(on.agg(F.count("*").alias("sources")).select(F.lit("total"), F.lit(""), "sources"))
 
 
 def scan_funnel(staged: DataFrame, totals: bool = False) -> DataFrame:
@@ -79,26 +100,36 @@ def scan_report(funnel: DataFrame, cap: int = 50) -> DataFrame:
     return rows.withColumn("position", turn).filter(F.col("position") <= cap).select("scan_id", "finding", "domain_id", "position")
 
 
-def estimate_cost(domains: DataFrame, screen: float = 0.0005, analyse: float = 0.015) -> DataFrame:
-    """SC-08: pages, screenings, analyses and cost for the enabled domains: half the page budget, a tenth screened, half of these analysed."""
-    pages = domains.filter("enabled").agg(F.coalesce(F.sum(F.floor(F.col("max_pages") / PAGE_SHARE)), F.lit(0)).alias("pages"))
+def estimate_cost(domains: DataFrame, max_pages: int = 200) -> DataFrame:
+    """SC-08: domains, pages, screenings, analyses and cost of a scan of the enabled domains: half of `max_pages`, the page budget of
+    a domain, for each; a tenth screened, half of these analysed, and one audit."""
+    pages = domains.filter("enabled").agg(F.count("*").alias("domains")).withColumn("pages", F.col("domains") * (max_pages // PAGE_SHARE))
     out = pages.withColumn("screenings", F.floor(F.col("pages") * KEYWORD_SHARE).cast("long")).withColumn("analyses", F.floor(F.col("screenings") * SCREEN_SHARE).cast("long"))
-    return out.withColumn("usd", F.round(F.col("screenings") * screen + F.col("analyses") * analyse, 2))
+    return out.withColumn("usd", F.round(F.col("screenings") * SCREEN_USD + F.col("analyses") * ANALYSE_USD + AUDIT_USD, 2))
+
+
+def search_plan(domains: DataFrame, place: str, parents: list[str], transposition: bool = False) -> DataFrame:
+    """SC-09: enabled sources for a place (id, name, kind, kind_rank), in order of kind_rank and name: websites tagged with the place itself,
+    structured sources tagged with it or one of `parents`, and all transposition sources where the place is of the EU (`transposition`)."""
+    kind = F.when(F.col("channel") == "crawl", "website").when(F.col("channel") == "transposition", "transposition").otherwise("law_api")
+    on = domains.filter("enabled").withColumn("kind", kind)
+    covers = F.when(F.col("kind") == "website", F.array_contains("region", place)).when(F.col("kind") == "transposition", F.lit(transposition)).otherwise(F.arrays_overlap("region", F.array(*map(F.lit, [place, *parents]))))
+    rank = F.when(F.col("kind") == "law_api", 0).when(F.col("kind") == "transposition", 1).otherwise(2)
+    return on.filter(covers).select("id", "name", "kind", rank.alias("kind_rank"))
 
 
-def search_plan(domains: DataFrame, place: str, parents: list[str], ceiling: float, price: float = 0.25) -> DataFrame:
-    """SC-09: enabled sources that cover a place or a parent of it, by kind, then name, as far as the ceiling of cost goes."""
-    kind = F.when(F.col("channel") == "law_api", 0).when(F.col("channel") == "transposition", 1).otherwise(2)
-    cost = F.when(F.col("channel") == "crawl", F.lit(price)).otherwise(0.0)
-    rows = domains.filter("enabled").filter(F.col("region").isin(place, *parents)).select("id", "name", kind.alias("kind_rank"), cost.alias("usd"))
-    upto = W.orderBy("kind_rank", "name", "id").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("usd_upto", F.round(F.sum("usd").over(upto), 2)).filter(F.col("usd_upto") <= ceiling)
+def plan_ceiling(plan: DataFrame, level: str = "standard") -> DataFrame:
+    """SC-09: a plan's sources and the most its model calls may cost, by cost level (an unknown level is the standard one)."""
+    level = level if level in DOCUMENT_USD else "standard"
+    counts = plan.agg(F.count("*").alias("sources"), F.count_if(F.col("kind") == "website").alias("websites"))
+    usd = (F.col("sources") - F.col("websites")) * DOCUMENTS * DOCUMENT_USD[level] + F.col("websites") * WEBSITE_USD[level]
+    return counts.withColumn("usd_ceiling", F.round(usd, 2))
 
 
 def assign_groups(new: DataFrame, mapping: DataFrame, groups: DataFrame) -> DataFrame:
     """SC-10: (group, id) that new domains' regions bring and that aren't listed yet."""
     listed = groups.select("group", F.explode("domain_ids").alias("id"))
-    return new.join(F.broadcast(mapping), "region").select("group", "id").distinct().join(listed, ["group", "id"], "left_anti")
+    return tagged(new, "id").join(mapping.withColumnRenamed("region", "tag"), "tag").select("group", "id").distinct().join(listed, ["group", "id"], "left_anti")
 
 
 def followup_urls(policies: DataFrame, pages: DataFrame, same: Column, cap: int = 20) -> DataFrame:

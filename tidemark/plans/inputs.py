@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,11 @@ DOMAIN = [
 DOMAINS_SQL = _sql(DOMAIN, "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 
 
+#: Region tags of a source: its nation, and for some its wider region.
+TAGS_SQL = f"SELECT id, enabled, region AS tag, world_region, seq FROM ({DOMAINS_SQL}) UNION ALL SELECT id, enabled, lower(world_region), world_region, seq FROM ({DOMAINS_SQL}) WHERE seq % 5 = 0"
+
+
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation, region = (table(spark, sf_dir, n) for n in ("supplier", "nation", "region"))
-    return _select(supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey), DOMAIN)
+    made = _select(supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey), DOMAIN)
+    return made.withColumn("region", F.expr("IF(seq % 5 = 0, array(region, lower(world_region)), array(region))"))

@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import coverage, places, scans, signals, store, verify
 from ..sources import readers, sinks
-from .inputs import DOMAINS_SQL, POLICIES_SQL, domains, policies, table
+from .inputs import DOMAINS_SQL, POLICIES_SQL, TAGS_SQL, domains, policies, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -262,7 +262,7 @@ _SOURCE = f"SELECT id, CASE WHEN seq % 4 = 0 THEN 'town' || CAST(seq AS STRING)
 
 
 def place_sources(spark, sf_dir):
-    return domains(spark, sf_dir).selectExpr("id", "CASE WHEN seq % 4 = 0 THEN 'town' || seq WHEN seq % 9 = 1 THEN lower(world_region) WHEN seq % 13 = 2 THEN 'nowhere' ELSE region END AS slug")
+    return domains(spark, sf_dir).selectExpr("id", "CASE WHEN seq % 4 = 0 THEN 'town' || seq WHEN seq % 9 = 1 THEN lower(world_region) WHEN seq % 13 = 2 THEN 'nowhere' ELSE region[0] END AS slug")
 
 
 _COVER = f"""WITH {P}, v AS ({_RESOLVED}), r AS ({_REGISTRY}), u AS ({_ROLLUP}), w AS (SELECT u.*, c.iso_numeric AS iso FROM u LEFT JOIN r c ON u.country = c.slug),
@@ -272,7 +272,7 @@ _PLACES = f"""{_COVER}, a AS (SELECT place, spot, count(*) AS policies, 0 AS sou
 c AS (SELECT place, count(DISTINCT slug) AS n FROM (SELECT place, slug FROM lp WHERE kind = 'subnational' UNION SELECT place, slug FROM ls WHERE kind = 'subnational') GROUP BY 1),
 t AS (SELECT place, string_agg(policy_name, '|' ORDER BY rn) AS top FROM (SELECT place, policy_name, row_number() OVER (PARTITION BY place ORDER BY coalesce(relevance_score, 0) DESC, policy_name, seq) AS rn FROM lp WHERE spot <> 'unresolved') WHERE rn <= 3 GROUP BY 1),
 g AS (SELECT a.spot, a.place, CAST(sum(policies) AS BIGINT) AS policies, CAST(sum(sources) AS BIGINT) AS sources FROM a GROUP BY 1, 2)
-SELECT g.place, g.policies, g.sources, coalesce(c.n, 0) AS children_with_data, coalesce(t.top, '') AS top_policy_names FROM g LEFT JOIN c ON g.place = c.place LEFT JOIN t ON g.place = t.place WHERE g.spot = """
+SELECT g.place, r.name, coalesce(r.iso_numeric, '') AS iso_numeric, g.policies, g.sources, coalesce(c.n, 0) AS children_with_data, coalesce(t.top, '') AS top_policy_names FROM g JOIN r ON r.slug = g.place LEFT JOIN c ON g.place = c.place LEFT JOIN t ON g.place = t.place WHERE g.spot = """
 
 
 def cover_inputs(spark, sf_dir):
@@ -281,7 +281,7 @@ def cover_inputs(spark, sf_dir):
 
 
 def _shown(df):
-    return df.select("place", "policies", "sources", "children_with_data", F.array_join("top_policy_names", "|").alias("top_policy_names"))
+    return df.select("place", "name", F.coalesce("iso_numeric", F.lit("")).alias("iso_numeric"), "policies", "sources", "children_with_data", F.array_join("top_policy_names", "|").alias("top_policy_names"))
 
 
 @query(_PLACES + "'country'")
@@ -312,7 +312,7 @@ def cv07_bins(spark, sf_dir):
     return coverage.coverage_bins(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("place")), covered).select("place", "policies", "bin")
 
 
-D = f"d AS ({DOMAINS_SQL})"
+D = f"d AS ({DOMAINS_SQL}), tags AS ({TAGS_SQL})"
 
 
 def groups(spark, sf_dir):
@@ -322,17 +322,21 @@ def groups(spark, sf_dir):
 
 
 @query(f"""
-WITH {D}, t(i, target) AS (VALUES (0, 'dom7'), (1, 'nation_2'), (2, 'g3'), (3, 'file1'), (4, 'zzz')),
-h AS (SELECT i, d.id, CASE WHEN target = 'g3' AND seq % 7 = 3 OR target = region AND enabled THEN 1 WHEN target = source_file AND enabled THEN 2 WHEN target = id THEN 3 END AS rank FROM t JOIN d ON target = 'g3' AND seq % 7 = 3 OR target = region AND enabled OR target = source_file AND enabled OR target = id)
-SELECT min(i) AS target_seq, id, FALSE AS unknown FROM h GROUP BY id UNION ALL SELECT i, NULL, TRUE FROM t WHERE i NOT IN (SELECT i FROM h)""")
+WITH {D}, t(i, target) AS (VALUES (0, 'dom7'), (1, 'nation_2'), (2, 'g3'), (3, 'file1'), (4, 'zzz'), (5, 'asia'), (6, 'dom6')),
+h AS (SELECT i, id, 1 AS rank FROM t JOIN d ON target = 'g3' AND seq % 7 = 3 UNION SELECT i, id, 1 FROM t JOIN tags ON target = tag
+UNION SELECT i, id, CASE WHEN target = source_file THEN 2 ELSE 3 END FROM t JOIN d ON enabled AND (target = source_file OR target = id)),
+b AS (SELECT i, id FROM (SELECT *, min(rank) OVER (PARTITION BY i) AS best FROM h) WHERE rank = best)
+SELECT min(i) AS target_seq, id, FALSE AS unknown FROM b WHERE id IN (SELECT id FROM d WHERE enabled) GROUP BY id UNION ALL SELECT i, NULL, TRUE FROM t WHERE i NOT IN (SELECT i FROM h)""")
 def sc01_targets(spark, sf_dir):
-    return scans.resolve_targets(domains(spark, sf_dir), groups(spark, sf_dir), "dom7, nation_2,g3,file1,,zzz").select("target_seq", "id", "unknown")
+    return scans.resolve_targets(domains(spark, sf_dir), groups(spark, sf_dir), "dom7, nation_2,g3,file1,,zzz,asia,dom6").select("target_seq", "id", "unknown")
 
 
-@query(f"WITH {D} SELECT id FROM d WHERE category = 'agency' AND channel = 'crawl' AND seq % 2 = 0")
+@query(f"WITH {D} SELECT 'tag' AS filter, id FROM d WHERE enabled AND category = 'agency' AND channel = 'crawl' AND seq % 2 = 0 UNION ALL SELECT 'type', id FROM d WHERE enabled AND seq % 3 = 1 UNION ALL SELECT 'region', id FROM tags WHERE enabled AND tag = 'europe'")
 def sc02_filter(spark, sf_dir):
-    d = domains(spark, sf_dir).withColumn("tags", F.expr("IF(seq % 2 = 0, array('x', 'y'), array('z'))"))
-    return scans.filter_domains(d, category="agency", tags=["x", "q"], channel="crawl").select("id")
+    d = domains(spark, sf_dir).withColumn("tags", F.expr("IF(seq % 2 = 0, array('x', 'y'), array('z'))")).withColumn("policy_types", F.expr("IF(seq % 3 = 1, array('law', 'grant'), array('plan'))"))
+    by = {"tag": scans.filter_domains(d, category="agency", tags=["x", "q"], channel="crawl"), "type": scans.filter_domains(d, policy_type="grant"), "region": scans.filter_domains(d, region="europe")}
+    tag, kind, region = (v.select(F.lit(k).alias("filter"), "id") for k, v in by.items())
+    return tag.union(kind).union(region)
 
 
 @query(f"WITH {D} SELECT id, row_number() OVER (ORDER BY channel = 'crawl', seq) AS position FROM d")
@@ -343,15 +347,18 @@ def sc03_order(spark, sf_dir):
     return d.select("id", F.row_number().over(W.orderBy(F.col("channel") == "crawl", "seq")).cast("long").alias("position"))
 
 
-@query(f"WITH {D} SELECT 'unknown_id' AS problem, 'ghost' AS value UNION ALL SELECT 'ungrouped', id FROM d WHERE enabled AND seq % 7 = 6 UNION ALL SELECT DISTINCT 'unknown_region', region FROM d WHERE region NOT IN (SELECT lower(n_name) FROM nation WHERE n_nationkey % 10 <> 4)")
+@query(f"WITH {D} SELECT 'unknown_id' AS problem, 'ghost' AS value UNION ALL SELECT 'ungrouped', id FROM d WHERE enabled AND seq % 7 = 6 UNION ALL SELECT DISTINCT 'unknown_region', tag FROM tags WHERE tag NOT IN (SELECT lower(n_name) FROM nation WHERE n_nationkey % 10 <> 4)")
 def sc04_audit(spark, sf_dir):
     regions = table(spark, sf_dir, "nation").filter("n_nationkey % 10 <> 4").select(F.lower("n_name").alias("region"))
     return scans.validate_sources(domains(spark, sf_dir), groups(spark, sf_dir), regions)
 
 
-@query(f"WITH {D} SELECT world_region, region, count(DISTINCT id) AS sources FROM d WHERE enabled GROUP BY ROLLUP (world_region, region)")
+@query(f"""WITH {D} SELECT 'group' AS kind, 'g' || CAST(seq % 7 AS STRING) AS name, count(*) + CASE WHEN seq % 7 = 1 THEN 1 ELSE 0 END AS sources FROM d WHERE seq % 7 <> 6 GROUP BY seq % 7
+UNION ALL SELECT CASE WHEN tag = 'europe' OR tag = 'africa' THEN 'broad' WHEN tag IN (SELECT lower(n_name) FROM nation WHERE n_nationkey % 5 = 1) THEN 'state' ELSE 'country' END, tag, count(*) FROM tags WHERE enabled GROUP BY tag
+UNION ALL SELECT 'total', '', count(*) FROM d WHERE enabled""")
 def sc05_counts(spark, sf_dir):
-    return scans.source_counts(domains(spark, sf_dir))
+    local = table(spark, sf_dir, "nation").filter("n_nationkey % 5 = 1").select(F.lower("n_name").alias("slug"))
+    return scans.source_counts(domains(spark, sf_dir), groups(spark, sf_dir), local)
 
 
 _FUNNEL = f"WITH {P} SELECT scan_id, domain_id, count(*) AS crawled, count(*) FILTER (seq % 4 = 0 AND seq % 80 >= 40) AS n_matched, CAST(sum(CASE WHEN seq % 4 = 0 AND seq % 80 >= 40 AND seq % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS policies FROM p GROUP BY scan_id, domain_id"
@@ -364,20 +371,31 @@ def sc07_report(spark, sf_dir):
     return scans.scan_report(scans.scan_funnel(staged))
 
 
-@query(f"WITH {D}, a AS (SELECT CAST(sum(floor(max_pages / 2)) AS BIGINT) AS pages FROM d WHERE enabled), b AS (SELECT pages, CAST(floor(pages * 0.1::DOUBLE) AS BIGINT) AS screenings FROM a), c AS (SELECT *, CAST(floor(screenings * 0.5::DOUBLE) AS BIGINT) AS analyses FROM b) SELECT *, round(screenings * 0.0005::DOUBLE + analyses * 0.015::DOUBLE, 2) AS usd FROM c")
+# A scan's estimate: 100 pages a domain; a screening reads 2000 tokens and writes 50, an analysis 20000 and 1000, the audit 5000 and 2000.
+@query(f"""WITH {D}, a AS (SELECT count(*) AS domains, count(*) * 100 AS pages FROM d WHERE enabled), b AS (SELECT *, CAST(floor(pages * 0.1::DOUBLE) AS BIGINT) AS screenings FROM a), c AS (SELECT *, CAST(floor(screenings * 0.5::DOUBLE) AS BIGINT) AS analyses FROM b)
+SELECT *, round((screenings * (2000 * 0.25::DOUBLE + 50 * 1.25::DOUBLE) + analyses * (20000 * 3.0::DOUBLE + 1000 * 15.0::DOUBLE) + 5000 * 3.0::DOUBLE + 2000 * 15.0::DOUBLE) / 1000000, 2) AS usd FROM c""")
 def sc08_cost(spark, sf_dir):
     return scans.estimate_cost(domains(spark, sf_dir))
 
 
-@query(f"WITH {D}, r AS (SELECT id, name, CASE channel WHEN 'law_api' THEN 0 WHEN 'transposition' THEN 1 ELSE 2 END AS kind_rank, CASE WHEN channel = 'crawl' THEN 0.25::DOUBLE ELSE 0 END AS usd FROM d WHERE enabled AND region IN ('nation_3', 'nation_5', 'nation_6')), u AS (SELECT *, round(sum(usd) OVER (ORDER BY kind_rank, name, id ROWS UNBOUNDED PRECEDING), 2) AS usd_upto FROM r) SELECT id, usd_upto FROM u WHERE usd_upto <= 2")
+_PLAN = f"""WITH {D}, r AS (SELECT id, name, 'website' AS kind, 2 AS kind_rank FROM d WHERE enabled AND channel = 'crawl' AND id IN (SELECT id FROM tags WHERE tag = 'nation_3')
+UNION ALL SELECT id, name, 'law_api', 0 FROM d WHERE enabled AND channel = 'law_api' AND id IN (SELECT id FROM tags WHERE tag IN ('nation_3', 'asia', 'europe')) UNION ALL SELECT id, name, 'transposition', 1 FROM d WHERE enabled AND channel = 'transposition')"""
+
+
+@query(f"{_PLAN} SELECT id, kind, kind_rank FROM r")
 def sc09_plan(spark, sf_dir):
-    return scans.search_plan(domains(spark, sf_dir), "nation_3", ["nation_5", "nation_6"], 2.0).select("id", "usd_upto")
+    return scans.search_plan(domains(spark, sf_dir), "nation_3", ["asia", "europe"], transposition=True).select("id", "kind", "kind_rank")
+
+
+@query(f"{_PLAN} SELECT count(*) AS sources, count(*) FILTER (kind = 'website') AS websites, round(count(*) FILTER (kind <> 'website') * 25 * 0.012::DOUBLE + count(*) FILTER (kind = 'website') * 0.15::DOUBLE, 2) AS usd_ceiling FROM r")
+def sc09_ceiling(spark, sf_dir):
+    return scans.plan_ceiling(scans.search_plan(domains(spark, sf_dir), "nation_3", ["asia", "europe"], transposition=True))
 
 
-@query(f"WITH {D} SELECT DISTINCT CASE x WHEN 0 THEN 'g1' ELSE lower(world_region) END AS \"group\", id FROM d, (VALUES (0), (1)) t(x) WHERE NOT (x = 0 AND seq % 7 = 1)")
+@query(f"WITH {D} SELECT DISTINCT CASE x WHEN 0 THEN 'g1' ELSE 't_' || tag END AS \"group\", id FROM tags, (VALUES (0), (1)) t(x) WHERE NOT (x = 0 AND seq % 7 = 1)")
 def sc10_assign(spark, sf_dir):
     d = domains(spark, sf_dir)
-    mapping = d.select("region", F.explode(F.array(F.lit("g1"), F.lower("world_region"))).alias("group")).distinct()
+    mapping = scans.tagged(d).select(F.col("tag").alias("region"), F.explode(F.array(F.lit("g1"), F.concat(F.lit("t_"), "tag"))).alias("group")).distinct()
     return scans.assign_groups(d, mapping, groups(spark, sf_dir))
 
 
@@ -494,11 +512,20 @@ WITH {P}, b AS (SELECT seq, CASE WHEN seq % 41 = 0 THEN 'missing url' WHEN seq %
 n AS (SELECT count(DISTINCT url) AS k FROM b WHERE reason IS NULL AND url NOT IN (SELECT url FROM p WHERE seq % 9 = 0)), i AS (SELECT count(*) AS read, count(*) FILTER (reason IS NOT NULL) AS invalid FROM b)
 SELECT read, k AS imported, read - invalid - k AS duplicates, invalid FROM i, n""")
 def io07_import(spark, sf_dir):
+    return imported(spark, sf_dir)[1]
+
+
+def imported(spark, sf_dir):
     p = policies(spark, sf_dir)
     rows = p.withColumn("url", F.expr("CASE WHEN seq % 41 = 0 THEN ' ' WHEN seq % 43 = 0 THEN 'ftp://x' ELSE url END")).withColumn("policy_name", F.expr("IF(seq % 47 = 0, '', policy_name)"))
     blank = [F.lit("").alias(h) for h in sinks.HEADERS if h not in ("Link", "Name", "Relevance Score")]
     sheet = rows.select("seq", F.col("url").alias("Link"), F.col("policy_name").alias("Name"), F.coalesce(F.col("relevance_score").cast("string"), F.lit("")).alias("Relevance Score"), *blank)
-    return sinks.import_staging(sheet, p.filter("seq % 9 = 0"))[1].drop("invalid_rows")
+    return sinks.import_staging(sheet, p.filter("seq % 9 = 0"))
+
+
+@query(f"WITH {P} SELECT seq + 2 AS \"row\", CASE WHEN seq % 41 = 0 THEN 'missing url' WHEN seq % 43 = 0 THEN 'wrong scheme' ELSE 'missing name' END AS reason FROM p WHERE seq % 41 = 0 OR seq % 43 = 0 OR seq % 47 = 0")
+def io07_invalid_rows(spark, sf_dir):
+    return imported(spark, sf_dir)[2]
 
 
 @query(f"WITH {P}, b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn FROM p) SELECT seq, url FROM b WHERE rn = 1 AND url NOT IN (SELECT url FROM p WHERE seq % 6 = 1)")

@@ -44,6 +44,10 @@ def read_jsonl_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_log(spark.read.text(path))
 
 
+# Source types that aren't law services.
+CHANNELS = {"crawl": "crawl", "eurlex_nim": "transposition"}
+
+
 def load_dims(spark: SparkSession, config_dir: str) -> dict[str, DataFrame]:
     """IO-04: keyword terms, phrases and pairs, places, sources and groups of a folder of YAML files.
 
@@ -60,13 +64,13 @@ def load_dims(spark: SparkSession, config_dir: str) -> dict[str, DataFrame]:
     keys = ("slug", "name", "kind", "iso3", "iso_numeric", "code", "parent")
     registry = [(i, *(None if p.get(k) is None else str(p[k]) for k in keys), [str(x) for x in p.get("members") or []], [str(x) for x in p.get("aliases") or []]) for i, p in enumerate(places)]
     files = sorted(f for f in (root / "domains").rglob("*.yaml") if not f.name.startswith("_"))
-    domains = [(str(d.get("id")), str(d.get("name") or ""), str(d.get("base_url") or ""), bool(d.get("enabled", True)), [str(r) for r in d.get("region") or []], str(d.get("category") or ""), [str(t) for t in d.get("tags") or []], f.stem) for f in files for d in load(f).get("domains") or []]
+    domains = [(str(d.get("id")), str(d.get("name") or ""), str(d.get("base_url") or ""), bool(d.get("enabled", True)), [str(r) for r in d.get("region") or []], str(d.get("category") or ""), [str(t) for t in d.get("tags") or []], [str(t) for t in d.get("policy_types") or []], CHANNELS.get(str(d.get("source_type") or "crawl"), "law_api"), None if d.get("max_pages") is None else int(d["max_pages"]), f.stem) for f in files for d in load(f).get("domains") or []]
     groups = [(str(g), [str(x) for x in (v.get("domains") if isinstance(v, dict) else v) or []]) for g, v in (load(root / "groups.yaml").get("groups") or {}).items()]
     make = spark.createDataFrame
     return {
         "terms": make(terms, "category string, weight double, lang string, term string"),
         "exclusions": make([(str(x),) for x in words.get("exclusions") or []], "phrase string"),
         "jurisdictions": make(registry, "seq long, slug string, name string, kind string, iso3 string, iso_numeric string, code string, parent string, members array<string>, aliases array<string>"),
-        "domains": make(domains, "id string, name string, base_url string, enabled boolean, region array<string>, category string, tags array<string>, source_file string"),
+        "domains": make(domains, "id string, name string, base_url string, enabled boolean, region array<string>, category string, tags array<string>, policy_types array<string>, channel string, max_pages int, source_file string"),
         "groups": make(groups, "group string, domain_ids array<string>"),
     }

@@ -61,17 +61,16 @@ def reject_reason(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
-def import_staging(rows: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """IO-07: new rows, and a one-row summary: read, imported, duplicates, invalid and the numbers of invalid rows (seq + 2), the first 1000.
+def import_staging(rows: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """IO-07: new rows, a one-row summary (read, imported, duplicates, invalid), and the invalid rows (row, its number in the sheet, and reason), all of them.
 
-    `rows` are staging rows with seq, counted from 0.
+    `rows` are staging rows with seq, counted from 0; the sheet's first row is its head.
     """
     judged = reject_reason(from_staging(rows))
-    good = judged.filter("reason is null").drop("reason")
-    new = add_policies(store, good)
+    new = add_policies(store, judged.filter("reason is null").drop("reason"))
     counts = judged.agg(F.count("*").alias("read"), F.count_if(F.col("reason").isNotNull()).alias("invalid"))
-    bad = judged.filter("reason is not null").orderBy("seq").limit(1000).agg(F.array_sort(F.collect_list(F.col("seq") + 2)).alias("invalid_rows"))
-    return new, counts.join(F.broadcast(new.agg(F.count("*").alias("imported")))).join(F.broadcast(bad)).select("read", "imported", (F.col("read") - F.col("invalid") - F.col("imported")).alias("duplicates"), "invalid", "invalid_rows")
+    summary = counts.join(F.broadcast(new.agg(F.count("*").alias("imported")))).select("read", "imported", (F.col("read") - F.col("invalid") - F.col("imported")).alias("duplicates"), "invalid")
+    return new, summary, judged.filter("reason is not null").select((F.col("seq") + 2).alias("row"), "reason")
 
 
 def export_new(batch: DataFrame, exported: DataFrame) -> DataFrame:
