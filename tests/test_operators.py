@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import records, urls
 from tidemark.functions.text import redact, screening_excerpt
-from tidemark.operators import extract, frontier, keywords, places, signals, store, verdicts
+from tidemark.operators import extract, frontier, keywords, places, scans, signals, store, verdicts
 from tidemark.operators.records import parse_measures
-from tidemark.sources import readers
+from tidemark.sources import readers, sinks
 from tidemark.streaming import streams
 
 
@@ -236,8 +236,56 @@ def test_stream_rate_limit_equals_batch(spark, tmp_path):
 
 def test_stream_store_keeps_the_first_and_reruns(spark, tmp_path):
     df = spark.createDataFrame([(i, f"u{i % 7}", "x") for i in range(30)], "seq long, url string, policy_name string")
+    other = spark.createDataFrame([(i, f"u{i % 4 + 5}", "y") for i in range(30)], df.schema)
     target = str(tmp_path / "store")
     streams.stream_store(stream_of(spark, df, tmp_path / "p"), target)
-    streams.stream_store(stream_of(spark, df, tmp_path / "q"), target)
-    stored = [r.url for r in spark.read.parquet(target).collect()]
-    assert sorted(stored) == [f"u{i}" for i in range(7)]
+    streams.stream_store(stream_of(spark, other, tmp_path / "q"), target)
+    streams.stream_store(stream_of(spark, df, tmp_path / "r"), target)
+    stored = {r.url: r.policy_name for r in spark.read.parquet(target).collect()}
+    assert stored == {f"u{i}": "x" if i < 7 else "y" for i in range(9)} and spark.read.parquet(target).count() == 9
+
+
+def test_deep_hierarchies(spark):
+    rows = [(0, "land", "Land", "country", "1", None, [], [])] + [(i, f"p{i}", f"P{i}", "subnational", None, f"p{i - 1}" if i > 1 else "land", [], []) for i in range(1, 14)]
+    rows += [(20 + i, f"g{i}", f"G{i}", "group", None, None, [f"g{i + 1}" if i < 9 else "p3"], []) for i in range(10)]
+    registry = spark.createDataFrame(rows, REGISTRY_SCHEMA)
+    up = {r.slug: r.country for r in places.country_rollup(registry).collect()}
+    assert all(up[f"p{i}"] == "land" for i in range(1, 14))
+    assert [r.slug for r in places.members_of(registry, "g0").collect()] == ["p3"]
+
+
+def test_long_chains_of_items(spark):
+    rows = [(i, f"u{(i + 1) // 2}", f"t{i // 2}") for i in range(104)]
+    df = spark.createDataFrame(rows, "seq long, url string, title string")
+    assert sorted(r.seq for r in signals.dedupe_items(df).collect()) == brute_dedupe(rows)
+
+
+def test_import_lists_all_invalid_rows(spark):
+    rows = [(i, "" if i % 2 else "https://x/" + str(i)) for i in range(3000)]
+    blank = [F.lit("5" if h == "Relevance Score" else "n" if h == "Name" else "").alias(h) for h in sinks.HEADERS if h != "Link"]
+    sheet = spark.createDataFrame(rows, "seq long, Link string").select("seq", "Link", *blank)
+    new, summary, bad = sinks.import_staging(sheet, spark.createDataFrame([], "url string"))
+    assert tuple(summary.first()) == (3000, 1500, 0, 1500) and new.count() == 1500
+    assert sorted(r.row for r in bad.collect()) == [i + 2 for i in range(1, 3000, 2)]
+
+
+def test_cost_of_a_full_scan(spark):
+    domains = spark.range(404).select(F.col("id").cast("string").alias("id"), F.lit(True).alias("enabled"))
+    assert tuple(scans.estimate_cost(domains).first()) == (404, 40400, 4040, 2020, 153.82)
+
+
+def test_sources_as_configured(spark, tmp_path):
+    """What the loader reads can be selected, counted and planned."""
+    (tmp_path / "domains").mkdir()
+    (tmp_path / "domains" / "all.yaml").write_text("domains:\n  - {id: a, name: A, region: [france, eu], policy_types: [law]}\n  - {id: b, name: B, region: [eu], enabled: false}\n  - {id: c, name: C, region: [sweden, nordic], tags: [x]}\n")
+    (tmp_path / "keywords.yaml").write_text("keywords: {}\n")
+    domains = readers.load_dims(spark, str(tmp_path))["domains"]
+    groups = spark.createDataFrame([("g", ["a", "b"])], "group string, domain_ids array<string>")
+    ids = lambda df: sorted(r.id for r in df.collect() if r.id)
+    assert ids(scans.resolve_targets(domains, groups, "eu")) == ["a"] and ids(scans.resolve_targets(domains, groups, "g,nordic")) == ["a", "c"]
+    assert [r.unknown for r in scans.resolve_targets(domains, groups, "b").collect()] == [True]
+    assert ids(scans.filter_domains(domains, policy_type="law")) == ["a"] and ids(scans.filter_domains(domains)) == ["a", "c"]
+    local = spark.createDataFrame([("sweden",)], "slug string")
+    assert {tuple(r) for r in scans.source_counts(domains, groups, local).collect()} == {("group", "g", 2), ("broad", "eu", 1), ("broad", "nordic", 1), ("country", "france", 1), ("state", "sweden", 1), ("total", "", 2)}
+    plan = scans.search_plan(domains, "sweden", ["nordic"])
+    assert ids(plan) == ["c"] and tuple(scans.plan_ceiling(plan, "high").first()) == (1, 1, 0.6)

@@ -17,7 +17,7 @@ from .places import LOCAL_KINDS
 def located(df: DataFrame, registry: DataFrame, rollup: DataFrame) -> DataFrame:
     """Adds kind, country, iso, place (country or off-map slug) and spot: country, offmap or unresolved."""
     dims = registry.select("slug", "kind").join(rollup, "slug").join(registry.select(F.col("slug").alias("country"), F.col("iso_numeric").alias("iso")), "country", "left")
-    out = df.join(F.broadcast(dims.select("slug", "kind", "country", "iso")), "slug", "left")
+    out = df.join(dims.select("slug", "kind", "country", "iso"), "slug", "left")
     spot = F.when(F.col("country").isNotNull() & F.col("iso").isNotNull(), "country").when(F.col("country").isNotNull() | F.col("kind").isin("supranational", "group"), "offmap").otherwise("unresolved")
     return out.withColumn("spot", spot).withColumn("place", F.coalesce("country", "slug"))
 
@@ -30,7 +30,7 @@ def top_names(df: DataFrame, key: str, k: int = 3) -> DataFrame:
 
 
 def coverage(policies: DataFrame, sources: DataFrame, registry: DataFrame, rollup: DataFrame) -> DataFrame:
-    """CV-01, CV-02, CV-04: spot, place, policies, sources (distinct), children_with_data and top_policy_names per place with any.
+    """CV-01, CV-02, CV-04: spot, place, its name and iso_numeric, policies, sources (distinct), children_with_data and top_policy_names per place with any.
 
     Group and supranational tags of sources give no place a source.
     """
@@ -43,17 +43,18 @@ def coverage(policies: DataFrame, sources: DataFrame, registry: DataFrame, rollu
     children = p.filter(local).select("place", "slug").union(s.filter(local).select("place", "slug")).distinct().groupBy("place").agg(F.count("*").alias("children_with_data"))
     both = counts.join(tagged, "place", "full").join(children, "place", "left").join(top_names(p, "place"), "place", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return both.select(F.coalesce("p_spot", "s_spot").alias("spot"), "place", zero("policies"), zero("sources"), zero("children_with_data"), F.coalesce("top_policy_names", F.array().cast("array<string>")).alias("top_policy_names"))
+    both = both.join(registry.select(F.col("slug").alias("place"), "name", "iso_numeric"), "place", "left")
+    return both.select(F.coalesce("p_spot", "s_spot").alias("spot"), "place", F.coalesce("name", "place").alias("name"), "iso_numeric", zero("policies"), zero("sources"), zero("children_with_data"), F.coalesce("top_policy_names", F.array().cast("array<string>")).alias("top_policy_names"))
 
 
 def coverage_countries(*args: DataFrame) -> DataFrame:
-    """CV-01, in order of policies, then place."""
-    return coverage(*args).filter("spot = 'country'").orderBy(F.col("policies").desc(), "place")
+    """CV-01, in order of policies, then name."""
+    return coverage(*args).filter("spot = 'country'").orderBy(F.col("policies").desc(), "name")
 
 
 def coverage_offmap(*args: DataFrame) -> DataFrame:
-    """CV-02, in order of policies, sources, then place."""
-    return coverage(*args).filter("spot = 'offmap'").orderBy(F.col("policies").desc(), F.col("sources").desc(), "place")
+    """CV-02, in order of policies, sources, then name."""
+    return coverage(*args).filter("spot = 'offmap'").orderBy(F.col("policies").desc(), F.col("sources").desc(), "name")
 
 
 def coverage_children(policies: DataFrame, sources: DataFrame, registry: DataFrame, rollup: DataFrame, country: str) -> DataFrame:
@@ -80,5 +81,5 @@ def coverage_bin(policies: Column, tracked: Column) -> Column:
 
 def coverage_bins(places: DataFrame, covered: DataFrame) -> DataFrame:
     """CV-07: every place with its policies and bin; places nobody tracks are untracked."""
-    joined = places.join(F.broadcast(covered.select("place", "policies")), "place", "left")
+    joined = places.join(covered.select("place", "policies"), "place", "left")
     return joined.withColumn("bin", coverage_bin(F.col("policies"), F.col("policies").isNotNull())).withColumn("policies", F.coalesce("policies", F.lit(0).cast("long")))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..durable import durable
 from .changes import first_rows
 
 LOCAL_KINDS = ("us_state", "subnational")
@@ -46,19 +47,18 @@ def alias_index(registry: DataFrame) -> DataFrame:
 
 
 def country_rollup(registry: DataFrame) -> DataFrame:
-    """PL-03: slug -> country: the first country up the parents; null beyond a cycle or a missing parent."""
-    rows = registry.select("slug", "kind", "parent")
-    now = rows.select("slug", F.when(F.col("kind") == "country", F.col("slug")).alias("country"), F.col("parent").alias("at"), F.array("slug").alias("path"))
-    up = rows.select(F.col("slug").alias("_slug"), F.col("kind").alias("_kind"), F.col("parent").alias("_parent"))
-    depth = registry.filter("parent is not null").select("parent").distinct().count()
-    for _ in range(min(depth, 8)):  # hierarchies are a few levels deep; each round goes up one
-        open_ = F.col("country").isNull() & F.col("_slug").isNotNull() & ~F.array_contains("path", F.col("_slug"))
-        now = now.join(F.broadcast(up), F.col("at") == F.col("_slug"), "left").select(
-            "slug",
-            F.coalesce("country", F.when(open_ & (F.col("_kind") == "country"), F.col("_slug"))).alias("country"),
-            F.when(open_, F.col("_parent")).alias("at"),
-            F.when(open_, F.array_append("path", F.col("_slug"))).otherwise(F.col("path")).alias("path"),
-        )
+    """PL-03: slug -> country: the first country up the parents, however far; null beyond a cycle or a missing parent.
+
+    Each round looks twice as far up as the one before, so as many are needed as the logarithm of the deepest level.
+    """
+    own = F.when(F.col("kind") == "country", F.col("slug"))
+    now = durable(registry.select("slug", own.alias("country"), F.when(own.isNull(), F.col("parent")).alias("at")))
+    open_ = F.col("country").isNull() & F.col("at").isNotNull()
+    for _ in range(now.count().bit_length()):  # beyond that only cycles are left
+        if now.filter(open_).isEmpty():
+            break
+        up = now.select(F.col("slug").alias("_slug"), F.col("country").alias("_country"), F.col("at").alias("_at"))
+        now = durable(now.join(up, F.col("at") == F.col("_slug"), "left").select("slug", F.coalesce("country", "_country").alias("country"), F.when(F.coalesce("country", "_country").isNull(), F.col("_at")).alias("at")))
     return now.select("slug", "country")
 
 
@@ -67,16 +67,17 @@ def children_of(registry: DataFrame, rollup: DataFrame, slug: str) -> DataFrame:
     return registry.filter(F.col("kind").isin(*LOCAL_KINDS)).join(rollup.filter(F.col("country") == slug), "slug", "left_semi")
 
 
-def members_of(registry: DataFrame, slug: str, depth: int = 6) -> DataFrame:
-    """PL-05: leaf members of a group, each once, in depth-first order (`position`)."""
+def members_of(registry: DataFrame, slug: str) -> DataFrame:
+    """PL-05: leaf members of a group, each once, in depth-first order (`position`), however deep they lie."""
     rows = registry.select("slug", F.coalesce("members", F.array().cast("array<string>")).alias("members"))
-    inner = rows.select(F.col("slug").alias("_slug"), F.col("members").alias("_members"))
+    inner = durable(rows.select(F.col("slug").alias("_slug"), F.col("members").alias("_members")))
     now = rows.filter(F.col("slug") == slug).select(F.posexplode("members").alias("i", "slug"), F.array(F.lit(slug)).alias("path")).select("slug", F.array("i").alias("order"), "path")
-    found = None
-    for _ in range(depth):
-        joined = now.join(F.broadcast(inner), F.col("slug") == F.col("_slug")).filter(~F.array_contains("path", F.col("slug")))
-        leaves = joined.filter(F.size("_members") == 0).select("slug", "order")
-        found = leaves if found is None else found.union(leaves)
+    found = now.limit(0).select("slug", "order")
+    while True:
+        joined = durable(now.join(inner, F.col("slug") == F.col("_slug")).filter(~F.array_contains("path", F.col("slug"))))
+        if joined.isEmpty():
+            break
+        found = found.union(joined.filter(F.size("_members") == 0).select("slug", "order"))
         now = joined.filter(F.size("_members") > 0).select("order", F.array_append("path", F.col("slug")).alias("path"), F.posexplode("_members").alias("i", "slug")).select("slug", F.array_append("order", F.col("i")).alias("order"), "path")
     return first_rows(found, ["slug"], [F.col("order")]).select("slug", F.col("order").alias("position"))
 
@@ -146,7 +147,7 @@ def unresolved_report(resolved: DataFrame, column: str = "jurisdiction") -> Data
 def filter_place(resolved: DataFrame, rollup: DataFrame, slug: str) -> DataFrame:
     """PL-07: rows of the place itself, and of all places of it if it is a country."""
     inside = rollup.filter((F.col("slug") == slug) | (F.col("country") == slug)).select("slug")
-    return resolved.join(F.broadcast(inside), "slug", "left_semi")
+    return resolved.join(inside, "slug", "left_semi")
 
 
 def jurisdiction_matches(query: str, stored: Column) -> Column:

@@ -40,26 +40,24 @@ def title_key(title: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(title, r"\s+", " ")))
 
 
-def dedupe_items(items: DataFrame, rounds: int = 50) -> DataFrame:
+def dedupe_items(items: DataFrame) -> DataFrame:
     """SG-03: items kept in order of seq: one goes if an earlier kept item has its url or its title.
 
     Items with the same url and title as an earlier one are always repeats; they go first, by one aggregation. What
     is left is settled in rounds: an undecided item that is the first of both its url and its title stays, and all
     that share either with it go; items that share only with dropped ones move up. Each round decides the
-    first undecided item of every connected group at least, and long chains are rare.
+    first undecided item of every connected group at least, so rounds end; most groups need two or three, and only chains of
+    items that share url and title in turn need more.
     """
     keyed = items.withColumn("_title", title_key(F.col("title")))
-    open_ = first_rows(keyed, ["url", "_title"], [F.col("seq")]).select("seq", "url", "_title")
-    kept = None
-    for _ in range(rounds):
+    open_ = durable(first_rows(keyed, ["url", "_title"], [F.col("seq")]).select("seq", "url", "_title"))
+    kept = open_.select("seq").limit(0)
+    while not open_.isEmpty():
         least = lambda c: open_.groupBy(c).agg(F.min("seq").alias("seq"))
         stay = durable(open_.join(least("url"), ["url", "seq"], "left_semi").join(least("_title"), ["_title", "seq"], "left_semi").select("seq", "url", "_title"))
-        kept = stay if kept is None else kept.union(stay)
-        rest = durable(open_.join(stay.select("url"), "url", "left_anti").join(stay.select("_title"), "_title", "left_anti").select("seq", "url", "_title"))
-        if rest.isEmpty():
-            return items.join(kept.select("seq"), "seq", "left_semi")
-        open_ = rest
-    raise RuntimeError(f"chains of items that share urls and titles in turn go on for more than {rounds} rounds")
+        kept = kept.union(stay.select("seq"))
+        open_ = durable(open_.join(stay.select("url"), "url", "left_anti").join(stay.select("_title"), "_title", "left_anti").select("seq", "url", "_title"))
+    return items.join(kept, "seq", "left_semi")
 
 
 def triage_items(items: DataFrame, verdicts: DataFrame, cap: int = 50) -> DataFrame:
