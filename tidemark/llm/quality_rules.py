@@ -30,7 +30,7 @@ MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
 #: Rows that a group of its own has at least.
 LEAST = 100
 #: By how much less the logarithm of a determinant's root doesn't count as falling.
-STILL = 1e-3
+STILL = 1e-2
 #: Share of a group's rows that is fitted, the factor that makes its covariance that of all, bins of distances, and the largest squared distance (of a chi-square variable with five degrees, one in 100,000 lies beyond it).
 SHARE, CONSISTENCY, BINS, CUTOFF = 0.6, 1.66, 64, 30.9
 FEATURES = ["z_length", "z_symbols", "z_shouts", "z_lines", "z_repeats"]
@@ -169,21 +169,15 @@ def concentrate(cells: DataFrame) -> DataFrame:
     away = axes.join(middle, ["pool", "axis"]).withColumn("off", F.abs(F.col("z") - F.col("median")))
     spread = _medians(away, "off").withColumnRenamed("median", "mad")
     robust = middle.join(spread, ["pool", "axis"]).groupBy("pool").agg(*(F.max(F.when(F.col("axis") == i, F.col(c))).alias(f"{c}{i}") for i in range(_D) for c in ("median", "mad")))
-    # how many cells each pool has, for joins that keep those of a large one spread
-    counts = durable(cells.groupBy("pool").agg(F.count("*").alias("n")))
-    spread_over = lambda by_pool: join_spread(cells, by_pool.join(counts, "pool"), "pool", "n", total=total)
-    total = counts.agg(F.sum("n")).first()[0] or 0
     from_medians = F.lit(0.0)
     for i, z in enumerate(FEATURES):
         from_medians = from_medians + ((F.col(z) - F.col(f"median{i}")) / F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(float(UNITS)))) ** 2
-    first = spread_over(robust).select(*cells.columns, F.lit(0).alias("start"), from_medians.alias("d"))
-    second = spread_over(_estimate(cells, ["pool"])).select(*cells.columns, F.lit(1).alias("start"), _distance().alias("d"))
+    first = cells.join(robust, "pool").select(*cells.columns, F.lit(0).alias("start"), from_medians.alias("d"))
+    second = cells.join(_estimate(cells, ["pool"]), "pool").select(*cells.columns, F.lit(1).alias("start"), _distance().alias("d"))
     now = _fits(first.union(second))
     seen = now
     while True:
-        both = now.groupBy("pool").agg(F.collect_list(F.struct("start", *_M, *_T)).alias("fits"))  # two
-        at = spread_over(both).select(*cells.columns, F.explode("fits").alias("fit")).select(*cells.columns, "fit.*")
-        now = _fits(at.select(*cells.columns, "start", _distance().alias("d")))
+        now = _fits(cells.join(now, "pool").select(*cells.columns, "start", _distance().alias("d")))
         least = seen.groupBy("pool", "start").agg(F.min("logdet").alias("least"))
         lower = now.join(least, ["pool", "start"]).filter(F.col("logdet") < F.col("least") - STILL)
         seen = seen.union(now)
