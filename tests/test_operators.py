@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -112,10 +114,76 @@ REGISTRY = [
 REGISTRY_SCHEMA = "seq long, slug string, name string, kind string, iso_numeric string, parent string, members array<string>, aliases array<string>"
 
 
-@pytest.mark.parametrize("text, want", [("Sweden (EU)", "sweden"), ("USA", "us"), ("Minnesota, USA", "minnesota"), ("Germany (Peine, Lower Saxony)", "lower_saxony"), ("Germany (Federal)", "germany"), ("Belarus", None), ("Stockholm, Sverige", "sweden"), ("in Deutschland today", "germany"), ("", None), ("  ", None), (None, None), ("Wallonia", None)])
-def test_resolve(spark, text, want):
+def normal_text(text: str) -> str:
+    return " ".join(text.split()).lower()
+
+
+class Resolver:
+    """PL-02 for one text, alias by alias."""
+
+    def __init__(self, aliases: list[tuple[str, str]], kinds: dict[str, str], countries: dict[str, str | None]) -> None:
+        self.index = dict(reversed(aliases))
+        ordered = sorted(aliases, key=lambda x: -len(x[0]))
+        self.words = [(re.compile(rf"\b{re.escape(a)}\b"), slug) for a, slug in ordered]
+        self.kinds, self.countries = kinds, countries
+
+    def _find(self, text: str) -> str | None:
+        return self.index.get(text) or next((slug for p, slug in self.words if p.search(text)), None)
+
+    def _same_country(self, a: str, b: str) -> bool:
+        return self.countries.get(a) is not None and self.countries.get(a) == self.countries.get(b)
+
+    def resolve(self, raw: str | None) -> str | None:
+        text = normal_text(raw or "")
+        if not text:
+            return None
+        if text in self.index:
+            return self.index[text]
+        outside = normal_text(re.sub(r"\([^)]*\)", " ", text))
+        inside = re.search(r"\(([^)]*)\)", text)
+        if inside:
+            outer = self._find(outside)
+            whole = normal_text(inside[1])
+            inner = self._find(whole) or next((s for s in map(self._find, map(normal_text, whole.split(","))) if s), None)
+            if outer and inner and self.kinds.get(inner) in places.LOCAL_KINDS and self._same_country(inner, outer):
+                return inner
+        text = outside or text
+        if text in self.index:
+            return self.index[text]
+        if "," in text:
+            child, country = (self._find(normal_text(p)) for p in text.split(",", 1))
+            if child and country and self.countries.get(child) == country:
+                return child
+            if country or child:
+                return country or child
+        return self._find(text)
+
+
+def test_resolve(spark):
+    want = dict([("Sweden (EU)", "sweden"), ("USA", "us"), ("Minnesota, USA", "minnesota"), ("Germany (Peine, Lower Saxony)", "lower_saxony"), ("Germany (Federal)", "germany"), ("Belarus", None), ("Stockholm, Sverige", "sweden"), ("in Deutschland today", "germany"), ("", None), ("  ", None), (None, None), ("Wallonia", None)])
     registry = spark.createDataFrame(REGISTRY, REGISTRY_SCHEMA)
-    assert places.resolve_places(spark.createDataFrame([(text,)], "jurisdiction string"), registry).first().slug == want
+    got = {r.jurisdiction: r.slug for r in places.resolve_places(spark.createDataFrame([(t,) for t in want], "jurisdiction string"), registry).collect()}
+    assert got == want
+
+
+def test_resolve_brute_force(spark):
+    registry = spark.createDataFrame(REGISTRY, REGISTRY_SCHEMA)
+    aliases = [(r.alias, r.slug) for r in places.alias_index(registry).orderBy("seq", "alias").collect()]
+    kinds = {r[1]: r[3] for r in REGISTRY}
+    resolver = Resolver(aliases, kinds, {r.slug: r.country for r in places.country_rollup(registry).collect()})
+    draw, names = random.Random(5), [*(a for a, _ in aliases), "x", "u.s.a", "swedenx", "Österreich", ""]
+    made = ["{} ({})", "({})", "{}, {}", "{} ({}, {})", "{} {}", "{}  ({}) {}", "{}, {}, {}", "the {} of {}", "{}", "({}", "{} (), {}"]
+    texts = sorted({m.format(*draw.choices(names, k=m.count("{}"))) for m in made for _ in range(60)} | {t.upper() for t in names})
+    got = {r.jurisdiction: r.slug for r in places.resolve_places(spark.createDataFrame([(t,) for t in texts], "jurisdiction string"), registry).collect()}
+    assert got == {t: resolver.resolve(t) for t in texts} and len(set(got.values())) > 8
+
+
+def test_holding_words(spark):
+    names = ["new york", "york", "york, pa", "a.b.", "é", "--", "new"]
+    texts = ["old new york, pa", "newyork", "a.b.c", "x -- y", "café é", "york", "", "new new"]
+    df = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    got = {(r.text, r.name) for r in places.holding(df(texts, "text"), df(names, "name"), "text", "name").collect()}
+    assert got == {(t, n) for t in texts for n in names if re.search(rf"\b{re.escape(n)}\b", t) and re.search(r"\w", n)}
 
 
 def test_hierarchy(spark):

@@ -46,8 +46,10 @@ def sitemap_urls(sitemaps: DataFrame, max_urls: int = 200, max_nested: int = 5)
     """URL-06: (site, kind, loc, position) of sitemaps (site, seq, body): kind sitemap for .xml targets, the first `max_nested`, else url, the first `max_urls`."""
     rows = sitemaps.select("site", "seq", F.posexplode(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("position", "loc"))
     rows = rows.withColumn("kind", F.when(F.lower("loc").endswith(".xml"), "sitemap").otherwise("url"))
-    turn = F.row_number().over(W.partitionBy("site", "kind").orderBy("seq", "position"))
-    return rows.withColumn("turn", turn).filter(F.col("turn") <= F.when(F.col("kind") == "url", max_urls).otherwise(max_nested)).select("site", "kind", "loc", F.col("turn").alias("position"))
+    turn = F.row_number().over(W.partitionBy("site").orderBy("seq", "position"))
+    # each kind with a limit of its own, so that tasks keep a site's first rows before the shuffle
+    first = lambda kind, most: rows.filter(F.col("kind") == kind).withColumn("turn", turn).filter(F.col("turn") <= most)
+    return first("url", max_urls).union(first("sitemap", max_nested)).select("site", "kind", "loc", F.col("turn").alias("position"))
 
 
 def frontier_topk(urls: DataFrame, max_pages: int | Column = 200) -> DataFrame:
@@ -61,8 +63,11 @@ def frontier_topk(urls: DataFrame, max_pages: int | Column = 200) -> DataFrame:
 
 
 def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
-    """URL-08: (url, depth): each URL within `max_depth` links of a seed, at its least depth; one join a level, each checkpointed."""
-    links = edges.select("src_url", "dst_url").distinct()
+    """URL-08: (url, depth): each URL within `max_depth` links of a seed, at its least depth; one join a level, each checkpointed.
+
+    The links are made distinct and written once, however many levels are walked.
+    """
+    links = durable(edges.select("src_url", "dst_url").distinct())
     level = durable(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     seen = level
     for depth in range(1, max_depth + 1):

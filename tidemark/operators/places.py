@@ -1,18 +1,15 @@
 """Places: the alias index, free-text resolution, hierarchy rollups and filters.
 
-The registry (slug, name, kind, iso_numeric, parent, members, aliases, seq) is a small configured
-dimension. Free texts are resolved once per distinct text and joined back.
+The registry (slug, name, kind, iso_numeric, parent, members, aliases, seq) is joined with, never collected. Free texts
+are resolved once per distinct text and joined back.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..durable import durable
 from .changes import first_rows
@@ -31,11 +28,7 @@ ALIAS_GROUPS = [
 
 
 def normal(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-
-
-def _normal(text: str) -> str:
-    return " ".join(text.split()).lower()
+    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
 def alias_index(registry: DataFrame) -> DataFrame:
@@ -82,60 +75,54 @@ def members_of(registry: DataFrame, slug: str) -> DataFrame:
     return first_rows(found, ["slug"], [F.col("order")]).select("slug", F.col("order").alias("position"))
 
 
-class Resolver:
-    """PL-02 for one text, from the alias index and the rollup."""
-
-    def __init__(self, aliases: list[tuple[str, str]], kinds: dict[str, str], countries: dict[str, str | None]) -> None:
-        self.index = dict(reversed(aliases))
-        ordered = sorted(aliases, key=lambda x: -len(x[0]))
-        self.words = [(re.compile(rf"\b{re.escape(a)}\b"), slug) for a, slug in ordered]
-        self.kinds, self.countries = kinds, countries
-
-    def _find(self, text: str) -> str | None:
-        return self.index.get(text) or next((slug for p, slug in self.words if p.search(text)), None)
-
-    def _same_country(self, a: str, b: str) -> bool:
-        return self.countries.get(a) is not None and self.countries.get(a) == self.countries.get(b)
-
-    def resolve(self, raw: str | None) -> str | None:
-        text = _normal(raw or "")
-        if not text:
-            return None
-        if text in self.index:
-            return self.index[text]
-        outside = _normal(re.sub(r"\([^)]*\)", " ", text))
-        inside = re.search(r"\(([^)]*)\)", text)
-        if inside:
-            outer = self._find(outside)
-            whole = _normal(inside[1])
-            inner = self._find(whole) or next((s for s in map(self._find, map(_normal, whole.split(","))) if s), None)
-            if outer and inner and self.kinds.get(inner) in LOCAL_KINDS and self._same_country(inner, outer):
-                return inner
-        text = outside or text
-        if text in self.index:
-            return self.index[text]
-        if "," in text:
-            child, country = (self._find(_normal(p)) for p in text.split(",", 1))
-            if child and country and self.countries.get(child) == country:
-                return child
-            if country or child:
-                return country or child
-        return self._find(text)
+def holding(texts: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
+    """Pairs of rows of which `text` holds `name` as whole words. They meet by the word of the name that fewest names have, so
+    no text is compared with all names; a name without any letter or digit is in no text."""
+    words = lambda c: F.array_distinct(F.array_remove(F.split(c, r"(?U)\W+"), ""))
+    long = names.select(F.col(name).alias("_name"), F.explode(words(F.col(name))).alias("_word")).distinct()
+    few = long.join(long.groupBy("_word").agg(F.count("*").alias("_n")), "_word").groupBy("_name").agg(F.min(F.struct("_n", "_word")).alias("_met"))
+    keyed = names.join(few, F.col(name) == F.col("_name")).withColumn("_word", F.col("_met._word")).drop("_name", "_met")
+    found = texts.withColumn("_word", F.explode(words(F.col(text)))).join(keyed, "_word")
+    return found.filter(F.regexp(F.col(text), F.concat(F.lit(r"(?U)\b\Q"), F.col(name), F.lit(r"\E\b")))).drop("_word")
+
+
+def find_places(probes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(probe, exact, slug) of distinct texts that are an alias (exact) or hold one: the longest, then the first of the registry."""
+    whole = probes.join(aliases, F.col("probe") == F.col("alias")).select("probe", F.col("slug").alias("exact"), F.lit(None).cast("struct<o:int,seq:bigint,alias:string,slug:string>").alias("within"))
+    part = holding(probes, aliases.withColumn("seq", F.col("seq").cast("long")), "probe", "alias")
+    part = part.select("probe", F.lit(None).cast("string").alias("exact"), F.struct((-F.length("alias")).alias("o"), "seq", "alias", "slug").alias("within"))
+    best = whole.union(part).groupBy("probe").agg(F.max("exact").alias("exact"), F.min("within").alias("within"))
+    return best.select("probe", "exact", F.coalesce("exact", "within.slug").alias("slug"))
 
 
 def resolve_places(df: DataFrame, registry: DataFrame, column: str = "jurisdiction") -> DataFrame:
-    """PL-02: adds `slug`, null if nothing is found. Distinct texts are resolved by vectorized tasks and joined back."""
-    aliases = [(r.alias, r.slug) for r in alias_index(registry).orderBy("seq", "alias").collect()]  # the registry is configuration
-    kinds = {r.slug: r.kind for r in registry.select("slug", "kind").collect()}
-    countries = {r.slug: r.country for r in country_rollup(registry).collect()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        resolver = Resolver(aliases, kinds, countries)
-        for b in batches:
-            yield pd.DataFrame({"_text": b["_text"], "slug": [resolver.resolve(t) for t in b["_text"]]})
-
-    schema = T.StructType([T.StructField("_text", T.StringType()), T.StructField("slug", T.StringType())])
-    known = df.select(F.col(column).alias("_text")).filter("_text is not null").distinct().mapInPandas(run, schema).filter("slug is not null")
+    """PL-02: adds `slug`, null if nothing is found. A text that is an alias is that place; else a local place in parentheses
+    whose country is that of the text outside; else what is outside: an alias, a local place and its country around a comma,
+    the country, the local place, or the longest alias within.
+
+    Each distinct text is looked up once, and each of its parts once for all texts, by joins with the alias index.
+    """
+    texts = df.select(F.col(column).alias("_text")).distinct().withColumn("low", normal(F.col("_text"))).filter("low <> ''")
+    outside, inside = normal(F.regexp_replace("low", r"\([^)]*\)", " ")), normal(F.regexp_extract("low", r"\(([^)]*)\)", 1))
+    texts = texts.withColumn("base", F.coalesce(F.nullif(outside, F.lit("")), F.col("low"))).withColumn("bare", outside == "").withColumn("inside", inside)
+    at = F.instr("base", ",")
+    probe = lambda role, text, i=None: F.struct(F.lit(role).alias("role"), (F.lit(0) if i is None else i + 1).alias("i"), normal(text).alias("probe"))
+    parts = F.transform(F.split("inside", ","), lambda x, i: probe("inner", x, i))
+    around = F.when(at > 0, F.array(probe("child", F.expr("left(base, instr(base, ',') - 1)")), probe("rest", F.expr("substr(base, instr(base, ',') + 1)"))))
+    asked = F.concat(F.array(probe("text", F.col("low")), probe("base", F.col("base")), probe("inner", F.col("inside"))), parts, F.coalesce(around, F.array().cast("array<struct<role:string,i:int,probe:string>>")))
+    rows = texts.select("_text", "bare", F.inline(asked)).filter("probe <> ''")
+    found = find_places(rows.select("probe").distinct(), alias_index(registry))
+    told = lambda role, value: F.max(F.when(F.col("role") == role, F.col(value))).alias(f"{role}_{value}")
+    inner = F.min(F.when((F.col("role") == "inner") & F.col("slug").isNotNull(), F.struct("i", "slug")))
+    by_text = rows.join(found, "probe").groupBy("_text", "bare").agg(told("text", "exact"), told("base", "exact"), told("base", "slug"), told("child", "slug"), told("rest", "slug"), inner.alias("inner"))
+    about = first_rows(registry, ["slug"], [F.col("seq")]).select("slug", "kind").join(country_rollup(registry).distinct(), "slug")
+    for role, slug in (("inner", "inner.slug"), ("base", "base_slug"), ("child", "child_slug")):
+        known = about.select(F.col("slug").alias("_slug"), F.col("kind").alias(f"{role}_kind"), F.col("country").alias(f"{role}_country"))
+        by_text = by_text.join(known, F.col(slug) == F.col("_slug"), "left").drop("_slug")
+    local = ~F.col("bare") & F.col("inner_kind").isin(*LOCAL_KINDS) & (F.col("inner_country") == F.col("base_country"))
+    child = F.when(F.col("child_country") == F.col("rest_slug"), F.col("child_slug"))
+    slug = F.coalesce("text_exact", F.when(local, F.col("inner.slug")), "base_exact", child, "rest_slug", "child_slug", "base_slug")
+    known = by_text.select("_text", slug.alias("slug")).filter("slug is not null")
     return df.join(known, F.col(column) == F.col("_text"), "left").drop("_text")
 
 
@@ -180,9 +167,8 @@ def split_jurisdiction(df: DataFrame, places: DataFrame, column: str = "jurisdic
     bare = F.trim(F.regexp_replace("_low", r"\s*\([^)]*\)\s*$", ""))
     off = lambda c: F.trim(F.regexp_replace(c, r"\bstate\b$", ""))
     tries = texts.select("_raw", "_low", F.posexplode(F.array(F.col("_low"), bare, off(F.col("_low")), off(bare))).alias("_try", "_name"))
-    exact = tries.join(F.broadcast(places), F.col("_name") == F.col("name")).select("_raw", F.struct(F.lit(0), F.col("_try"), "rank", "area", "country", "region").alias("hit"))
-    narrow = places.filter(~F.col("broad"))
-    within = texts.join(F.broadcast(narrow), F.col("_low").contains(F.col("name")) & F.expr(r"_low rlike concat('\\b\\Q', name, '\\E\\b')")).select("_raw", F.struct(F.lit(1), F.lit(0).alias("_try"), "rank", "area", "country", "region").alias("hit"))
+    exact = tries.join(places, F.col("_name") == F.col("name")).select("_raw", F.struct(F.lit(0), F.col("_try"), "rank", "area", "country", "region").alias("hit"))
+    within = holding(texts, places.filter(~F.col("broad")), "_low", "name").select("_raw", F.struct(F.lit(1), F.lit(0).alias("_try"), "rank", "area", "country", "region").alias("hit"))
     best = exact.union(within).groupBy("_raw").agg(F.min("hit").alias("hit"))
     raw = F.trim(F.coalesce(column, F.lit("")))
     out = df.withColumn("_key", raw).join(best, F.col("_key") == F.col("_raw"), "left")

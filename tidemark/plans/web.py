@@ -85,12 +85,12 @@ def url07_frontier(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'u' || CAST(o_custkey % 997 AS STRING) AS s, 'u' || CAST((o_orderkey * 31) % 997 AS STRING) AS d FROM orders),
-b(url, depth) AS (SELECT 'u' || CAST(x AS STRING), 0 FROM (VALUES (1), (2), (3)) t(x) UNION SELECT e.d, b.depth + 1 FROM b JOIN e ON b.url = e.s WHERE b.depth < 2)
+WITH RECURSIVE e AS (SELECT DISTINCT 'u' || CAST(o_custkey AS STRING) AS s, 'u' || CAST(CAST(floor(o_orderkey / 40) AS BIGINT) AS STRING) AS d FROM orders),
+b(url, depth) AS (SELECT 'u' || CAST(x AS STRING), 0 FROM (VALUES (1), (2), (3)) t(x) UNION SELECT e.d, b.depth + 1 FROM b JOIN e ON b.url = e.s WHERE b.depth < 3)
 SELECT url, CAST(min(depth) AS INT) AS depth FROM b GROUP BY url""")
 def url08_reach(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").selectExpr("'u' || (o_custkey % 997) AS src_url", "'u' || ((o_orderkey * 31) % 997) AS dst_url")
-    return frontier.bfs_depth(edges, spark.createDataFrame([("u1",), ("u2",), ("u3",)], "url string"), 2)
+    edges = table(spark, sf_dir, "orders").selectExpr("'u' || o_custkey AS src_url", "'u' || CAST(floor(o_orderkey / 40) AS BIGINT) AS dst_url")
+    return frontier.bfs_depth(edges, spark.createDataFrame([("u1",), ("u2",), ("u3",)], "url string"))
 
 
 @query(f"""
