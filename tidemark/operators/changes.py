@@ -75,3 +75,8 @@ def new_measures(measures: DataFrame, seen: DataFrame, cap: int = 25) -> DataFra
     fresh = keyed.join(seen.select("celex", "key"), ["celex", "key"], "left_anti")
     once = first_rows(fresh, ["link"], [F.col("seq")])
     return once.orderBy("seq").limit(cap)
+
+
+def mark_seen(seen: DataFrame, found: DataFrame) -> DataFrame:
+    """CD-07: the seen-set (celex, key) after a run that took the measures `found`."""
+    return seen.select("celex", "key").union(found.select("celex", "key")).distinct()

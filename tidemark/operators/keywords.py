@@ -170,6 +170,11 @@ def keyword_stats(df: DataFrame) -> DataFrame:
     return long.rollup("category", "lang", "term").agg(F.count("*").alias("n_docs"))
 
 
+def near_misses(judged: DataFrame, *keys: str) -> DataFrame:
+    """KW-10: the near misses among judged rows, with their scores and the terms behind them: what to look at when tuning."""
+    return judged.filter("near_miss").select(*keys, "score", "url_bonus", F.col("matches.term").alias("terms"))
+
+
 def infer_tags(text: Column, explicit: Column, tags: list[tuple[str, str]], most: int = 8) -> Column:
     """KW-11: the explicit tags, then those whose name, or a word of five letters or more of whose description, is in the text."""
     low = F.lower(F.coalesce(text, F.lit("")))

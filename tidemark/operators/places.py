@@ -110,8 +110,8 @@ def resolve_places(df: DataFrame, registry: DataFrame, column: str = "jurisdicti
     parts = F.transform(F.split("inside", ","), lambda x, i: probe("inner", x, i))
     around = F.when(at > 0, F.array(probe("child", F.expr("left(base, instr(base, ',') - 1)")), probe("rest", F.expr("substr(base, instr(base, ',') + 1)"))))
     asked = F.concat(F.array(probe("text", F.col("low")), probe("base", F.col("base")), probe("inner", F.col("inside"))), parts, F.coalesce(around, F.array().cast("array<struct<role:string,i:int,probe:string>>")))
-    rows = texts.select("_text", "bare", F.inline(asked)).filter("probe <> ''")
-    found = find_places(rows.select("probe").distinct(), alias_index(registry))
+    rows = durable(texts.select("_text", "bare", F.inline(asked)).filter("probe <> ''"))  # read several times, so the input is not
+    found = find_places(rows.select("probe").distinct(), durable(alias_index(registry)))
     told = lambda role, value: F.max(F.when(F.col("role") == role, F.col(value))).alias(f"{role}_{value}")
     inner = F.min(F.when((F.col("role") == "inner") & F.col("slug").isNotNull(), F.struct("i", "slug")))
     by_text = rows.join(found, "probe").groupBy("_text", "bare").agg(told("text", "exact"), told("base", "exact"), told("base", "slug"), told("child", "slug"), told("rest", "slug"), inner.alias("inner"))

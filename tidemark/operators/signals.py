@@ -111,23 +111,27 @@ def decide(times: list[float], recent: list[float], per_minute: int) -> tuple[li
 def rate_limit(requests: DataFrame, per_minute: int) -> DataFrame:
     """SG-09: adds wait_s (null if allowed) to requests (key, ts, request_id): fewer than `per_minute` allowed ones in the last 60 s.
 
-    Which are allowed depends on the ones before, so a key's requests are streamed in order: rows are sorted by
-    key and time, and at most `per_minute` times are held.
+    Which are allowed depends on those of the minute before, so a key's requests are streamed in order, at most `per_minute`
+    times held. After a pause of more than 60 s nothing before counts: there a key's rows are split into runs, which
+    are dealt to tasks by themselves.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, recent = None, []
         for b in batches:
             waits: list[float | None] = []
-            for key, part in b.groupby("key", sort=False, dropna=False):
-                if key != now:
-                    now, recent = key, []
+            for run_of, part in b.groupby(["key", "_run"], sort=False, dropna=False):
+                if run_of != now:
+                    now, recent = run_of, []
                 out, recent = decide((part["_us"] / 1e6).tolist(), recent, per_minute)
                 waits += out
-            yield b.assign(wait_s=pd.Series(waits, index=b.index, dtype="float64")).drop(columns="_us")
+            yield b.assign(wait_s=pd.Series(waits, index=b.index, dtype="float64")).drop(columns=["_us", "_run"])
 
     rows = requests.select("key", "ts", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    return rows.repartition("key").sortWithinPartitions("key", "ts", "request_id").mapInPandas(run, T.StructType([*rows.schema.fields[:3], T.StructField("wait_s", T.DoubleType())]))
+    by_key = W.partitionBy("key").orderBy("_us", "request_id")
+    opens = F.when(F.col("_us") - F.lag("_us").over(by_key) > WINDOW_S * 1_000_000, 1).otherwise(0)
+    rows = rows.withColumn("_run", opens).withColumn("_run", F.sum("_run").over(by_key))
+    return rows.repartition("key", "_run").sortWithinPartitions("key", "_run", "_us", "request_id").mapInPandas(run, T.StructType([*rows.schema.fields[:3], T.StructField("wait_s", T.DoubleType())]))
 
 
 def daily_usage(allowed: DataFrame, limit: int) -> DataFrame:

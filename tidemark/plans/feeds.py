@@ -92,15 +92,26 @@ def cd06_changed_records(spark, sf_dir):
 _MEASURE = "SELECT l_orderkey * 10 + l_linenumber AS seq, 'C' || CAST(l_suppkey % 5 AS STRING) AS celex, 'N' || CAST(l_suppkey % 9 AS STRING) AS country, 'T' || CAST(l_partkey % 97 AS STRING) AS title, 'https://x.eu/' || CAST(l_partkey % 301 AS STRING) AS link FROM lineitem"
 
 
-@query(f"""
-WITH m AS (SELECT *, sha256(country || '|' || title) AS key FROM ({_MEASURE})), s AS (SELECT DISTINCT celex, key FROM m WHERE seq % 4 = 0 AND seq < 2000),
-f AS (SELECT m.* FROM m LEFT JOIN s ON m.celex = s.celex AND m.key = s.key WHERE s.key IS NULL), o AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY seq) AS rn FROM f)
-SELECT celex, key, seq, country, title, link FROM o WHERE rn = 1 ORDER BY seq LIMIT 200""")
-def cd07_new_measures(spark, sf_dir):
+_NEW = f"""WITH m AS (SELECT *, sha256(country || '|' || title) AS key FROM ({_MEASURE})), s AS (SELECT DISTINCT celex, key FROM m WHERE seq % 4 = 0 AND seq < 2000),
+f AS (SELECT m.* FROM m LEFT JOIN s ON m.celex = s.celex AND m.key = s.key WHERE s.key IS NULL), o AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY seq) AS rn FROM f),
+n AS (SELECT celex, key, seq, country, title, link FROM o WHERE rn = 1 ORDER BY seq LIMIT 200)"""
+
+
+def measures(spark, sf_dir):
     m = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS seq", "'C' || (l_suppkey % 5) AS celex", "'N' || (l_suppkey % 9) AS country", "'T' || (l_partkey % 97) AS title", "'https://x.eu/' || (l_partkey % 301) AS link")
     m = m.groupBy("seq", "celex", "country", "title", "link").agg(F.lit(1).alias("_one")).drop("_one")
-    seen = m.filter("seq % 4 = 0 AND seq < 2000").select("celex", changes.measure_key(F.col("country"), F.col("title")).alias("key")).distinct()
-    return changes.new_measures(m, seen, 200)
+    return m, m.filter("seq % 4 = 0 AND seq < 2000").select("celex", changes.measure_key(F.col("country"), F.col("title")).alias("key")).distinct()
+
+
+@query(f"{_NEW} SELECT * FROM n")
+def cd07_new_measures(spark, sf_dir):
+    return changes.new_measures(*measures(spark, sf_dir), 200)
+
+
+@query(f"{_NEW} SELECT celex, key FROM s UNION SELECT celex, key FROM n")
+def cd07_seen(spark, sf_dir):
+    m, seen = measures(spark, sf_dir)
+    return changes.mark_seen(seen, changes.new_measures(m, seen, 200))
 
 
 @query("SELECT doc_id, contains(lower(coalesce(lang, '') || ' ' || coalesce(text, '')), 'thing') OR contains(lower(coalesce(lang, '') || ' ' || coalesce(text, '')), 'de ') AS hit FROM documents")

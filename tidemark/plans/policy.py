@@ -458,7 +458,7 @@ def sg08_history(spark, sf_dir):
 
 @query()
 def sg09_rate_limit(spark, sf_dir):
-    r = table(spark, sf_dir, "events").selectExpr("user_id % 3 AS key", "ts", "event_id AS request_id")
+    r = table(spark, sf_dir, "events").selectExpr("user_id AS key", "ts", "event_id AS request_id")
     return signals.rate_limit(r, 2)
 
 

@@ -295,6 +295,12 @@ def kw10_statistics(spark, sf_dir):
     return keywords.keyword_stats(keywords.match_keywords(table(spark, sf_dir, "documents").select("doc_id", "text"), TERMS))
 
 
+@query("SELECT doc_id, score, " + " || ".join(f"CASE WHEN k{i} = 1 THEN '{t.term};' ELSE '' END" for i, t in enumerate(TERMS)) + f" AS terms FROM (SELECT *, 5.0 AS least FROM ({_SCORED})) WHERE NOT {_PASS} AND score >= 0.6 * least")
+def kw10_near_misses(spark, sf_dir):
+    near = keywords.near_misses(keywords.judge(scored(spark, sf_dir), RULES), "doc_id")
+    return near.select("doc_id", "score", F.array_join(F.transform("terms", lambda t: F.concat(t, F.lit(";"))), "").alias("terms"))
+
+
 @query("""
 SELECT doc_id, array_to_string(list_slice(list_filter(['seed', CASE WHEN contains(lower(text), 'thing') OR contains(lower(text), 'ofthe') THEN 'thing' END, CASE WHEN contains(lower(text), 'heat') OR contains(lower(text), 'leaux') THEN 'heat' END, CASE WHEN contains(lower(text), 'para') THEN 'para' END], lambda x: x IS NOT NULL), 1, 3), ',') AS tags FROM documents""")
 def kw11_tags(spark, sf_dir):
