@@ -226,7 +226,7 @@ def brute_limit(rows, n):
 
 def requests():
     start = datetime(2024, 1, 1)
-    return [(i % 3, start + timedelta(seconds=(i * i * 7) % 900), i) for i in range(300)]
+    return [(i % 3, start + timedelta(seconds=(i * i * 7) % 900 + i % 5 * 5000), i) for i in range(300)]
 
 
 def test_rate_limit(spark):
