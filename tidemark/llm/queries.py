@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
+from . import chat_format, exact_dedup, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +72,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_quality_rules,
         op10_html_extraction,
+        op11_substring_dedup,
     )
 }
 
@@ -129,4 +135,13 @@ ORACLES: dict[str, str] = {
         u AS (SELECT page_id, url, replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS t FROM a)
         SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS n_chars FROM u""",
     "op6_source_mixing": _MIX,
+    "op11_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        n AS (SELECT doc_id, r, w, len(w) AS n FROM d),
+        x AS (SELECT doc_id, r, s, array_to_string(w[s:s + 12], ' ') AS win FROM (SELECT *, unnest(generate_series(1, n - 12)) AS s FROM n)),
+        g AS (SELECT *, min(doc_id) OVER (PARTITION BY win) < doc_id AS gone FROM x),
+        c AS (SELECT n.r, p.i, bool_or(g.gone) OVER (PARTITION BY n.r ORDER BY p.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone, n.w[p.i] AS word
+              FROM n, LATERAL (SELECT unnest(generate_series(1, n.n)) AS i) p LEFT JOIN g ON g.r = n.r AND g.s = p.i),
+        k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone IS DISTINCT FROM TRUE) AS kept FROM c GROUP BY r)
+        SELECT doc_id, n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM n LEFT JOIN k ON n.r = k.r""",
 }
