@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
+from . import chat_format, exact_dedup, hard_negatives, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 from .common import table
 
 
@@ -59,6 +59,12 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    noisy = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return hard_negatives.mine(noisy, vec_id % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +79,7 @@ QUERIES = {
         op9_quality_rules,
         op10_html_extraction,
         op11_substring_dedup,
+        op13_hard_negatives,
     )
 }
 
@@ -144,4 +151,13 @@ ORACLES: dict[str, str] = {
               FROM n, LATERAL (SELECT unnest(generate_series(1, n.n)) AS i) p LEFT JOIN g ON g.r = n.r AND g.s = p.i),
         k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone IS DISTINCT FROM TRUE) AS kept FROM c GROUP BY r)
         SELECT doc_id, n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM n LEFT JOIN k ON n.r = k.r""",
+    "op13_hard_negatives": """
+        WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, other_id NULLS LAST, other) AS place FROM s WHERE alike) WHERE place <= 5),
+        n AS (SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                     CAST(row_number() OVER (PARTITION BY p.r, place ORDER BY s.score DESC, s.other_id NULLS LAST, s.other) AS INT) AS rank
+              FROM p JOIN s ON p.r = s.r AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
