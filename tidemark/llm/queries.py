@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, hard_negatives, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
+from . import chat_format, conversation_repair, exact_dedup, hard_negatives, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label").cast("long")
     noisy = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
@@ -79,6 +83,7 @@ QUERIES = {
         op9_quality_rules,
         op10_html_extraction,
         op11_substring_dedup,
+        op12_conversation_repair,
         op13_hard_negatives,
     )
 }
@@ -160,4 +165,27 @@ ORACLES: dict[str, str] = {
                      CAST(row_number() OVER (PARTITION BY p.r, place ORDER BY s.score DESC, s.other_id NULLS LAST, s.other) AS INT) AS rank
               FROM p JOIN s ON p.r = s.r AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE bits AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS v FROM range(256) r(i)),
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, [ascii(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS key FROM conversations),
+        h AS (SELECT k.* EXCLUDE key, xor(list_reduce(list_prepend(4294967295, key), lambda c, b: xor(v[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS f FROM k, bits),
+        dam AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE f <> 0),
+        num AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM dam),
+        flt AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY n) > 1 THEN 'd'
+                WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY n) AS before FROM num),
+        ins AS (SELECT * FROM (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (3, 2, 2, 'I', ['user:']),
+                (2, 3, 2, 'I', ['assistant:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])) t(i, m, c, a, l)),
+        op AS (SELECT * FROM (VALUES ('D', '', 0, 0), ('D', '', 1, 1), ('D', '', 2, 2), ('D', '', 3, 3), ('R', '', 0, 2), ('R', '', 1, 2), ('R', '', 3, 2), ('R', '', 2, 3),
+               ('K', 's', 0, 1), ('K', 'u', 0, 2), ('K', 'u', 1, 2), ('K', 'u', 3, 2), ('K', 'a', 2, 3)) t(op, ini, m, j)),
+        dp AS (SELECT DISTINCT c AS conv, 0 AS n, 0 AS st, {'c': 0, 'a': '', 'l': []::VARCHAR[]} AS b FROM flt
+               UNION ALL
+               SELECT d.conv, d.n + 1, op.j, min({'c': d.b.c + ins.c + CASE op WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN op <> 'D' AND fault = 't' THEN 1 ELSE 0 END, 'a': d.b.a || ins.a || op,
+                      'l': d.b.l || ins.l || CASE op WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE op.j WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END})
+               FROM dp d JOIN flt r ON r.c = d.conv AND r.n = d.n + 1 JOIN ins ON ins.i = d.st JOIN op ON op.m = ins.m AND (op.ini = '' OR op.ini = r.ini) AND (op = 'D' OR fault NOT IN ('b', 'd')) GROUP BY d.conv, d.n + 1, op.j),
+        fin AS (SELECT conv, min({'c': b.c + ins.c, 'a': b.a || ins.a, 'l': b.l || ins.l}) AS b FROM dp JOIN (SELECT c, max(n) AS last FROM flt GROUP BY c) ON c = conv AND last = n JOIN ins ON ins.i = st AND ins.m IN (0, 3) GROUP BY conv),
+        cnt AS (SELECT c, conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY c, conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.l, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN fin ON fin.conv = cnt.c""",
 }
