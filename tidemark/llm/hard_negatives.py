@@ -57,8 +57,7 @@ def _matrix(lists: pa.ListArray, width: int, exact: bool) -> np.ndarray:
 
 def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
     """The first k of each anchor and slot: higher scores, then smaller ids, then null ids."""
-    falling = -found["score"] if found["score"].dtype != object else -pd.Series(np.unique(found["score"].to_numpy(), return_inverse=True)[1], index=found.index)
-    order = np.lexsort((found["other"], found["id"], found["no_id"], falling, found["slot"], found["at"]))
+    order = np.lexsort((found["other"], found["id"], found["no_id"], -found["score"], found["slot"], found["at"]))
     found = found.iloc[order]
     return found[found.groupby(["at", "slot"], sort=False).cumcount().to_numpy() < k]
 
@@ -83,11 +82,10 @@ class _Cell:
         high = [[HIGH * p // 100 for p in x or ()] for x in ps]
         low = [min([-(-LOW * p // 100) for p in x or () if p >= 0], default=None) for x in ps]
         n = max([len(x) for x in high], default=0)
-        kind = np.int64 if self.exact else object
-        self.high = np.array([x + [None] * (n - len(x)) for x in high], object).reshape(len(ps), n)
-        self.high = np.where(self.high == None, -MOST, self.high).astype(kind)  # noqa: E711
-        self.low = np.array([MOST if x is None else x for x in low], object).astype(kind)
-        self.parts = [pd.DataFrame({c: np.zeros(0, t) for c, t in (("at", "int64"), ("slot", "int64"), ("score", kind), ("no_id", bool), ("id", "int64"), ("other", "int64"))}) for _ in range(0, len(ps), AT_ONCE)]
+        self.high = np.array([x + [-MOST] * (n - len(x)) for x in high], np.int64).reshape(len(ps), n)
+        self.low = np.array([MOST if x is None else x for x in low], np.int64)
+        none = pd.DataFrame({c: np.zeros(0, bool if c == "no_id" else np.int64) for c in ("at", "slot", "score", "no_id", "id", "other")})
+        self.parts = [none for _ in range(0, len(ps), AT_ONCE)]
 
     def add_rows(self, b: pa.RecordBatch) -> None:
         if self.parts is None:
@@ -99,12 +97,12 @@ class _Cell:
             for i in range(len(self.parts)):
                 these = slice(i * AT_ONCE, (i + 1) * AT_ONCE)
                 score = np.dot(self.q[these], q.T)
-                score = score.astype(np.int64) if self.exact else score
+                score = (score if self.exact else np.clip(score, -MOST, MOST)).astype(np.int64)
                 if self.negatives:
                     ok = (self.label[these, None] != label) & (score <= self.high[these, :1]) & (score >= self.low[these, None])
                 else:
                     ok = (self.label[these, None] == label) & (self.uid[these, None] != uid)
-                a, r = np.nonzero(ok.astype(bool))
+                a, r = np.nonzero(ok)
                 s = score[a, r]
                 a = a + i * AT_ONCE
                 slot = (self.high[a] >= s[:, None]).sum(axis=1).astype(np.int64) if self.negatives else np.zeros(len(a), np.int64)
@@ -113,8 +111,7 @@ class _Cell:
 
     def result(self) -> Iterator[pa.RecordBatch]:
         for p in self.parts or ():
-            score = np.array([max(-MOST, min(MOST, s)) for s in p["score"]], np.int64) if not self.exact else p["score"].to_numpy()
-            columns = [pa.array(self.uid[p["at"]], pa.int64()), pa.array(p["slot"].to_numpy(), pa.int32()), pa.array(score, pa.int64()), pa.array(p["other"].to_numpy(), pa.int64()), pa.array(p["id"].to_numpy(), pa.int64(), mask=p["no_id"].to_numpy())]
+            columns = [pa.array(self.uid[p["at"]], pa.int64()), pa.array(p["slot"].to_numpy(), pa.int32()), pa.array(p["score"].to_numpy(), pa.int64()), pa.array(p["other"].to_numpy(), pa.int64()), pa.array(p["id"].to_numpy(), pa.int64(), mask=p["no_id"].to_numpy())]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "slot", "score", "other", "other_id"])
 
 
@@ -160,9 +157,8 @@ def mine(rows: DataFrame, anchor: Column, vec_id: str = "vec_id", vector: str =
     same label the first `negatives` rows of other labels with scores from LOW to HIGH hundredths of the positive's.
 
     Rows with a null label or vector, or with a null or non-finite component, take no part; empty vectors score 0, a shorter vector counts
-    as filled up with zeros. Scores beyond 64 bits are ranked as they are and shown as the nearest 64-bit number. Equal scores
-    go by vec_id, null last. Repeated rows are rows of their own: each is anchor, positive and negative by itself. Components beyond
-    64 bits become the nearest 64-bit number.
+    as filled up with zeros. Components and scores beyond 64 bits become the nearest 64-bit number. Equal scores
+    go by vec_id, null last. Repeated rows are rows of their own: each is anchor, positive and negative by itself.
     """
     ready = prepare(rows, anchor, vec_id, vector, label)
     of = ready.filter("anchor").select("uid", F.col("vec_id").alias("anchor_id"), "label", "q")
