@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import tokens
 from ..functions.text import let
 
 
@@ -27,31 +27,33 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "blockquote", "pre"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 
-class _Page(HTMLParser):
-    """A page as nested lists: [tag, attributes, children], text as strings."""
+class _Page:
+    """A page as nested lists: [tag, attributes, children], text as strings. Open elements are known by tag too, so an end tag finds its element at once."""
 
-    def __init__(self, config: Config, patterns: re.Pattern | None) -> None:
-        super().__init__()
+    def __init__(self, html: str, config: Config, patterns: re.Pattern | None) -> None:
         self.config, self.patterns = config, patterns
         self.root: list = ["", {}, []]
         self.open = [self.root]
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in CLOSED_BY.get(self.open[-1][0], ()):
-            self.open.pop()
-        node = [tag, {k: v or "" for k, v in attrs}, []]
-        self.open[-1][2].append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data: str) -> None:
-        self.open[-1][2].append(data)
+        self.places: dict[str, list[int]] = {}
+        for kind, value, attributes in tokens(html):
+            if kind == "text":
+                self.open[-1][2].append(value)
+            elif kind == "end":
+                if self.places.get(value):
+                    self.close(self.places[value][-1])
+            else:
+                if value in CLOSED_BY.get(self.open[-1][0], ()):
+                    self.close(len(self.open) - 1)
+                node = [value, attributes, []]
+                self.open[-1][2].append(node)
+                if value not in VOID:
+                    self.places.setdefault(value, []).append(len(self.open))
+                    self.open.append(node)
+
+    def close(self, to: int) -> None:
+        """Closes all elements from the `to`-th on."""
+        while len(self.open) > to:
+            self.places[self.open.pop()[0]].pop()
 
     def unwanted(self, node: list) -> bool:
         names = [*node[1].get("class", "").split(), node[1].get("id", "")]
@@ -79,9 +81,7 @@ def _texts(node: list) -> Iterator[str]:
 
 def extract_page(html: str | None, config: Config, patterns: re.Pattern | None, content: list[re.Pattern]) -> tuple[str, str | None, str | None]:
     """Text, title and declared language."""
-    page = _Page(config, patterns)
-    page.feed(html or "")
-    page.close()
+    page = _Page(html or "", config, patterns)
     for node in _walk(page.root):  # parents come first, so what is below a removed element is never looked at
         node[2] = [c for c in node[2] if isinstance(c, str) or not page.unwanted(c)]
     nodes = list(_walk(page.root))

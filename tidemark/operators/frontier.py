@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
@@ -12,15 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..durable import durable
+from ..functions.markup import tokens
 from ..functions.urls import netloc, path_allowed, same_site, url_priority
 
-_ANCHOR = re.compile(r"""<a\s(?:[^>"']|"[^"]*"|'[^']*')*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-
-
 def extract_links(pages: DataFrame, extensions: tuple[str, ...] = (), blocked: tuple[str, ...] = (), allowed: tuple[str, ...] = ()) -> DataFrame:
     """URL-05: (page_id, src_url, dst_url) of every a[href]: absolute, http(s), on the page's site, without fragment, each once a page.
 
-    Hrefs are found and resolved in vectorized tasks, which drop repeats before rows are made.
+    Hrefs are found and resolved in vectorized tasks, which drop repeats before rows are made. Comments, scripts and styles hold no links.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -28,9 +25,11 @@ def extract_links(pages: DataFrame, extensions: tuple[str, ...] = (), blocked: t
             rows = []
             for page, url, html in zip(b["page_id"], b["url"], b["html"]):
                 seen = {}
-                for m in _ANCHOR.finditer(html or ""):
+                for kind, tag, attributes in tokens(html or ""):
+                    if kind != "start" or tag != "a" or "href" not in attributes:
+                        continue
                     try:
-                        full = urlsplit(urljoin(url or "", m[1].strip("\"'").replace("&amp;", "&")))
+                        full = urlsplit(urljoin(url or "", attributes["href"]))
                     except ValueError:
                         continue
                     if full.scheme in ("http", "https"):

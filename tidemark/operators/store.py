@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -50,21 +50,44 @@ def search(store: DataFrame, **filters: Any) -> DataFrame:
     return store.filter(matching(**filters)).orderBy("seq")
 
 
+def _accented() -> tuple[str, str]:
+    """Letters that are another one with marks, and that one: what canonical decomposition gives once marks are dropped."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2C00)):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M")
+        if len(bare) == 1 and bare != c:
+            pairs.append((c, bare))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+_ACCENTED, _BARE = _accented()
+
+
 def tokens_of(text: Column) -> Column:
     """Lower-case words without accents, as the index splits them."""
-    accents, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.array_remove(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), accents, plain), r"[^\p{L}\p{N}]+"), "")
+    bare = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _ACCENTED, _BARE), r"\p{M}+", "")
+    return F.array_remove(F.split(F.lower(bare), r"[^\p{L}\p{N}]+"), "")
 
 
 def query_tokens(query: str) -> list[list[str]]:
-    """Words of a query; one that the index would split is a phrase."""
-    return [p for p in ([w for w in re.split(r"[^\w]|_", t.lower()) if w] for t in query.split()) if p]
+    """Words of a query, folded like the texts; one that the index would split is a phrase."""
+    bare = "".join(x for c in query for x in (unicodedata.normalize("NFD", c) if c in _ACCENTED else c) if unicodedata.category(x)[0] != "M")
+    parts = ("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t.lower()).split() for t in bare.split())
+    return [p for p in parts if p]
+
+
+WEIGHTS = (10.0, 1.0, 1.0, 1.0)
+
+
+def bm25(tf: Column, df: Column, docs: Column, size: Column, mean: Column) -> Column:
+    idf = F.greatest(F.log((docs - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))
 
 
-def search_text(store: DataFrame, query: str, limit: int = 50, weights: tuple[float, ...] = (10.0, 1.0, 1.0, 1.0), **filters: Any) -> DataFrame:
+def search_text(store: DataFrame, query: str, limit: int = 50, weights: tuple[float, ...] = WEIGHTS, **filters: Any) -> DataFrame:
     """ST-04: rows that hold every word of the query (the last one as a prefix), ranked by BM25 over the four weighted fields.
 
-    Only counts of the query's words leave the scan. Document frequencies and the mean length are one
+    The whole store is read; `search_index` gives the same from an index. Only counts of the query's words leave the scan. Document frequencies and the mean length are one
     aggregation of the whole store; they are one row.
     """
     limit, phrases = max(1, min(int(limit), 100)), query_tokens(query)
@@ -97,8 +120,7 @@ def search_text(store: DataFrame, query: str, limit: int = 50, weights: tuple[fl
     score, found = F.lit(0.0), matching(**filters)
     for i in range(len(phrases)):
         tf = sum((F.col(f"_n{i}_{k}") * w for k, w in enumerate(weights)), F.lit(0.0))
-        idf = F.greatest(F.log((F.col("_docs") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)), F.lit(1e-6))
-        score = score + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("_len") / F.col("_mean")))
+        score = score + bm25(tf, F.col(f"_df{i}"), F.col("_docs"), F.col("_len"), F.col("_mean"))
         found = found & any_hit(i)
     # one row of facts on the right: a broadcast of a few numbers, not a product of tables
     scored = counted.join(F.broadcast(facts)).filter(found).withColumn("rank_score", score)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..durable import shared_dir
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators import coverage, places, scans, signals, store, verify
+from ..operators import coverage, places, scans, search_index, signals, store, verify
 from ..sources import readers, sinks
 from .inputs import DOMAINS_SQL, POLICIES_SQL, TAGS_SQL, domains, policies, table
 
@@ -195,6 +198,62 @@ def st04_ranked_search(spark, sf_dir):
     return store.search_text(policies(spark, sf_dir), "policy urg", 1000).select("seq", F.round("rank_score", 6).alias("rank_score"))
 
 
+#: Policies with names in other scripts, and with a third of them changed by a second batch of the index, which also takes some out.
+_NAMED = "CASE WHEN seq % 7 = 3 THEN 'Énergie-verte ' || CAST(seq % 50 AS STRING) WHEN seq % 7 = 5 THEN 'Miasto ŁÓDŹ ' || policy_name ELSE policy_name END"
+_CHANGED = "CASE WHEN seq % 3 = 1 THEN 'Revised ' || name ELSE name END"
+_INDEXED = f"x AS (SELECT * EXCLUDE (policy_name, name), {_CHANGED} AS policy_name FROM (SELECT *, {_NAMED} AS name FROM p) WHERE seq % 10 <> 9)"
+_FOLDED = {f: f"list_filter(regexp_split_to_array(lower(strip_accents(coalesce({f}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')" for f in store.TEXT_FIELDS}
+
+
+def _bm25_sql(phrases: list[list[str]], limit: int = 100, where: str = "TRUE") -> str:
+    """BM25 by a scan of all indexed rows: phrases of words, the last word of the last one a prefix."""
+    counts = []
+    for i, p in enumerate(phrases):
+        tests = [f"starts_with(w[k + {n}], '{x}')" if i == len(phrases) - 1 and n == len(p) - 1 else f"w[k + {n}] = '{x}'" for n, x in enumerate(p)]
+        each = [f"{w} * len(list_filter(range(1, len(f{k}) + 1), lambda k: coalesce({' AND '.join(tests).replace('w[', f'f{k}[')}, FALSE)))" for k, w in enumerate((10, 1, 1, 1))]
+        counts.append(f"CAST({' + '.join(each)} AS DOUBLE) AS t{i}")
+    score = " + ".join(f"greatest(ln((d - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE)), 1e-6::DOUBLE) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / m))" for i in range(len(phrases)))
+    return f"""WITH {P}, {_INDEXED}, w AS (SELECT *, {', '.join(f'{_FOLDED[f]} AS f{k}' for k, f in enumerate(store.TEXT_FIELDS))} FROM x),
+    c AS (SELECT *, {', '.join(counts)}, len(f0) + len(f1) + len(f2) + len(f3) AS n FROM w),
+    f AS (SELECT count(*) AS d, avg(n) AS m, {', '.join(f'count(*) FILTER (t{i} > 0) AS d{i}' for i in range(len(phrases)))} FROM c)
+    SELECT seq, round({score}, 6) AS rank_score FROM c, f WHERE {' AND '.join(f't{i} > 0' for i in range(len(phrases)))} AND {where} ORDER BY rank_score DESC, seq LIMIT {limit}"""
+
+
+def indexed(spark, sf_dir):
+    """The policies as they are now, and the folder of their index: a batch of all, and one that replaces a third and takes a tenth out."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    first = policies(spark, sf_dir).withColumn("policy_name", F.expr(_NAMED))
+    now = first.filter("seq % 10 <> 9").withColumn("policy_name", F.expr("IF(seq % 3 = 1, 'Revised ' || policy_name, policy_name)"))
+    search_index.add_batch(first, path, 0)
+    search_index.add_batch(now.filter("seq % 3 = 1"), path, 1, gone=first.filter("seq % 3 = 1 OR seq % 10 = 9").select("seq"))
+    return now, path
+
+
+def _ranked(spark, sf_dir, text: str, limit: int = 1000, **filters):
+    now, path = indexed(spark, sf_dir)
+    return search_index.search_index(now, path, text, limit, **filters).select("seq", F.round("rank_score", 6).alias("rank_score"))
+
+
+@query(_bm25_sql([["energie"]]))
+def st04_index_accents(spark, sf_dir):
+    return _ranked(spark, sf_dir, "énergie")
+
+
+@query(_bm25_sql([["łodz"], ["policy"]]))
+def st04_index_other_letters(spark, sf_dir):
+    return _ranked(spark, sf_dir, "Łódź POLICY")
+
+
+@query(_bm25_sql([["energie", "verte"], ["status", "o"]]))
+def st04_index_phrase(spark, sf_dir):
+    return _ranked(spark, sf_dir, "ÉNERGIE-verte status/O")
+
+
+@query(_bm25_sql([["revised"], ["urg"]], where="contains(lower(jurisdiction), 'nation_1') AND policy_type = 'law'"))
+def st04_index_prefix_filtered(spark, sf_dir):
+    return _ranked(spark, sf_dir, "revised urg", jurisdiction="Nation_1", policy_type="law")
+
+
 @query(f"WITH {P} SELECT seq FROM p WHERE {' AND '.join('(' + ' OR '.join(f"contains(lower(coalesce({f}, '')), '{t}')" for f in store.TEXT_FIELDS) + ')' for t in ('energ', 'heat 3'.split()[0], '_1'))} ORDER BY seq LIMIT 100")
 def st05_substring_search(spark, sf_dir):
     return store.search_like(policies(spark, sf_dir), "Energ heat _1", 500).select("seq")
