@@ -61,16 +61,34 @@ def frontier_topk(urls: DataFrame, max_pages: int | Column = 200) -> DataFrame:
     return urls.withColumn("priority", url_priority(F.col("url"))).withColumn("turn", turn).filter(F.col("turn") <= max_pages)
 
 
-def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
+#: A page is a hub if it has more than one in so many of all links; its links are dealt to so many parts.
+HUB_SHARE, HUB_PARTS = 1000, 64
+#: Rows of a level up to which it is given to all tasks.
+SMALL_LEVEL = 100_000
+
+
+def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, small: int = SMALL_LEVEL) -> DataFrame:
     """URL-08: (url, depth): each URL within `max_depth` links of a seed, at its least depth; one join a level, each checkpointed.
 
-    The links are made distinct and written once, however many levels are walked.
+    The links are made distinct and written once, however many levels are walked, those of a hub (there are fewer than HUB_SHARE) dealt to
+    HUB_PARTS parts, each of which a hub in the level meets. A level of at most `small` rows, which are counted, is broadcast, so its links stay where they are.
     """
-    links = durable(edges.select("src_url", "dst_url").distinct())
+    links = durable(edges.select("src_url", "dst_url").filter("src_url is not null and dst_url is not null").distinct())
+    total = links.count()
+    hubs = durable(links.groupBy("src_url").count().filter(F.col("count") * HUB_SHARE > total).select(F.col("src_url").alias("_hub")))
+    of_hub = F.col("_hub").isNotNull()
+    part = F.when(of_hub, F.pmod(F.xxhash64("dst_url"), F.lit(HUB_PARTS))).otherwise(0).cast("int")
+    links = durable(links.join(F.broadcast(hubs), F.col("src_url") == F.col("_hub"), "left").select("src_url", "dst_url", part.alias("part")))
     level = durable(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     seen = level
     for depth in range(1, max_depth + 1):
-        reached = level.join(links, level["url"] == links["src_url"]).select(F.col("dst_url").alias("url")).distinct()
+        if level.count() <= small:
+            reached = links.join(F.broadcast(level), F.col("url") == F.col("src_url"), "left_semi")
+        else:
+            parts = F.when(of_hub, F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).otherwise(F.array(F.lit(0)))
+            dealt = level.join(F.broadcast(hubs), F.col("url") == F.col("_hub"), "left").select("url", F.explode(parts).alias("_part"))
+            reached = links.join(dealt, (F.col("url") == F.col("src_url")) & (F.col("part") == F.col("_part")), "left_semi")
+        reached = reached.select(F.col("dst_url").alias("url")).distinct()
         level = durable(reached.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.union(level)
     return seen

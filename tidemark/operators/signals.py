@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +13,12 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..durable import durable
+from ..graph import connected_components
 from .changes import first_rows
 
 ARTICLES = "articles array<struct<title: string, url: string, sourcecountry: string>>"
 LEVELS = {"debug": 10, "info": 20, "warning": 30, "error": 40, "critical": 50}
-WINDOW_S = 60.0
+WINDOW_US = 60_000_000
 
 
 def parse_news_json(payloads: DataFrame) -> DataFrame:
@@ -40,23 +43,49 @@ def title_key(title: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(title, r"\s+", " ")))
 
 
-def dedupe_items(items: DataFrame) -> DataFrame:
-    """SG-03: items kept in order of seq: one goes if an earlier kept item has its url or its title.
+#: Rounds of SG-03 before what is left is taken in order.
+ROUNDS = 4
 
-    Items with the same url and title as an earlier one are always repeats; they go first, by one aggregation. What
-    is left is settled in rounds: an undecided item that is the first of both its url and its title stays, and all
-    that share either with it go; items that share only with dropped ones move up. Each round decides the
-    first undecided item of every connected group at least, so rounds end; most groups need two or three, and only chains of
-    items that share url and title in turn need more.
+
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows in order of (group, seq) those whose url and title no kept row of the group has."""
+    group, urls, titles = None, set(), set()
+    for b in batches:
+        kept = []
+        for g, seq, url, title in zip(b["group"], b["seq"], b["url"], b["_title"]):
+            if g != group:
+                group, urls, titles = g, set(), set()
+            if url not in urls and title not in titles:
+                urls.add(url)
+                titles.add(title)
+                kept.append(seq)
+        yield pd.DataFrame({"seq": pd.Series(kept, dtype="int64")})
+
+
+def dedupe_items(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """SG-03: items kept in order of seq: one goes if an earlier kept item has its url or its title; null is a value like any other.
+
+    Items with the same url and title as an earlier one are always repeats; they go first, by one aggregation. Then come a few
+    rounds: an undecided item that is the first of both its url and its title stays, and all that share either with it go. They
+    settle nearly all, also in large groups. What is left are chains of items that share url and title in turn: these are grouped by
+    connected components, and each component is streamed in order once, so the number of jobs grows with the logarithm of a chain's
+    length only. A task holds the urls and titles kept of one component's undecided items.
     """
-    keyed = items.withColumn("_title", title_key(F.col("title")))
-    open_ = durable(first_rows(keyed, ["url", "_title"], [F.col("seq")]).select("seq", "url", "_title"))
+    item = F.struct(F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNull().alias("n"))
+    keyed = items.withColumn("_title", title_key(F.col("title"))).select("seq", F.xxhash64(item).alias("_u"), "url", F.xxhash64(F.lit("title"), F.coalesce("_title", F.lit("")), F.col("_title").isNull()).alias("_t"), "_title")
+    open_ = durable(first_rows(keyed, ["url", "_title"], [F.col("seq")]))
     kept = open_.select("seq").limit(0)
-    while not open_.isEmpty():
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
         least = lambda c: open_.groupBy(c).agg(F.min("seq").alias("seq"))
-        stay = durable(open_.join(least("url"), ["url", "seq"], "left_semi").join(least("_title"), ["_title", "seq"], "left_semi").select("seq", "url", "_title"))
+        stay = durable(open_.join(least("_u"), ["_u", "seq"], "left_semi").join(least("_t"), ["_t", "seq"], "left_semi").select("seq", "_u", "_t"))
         kept = kept.union(stay.select("seq"))
-        open_ = durable(open_.join(stay.select("url"), "url", "left_anti").join(stay.select("_title"), "_title", "left_anti").select("seq", "url", "_title"))
+        open_ = durable(open_.join(stay.select("_u"), "_u", "left_anti").join(stay.select("_t"), "_t", "left_anti").select(*keyed.columns))
+    if not open_.isEmpty():
+        group = connected_components(open_.select(F.col("_u").alias("u"), F.col("_t").alias("v")))
+        rows = open_.join(group, F.col("_u") == F.col("node")).select(F.col("root").alias("group"), "seq", "url", "_title")
+        kept = kept.union(rows.repartition("group").sortWithinPartitions("group", "seq").mapInPandas(_greedy, "seq long"))
     return items.join(kept, "seq", "left_semi")
 
 
@@ -94,44 +123,68 @@ def event_history(events: DataFrame, n: int = 1000) -> DataFrame:
     return events.withColumn("position", turn).filter(F.col("position") <= n)
 
 
-def decide(times: list[float], recent: list[float], per_minute: int) -> tuple[list[float | None], list[float]]:
-    """Seconds to wait for each request of a key in order, None if it is allowed; and the allowed times still in the window."""
-    out: list[float | None] = []
+def decide(times: list[int], recent: deque[int], per_minute: int) -> list[int | None]:
+    """Microseconds to wait for each request of a key in order, None if it is allowed; `recent` is left with the allowed times still in the window."""
+    out: list[int | None] = []
     for t in times:
-        while recent and t - recent[0] > WINDOW_S:
-            recent.pop(0)
+        while recent and t - recent[0] > WINDOW_US:
+            recent.popleft()
         if len(recent) >= per_minute:
-            out.append(WINDOW_S - (t - recent[0]))
+            out.append(WINDOW_US - (t - recent[0]))
         else:
             recent.append(t)
             out.append(None)
-    return out, recent
+    return out
+
+
+def _limited(per_minute: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, recent = None, deque()
+        for b in batches:
+            times, block, waits = b["_us"].to_numpy(), b["_block"].to_numpy(), []
+            key = b["key"]
+            same = (key == key.shift()) | (key.isna() & key.shift().isna())
+            cuts = np.flatnonzero((~same.to_numpy()[1:]) | (block[1:] != block[:-1])) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(b)]):
+                at = (None if pd.isna(key.iloc[low]) else key.iloc[low], block[low])
+                if at != now:
+                    now, recent = at, deque()
+                waits += decide(times[low:high].tolist(), recent, per_minute)
+            b = b.assign(wait_s=pd.Series([None if w is None else w / 1e6 for w in waits], index=b.index, dtype="float64"))
+            yield b[b["_own"]].drop(columns=["_us", "_block", "_own"])
+
+    return run
 
 
 def rate_limit(requests: DataFrame, per_minute: int) -> DataFrame:
     """SG-09: adds wait_s (null if allowed) to requests (key, ts, request_id): fewer than `per_minute` allowed ones in the last 60 s.
 
-    Which are allowed depends on those of the minute before, so a key's requests are streamed in order, at most `per_minute`
-    times held. After a pause of more than 60 s nothing before counts: there a key's rows are split into runs, which
-    are dealt to tasks by themselves.
+    A request with fewer than `per_minute` requests of its key in the 60 s before it is allowed whatever came of those; counts tell that, minute by
+    minute, so a hot key is spread over its minutes. Only minutes with another request are contested. Contested minutes without a
+    free one between them are a block, whose requests are decided in order, after those of the free minute before it, of which all are allowed: at most
+    `per_minute` times are held. So a key is one task's work only as long as it is over the limit without a pause. Null is a key of its own;
+    a null ts is never over the limit.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, recent = None, []
-        for b in batches:
-            waits: list[float | None] = []
-            for run_of, part in b.groupby(["key", "_run"], sort=False, dropna=False):
-                if run_of != now:
-                    now, recent = run_of, []
-                out, recent = decide((part["_us"] / 1e6).tolist(), recent, per_minute)
-                waits += out
-            yield b.assign(wait_s=pd.Series(waits, index=b.index, dtype="float64")).drop(columns=["_us", "_run"])
-
-    rows = requests.select("key", "ts", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    by_key = W.partitionBy("key").orderBy("_us", "request_id")
-    opens = F.when(F.col("_us") - F.lag("_us").over(by_key) > WINDOW_S * 1_000_000, 1).otherwise(0)
-    rows = rows.withColumn("_run", opens).withColumn("_run", F.sum("_run").over(by_key))
-    return rows.repartition("key", "_run").sortWithinPartitions("key", "_run", "_us", "request_id").mapInPandas(run, T.StructType([*rows.schema.fields[:3], T.StructField("wait_s", T.DoubleType())]))
+    if per_minute < 1:
+        raise ValueError("per_minute is 1 at least")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = requests.select("key", "ts", "request_id", us.alias("_us")).withColumn("_minute", F.floor(F.col("_us") / WINDOW_US))
+    # each request in its minute, and as one that came before in the next
+    spread = rows.select("key", "_us", "request_id", F.col("_minute").alias("_of"), F.explode(F.array("_minute", F.col("_minute") + 1)).alias("_minute"))
+    earlier = F.lag("_us", per_minute).over(W.partitionBy("key", "_minute").orderBy("_us", "request_id"))
+    busy = spread.withColumn("_earlier", earlier).filter((F.col("_of") == F.col("_minute")) & (F.col("_us") - F.col("_earlier") <= WINDOW_US))
+    minutes = busy.select("key", "_minute").distinct()
+    in_order = W.partitionBy("key").orderBy("_minute")
+    opens = F.coalesce(F.col("_minute") - F.lag("_minute").over(in_order) > 1, F.lit(True))
+    blocks = durable(minutes.withColumn("_opens", opens).withColumn("_block", F.max(F.when(F.col("_opens"), F.col("_minute"))).over(in_order)))
+    before = blocks.filter("_opens").select("key", (F.col("_minute") - 1).alias("_minute"), "_block", F.lit(False).alias("_own"))
+    wanted = blocks.select("key", "_minute", "_block", F.lit(True).alias("_own")).union(before).select(F.col("key").alias("_k"), F.col("_minute").alias("_m"), "_block", "_own")
+    here = F.col("key").eqNullSafe(F.col("_k")) & (F.col("_minute") == F.col("_m"))
+    columns = ["key", "ts", "request_id"]
+    free = rows.join(wanted.filter("_own"), here, "left_anti").select(*columns, F.lit(None).cast("double").alias("wait_s"))
+    contested = rows.join(wanted, here).select(*columns, "_us", "_block", "_own").repartition("key", "_block").sortWithinPartitions("key", "_block", "_us", "request_id")
+    schema = T.StructType([*(requests.schema[c] for c in columns), T.StructField("wait_s", T.DoubleType())])
+    return free.union(contested.mapInPandas(_limited(per_minute), schema))
 
 
 def daily_usage(allowed: DataFrame, limit: int) -> DataFrame:

@@ -473,7 +473,14 @@ def sg02_rss(spark, sf_dir):
     return signals.parse_rss(d).select("seq", "position", "title", "url", "snippet")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id AS seq, 'https://n/' || CAST(user_id * 7 % 83 AS STRING) AS url, event_id % 61 AS title FROM events),
+i AS (SELECT min(seq) AS seq, url, title FROM e GROUP BY url, title),
+-- the next kept item is the first one whose url and title no kept item has
+k(seq, urls, titles) AS (SELECT seq, [url], [title] FROM i WHERE seq = (SELECT min(seq) FROM i)
+      UNION ALL SELECT min(i.seq), list_append(any_value(k.urls), arg_min(i.url, i.seq)), list_append(any_value(k.titles), arg_min(i.title, i.seq))
+      FROM k JOIN i ON i.seq > k.seq AND NOT list_contains(k.urls, i.url) AND NOT list_contains(k.titles, i.title) HAVING count(*) > 0)
+SELECT k.seq, url, 'Title  ' || CAST(title AS STRING) AS title FROM k JOIN e ON k.seq = e.seq""")
 def sg03_dedupe(spark, sf_dir):
     items = table(spark, sf_dir, "events").selectExpr("event_id AS seq", "'https://n/' || (user_id * 7 % 83) AS url", "'Title  ' || (event_id % 61) AS title")
     return signals.dedupe_items(items)
@@ -515,10 +522,24 @@ def sg08_history(spark, sf_dir):
     return signals.event_history(scan_events(spark, sf_dir), 100).select("event_id", "scan_id", "position")
 
 
-@query()
+#: Requests every three seconds or so, a third of them of one key, of which the limit allows four a minute.
+_REQUESTS = "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 20 END AS key, event_id AS request_id, 1704067200 + event_id * 3 + event_id * event_id % 7 AS second"
+_PER_MINUTE = 4
+SG09_SQL = f"""
+WITH RECURSIVE r AS (SELECT {_REQUESTS} FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY second, request_id) AS n FROM r),
+w(key, n, request_id, wait_s, recent) AS (SELECT key, n, request_id, NULL::DOUBLE, [second] FROM o WHERE n = 1
+      UNION ALL SELECT key, n, request_id, CASE WHEN len(held) >= {_PER_MINUTE} THEN 60.0::DOUBLE - (second - held[1]) END, CASE WHEN len(held) >= {_PER_MINUTE} THEN held ELSE list_append(held, second) END
+      FROM (SELECT o.*, list_filter(w.recent, lambda t: o.second - t <= 60) AS held FROM w JOIN o ON o.key = w.key AND o.n = w.n + 1))
+SELECT key, request_id, wait_s FROM w"""
+
+
+def limited_requests(events):
+    return events.selectExpr(*_REQUESTS.split(", ")).selectExpr("key", "timestamp_seconds(second) AS ts", "request_id")
+
+
+@query(SG09_SQL)
 def sg09_rate_limit(spark, sf_dir):
-    r = table(spark, sf_dir, "events").selectExpr("user_id AS key", "ts", "event_id AS request_id")
-    return signals.rate_limit(r, 2)
+    return signals.rate_limit(limited_requests(table(spark, sf_dir, "events")), _PER_MINUTE).select("key", "request_id", "wait_s")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS used, greatest(0, 300 - count(*)) AS remaining FROM events WHERE event_type <> 'error' GROUP BY 1")
