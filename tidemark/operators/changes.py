@@ -44,13 +44,19 @@ def cache_stats(looked_up: DataFrame) -> DataFrame:
     return out.withColumn("hit_rate", F.coalesce(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), F.lit(0.0)))
 
 
-def cache_upsert(cache: DataFrame, verdicts: DataFrame, now: Column, days: int = RELEVANT_DAYS) -> DataFrame:
-    """CD-03: the cache with `verdicts` (url, seq, is_relevant, relevance_score, content_hash, policy_type) written into it; the last write wins."""
+def cache_entries(verdicts: DataFrame, now: Column, days: int = RELEVANT_DAYS) -> DataFrame:
+    """CD-03: cache rows of `verdicts` (url, seq, is_relevant, relevance_score, content_hash, policy_type), of each url the last one."""
     lifetime = F.when(F.col("is_relevant"), days).otherwise(min(days, IRRELEVANT_DAYS))
     stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
-    new = verdicts.select("url", "is_relevant", "relevance_score", "content_hash", stamp(now).alias("analyzed_date"), stamp(F.timestamp_add("DAY", lifetime, now)).alias("expires_date"), "policy_type", F.col("seq").alias("_seq"), F.lit(1).alias("_new"))
-    old = cache.select(*new.columns[:-2], F.lit(0).cast("long").alias("_seq"), F.lit(0).alias("_new"))
-    return first_rows(old.unionByName(new), ["url"], [F.col("_new").desc(), F.col("_seq").desc()]).drop("_seq", "_new")
+    last = first_rows(verdicts, ["url"], [F.col("seq").desc()])
+    return last.select("url", "is_relevant", "relevance_score", "content_hash", stamp(now).alias("analyzed_date"), stamp(F.timestamp_add("DAY", lifetime, now)).alias("expires_date"), "policy_type")
+
+
+def cache_upsert(cache: DataFrame, verdicts: DataFrame, now: Column, days: int = RELEVANT_DAYS) -> DataFrame:
+    """CD-03: the cache with `verdicts` written into it; the last write wins. Gives the whole cache: `BucketedStore.upsert` of `cache_entries` writes only what changes."""
+    new = cache_entries(verdicts, now, days)
+    old = cache.select(*new.columns)
+    return old.join(new.select(F.col("url").alias("_url")), F.col("url").eqNullSafe(F.col("_url")), "left_anti").union(new)
 
 
 def cache_purge(cache: DataFrame, now: Column) -> DataFrame:

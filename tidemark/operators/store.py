@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources.bucketed import BucketedStore
 from .changes import first_rows
 
 REVIEW = ("new", "confirmed", "rejected", "needs_review")
@@ -21,6 +22,11 @@ def add_policies(store: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("u
     return first_rows(batch, list(keys), [F.col("seq")]).join(store.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def insert_policies(store: BucketedStore, batch: DataFrame) -> None:
+    """ST-01: adds the rows of `batch` that are new to the store: of each url the first by seq, none that is stored."""
+    store.insert_new(first_rows(batch, ["url"], [F.col("seq")]))
+
+
 def update_review(store: DataFrame, updates: DataFrame) -> DataFrame:
     """ST-02: the store with review states of `updates` (url, review_status, seq), the last of each url."""
     last = first_rows(updates, ["url"], [F.col("seq").desc()]).select("url", F.col("review_status").alias("_new"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..durable import shared_dir
 from ..functions import records as R
 from ..functions import text as X
 from ..operators import changes, verdicts
 from ..operators.records import matches_terms, union_by_term, usable_records
+from ..sources.bucketed import BucketedStore
 from .inputs import table
 
 QUERIES: dict = {}
@@ -59,14 +63,30 @@ def cd02_cache_lookup(spark, sf_dir):
     return lookup(spark, sf_dir).select("doc_id", "cache_state")
 
 
-@query(f"""
+_UPSERTED = f"""
 WITH v AS (SELECT 'u' || CAST(o_custkey AS STRING) AS url, o_orderkey AS seq, o_orderkey % 2 = 0 AS is_relevant, CAST(o_orderkey % 11 AS INT) AS relevance_score, 'h' || CAST(o_orderkey AS STRING) AS content_hash FROM orders),
 n AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq DESC) AS rn FROM v) WHERE rn = 1)
 SELECT url, is_relevant, relevance_score, content_hash, strftime(TIMESTAMP '{NOW}' + INTERVAL (CASE WHEN is_relevant THEN 30 ELSE 7 END) DAY, '%Y-%m-%dT%H:%M:%S') AS expires_date FROM n
-UNION ALL SELECT url, is_relevant, relevance_score, content_hash, expires_date FROM ({_CACHED}) WHERE url NOT IN (SELECT url FROM n)""")
+UNION ALL SELECT url, is_relevant, relevance_score, content_hash, expires_date FROM ({_CACHED}) WHERE url NOT IN (SELECT url FROM n)"""
+
+
+def new_verdicts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr("'u' || o_custkey AS url", "o_orderkey AS seq", "o_orderkey % 2 = 0 AS is_relevant", "CAST(o_orderkey % 11 AS INT) AS relevance_score", "'h' || o_orderkey AS content_hash", "'law' AS policy_type")
+
+
+@query(_UPSERTED)
 def cd03_cache_upsert(spark, sf_dir):
-    v = table(spark, sf_dir, "orders").selectExpr("'u' || o_custkey AS url", "o_orderkey AS seq", "o_orderkey % 2 = 0 AS is_relevant", "CAST(o_orderkey % 11 AS INT) AS relevance_score", "'h' || o_orderkey AS content_hash", "'law' AS policy_type")
-    return changes.cache_upsert(cache(spark, sf_dir), v, F.lit(NOW).cast("timestamp")).select("url", "is_relevant", "relevance_score", "content_hash", "expires_date")
+    return changes.cache_upsert(cache(spark, sf_dir), new_verdicts(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("url", "is_relevant", "relevance_score", "content_hash", "expires_date")
+
+
+@query(_UPSERTED)
+def cd03_cache_store(spark, sf_dir):
+    """The cache as a store in folders by url: the verdicts rewrite theirs only."""
+    stored = cache(spark, sf_dir)
+    store = BucketedStore.like(stored, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", parts=8, buckets=4)
+    store.insert_new(stored)
+    store.upsert(changes.cache_entries(new_verdicts(spark, sf_dir), F.lit(NOW).cast("timestamp")))
+    return store.read().select("url", "is_relevant", "relevance_score", "content_hash", "expires_date")
 
 
 @query(f"SELECT url, expires_date FROM ({_CACHED}) WHERE try_cast(expires_date AS TIMESTAMP) > TIMESTAMP '{NOW}'")

@@ -10,7 +10,9 @@ from ..durable import shared_dir
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import coverage, places, scans, search_index, signals, store, verify
-from ..sources import readers, sinks
+from ..operators.changes import first_rows
+from ..sources import bucketed, readers, sinks
+from ..sources.bucketed import BucketedStore
 from .inputs import DOMAINS_SQL, POLICIES_SQL, TAGS_SQL, domains, policies, table
 
 QUERIES: dict = {}
@@ -158,12 +160,32 @@ def pl10_search_place(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", places.resolve_search_place(text, tables).alias("p")).select("o_orderkey", "p.kind", "p.key")
 
 
-@query(f"WITH {P}, b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn FROM p WHERE seq % 5 <> 0) SELECT seq, url FROM b WHERE rn = 1 AND url NOT IN (SELECT url FROM p WHERE seq % 5 = 0)")
+_INSERTED = f"WITH {P}, b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn FROM p WHERE seq % 5 <> 0) SELECT seq, url FROM b WHERE rn = 1 AND url NOT IN (SELECT url FROM p WHERE seq % 5 = 0)"
+
+
+def policy_store(spark, first):
+    """A store of policies (seq, url) in folders by url, with `first` in it, of each url the first."""
+    rows = first_rows(first.select("seq", "url"), ["url"], [F.col("seq")])
+    made = BucketedStore.like(rows, f"{shared_dir(spark)}/policies-{uuid.uuid4().hex}", parts=8, buckets=4)
+    made.insert_new(rows)
+    return made
+
+
+@query(_INSERTED)
 def st01_insert(spark, sf_dir):
     p = policies(spark, sf_dir)
     return store.add_policies(p.filter("seq % 5 = 0"), p.filter("seq % 5 <> 0")).select("seq", "url")
 
 
+@query(_INSERTED.replace("SELECT seq, url FROM b WHERE rn = 1", "SELECT min(seq) AS seq, url FROM p WHERE seq % 5 = 0 GROUP BY url UNION ALL SELECT seq, url FROM b WHERE rn = 1"))
+def st01_store(spark, sf_dir):
+    """The stored policies and the new ones, added to the store's folders without rewriting a file."""
+    p = policies(spark, sf_dir)
+    made = policy_store(spark, p.filter("seq % 5 = 0"))
+    store.insert_policies(made, p.filter("seq % 5 <> 0").select("seq", "url"))
+    return made.read()
+
+
 _UPDATES = "SELECT CASE WHEN seq % 7 = 0 THEN 'https://none/' || CAST(seq AS STRING) ELSE url END AS url, seq, CASE WHEN seq % 2 = 0 THEN 'needs_review' ELSE 'confirmed' END AS review_status FROM p WHERE seq % 4 = 0"
 
 
@@ -524,11 +546,11 @@ def sg08_history(spark, sf_dir):
 
 #: Requests every three seconds or so, a third of them of one key, of which the limit allows four a minute.
 _REQUESTS = "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 20 END AS key, event_id AS request_id, 1704067200 + event_id * 3 + event_id * event_id % 7 AS second"
-_PER_MINUTE = 4
+PER_MINUTE = 4
 SG09_SQL = f"""
 WITH RECURSIVE r AS (SELECT {_REQUESTS} FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY second, request_id) AS n FROM r),
 w(key, n, request_id, wait_s, recent) AS (SELECT key, n, request_id, NULL::DOUBLE, [second] FROM o WHERE n = 1
-      UNION ALL SELECT key, n, request_id, CASE WHEN len(held) >= {_PER_MINUTE} THEN 60.0::DOUBLE - (second - held[1]) END, CASE WHEN len(held) >= {_PER_MINUTE} THEN held ELSE list_append(held, second) END
+      UNION ALL SELECT key, n, request_id, CASE WHEN len(held) >= {PER_MINUTE} THEN 60.0::DOUBLE - (second - held[1]) END, CASE WHEN len(held) >= {PER_MINUTE} THEN held ELSE list_append(held, second) END
       FROM (SELECT o.*, list_filter(w.recent, lambda t: o.second - t <= 60) AS held FROM w JOIN o ON o.key = w.key AND o.n = w.n + 1))
 SELECT key, request_id, wait_s FROM w"""
 
@@ -539,7 +561,7 @@ def limited_requests(events):
 
 @query(SG09_SQL)
 def sg09_rate_limit(spark, sf_dir):
-    return signals.rate_limit(limited_requests(table(spark, sf_dir, "events")), _PER_MINUTE).select("key", "request_id", "wait_s")
+    return signals.rate_limit(limited_requests(table(spark, sf_dir, "events")), PER_MINUTE).select("key", "request_id", "wait_s")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS used, greatest(0, 300 - count(*)) AS remaining FROM events WHERE event_type <> 'error' GROUP BY 1")
@@ -614,11 +636,34 @@ def io08_export(spark, sf_dir):
     return sinks.export_new(p, p.filter("seq % 6 = 1")).select("seq", "url")
 
 
-@query(f"SELECT lead_id, CASE WHEN title <> '' THEN title ELSE snippet END AS title, CASE chase_outcome WHEN 'policy_found' THEN 'Found: ' || coalesce(policy_url, '') WHEN 'no_policy' THEN 'Checked - nothing found' WHEN 'fetch_failed' THEN 'Fetch failed: ' || coalesce(chase_error, '') ELSE '' END AS outcome FROM ({_CHASED})")
+@query(f"WITH {P}, e AS (SELECT min(seq) AS seq, url FROM p WHERE seq % 6 = 1 GROUP BY url) SELECT * FROM e UNION ALL SELECT min(seq), url FROM p WHERE url NOT IN (SELECT url FROM e) GROUP BY url")
+def io08_append(spark, sf_dir):
+    """What is exported once a batch has been appended, twice, to what was."""
+    p = policies(spark, sf_dir)
+    exported = policy_store(spark, p.filter("seq % 6 = 1"))
+    for _ in range(2):
+        sinks.append_new(p.select("seq", "url"), exported)
+    return exported.read()
+
+
+_SNAPSHOT = f"SELECT lead_id, CASE WHEN title <> '' THEN title ELSE snippet END AS title, CASE chase_outcome WHEN 'policy_found' THEN 'Found: ' || coalesce(policy_url, '') WHEN 'no_policy' THEN 'Checked - nothing found' WHEN 'fetch_failed' THEN 'Fetch failed: ' || coalesce(chase_error, '') ELSE '' END AS outcome FROM ({_CHASED})"
+
+
+@query(_SNAPSHOT)
 def io09_lead_snapshot(spark, sf_dir):
     return sinks.export_leads(chased(spark, sf_dir)).select("lead_id", "title", "outcome")
 
 
+@query(_SNAPSHOT)
+def io09_switch(spark, sf_dir):
+    """The queue as a reader finds it after an empty snapshot was replaced."""
+    at = f"{shared_dir(spark)}/leads-{uuid.uuid4().hex}"
+    leads = sinks.export_leads(chased(spark, sf_dir)).select("lead_id", "title", "outcome")
+    bucketed.write_snapshot(leads.limit(0), at)
+    bucketed.write_snapshot(leads, at)
+    return bucketed.read_snapshot(spark, at)
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'only_left' WHEN o_orderkey % 50 = 1 THEN 'only_right' ELSE 'differs' END AS problem FROM orders WHERE o_orderkey % 50 IN (0, 1, 2)")
 def io10_reconcile(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")

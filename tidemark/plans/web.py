@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators import extract, frontier, keywords
+from ..operators import extract, frontier, keywords, language
 from ..operators.scans import followup_urls, scan_funnel
 from .inputs import POLICIES_SQL, policies, table
 
@@ -187,6 +187,36 @@ def ex03_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", extract.detect_language(F.col("text"), PROFILES).alias("language"))
 
 
+#: n-grams of all texts by number, the model of four texts in five, and every language's score of every text.
+_GRAMS = """
+c AS (SELECT doc_id, lang, [unicode(x)::BIGINT FOR x IN string_split(text, '')] AS c FROM documents WHERE text IS NOT NULL AND text <> ''),
+g AS (SELECT doc_id, lang, unnest(list_concat([x * 3 % 4096 FOR x IN c], list_concat([((c[i] * 31 + c[i + 1]) * 3 + 1) % 4096 FOR i IN range(1, len(c))], [(((c[i] * 31 + c[i + 1]) * 31 + c[i + 2]) * 3 + 2) % 4096 FOR i IN range(1, len(c) - 1)]))) AS feature FROM c),
+t AS (SELECT doc_id, lang, feature, count(*) AS n FROM g GROUP BY ALL),
+l AS (SELECT DISTINCT lang FROM c WHERE lang IS NOT NULL AND doc_id % 5 <> 0),
+k AS (SELECT l.lang, f.feature, coalesce(n, 0) + 1 AS n FROM l CROSS JOIN range(4096) f(feature) LEFT JOIN (SELECT lang, feature, sum(n) AS n FROM t WHERE doc_id % 5 <> 0 GROUP BY ALL) x ON x.lang = l.lang AND x.feature = f.feature),
+m AS (SELECT lang, feature, ln(n::DOUBLE / sum(n) OVER (PARTITION BY lang)) AS share FROM k),
+s AS (SELECT doc_id, m.lang AS language, sum(t.n * share) / sum(t.n) AS score FROM t JOIN m ON t.feature = m.feature GROUP BY doc_id, m.lang),
+b AS (SELECT doc_id, language, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) = 1)"""
+
+
+def language_model(spark, sf_dir):
+    return language.fit(table(spark, sf_dir, "documents").filter("doc_id % 5 <> 0"))
+
+
+@query(f"WITH {_GRAMS} SELECT d.doc_id, CASE WHEN length(text) > 50 THEN language END AS language, round(score, 6) AS score FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id")
+def ex03_ngram_language(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", "text", language.score(F.col("text"), language_model(spark, sf_dir)).alias("found"))
+    return found.select("doc_id", F.when(F.length("text") > 50, F.col("found.language")).alias("language"), F.round("found.score", 6).alias("score"))
+
+
+@query(f"WITH {_GRAMS} SELECT lang, count(*) AS n, count(*) FILTER (language = lang) AS correct FROM documents d JOIN b ON b.doc_id = d.doc_id WHERE d.doc_id % 5 = 0 AND length(text) > 50 AND lang IS NOT NULL GROUP BY lang")
+def ex03_held_out(spark, sf_dir):
+    """The fifth of the documents that the model hasn't seen, by their declared language."""
+    held = table(spark, sf_dir, "documents").filter("doc_id % 5 = 0 AND length(text) > 50 AND lang IS NOT NULL")
+    found = held.select("lang", language.detect(F.col("text"), language_model(spark, sf_dir)).alias("language"))
+    return found.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("correct"))
+
+
 @query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INT) AS words, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) < 50 AS short FROM documents")
 def ex04_word_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.short_content(F.col("text")).alias("short"))

@@ -9,6 +9,7 @@ from ..functions.urls import scheme
 from ..operators.changes import first_rows
 from ..operators.places import split_jurisdiction
 from ..operators.store import add_policies
+from .bucketed import BucketedStore
 
 # Headers of the staging layout, 13 of the master list and 15 extras.
 MASTER = ["Geographical Area", "Country", "Region", "Name", "Incentive, Standard, or Enabler?", "Type (policy, legislation, regulation, grant, tax credit, voluntary initiative, etc.)", "Description", "Exclusive to Data Centers?", "Status", "Date Issued (newest version)", "Link", "Notes", "Person Who Added it to the Database"]
@@ -78,6 +79,11 @@ def export_new(batch: DataFrame, exported: DataFrame) -> DataFrame:
     return first_rows(batch, ["url"], [F.col("seq")]).join(exported.select("url").distinct(), "url", "left_anti")
 
 
+def append_new(batch: DataFrame, exported: BucketedStore) -> None:
+    """IO-08: appends to what is exported the rows of the batch that `export_new` gives. A batch that is appended again adds nothing."""
+    exported.insert_new(first_rows(batch, ["url"], [F.col("seq")]))
+
+
 def lead_outcome(outcome: Column, policy_url: Column, error: Column) -> Column:
     return F.when(outcome == "policy_found", F.concat(F.lit("Found: "), F.coalesce(policy_url, F.lit("")))).when(outcome == "no_policy", "Checked - nothing found").when(outcome == "fetch_failed", F.concat(F.lit("Fetch failed: "), F.coalesce(error, F.lit("")))).otherwise("")
 
