@@ -7,14 +7,16 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import records, urls
 from tidemark.functions.text import redact, screening_excerpt
-from tidemark.operators import extract, frontier, keywords, places, scans, signals, store, verdicts
+from tidemark.operators import extract, frontier, keywords, language, places, scans, search_index, signals, store, verdicts
 from tidemark.operators.records import parse_measures
-from tidemark.sources import readers, sinks
+from tidemark.sources import bucketed, readers, sinks
+from tidemark.sources.bucketed import BucketedStore
 from tidemark.streaming import streams
 
 
@@ -305,12 +307,12 @@ def test_stream_rate_limit_equals_batch(spark, tmp_path):
 def test_stream_store_keeps_the_first_and_reruns(spark, tmp_path):
     df = spark.createDataFrame([(i, f"u{i % 7}", "x") for i in range(30)], "seq long, url string, policy_name string")
     other = spark.createDataFrame([(i, f"u{i % 4 + 5}", "y") for i in range(30)], df.schema)
-    target = str(tmp_path / "store")
+    target = BucketedStore.like(df, str(tmp_path / "store"), parts=4, buckets=2)
     streams.stream_store(stream_of(spark, df, tmp_path / "p"), target)
     streams.stream_store(stream_of(spark, other, tmp_path / "q"), target)
     streams.stream_store(stream_of(spark, df, tmp_path / "r"), target)
-    stored = {r.url: r.policy_name for r in spark.read.parquet(target).collect()}
-    assert stored == {f"u{i}": "x" if i < 7 else "y" for i in range(9)} and spark.read.parquet(target).count() == 9
+    stored = {r.url: r.policy_name for r in target.read().collect()}
+    assert stored == {f"u{i}": "x" if i < 7 else "y" for i in range(9)} and target.read().count() == 9
 
 
 def test_deep_hierarchies(spark):
@@ -323,37 +325,161 @@ def test_deep_hierarchies(spark):
 
 
 def test_long_chains_of_items(spark):
-    rows = [(i, f"u{(i + 1) // 2}", f"t{i // 2}") for i in range(104)]
-    df = spark.createDataFrame(rows, "seq long, url string, title string")
-    assert sorted(r.seq for r in signals.dedupe_items(df).collect()) == brute_dedupe(rows)
+    """A chain decides two items a round, and mustn't take a round for each two."""
+    for n in (104, 100_000):
+        rows = [(i, f"u{(i + 1) // 2}", f"t{i // 2}") for i in range(n)]
+        df = spark.createDataFrame(pd.DataFrame(rows, columns=["seq", "url", "title"]))
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        assert sorted(r.seq for r in signals.dedupe_items(df).collect()) == brute_dedupe(rows)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 400
+
+
+def test_nulls_are_values_of_items(spark):
+    rows = [(1, None, "a"), (2, None, "b"), (3, "", "c"), (4, "u", None), (5, "v", None), (6, "w", "A ")]
+    assert sorted(r.seq for r in signals.dedupe_items(spark.createDataFrame(rows, "seq long, url string, title string")).collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("limit", [1, 3, 8])
+def test_rate_limit_of_a_hot_key(spark, limit):
+    rng = random.Random(limit)
+    start, at, rows = datetime(2024, 1, 1), 0.0, []
+    for i in range(3000):
+        at += rng.choice([0, 0.25, 2, 9, 9, 30, 75]) if i % 500 else 4000
+        rows.append((None if i % 3 == 0 else rng.randrange(4), start + timedelta(seconds=at), i))
+    got = {r.request_id: r.wait_s for r in signals.rate_limit(spark.createDataFrame(rows, "key long, ts timestamp, request_id long"), limit).collect()}
+    want = brute_limit([(-1 if k is None else k, t, i) for k, t, i in rows], limit)
+    assert got == pytest.approx(want) and 20 < sum(w is not None for w in want.values())
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_reach_over_hubs(spark, small):
+    edges = [("hub", f"p{i}") for i in range(1500)] + [(f"p{i}", f"q{i % 40}") for i in range(300)] + [("q1", "far"), ("far", "farther"), (None, "x"), ("q2", None)]
+    df = spark.createDataFrame(edges, "src_url string, dst_url string")
+    got = {r.url: r.depth for r in frontier.bfs_depth(df, spark.createDataFrame([("hub",), ("q1",)], "url string"), 2, small=small).collect()}
+    want = {"hub": 0, "q1": 0, "far": 1, "farther": 2} | {f"p{i}": 1 for i in range(1500)} | {f"q{i}": 2 for i in range(40) if i != 1}
+    assert got == want
+
+
+# --- the inverted index
+
+SEARCHED = [
+    (1, "Énergie verte", "Plan pour l'énergie", "", "FR", "law"), (2, "ŁÓDŹ: ciepło", "energia odpadowa", None, "PL", "law"), (3, "Abwärme", "heat reuse of heat pumps", "heat-reuse plan", "DE", "grant"),
+    (4, "Energie", None, "reuse heat", "NEAR(1)", "law"), (5, "日本語 法", "heat", "x", "JP", "law"), (6, "e\u0301nergies", "heater", "", "FR", "grant"),
+]
 
 
-def test_import_lists_all_invalid_rows(spark):
-    rows = [(i, "" if i % 2 else "https://x/" + str(i)) for i in range(3000)]
-    blank = [F.lit("5" if h == "Relevance Score" else "n" if h == "Name" else "").alias(h) for h in sinks.HEADERS if h != "Link"]
-    sheet = spark.createDataFrame(rows, "seq long, Link string").select("seq", "Link", *blank)
-    new, summary, bad = sinks.import_staging(sheet, spark.createDataFrame([], "url string"))
-    assert tuple(summary.first()) == (3000, 1500, 0, 1500) and new.count() == 1500
-    assert sorted(r.row for r in bad.collect()) == [i + 2 for i in range(1, 3000, 2)]
-
-
-def test_cost_of_a_full_scan(spark):
-    domains = spark.range(404).select(F.col("id").cast("string").alias("id"), F.lit(True).alias("enabled"))
-    assert tuple(scans.estimate_cost(domains).first()) == (404, 40400, 4040, 2020, 153.82)
-
-
-def test_sources_as_configured(spark, tmp_path):
-    """What the loader reads can be selected, counted and planned."""
-    (tmp_path / "domains").mkdir()
-    (tmp_path / "domains" / "all.yaml").write_text("domains:\n  - {id: a, name: A, region: [france, eu], policy_types: [law]}\n  - {id: b, name: B, region: [eu], enabled: false}\n  - {id: c, name: C, region: [sweden, nordic], tags: [x]}\n")
-    (tmp_path / "keywords.yaml").write_text("keywords: {}\n")
-    domains = readers.load_dims(spark, str(tmp_path))["domains"]
-    groups = spark.createDataFrame([("g", ["a", "b"])], "group string, domain_ids array<string>")
-    ids = lambda df: sorted(r.id for r in df.collect() if r.id)
-    assert ids(scans.resolve_targets(domains, groups, "eu")) == ["a"] and ids(scans.resolve_targets(domains, groups, "g,nordic")) == ["a", "c"]
-    assert [r.unknown for r in scans.resolve_targets(domains, groups, "b").collect()] == [True]
-    assert ids(scans.filter_domains(domains, policy_type="law")) == ["a"] and ids(scans.filter_domains(domains)) == ["a", "c"]
-    local = spark.createDataFrame([("sweden",)], "slug string")
-    assert {tuple(r) for r in scans.source_counts(domains, groups, local).collect()} == {("group", "g", 2), ("broad", "eu", 1), ("broad", "nordic", 1), ("country", "france", 1), ("state", "sweden", 1), ("total", "", 2)}
-    plan = scans.search_plan(domains, "sweden", ["nordic"])
-    assert ids(plan) == ["c"] and tuple(scans.plan_ceiling(plan, "high").first()) == (1, 1, 0.6)
+def searched(spark, rows=SEARCHED):
+    return spark.createDataFrame(rows, "seq long, policy_name string, summary string, key_requirements string, jurisdiction string, policy_type string")
+
+
+def test_index_gives_what_the_scan_gives(spark, tmp_path):
+    df, path = searched(spark).cache(), str(tmp_path / "i")
+    search_index.add_batch(df.filter("seq < 4"), path, 0)
+    search_index.add_batch(df.filter("seq >= 4"), path, 1)
+    ranks = lambda rows: [(r.seq, round(r.rank_score, 9)) for r in rows.collect()]
+    expected = {"énergie": {1, 4, 6}, "Łódź": {2}, "heat-reuse": {3}, "日本語": {5}, "heat) OR (1=1": None, '"""': set(), "plan energ": {1}, "heat pu": {3}}
+    for text, seqs in expected.items():
+        scan = ranks(store.search_text(df, text))
+        assert ranks(search_index.search_index(df, path, text)) == scan and (seqs is None or {s for s, _ in scan} == seqs)
+    assert ranks(search_index.search_index(df, path, "energie", policy_type="law")) == ranks(store.search_text(df, "energie", policy_type="law"))
+
+
+def test_index_batches_replace_and_read_their_words_only(spark, tmp_path):
+    path = str(tmp_path / "i")
+    old, now = searched(spark), searched(spark, [r if r[0] != 4 else (4, "heat law", "new", "", "US", "law") for r in SEARCHED if r[0] != 3])
+    search_index.add_batch(old, path, 0)
+    for _ in range(2):  # a batch that is written again replaces itself
+        search_index.add_batch(now.filter("seq = 4"), path, 1, gone=old.filter("seq IN (3, 4)").select("seq"))
+    for text in ("heat", "law"):
+        assert [(r.seq, round(r.rank_score, 9)) for r in search_index.search_index(now, path, text).collect()] == [(r.seq, round(r.rank_score, 9)) for r in store.search_text(now, text).collect()]
+    counts = search_index.phrase_counts(spark, path, [["heat"]], store.WEIGHTS)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ (IN|=)", plan), plan
+    assert "StringStartsWith(token,heat)" in plan or "startswith" in plan.lower()
+
+
+# --- stores in folders by key
+
+
+def files_of(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_change_rewrites_its_folders_only(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"u{i}", "old") for i in range(2000)], "seq long, url string, policy_name string")
+    made = BucketedStore.like(df, str(tmp_path / "s"), parts=16, buckets=2)
+    made.insert_new(df)
+    before = files_of(tmp_path / "s")
+    change = spark.createDataFrame([(5000 + i, u, "new") for i, u in enumerate(["u7", "brand-new", None])], df.schema)
+    made.upsert(change)
+    after = files_of(tmp_path / "s")
+    folder = lambda f: f.split("store_part=")[1].split("/")[0]
+    touched = {folder(f) for f in set(before) ^ set(after)} | {folder(f) for f in before if f in after and before[f] != after[f]}
+    assert 1 <= len(touched) <= 2
+    rows = {r.url: r.policy_name for r in made.read().collect()}
+    assert len(rows) == 2001 and rows["u7"] == rows["brand-new"] == "new" and rows["u8"] == "old"
+    made.insert_new(change)
+    made.upsert(change)
+    assert made.read().count() == 2001
+    # what is joined with the store is dealt like it: there is no exchange between the join and the store's scan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = made.rest_of(made._dealt(change))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left = plan[plan.index("SortMergeJoin") : plan.index("FileScan")]
+    assert "Exchange" not in left and plan.count("Exchange hashpartitioning") == 1 and "PartitionFilters" in plan, plan
+
+
+def test_a_reader_keeps_the_snapshot_it_has(spark, tmp_path):
+    path = str(tmp_path / "queue")
+    bucketed.write_snapshot(spark.range(5), path)
+    reader = bucketed.read_snapshot(spark, path)
+    bucketed.write_snapshot(spark.range(100, 103), path)
+    assert reader.count() == 5 and sorted(r.id for r in bucketed.read_snapshot(spark, path).collect()) == [100, 101, 102]
+    with pytest.raises(Exception):
+        bucketed.write_snapshot(spark.range(9).select(F.raise_error(F.lit("broken")).alias("id")), path)
+    assert bucketed.read_snapshot(spark, path).count() == 3
+    bucketed.write_snapshot(spark.range(1), path)
+    assert len([p for p in (tmp_path / "queue").iterdir() if p.is_dir() and list(p.glob("_SUCCESS"))]) == 2
+
+
+# --- streams in parts
+
+
+def test_rows_in_order_by_runs_on_disk():
+    rng = random.Random(3)
+    rows = [(rng.randrange(50), i) for i in range(2500)]
+    frames = lambda: (pd.DataFrame(rows[k : k + 130], columns=["a", "i"]) for k in range(0, len(rows), 130))
+    for held in (100, 700, 10_000):
+        assert [tuple(map(int, r)) for r in streams.in_order(frames(), ["a", "i"], held)] == sorted(rows)
+    assert list(streams.in_order(iter(()), ["a"])) == []
+
+
+def test_idle_records_are_forgotten(spark, tmp_path):
+    day = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    parts = [[("a", 1, "x", day(0)), ("b", 2, "y", day(9))], [("a", 3, "x", day(10)), ("b", 4, "y", day(10)), ("c", 5, None, day(10))], [("c", 6, None, day(11)), ("b", 7, "z", day(11))]]
+    out, source, at = [], tmp_path / "in", str(tmp_path / "at")
+    for k, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, "record_id string, seq long, change_hash string, ts timestamp")
+        df.write.parquet(str(source / str(k)))
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(str(source))
+        streams.drain(streams.stream_changed(stream, "5 days"), "append", lambda b, _: out.extend(tuple(r) for r in b.collect()), at)
+    assert sorted(out, key=lambda r: r[1]) == [("a", 1, "x"), ("b", 2, "y"), ("a", 3, "x"), ("c", 5, None), ("b", 7, "z")]
+
+
+def test_language_of_unseen_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL AND length(text) > 50")
+    model = language.fit(docs.filter("doc_id % 5 <> 0"))
+    held = docs.filter("doc_id % 5 = 0").select(F.avg((language.detect(F.col("text"), model) == F.col("lang")).cast("int"))).first()[0]
+    assert held > 0.98
+    long = " ".join(r.text for r in docs.filter("lang = 'de'").limit(40).collect())
+    assert (language.counts(long).sum(), language.counts("").sum(), language.counts(None).sum()) == (3 * len(long) - 3, 0, 0)
+    piece, language.PIECE = language.PIECE, 97
+    try:
+        pieced = language.counts(long)
+    finally:
+        language.PIECE = piece
+    assert (pieced == language.counts(long)).all()
+    none = language.fit(docs.limit(0))
+    assert docs.select(language.detect(F.col("text"), none)).distinct().collect()[0][0] is None

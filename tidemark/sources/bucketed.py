@@ -89,12 +89,13 @@ def _files(spark: SparkSession, path: str):
 def write_snapshot(df: DataFrame, path: str, keep: int = 2) -> str:
     """IO-09: writes `df` to a folder of its own under `path`, then lets the pointer name it, by one rename. A reader sees the old rows or the new ones, whole.
 
-    The last `keep` snapshots stay for readers that have begun; older ones go. A write that fails before the rename changes nothing for readers.
+    The last `keep` whole snapshots stay for readers that have begun; older ones go. A write that fails before the rename changes nothing for readers.
     """
     spark = df.sparkSession
     jvm = spark._jvm
     at, files, context = _files(spark, path)
-    known = sorted((s.getModificationTime(), s.getPath().getName()) for s in files.listStatus(at) if s.isDirectory()) if files.exists(at) else []
+    whole = lambda s: s.isDirectory() and files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+    known = sorted((s.getModificationTime(), s.getPath().getName()) for s in files.listStatus(at) if whole(s)) if files.exists(at) else []
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
     draft = jvm.org.apache.hadoop.fs.Path(f"{path}/.{version}")
