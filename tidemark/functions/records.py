@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import contains_any
@@ -119,6 +119,17 @@ def feedback_window(statuses: Column) -> Column:
     return F.aggregate(F.filter(F.coalesce(statuses, F.array().cast("array<struct<state:string,start:string,end:string>>")), lambda x: x.isNotNull()), begin, step)
 
 
+def feedback_stage(window: Column) -> Column:
+    """SR-04: the stage of an initiative with such a window."""
+    return F.when(window["is_open"], "consultation").otherwise("proposed")
+
+
+def open_initiatives(df: DataFrame, statuses: str = "statuses", open_only: bool = True) -> DataFrame:
+    """SR-04: initiatives with `window` and `lifecycle_stage`; with `open_only` those alone whose feedback is open."""
+    out = df.withColumn("window", feedback_window(F.col(statuses))).withColumn("lifecycle_stage", feedback_stage(F.col("window")))
+    return out.filter("window.is_open") if open_only else out
+
+
 def parse_wcf_date(text: Column) -> Column:
     """SR-05: /Date(ms+hhmm)/ as a date there; '' if it can't be read."""
     p = r"/Date\((-?\d+)([+-]\d{4})?\)/"

@@ -67,11 +67,28 @@ def coverage_children(policies: DataFrame, sources: DataFrame, registry: DataFra
     return n.join(m, "bucket", "full").select("bucket", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("policies", "sources")))
 
 
+def check_reconciles(policies: DataFrame, sources: DataFrame, registry: DataFrame, rollup: DataFrame) -> DataFrame:
+    """CV-06: (check, place, parts, total): that the places' own counts and the unresolved policies are all policies, and that each country's national
+    policies and those of its children are the country's."""
+    by_place = durable(coverage(policies, sources, registry, rollup).select("place", "policies"))
+    p = located(policies, registry, rollup)
+    unresolved = p.agg(F.count_if(F.col("spot") == "unresolved").alias("unresolved"))
+    shown = by_place.agg(F.coalesce(F.sum("policies"), F.lit(0)).alias("shown"))
+    whole = policies.agg(F.count("*").alias("total")).join(F.broadcast(unresolved)).join(F.broadcast(shown)).select(F.lit("total").alias("check"), F.lit("").alias("place"), (F.col("shown") + F.col("unresolved")).alias("parts"), "total")
+    spots = p.filter("country is not null").groupBy("country", "slug").agg(F.count("*").alias("n"))
+    parts = spots.groupBy("country").agg((F.sum(F.when(F.col("slug") == F.col("country"), F.col("n")).otherwise(0)) + F.sum(F.when(F.col("slug") != F.col("country"), F.col("n")).otherwise(0))).alias("parts"))
+    countries = rollup.select("country").filter("country is not null").distinct()
+    each = countries.join(parts, "country", "left").join(by_place, F.col("country") == F.col("place"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return whole.union(each.select(F.lit("country"), "country", zero("parts"), zero("policies")))
+
+
 def coverage_totals(policies: DataFrame, sources: DataFrame, registry: DataFrame, rollup: DataFrame) -> DataFrame:
-    """CV-06: one row: policies, those on and off the map and unresolved, distinct sources, and whether the parts add up."""
+    """CV-06: one row: policies, those on and off the map and unresolved, distinct sources, and whether all of `check_reconciles` add up."""
     p = located(policies, registry, rollup).agg(F.count("*").alias("policies"), *(F.count_if(F.col("spot") == x).alias(x) for x in ("country", "offmap", "unresolved")))
     n = sources.agg(F.count_distinct("id").alias("sources"))
-    return p.join(F.broadcast(n)).withColumn("reconciles", F.col("policies") == F.col("country") + F.col("offmap") + F.col("unresolved"))
+    ok = check_reconciles(policies, sources, registry, rollup).agg(F.bool_and(F.col("parts") == F.col("total")).alias("reconciles"))
+    return p.join(F.broadcast(n)).join(F.broadcast(ok))
 
 
 def coverage_bin(policies: Column, tracked: Column) -> Column:
@@ -83,3 +100,9 @@ def coverage_bins(places: DataFrame, covered: DataFrame) -> DataFrame:
     """CV-07: every place with its policies and bin; places nobody tracks are untracked."""
     joined = places.join(covered.select("place", "policies"), "place", "left")
     return joined.withColumn("bin", coverage_bin(F.col("policies"), F.col("policies").isNotNull())).withColumn("policies", F.coalesce("policies", F.lit(0).cast("long")))
+
+
+def coverage_browse(*args: DataFrame) -> DataFrame:
+    """CV-07: the browse list: countries and off-map places together, by policies, then name."""
+    turn = F.row_number().over(W.orderBy(F.col("policies").desc(), "name", "place"))  # places: no more than the registry has
+    return coverage(*args).select("place", "name", "spot", "policies").withColumn("position", turn)

@@ -131,6 +131,12 @@ def unresolved_report(resolved: DataFrame, column: str = "jurisdiction") -> Data
     return resolved.filter((F.col("slug").isNull()) & (F.trim(F.coalesce(column, F.lit(""))) != "")).groupBy(F.trim(column).alias("text")).agg(F.count("*").alias("hits"))
 
 
+def unresolved_slugs(domains: DataFrame, registry: DataFrame) -> DataFrame:
+    """PL-06: region tags of sources (id, region) that the registry doesn't have, with the sources that carry them."""
+    tags = domains.select("id", F.explode("region").alias("slug")).filter("slug is not null").distinct()
+    return tags.join(registry.select("slug").distinct(), "slug", "left_anti").groupBy("slug").agg(F.count("*").alias("sources"))
+
+
 def filter_place(resolved: DataFrame, rollup: DataFrame, slug: str) -> DataFrame:
     """PL-07: rows of the place itself, and of all places of it if it is a country."""
     inside = rollup.filter((F.col("slug") == slug) | (F.col("country") == slug)).select("slug")
@@ -184,3 +190,8 @@ def resolve_search_place(text: Column, tables: list[dict[str, tuple[str, str]]])
         for name, (kind, key) in table.items():
             found.append(F.when(plain == name, F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"))))
     return F.coalesce(*found)
+
+
+def suggested_places(names: DataFrame, tables: list[dict[str, tuple[str, str]]], column: str = "name") -> DataFrame:
+    """PL-10: suggestions of a search box (name): each of `names` that the search itself resolves, once; to be shown by lower case."""
+    return names.select(F.col(column).alias("name")).filter(resolve_search_place(F.col("name"), tables).isNotNull()).distinct().orderBy(F.lower("name"), "name")

@@ -84,11 +84,20 @@ def source_counts(domains: DataFrame, groups: DataFrame, local: DataFrame) -> Da
     return listed.union(told.select(kind.alias("kind"), F.col("tag").alias("name"), "sources")).union(on.agg(F.count("*").alias("sources")).select(F.lit("total"), F.lit(""), "sources"))
 
 
+def outcomes(staged: DataFrame, blocked: Column, screening: Column) -> DataFrame:
+    """SC-06: stages of pages with what came after the keywords: `error` for blocked ones, `screened_out` and `llm_skipped` for those that matched and whose
+    `screening` is reject or skip."""
+    matched = F.col("stage") == "matched"
+    stage = F.when(blocked, "error").when(matched & (screening == "reject"), "screened_out").when(matched & (screening == "skip"), "llm_skipped").otherwise(F.col("stage"))
+    return staged.withColumn("stage", stage)
+
+
 def scan_funnel(staged: DataFrame, totals: bool = False) -> DataFrame:
-    """SC-06: rows per (scan_id, domain_id) and stage, near misses among the dropped; with `totals` also per scan (domain_id null)."""
+    """SC-06: rows per (scan_id, domain_id) and stage, near misses among the dropped; with `totals` also per scan (domain_id null). Pages that
+    screening turned down or that no model saw have matched too."""
     n = lambda s: F.count_if(F.col("stage") == s).alias(f"n_{s}")
     grouped = staged.rollup("scan_id", "domain_id") if totals else staged.groupBy("scan_id", "domain_id")
-    out = grouped.agg(F.count("*").alias("crawled"), n("short"), n("excluded"), n("keyword_dropped"), F.count_if((F.col("stage") == "keyword_dropped") & F.col("near_miss")).alias("near_misses"), n("matched"), *((F.sum("policies").alias("policies"),) if "policies" in staged.columns else ()))
+    out = grouped.agg(F.count("*").alias("crawled"), n("short"), n("excluded"), n("keyword_dropped"), F.count_if((F.col("stage") == "keyword_dropped") & F.col("near_miss")).alias("near_misses"), F.count_if(F.col("stage").isin("matched", "screened_out", "llm_skipped")).alias("n_matched"), n("screened_out"), F.count_if(F.col("stage") == "llm_skipped").alias("llm_skipped"), F.count_if(F.col("stage") == "error").alias("errors"), *((F.sum("policies").alias("policies"),) if "policies" in staged.columns else ()))
     return out.filter("scan_id is not null") if totals else out
 
 
@@ -100,6 +109,12 @@ def scan_report(funnel: DataFrame, cap: int = 50) -> DataFrame:
     return rows.withColumn("position", turn).filter(F.col("position") <= cap).select("scan_id", "finding", "domain_id", "position")
 
 
+def flagged_list(policies: DataFrame, cap: int = 30) -> DataFrame:
+    """SC-07: per scan the first `cap` policies with verification flags, by seq: scan_id, position, url, policy_name, verification_flags."""
+    turn = F.row_number().over(W.partitionBy("scan_id").orderBy("seq"))
+    return policies.filter(F.size(F.coalesce("verification_flags", F.array().cast("array<string>"))) > 0).withColumn("position", turn).filter(F.col("position") <= cap).select("scan_id", "position", "url", "policy_name", "verification_flags")
+
+
 def estimate_cost(domains: DataFrame, max_pages: int = 200) -> DataFrame:
     """SC-08: domains, pages, screenings, analyses and cost of a scan of the enabled domains: half of `max_pages`, the page budget of
     a domain, for each; a tenth screened, half of these analysed, and one audit."""
@@ -139,3 +154,11 @@ def followup_urls(policies: DataFrame, pages: DataFrame, same: Column, cap: int
     once = first_rows(cited, ["domain_id", "link"], [F.col("seq"), F.col("position")]).join(pages.select(F.col("url").alias("link")).distinct(), "link", "left_anti")
     turn = F.row_number().over(W.partitionBy("domain_id").orderBy("seq", "position"))
     return once.withColumn("turn", turn).filter(F.col("turn") <= cap).select("domain_id", "link", "turn")
+
+
+def followup_counts(policies: DataFrame, pages: DataFrame, same: Column, cap: int = 20) -> DataFrame:
+    """URL-09: per domain the cited links that are followed, that are over `cap`, and that lie on other sites: distinct ones, not fetched yet."""
+    cited = policies.select("domain_id", "base", F.explode("referenced_urls").alias("link")).filter(F.col("link").rlike("(?i)^https?://"))
+    once = cited.select("domain_id", "link", F.coalesce(same, F.lit(False)).alias("same")).groupBy("domain_id", "link").agg(F.max("same").alias("same"))
+    new = once.join(pages.select(F.col("url").alias("link")).distinct(), "link", "left_anti").groupBy("domain_id").agg(F.count_if("same").alias("n"), F.count_if(~F.col("same")).alias("cross_site"))
+    return new.select("domain_id", F.least(F.col("n"), F.lit(cap)).alias("followed"), F.greatest(F.col("n") - cap, F.lit(0)).alias("over_cap"), "cross_site")

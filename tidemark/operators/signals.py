@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from ..durable import durable
 from ..graph import connected_components
 from .changes import first_rows
+from .store import add_leads
 
 ARTICLES = "articles array<struct<title: string, url: string, sourcecountry: string>>"
 LEVELS = {"debug": 10, "info": 20, "warning": 30, "error": 40, "critical": 50}
@@ -90,11 +91,21 @@ def dedupe_items(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def triage_items(items: DataFrame, verdicts: DataFrame, cap: int = 50) -> DataFrame:
-    """SG-04: the first `cap` items (by index) whose verdict is relevant, with the verdict's jurisdiction, if any, and name in front of the snippet."""
+    """SG-04: the first `cap` items (by index) whose verdict is relevant, with the verdict's jurisdiction, if any, and name in front of the snippet: `name — snippet`."""
     v = verdicts.filter("relevant").select("index", F.col("jurisdiction").alias("_place"), F.col("policy_name").alias("_name"))
     name = F.coalesce("_name", F.lit(""))
     joined = items.join(v, "index").withColumn("jurisdiction_guess", F.coalesce(F.nullif("_place", F.lit("")), "jurisdiction_guess"))
-    return joined.withColumn("snippet", F.when(name != "", F.concat(F.lit("["), name, F.lit("] "), F.coalesce("snippet", F.lit("")))).otherwise(F.col("snippet"))).drop("_place", "_name").orderBy("index").limit(cap)
+    return joined.withColumn("snippet", F.when(name != "", F.concat(name, F.lit(" — "), F.coalesce("snippet", F.lit("")))).otherwise(F.col("snippet"))).drop("_place", "_name").orderBy("index").limit(cap)
+
+
+def news_leads(items: DataFrame, verdicts: DataFrame | None, leads: DataFrame, cap: int = 50) -> tuple[DataFrame, DataFrame]:
+    """SG-04: the new leads of a sweep and one row of counts (items_seen, items_kept, leads_added). `items` are (index, title, url, snippet,
+    jurisdiction_guess); without verdicts all are kept, in both cases `cap` at most; what `leads` (source_url, snippet) has isn't added."""
+    kept = items.orderBy("index").limit(cap) if verdicts is None else triage_items(items, verdicts, cap)
+    batch = kept.select(F.col("index").alias("seq"), "title", F.col("url").alias("source_url"), "snippet", "jurisdiction_guess", F.lit("news").alias("origin"))
+    added = durable(add_leads(leads, batch))
+    counts = items.agg(F.count("*").alias("items_seen")).join(F.broadcast(kept.agg(F.count("*").alias("items_kept")))).join(F.broadcast(added.agg(F.count("*").alias("leads_added"))))
+    return added, counts
 
 
 def query_logs(df: DataFrame, level: str | None = None, scan_id: str | None = None, session_id: str | None = None, event: str | None = None, limit: int = 100) -> DataFrame:

@@ -10,6 +10,7 @@ NULLS = ["null", "None", "N/A", "n/a", "", "unknown", "Unknown", "nicht verfügb
 YES = ["true", "yes", "1", "ja", "oui", "sí", "是", "да", "sim"]
 STAGES = ["proposed", "consultation", "in_committee", "passed", "enacted", "amended", "unknown", "transposition_notified"]
 TYPES = ["law", "regulation", "directive", "incentive", "tax_incentive", "grant", "plan", "requirement", "standard", "guidance", "matching_platform", "unknown"]
+NO_EXPLANATION = "No explanation provided"
 ONE = "is_relevant string, relevance_score string, policy_type string, policy_name string, jurisdiction string, summary string, key_requirements string, effective_date string, bill_number string, confidence string, lifecycle_stage string, referenced_policies string, referenced_urls string, relevance_explanation string, source_language string"
 #: A reply: the fields of one policy, and the further ones that the page has.
 ANALYSIS = f"{ONE}, additional_policies array<struct<{ONE}>>"
@@ -17,11 +18,15 @@ ANALYSIS = f"{ONE}, additional_policies array<struct<{ONE}>>"
 
 def first_object(text: Column) -> Column:
     """The first balanced {...} of a text that begins with one; other texts as they are."""
-    # the braces alone, each with its place; the object ends where as many are closed as opened
-    braces = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("i"), F.when(c == "{", 1).when(c == "}", -1).otherwise(0).alias("step"))), lambda b: b["step"] != 0)
-    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("end"))
-    step = lambda a, b: F.when(a["end"] >= 0, a).otherwise(F.struct((a["depth"] + b["step"]).alias("depth"), F.when(a["depth"] + b["step"] == 0, b["i"]).otherwise(-1).alias("end")))
-    end = F.aggregate(braces, start, step)["end"]
+    # pieces that begin with a brace; the object ends with the one that closes as many as were opened
+    pieces = F.transform(F.split(text, r"(?=[{}])"), lambda p: F.struct(F.when(p.startswith("{"), 1).otherwise(-1).alias("step"), F.length(p).alias("size")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+
+    def step(a: Column, p: Column) -> Column:
+        depth = a["depth"] + p["step"]
+        return F.when(a["end"] >= 0, a).otherwise(F.struct(depth.alias("depth"), (a["at"] + p["size"]).alias("at"), F.when(depth == 0, a["at"]).otherwise(-1).alias("end")))
+
+    end = F.aggregate(pieces, start, step)["end"]
     simple = text.rlike(r"(?s)^\{[^{}]*\}$")  # nothing to look for: one object without others in it
     return F.when(~text.startswith("{") | simple, text).otherwise(F.when(end >= 0, F.substring(text, F.lit(1), end + 1)).otherwise(text))
 
@@ -62,7 +67,7 @@ def coerced(verdict: Column) -> Column:
     kind = no_null(c("policy_type"), F.when(relevant, "unknown").otherwise("not_relevant"))
     return F.struct(
         relevant.alias("is_relevant"), score(c("relevance_score")).alias("relevance_score"), kind.alias("policy_type"),
-        *(no_null(c(n), empty).alias(n) for n in ("policy_name", "jurisdiction", "summary", "key_requirements", "relevance_explanation")),
+        *(no_null(c(n), empty).alias(n) for n in ("policy_name", "jurisdiction", "summary", "key_requirements")), no_null(c("relevance_explanation"), F.lit(NO_EXPLANATION)).alias("relevance_explanation"),
         *(no_null(c(n), none).alias(n) for n in ("effective_date", "bill_number")), F.coalesce(c("source_language"), F.lit("English")).alias("source_language"),
         F.when(c("lifecycle_stage").isin(*STAGES), c("lifecycle_stage")).otherwise("unknown").alias("lifecycle_stage"),
         text_list(c("referenced_policies")).alias("referenced_policies"), text_list(c("referenced_urls")).alias("referenced_urls"),

@@ -188,6 +188,20 @@ def sr04_feedback(spark, sf_dir):
     return o.select("o_orderkey", R.feedback_window(statuses).alias("w")).select("o_orderkey", "w.*")
 
 
+@query("SELECT o_orderkey, 'consultation' AS lifecycle_stage, o_orderkey % 5 = 0 AS late FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+def sr04_open(spark, sf_dir):
+    """Initiatives whose feedback is open."""
+    statuses = "array(named_struct('state', IF(o_orderkey % 3 = 0, 'OPEN', 'CLOSED'), 'start', 'b', 'end', 'y'), named_struct('state', IF(o_orderkey % 5 = 0, 'OPEN', NULL), 'start', 'c', 'end', 'z'))"
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{statuses} AS statuses")
+    return R.open_initiatives(o).select("o_orderkey", "lifecycle_stage", (F.col("window.start") == "c").alias("late"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'consultation' ELSE 'proposed' END AS lifecycle_stage FROM orders")
+def sr04_stages(spark, sf_dir):
+    statuses = "array(named_struct('state', IF(o_orderkey % 3 = 0, 'OPEN', 'CLOSED'), 'start', 'b', 'end', 'y'))"
+    return R.open_initiatives(table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{statuses} AS statuses"), open_only=False).select("o_orderkey", "lifecycle_stage")
+
+
 
 
 @query(f"""
@@ -212,10 +226,10 @@ _FETCHED = "CASE WHEN doc_id % 3 = 0 THEN left(text, 150) WHEN doc_id % 3 = 1 TH
 
 
 @query(f"""
-WITH p AS (SELECT doc_id, coalesce({_FETCHED}, '') AS f, 'Title ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || left(text, 180) ELSE '' END AS m FROM documents WHERE trim(text) <> '')
+WITH p AS (SELECT doc_id, coalesce({_FETCHED}, '') AS f, 'Title ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || left(text, 180) ELSE '' END AS m FROM documents)
 SELECT doc_id, CASE WHEN length(f) < 200 AND length(m) > length(f) THEN m ELSE f END AS content FROM p""")
 def sr07_content(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("trim(text) <> ''")
+    d = table(spark, sf_dir, "documents")
     parts = F.array(F.concat(F.lit("Title "), F.col("lang")), F.lit(" "), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 180)))
     return d.select("doc_id", R.assemble_content(parts, F.expr(_FETCHED)).alias("content"))
 
@@ -247,7 +261,7 @@ def sr10_citations(spark, sf_dir):
 # A kind of each sort, one that isn't known, and one that says nothing.
 _SORTS = ["law", "regulation", "directive", "incentive", "tax_incentive", "grant", "plan", "requirement", "standard", "guidance", "matching_platform", "unknown", "treaty", "N/A"]
 _KINDS = "CASE o_orderkey % 14 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_SORTS)) + " END"
-_OBJECT = "'{\"is_relevant\": \"' || CASE o_orderkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'Ja' WHEN 2 THEN 'no' ELSE 'true' END || '\", \"relevance_score\": \"' || CASE o_orderkey % 6 WHEN 0 THEN '8/10' WHEN 1 THEN '15' WHEN 2 THEN '-5' WHEN 3 THEN 'high' WHEN 4 THEN '7.9 of 10' ELSE CAST(o_orderkey % 11 AS STRING) END || '\", \"policy_name\": \"' || CASE WHEN o_orderkey % 5 = 0 THEN 'N/A' ELSE 'Act ' || CAST(o_orderkey AS STRING) END || '\", \"jurisdiction\": \"' || CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE 'N' || CAST(o_custkey % 25 AS STRING) END || '\", \"policy_type\": \"' || [kinds] || '\", \"effective_date\": \"' || CASE WHEN o_orderkey % 8 = 0 THEN 'soon' WHEN o_orderkey % 8 = 1 THEN 'unknown' ELSE left(CAST(o_orderdate AS STRING), 10) END || '\", \"lifecycle_stage\": \"' || CASE WHEN o_orderkey % 2 = 0 THEN 'enacted' ELSE 'dead' END || '\", \"summary\": \"a {b} c\", \"referenced_urls\": \"' || CASE WHEN o_orderkey % 3 = 0 THEN 'https://r/' ELSE 'None' END || '\", \"additional_policies\": ' || CASE WHEN o_orderkey % 9 = 0 THEN '[{\"is_relevant\": \"yes\", \"relevance_score\": \"6/10\", \"policy_name\": \"null\", \"jurisdiction\": \"Q\", \"policy_type\": \"standard\", \"effective_date\": \"2020-02-30\", \"key_requirements\": \"k\", \"referenced_urls\": \"https://q/\"}, {\"is_relevant\": \"0\"}]' WHEN o_orderkey % 9 = 1 THEN '\"none\"' ELSE '[]' END || '}'".replace("[kinds]", _KINDS)
+_OBJECT = "'{\"is_relevant\": \"' || CASE o_orderkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'Ja' WHEN 2 THEN 'no' ELSE 'true' END || '\", \"relevance_score\": \"' || CASE o_orderkey % 6 WHEN 0 THEN '8/10' WHEN 1 THEN '15' WHEN 2 THEN '-5' WHEN 3 THEN 'high' WHEN 4 THEN '7.9 of 10' ELSE CAST(o_orderkey % 11 AS STRING) END || '\", \"policy_name\": \"' || CASE WHEN o_orderkey % 5 = 0 THEN 'N/A' ELSE 'Act ' || CAST(o_orderkey AS STRING) END || '\", \"jurisdiction\": \"' || CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE 'N' || CAST(o_custkey % 25 AS STRING) END || '\", \"policy_type\": \"' || [kinds] || '\", \"effective_date\": \"' || CASE WHEN o_orderkey % 8 = 0 THEN 'soon' WHEN o_orderkey % 8 = 1 THEN 'unknown' ELSE left(CAST(o_orderdate AS STRING), 10) END || '\", \"lifecycle_stage\": \"' || CASE WHEN o_orderkey % 2 = 0 THEN 'enacted' ELSE 'dead' END || '\", \"summary\": \"a {b} c\", ' || CASE o_orderkey % 4 WHEN 0 THEN '\"relevance_explanation\": \"since heat\", ' WHEN 1 THEN '\"relevance_explanation\": \"N/A\", ' WHEN 2 THEN '\"relevance_explanation\": null, ' ELSE '' END || '\"referenced_urls\": \"' || CASE WHEN o_orderkey % 3 = 0 THEN 'https://r/' ELSE 'None' END || '\", \"additional_policies\": ' || CASE WHEN o_orderkey % 9 = 0 THEN '[{\"is_relevant\": \"yes\", \"relevance_score\": \"6/10\", \"policy_name\": \"null\", \"jurisdiction\": \"Q\", \"policy_type\": \"standard\", \"effective_date\": \"2020-02-30\", \"key_requirements\": \"k\", \"referenced_urls\": \"https://q/\"}, {\"is_relevant\": \"0\"}]' WHEN o_orderkey % 9 = 1 THEN '\"none\"' ELSE '[]' END || '}'".replace("[kinds]", _KINDS)
 _RAW = f"CASE o_orderkey % 3 WHEN 0 THEN 'Here: ```json' || chr(10) || {_OBJECT} || chr(10) || '``` done' WHEN 1 THEN ' ' || {_OBJECT} || ' and {{ more' ELSE '```' || {_OBJECT} || '```' END"
 
 
@@ -270,10 +284,10 @@ _TYPE = f"CASE WHEN o_orderkey % 14 NOT IN (11, 13) THEN {_KINDS} WHEN {_REL} TH
 
 
 @query(f"""SELECT o_orderkey, {_REL} AS is_relevant, {_SCORE} AS relevance_score, {_TYPE} AS policy_type, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Act ' || CAST(o_orderkey AS STRING) END AS policy_name, {_PLACE} AS jurisdiction,
-CASE WHEN o_orderkey % 8 = 0 THEN 'soon' WHEN o_orderkey % 8 = 1 THEN NULL ELSE left(CAST(o_orderdate AS STRING), 10) END AS effective_date, CASE WHEN o_orderkey % 2 = 0 THEN 'enacted' ELSE 'unknown' END AS lifecycle_stage, CASE WHEN o_orderkey % 3 = 0 THEN 'https://r/' ELSE '' END AS referenced_urls, CASE WHEN o_orderkey % 9 = 0 THEN 'standard true 6,not_relevant false 0' ELSE '' END AS further FROM orders""")
+CASE WHEN o_orderkey % 8 = 0 THEN 'soon' WHEN o_orderkey % 8 = 1 THEN NULL ELSE left(CAST(o_orderdate AS STRING), 10) END AS effective_date, CASE WHEN o_orderkey % 2 = 0 THEN 'enacted' ELSE 'unknown' END AS lifecycle_stage, CASE o_orderkey % 4 WHEN 0 THEN 'since heat' ELSE 'No explanation provided' END AS relevance_explanation, CASE WHEN o_orderkey % 3 = 0 THEN 'https://r/' ELSE '' END AS referenced_urls, CASE WHEN o_orderkey % 9 = 0 THEN 'standard true 6,not_relevant false 0' ELSE '' END AS further FROM orders""")
 def pv02_coerce(spark, sf_dir):
     a = analyses(spark, sf_dir)
-    return a.select("o_orderkey", *(f"analysis.{c}" for c in ("is_relevant", "relevance_score", "policy_type", "policy_name", "jurisdiction", "effective_date", "lifecycle_stage")), F.array_join("analysis.referenced_urls", ",").alias("referenced_urls"), F.array_join(F.transform("additional", lambda v: F.concat_ws(" ", v["policy_type"], v["is_relevant"].cast("string"), v["relevance_score"].cast("string"))), ",").alias("further"))
+    return a.select("o_orderkey", *(f"analysis.{c}" for c in ("is_relevant", "relevance_score", "policy_type", "policy_name", "jurisdiction", "effective_date", "lifecycle_stage", "relevance_explanation")), F.array_join("analysis.referenced_urls", ",").alias("referenced_urls"), F.array_join(F.transform("additional", lambda v: F.concat_ws(" ", v["policy_type"], v["is_relevant"].cast("string"), v["relevance_score"].cast("string"))), ",").alias("further"))
 
 
 @query("""
@@ -299,8 +313,8 @@ def pv04_to_policies(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT strftime(ts, '%H') || CAST(user_id % 9 AS STRING) AS scan_id, count(*) FILTER (event_type IN ('view', 'click')) AS s, count(*) FILTER (event_type = 'purchase') AS a, sum(event_id % 5000) AS i, sum(event_id % 700) AS o FROM events WHERE event_type <> 'error' GROUP BY 1)
+WITH c AS (SELECT strftime(ts, '%H') || CAST(user_id % 9 AS STRING) AS scan_id, count(*) FILTER (event_type IN ('view', 'click')) AS s, count(*) FILTER (event_type = 'purchase') AS a, sum(event_id % 5000) AS i, sum(event_id % 700) AS o FROM events GROUP BY 1)
 SELECT scan_id, round((i * (0.25::DOUBLE * f + 3.0::DOUBLE * (1 - f)) + o * (1.25::DOUBLE * f + 15.0::DOUBLE * (1 - f))) / 1000000, 4) AS total_usd FROM (SELECT *, CASE WHEN s > 0 AND a > 0 THEN s / (s + a) ELSE 0.0::DOUBLE END AS f FROM c)""")
 def pv06_cost(spark, sf_dir):
-    calls = table(spark, sf_dir, "events").filter("event_type <> 'error'").selectExpr("date_format(ts, 'HH') || (user_id % 9) AS scan_id", "CASE WHEN event_type IN ('view', 'click') THEN 'screening' WHEN event_type = 'purchase' THEN 'analysis' ELSE 'other' END AS kind", "event_id % 5000 AS input_tokens", "event_id % 700 AS output_tokens")
+    calls = table(spark, sf_dir, "events").selectExpr("date_format(ts, 'HH') || (user_id % 9) AS scan_id", "CASE WHEN event_type IN ('view', 'click') THEN 'screening' WHEN event_type = 'purchase' THEN 'analysis' ELSE 'other' END AS kind", "event_id % 5000 AS input_tokens", "event_id % 700 AS output_tokens")
     return verdicts.llm_cost(calls)

@@ -120,6 +120,12 @@ def pl06_unresolved(spark, sf_dir):
     return places.unresolved_report(resolved(spark, sf_dir), "place_text")
 
 
+@query(f"SELECT tag AS slug, count(DISTINCT id) AS sources FROM ({TAGS_SQL}) WHERE tag NOT IN (SELECT lower(n_name) FROM nation WHERE n_nationkey % 6 <> 4) GROUP BY tag")
+def pl06_slugs(spark, sf_dir):
+    known = registry(spark, sf_dir).filter("kind = 'country' AND seq % 6 <> 4")
+    return places.unresolved_slugs(domains(spark, sf_dir), known)
+
+
 @query(f"WITH {P}, v AS ({_RESOLVED}), r AS ({_REGISTRY}) SELECT seq FROM v WHERE slug IN (SELECT slug FROM ({_ROLLUP}) WHERE slug = 'nation_7' OR country = 'nation_7')")
 def pl07_filter_place(spark, sf_dir):
     return places.filter_place(resolved(spark, sf_dir), places.country_rollup(registry(spark, sf_dir)), "nation_7").select("seq")
@@ -153,11 +159,20 @@ def pl09_split(spark, sf_dir):
     return places.split_jurisdiction(p, place_names(spark, sf_dir), "place_text").select("seq", "area", "country", "region")
 
 
+PLACE_TABLES = [{"usa": ("country", "us"), "uk": ("country", "uk")}, {"texas": ("state", "tx"), "nordic": ("group", "nordic")}]
+
+
 @query("SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 'country' WHEN 1 THEN 'state' WHEN 2 THEN 'group' WHEN 3 THEN 'country' END AS kind, CASE o_custkey % 5 WHEN 0 THEN 'us' WHEN 1 THEN 'tx' WHEN 2 THEN 'nordic' WHEN 3 THEN 'uk' END AS key FROM orders")
 def pl10_search_place(spark, sf_dir):
-    tables = [{"usa": ("country", "us"), "uk": ("country", "uk")}, {"texas": ("state", "tx"), "nordic": ("group", "nordic")}]
     text = F.expr("CASE o_custkey % 5 WHEN 0 THEN ' USA (federal)' WHEN 1 THEN 'Texas' WHEN 2 THEN 'Nordic  countries' WHEN 3 THEN 'uk' ELSE 'Mars' END")
-    return table(spark, sf_dir, "orders").select("o_orderkey", places.resolve_search_place(text, tables).alias("p")).select("o_orderkey", "p.kind", "p.key")
+    return table(spark, sf_dir, "orders").select("o_orderkey", places.resolve_search_place(text, PLACE_TABLES).alias("p")).select("o_orderkey", "p.kind", "p.key")
+
+
+@query("SELECT DISTINCT CASE n_nationkey % 4 WHEN 2 THEN 'Nordic countries' ELSE 'Texas' END AS name FROM nation WHERE n_nationkey % 4 > 1")
+def pl10_suggestions(spark, sf_dir):
+    """Of names of all sorts those that the search resolves."""
+    names = table(spark, sf_dir, "nation").selectExpr("CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'US state governments' WHEN 2 THEN 'Nordic countries' ELSE 'Texas' END AS name")
+    return places.suggested_places(names, PLACE_TABLES)
 
 
 _INSERTED = f"WITH {P}, b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn FROM p WHERE seq % 5 <> 0) SELECT seq, url FROM b WHERE rn = 1 AND url NOT IN (SELECT url FROM p WHERE seq % 5 = 0)"
@@ -393,6 +408,20 @@ def cv07_bins(spark, sf_dir):
     return coverage.coverage_bins(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("place")), covered).select("place", "policies", "bin")
 
 
+@query(f"""{_COVER}, o AS (SELECT place, count(*) AS n FROM lp WHERE spot <> 'unresolved' GROUP BY 1), k AS (SELECT v.slug, u.country, count(*) AS n FROM v JOIN u ON v.slug = u.slug WHERE u.country IS NOT NULL GROUP BY ALL)
+SELECT 'total' AS "check", '' AS place, (SELECT count(*) FROM lp) AS parts, (SELECT count(*) FROM v) AS total
+UNION ALL SELECT 'country', c.slug, CAST(coalesce((SELECT sum(n) FROM k WHERE k.country = c.slug), 0) AS BIGINT), coalesce(o.n, 0) FROM (SELECT DISTINCT country AS slug FROM u WHERE country IS NOT NULL) c LEFT JOIN o ON o.place = c.slug""")
+def cv06_checks(spark, sf_dir):
+    return coverage.check_reconciles(*cover_inputs(spark, sf_dir))
+
+
+@query(f"""{_COVER}, n AS (SELECT place, spot, count(*) AS p FROM lp WHERE spot <> 'unresolved' GROUP BY ALL), a AS (SELECT place, spot, p FROM n UNION ALL SELECT DISTINCT place, spot, 0 FROM ls WHERE place NOT IN (SELECT place FROM n)),
+b AS (SELECT a.place, coalesce(r.name, a.place) AS name, spot, p AS policies FROM a LEFT JOIN r ON r.slug = a.place)
+SELECT *, CAST(row_number() OVER (ORDER BY policies DESC, name, place) AS INT) AS position FROM b""")
+def cv07_browse(spark, sf_dir):
+    return coverage.coverage_browse(*cover_inputs(spark, sf_dir))
+
+
 D = f"d AS ({DOMAINS_SQL}), tags AS ({TAGS_SQL})"
 
 
@@ -452,6 +481,11 @@ def sc07_report(spark, sf_dir):
     return scans.scan_report(scans.scan_funnel(staged))
 
 
+@query(f"WITH {P}, v AS ({_VERIFIED}), f AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS position FROM v WHERE {' OR '.join(f'f{i}' for i in range(5))}) SELECT scan_id, CAST(position AS INT) AS position, url, policy_name FROM f WHERE position <= 30")
+def sc07_flagged(spark, sf_dir):
+    return scans.flagged_list(verified(spark, sf_dir)).select("scan_id", "position", "url", "policy_name")
+
+
 # A scan's estimate: 100 pages a domain; a screening reads 2000 tokens and writes 50, an analysis 20000 and 1000, the audit 5000 and 2000.
 @query(f"""WITH {D}, a AS (SELECT count(*) AS domains, count(*) * 100 AS pages FROM d WHERE enabled), b AS (SELECT *, CAST(floor(pages * 0.1::DOUBLE) AS BIGINT) AS screenings FROM a), c AS (SELECT *, CAST(floor(screenings * 0.5::DOUBLE) AS BIGINT) AS analyses FROM b)
 SELECT *, round((screenings * (2000 * 0.25::DOUBLE + 50 * 1.25::DOUBLE) + analyses * (20000 * 3.0::DOUBLE + 1000 * 15.0::DOUBLE) + 5000 * 3.0::DOUBLE + 2000 * 15.0::DOUBLE) / 1000000, 2) AS usd FROM c""")
@@ -488,9 +522,9 @@ def sg01_news_json(spark, sf_dir):
     return signals.parse_news_json(d).select("seq", "title", "url", "snippet")
 
 
-@query("SELECT doc_id AS seq, CAST(i AS INT) AS position, 'T' || CAST(i AS STRING) || ' ' || source AS title, 'https://r/' || CAST(doc_id % 40 AS STRING) AS url, CASE i WHEN 0 THEN trim(left(regexp_replace(text, '[<>&\\s]+', ' ', 'g'), 280)) ELSE '' END AS snippet FROM documents, (VALUES (0), (2)) t(i)")
+@query("SELECT doc_id AS seq, CAST(i AS INT) AS position, 'T' || CAST(i AS STRING) || ' ' || source AS title, 'https://r/' || CAST(doc_id % 40 AS STRING) AS url, CASE i WHEN 0 THEN left(trim(regexp_replace(text, '[<>&\\s]+', ' ', 'g')), 300) ELSE '' END AS snippet FROM documents, (VALUES (0), (2)) t(i)")
 def sg02_rss(spark, sf_dir):
-    body = F.expr(r"concat('<rss><item><title><![CDATA[ T0 ', source, ']]></title><link>https://r/', doc_id % 40, '</link><description>', left(regexp_replace(text, '[<>&\\s]+', ' '), 280), '</description></item><ITEM><title></title><link>x</link></ITEM><item><title>T2 ', source, '</title><link> https://r/', doc_id % 40, '</link></item></rss>')")
+    body = F.expr(r"concat('<rss><item><title><![CDATA[ T0 ', source, ']]></title><link>https://r/', doc_id % 40, '</link><description>', regexp_replace(text, '[<>&\\s]+', ' '), '</description></item><ITEM><title></title><link>x</link></ITEM><item><title>T2 ', source, '</title><link> https://r/', doc_id % 40, '</link></item></rss>')")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.lit("q").alias("origin_query"), body.alias("body"))
     return signals.parse_rss(d).select("seq", "position", "title", "url", "snippet")
 
@@ -508,13 +542,25 @@ def sg03_dedupe(spark, sf_dir):
     return signals.dedupe_items(items)
 
 
-@query("SELECT event_id AS index, CASE WHEN event_id % 3 = 0 THEN 'P' ELSE 'G' END AS jurisdiction_guess, CASE WHEN event_id % 4 = 0 THEN props ELSE '[N] ' || props END AS snippet FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 50")
+@query("SELECT event_id AS index, CASE WHEN event_id % 3 = 0 THEN 'P' ELSE 'G' END AS jurisdiction_guess, CASE WHEN event_id % 4 = 0 THEN props ELSE 'N — ' || props END AS snippet FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 50")
 def sg04_triage(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     verdicts = e.selectExpr("event_id AS index", "event_type = 'click' AS relevant", "IF(event_id % 3 = 0, 'P', '') AS jurisdiction", "IF(event_id % 4 = 0, NULL, 'N') AS policy_name")
     return signals.triage_items(e.selectExpr("event_id AS index", "'G' AS jurisdiction_guess", "props AS snippet"), verdicts).select("index", "jurisdiction_guess", "snippet")
 
 
+@query("""
+WITH t AS (SELECT *, row_number() OVER (ORDER BY event_id) AS turn FROM events WHERE event_type = 'click'), k AS (SELECT *, 'https://n/' || CAST(user_id AS STRING) AS url FROM t WHERE turn <= 50)
+SELECT (SELECT count(*) FROM events) AS items_seen, count(*) AS items_kept, count(DISTINCT url) FILTER (user_id % 4 <> 0) AS leads_added FROM k""")
+def sg04_leads(spark, sf_dir):
+    """A sweep of all items: of those that triage keeps the first fifty, and of these the ones that no lead has yet."""
+    e = table(spark, sf_dir, "events")
+    items = e.selectExpr("event_id AS index", "'T' AS title", "'https://n/' || user_id AS url", "'G' AS jurisdiction_guess", "props AS snippet")
+    verdicts = e.selectExpr("event_id AS index", "event_type = 'click' AS relevant", "'' AS jurisdiction", "'N' AS policy_name")
+    stored = e.filter("user_id % 4 = 0").selectExpr("'https://n/' || user_id AS source_url", "'' AS snippet").distinct()
+    return signals.news_leads(items, verdicts, stored)[1]
+
+
 _LEVEL = "CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'info' WHEN 'purchase' THEN 'warning' ELSE 'debug' END"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import extract, frontier, keywords, language
-from ..operators.scans import followup_urls, scan_funnel
+from ..operators.scans import followup_counts, followup_urls, outcomes, scan_funnel
 from .inputs import POLICIES_SQL, policies, table
 
 QUERIES: dict = {}
@@ -99,9 +99,23 @@ f AS (SELECT *, row_number() OVER (PARTITION BY domain_id, link ORDER BY seq, i)
 n AS (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY seq, i) AS turn FROM f WHERE first = 1 AND link NOT IN (SELECT url FROM p))
 SELECT domain_id, link, CAST(turn AS INT) AS turn FROM n WHERE turn <= 20""")
 def url09_followups(spark, sf_dir):
-    p = policies(spark, sf_dir)
-    cited = p.selectExpr("domain_id", "'site1.gov' AS base", "seq", "array('https://docs.site1.gov/r/' || (seq % 40), 'ftp://site1.gov/x', 'https://other.org/' || seq, 'https://site1.gov/bills/' || CAST(floor(seq / 3) AS BIGINT)) AS referenced_urls")
-    return followup_urls(cited, p, U.same_site(U.netloc(F.col("link")), F.col("base")))
+    return followup_urls(cited_links(spark, sf_dir), policies(spark, sf_dir), on_site())
+
+
+@query(f"""
+WITH p AS ({POLICIES_SQL}), l AS (SELECT DISTINCT domain_id, unnest(['https://docs.site1.gov/r/' || CAST(seq % 40 AS STRING), 'https://other.org/' || CAST(seq AS STRING), 'https://site1.gov/bills/' || CAST(CAST(floor(seq / 3) AS BIGINT) AS STRING)]) AS link FROM p),
+n AS (SELECT domain_id, count(*) FILTER (NOT contains(link, 'other.org')) AS n, count(*) FILTER (contains(link, 'other.org')) AS cross_site FROM l WHERE link NOT IN (SELECT url FROM p) GROUP BY 1)
+SELECT domain_id, least(n, 20) AS followed, greatest(n - 20, 0) AS over_cap, cross_site FROM n""")
+def url09_counts(spark, sf_dir):
+    return followup_counts(cited_links(spark, sf_dir), policies(spark, sf_dir), on_site())
+
+
+def cited_links(spark, sf_dir):
+    return policies(spark, sf_dir).selectExpr("domain_id", "'site1.gov' AS base", "seq", "array('https://docs.site1.gov/r/' || (seq % 40), 'ftp://site1.gov/x', 'https://other.org/' || seq, 'https://site1.gov/bills/' || CAST(floor(seq / 3) AS BIGINT)) AS referenced_urls")
+
+
+def on_site():
+    return U.same_site(U.netloc(F.col("link")), F.col("base"))
 
 
 _CODE = "CAST(CASE event_type WHEN 'error' THEN 403 + event_id % 30 WHEN 'click' THEN 500 ELSE 200 END AS INT)"
@@ -341,6 +355,10 @@ def kw11_tags(spark, sf_dir):
 _N = lambda s: f"CAST(sum((stage = '{s}')::INT) AS BIGINT) AS n_{s}"
 
 
-@query(f"SELECT scan_id, domain_id, count(*) AS crawled, {_N('short')}, {_N('excluded')}, {_N('keyword_dropped')}, CAST(sum((stage = 'keyword_dropped' AND near_miss)::INT) AS BIGINT) AS near_misses, {_N('matched')} FROM ({_STAGED}) GROUP BY scan_id, domain_id")
+_OUTCOME = f"SELECT *, CASE WHEN doc_id % 23 = 0 THEN 'error' WHEN stage = 'matched' AND doc_id % 7 = 0 THEN 'screened_out' WHEN stage = 'matched' AND doc_id % 7 = 1 THEN 'llm_skipped' ELSE stage END AS outcome FROM ({_STAGED})"
+
+
+@query(f"SELECT scan_id, domain_id, count(*) AS crawled, {_N('short')}, {_N('excluded')}, {_N('keyword_dropped')}, CAST(sum((stage = 'keyword_dropped' AND near_miss)::INT) AS BIGINT) AS near_misses, CAST(sum((stage IN ('matched', 'screened_out', 'llm_skipped'))::INT) AS BIGINT) AS n_matched, {_N('screened_out')}, CAST(sum((stage = 'llm_skipped')::INT) AS BIGINT) AS llm_skipped, CAST(sum((stage = 'error')::INT) AS BIGINT) AS errors FROM (SELECT * REPLACE (outcome AS stage) FROM ({_OUTCOME})) GROUP BY scan_id, domain_id")
 def sc06_scan_funnel(spark, sf_dir):
-    return scan_funnel(staged(spark, sf_dir))
+    screening = F.when(F.col("doc_id") % 7 == 0, "reject").when(F.col("doc_id") % 7 == 1, "skip")
+    return scan_funnel(outcomes(staged(spark, sf_dir), F.col("doc_id") % 23 == 0, screening))
