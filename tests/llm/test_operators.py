@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -634,64 +636,122 @@ def test_quality_rules_keep_clean_and_reject_junk(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.05
 
 
+CELLS = "pool string, of_lang string, " + ", ".join(f"{f} long" for f in quality_rules.FEATURES) + ", w long"
+
+
+def _fit(x):
+    """Mean and covariance, not floored."""
+    return x.mean(0), quality_rules.CONSISTENCY * np.cov(x.T, bias=True)
+
+
+def _shrink(own, n, prior):
+    share = n / (n + quality_rules.PRIOR)
+    off = own[0] - prior[0]
+    return share * own[0] + (1 - share) * prior[0], share * own[1] + (1 - share) * prior[1] + share * (1 - share) * np.outer(off, off)
+
+
+def _far(z, estimate):
+    off = z - estimate[0]
+    return (off @ np.linalg.inv(estimate[1] + quality_rules.UNITS**2 * np.eye(5)) * off).sum(1)
+
+
 def test_estimate_matches_numpy(spark):
-    """Mean and Mahalanobis distance of a group's cells are those of the floored covariance."""
+    """Mean and Mahalanobis distance of a language's cells are those of the floored covariance, a group's those after shrinking."""
     rng = np.random.default_rng(1)
-    z = rng.integers(-40, 40, (300, 5))
-    df = spark.createDataFrame([("g", *map(int, r), 1) for r in z], "group string, " + ", ".join(f"{f} long" for f in quality_rules.FEATURES) + ", w long")
-    e = df.join(quality_rules._estimate(df, ["group"]), "group").withColumn("d", quality_rules._distance())
-    got = {tuple(r[f] for f in quality_rules.FEATURES): r.d for r in e.collect()}
-    cov = quality_rules.CONSISTENCY * np.cov(z.T, bias=True) + quality_rules.UNITS**2 * np.eye(5)
-    off = z - z.mean(0)
-    want = (off @ np.linalg.inv(cov) * off).sum(1)
-    assert all(abs(got[tuple(map(int, r))] - w) < 1e-6 for r, w in zip(z, want))
-
-
-def _mcd(z, seeds):
-    """Smallest determinant that concentration steps on sorted distances reach from many random starts, and its log determinant."""
+    z, own = rng.integers(-40, 40, (300, 5)), rng.integers(-10, 60, (30, 5))
+    df = spark.createDataFrame([("l", None, *map(int, r), 1) for r in z] + [("g", "l", *map(int, r), 1) for r in own], CELLS)
+    e = df.join(quality_rules._estimate(df, ["pool"]), "pool").withColumn("d", quality_rules._distance())
+    got = {(r.pool, *(r[f] for f in quality_rules.FEATURES)): r.d for r in e.collect()}
+    for pool, x, estimate in (("l", z, _fit(z)), ("g", own, _shrink(_fit(own), 30, _fit(z)))):
+        assert all(abs(got[(pool, *map(int, r))] - w) < 1e-6 for r, w in zip(x, _far(x, estimate)))
+
+
+def _mcd(z, seeds, prior=None, size=12):
+    """Smallest log determinant that concentration steps on sorted distances reach from many random starts, and its estimate."""
     rng, n = np.random.default_rng(seeds), len(z)
     h = int(np.ceil(quality_rules.SHARE * n))
 
     def fit(x):
-        cov = quality_rules.CONSISTENCY * np.cov(x.T, bias=True) + quality_rules.UNITS**2 * np.eye(5)
-        return x.mean(0), cov, np.linalg.slogdet(cov)[1] / 2
+        estimate = _fit(x) if prior is None else _shrink(_fit(x), len(x), prior)
+        return np.linalg.slogdet(estimate[1] + quality_rules.UNITS**2 * np.eye(5))[1] / 2, estimate
 
-    best = (np.inf, None)
-    for _ in range(30):
-        mean, cov, det = fit(z[rng.choice(n, 12, replace=False)])
+    best = None
+    for k in range(30):
+        det, estimate = fit(z[rng.choice(n, min(n, size), replace=False)] if k else z)
         last = np.inf
-        while det < last - 1e-9 or last == np.inf:
-            off = z - mean
-            near = np.argsort((off @ np.linalg.inv(cov) * off).sum(1))[:h]
-            last = det if last != np.inf else det + 1
-            mean, cov, det = fit(z[near])
-        best = min(best, (det, tuple(mean)))
+        while det < last - 1e-9:
+            last = det
+            det, estimate = fit(z[np.argsort(_far(z, estimate), kind="stable")[:h]])
+        if best is None or det < best[0]:
+            best = det, estimate
     return best
 
 
 def test_concentration_finds_the_least_determinant(spark):
-    """Groups with a fifth or a third of far rows: as small as brute force, and its centre among the good rows."""
+    """Languages with a fifth or a third of far rows: as small as brute force, and its centre among the good rows."""
     rng = np.random.default_rng(11)
     groups = {}
     for g, far in enumerate((0, 40, 65)):
         good = rng.normal(0, 14, (200 - far, 5)) @ np.diag([1, 2, 1, 0.5, 1])
         groups[str(g)] = np.rint(np.vstack([good, rng.normal(180, 10, (far, 5))])).astype(int)
-    rows = [(g, *map(int, r), 1) for g, z in groups.items() for r in z]
-    cells = spark.createDataFrame(rows, "pool string, " + ", ".join(f"{f} long" for f in quality_rules.FEATURES) + ", w long")
+    rows = [(g, None, *map(int, r), 1) for g, z in groups.items() for r in z]
+    cells = spark.createDataFrame(rows, CELLS)
     got = {r.pool: r for r in quality_rules.concentrate(cells).collect()}
     for g, z in groups.items():
-        det, mean = _mcd(z.astype(float), 1)
+        det, (mean, _) = _mcd(z.astype(float), 1)
         assert got[g].logdet < det + 0.1  # whole bins of like distances count, so a few rows more may be fitted
         assert np.abs(np.array([got[g][f"m{i}"] for i in range(5)]) - mean).max() < 8
     again = {r.pool: r for r in quality_rules.concentrate(cells.repartition(5)).collect()}
     assert again == got
 
 
-def test_small_groups_are_judged_together(spark):
-    rows = [("en", "big")] * 30 + [("en", "b")] * 6 + [("en", "c")] * 5 + [("fr", "b")] * 3 + [(None, None)] * 2
-    df = spark.createDataFrame(rows, "lang string, source string").withColumn("group", F.to_json(F.struct("lang", "source")))
-    got = {r.group: r.pool for r in quality_rules.pools(df, 10).collect()}
-    assert got == {'{"lang":"en","source":"big"}': '{"lang":"en","source":"big"}', '{"lang":"en","source":"b"}': '{"lang":"en"}', '{"lang":"en","source":"c"}': '{"lang":"en"}', '{"lang":"fr","source":"b"}': "small", "{}": "small"}
+def features_of(text):
+    words, chars, symbols, dup, repeated = counts_of(text)
+    text = text or ""
+    shouts = sum(1 for c in text if unicodedata.category(c) == "Lu" or c == "!")
+    lines = sum(1 for x in text.split("\n") if WORD.search(x))
+    rate = lambda x, total, scale: math.log(0.5 + scale * x / total)
+    values = [math.log((chars + 250) / (words + 50)), rate(symbols, chars + 50, 1000), rate(shouts + 3, chars + 200, 1000), rate(dup, lines + 10, 100), math.sqrt(1000 * repeated / (words + 50))]
+    return [math.copysign(math.floor(abs(v * quality_rules.UNITS / f) + 0.5), v) for v, f in zip(values, quality_rules.FLOORS)]
+
+
+def test_every_language_and_source_has_its_own_verdict(spark, sf):
+    """All verdicts of a table against brute force, group by group, also those of one or two rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect()}
+    rows = [(r.doc_id, r.lang, r.source, features_of(r.text)) for r in docs.collect() if not got[r.doc_id].base_failed]
+    near, checked = [], 0
+    for lang in {r[1] for r in rows}:
+        prior = _mcd(np.array([r[3] for r in rows if r[1] == lang]), 1)[1]
+        for source in {r[2] for r in rows if r[1] == lang}:
+            own = [r for r in rows if r[1:3] == (lang, source)]
+            z = np.array([r[3] for r in own])
+            for (doc, *_), d in zip(own, _far(z, _mcd(z, 2, prior)[1])):
+                checked += 1
+                if (d <= quality_rules.CUTOFF) != got[doc].kept:
+                    near.append((doc, d, got[doc].distance))
+    # whole bins of like distances are fitted, so a distance may differ a little
+    assert checked > 150 and len({r[1:3] for r in rows}) > 40 and not near, near
+
+
+def test_repeated_windows_alone_can_reject(spark):
+    rng = np.random.default_rng(4)
+    clean = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 300)) + "." for _ in range(60)]
+    words = clean[0].split()
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(clean)] + [(100, " ".join(words[:270] + words[:27] + ["end."]), "en", "a", 0)]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not got[100].base_failed and not got[100].kept and all(got[i].kept for i in range(60))
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """A source's few rows don't move the language's estimate; many do, smoothly."""
+    rng = np.random.default_rng(2)
+    z = np.rint(rng.normal(0, 10, (400, 5))).astype(int)
+    sizes = (1, 10, 50, 200, 2000)
+    rows = [("l", None, *map(int, r), 1) for r in z] + [(f"g{n}", "l", 40, 0, 0, 0, 0, n) for n in sizes]
+    got = {r.pool: r.m0 for r in quality_rules.concentrate(spark.createDataFrame(rows, CELLS)).collect()}
+    moved = [got[f"g{n}"] for n in sizes]
+    assert moved == sorted(moved) and moved[0] < 2 and 15 < moved[2] < 25 and moved[-1] > 38
 
 
 PAGES = [

@@ -5,8 +5,8 @@ judged by the minimum-covariance-determinant estimate of their language and sour
 the mean and covariance of that share of the group's rows which has the smallest
 determinant; rows far from it (Mahalanobis distance) are rejected.
 
-A group of fewer than `LEAST` rows is judged with the other small groups of its language, and these, if they
-are still fewer, with those of all languages.
+Each language and source has its own estimate, whatever its size. It is shrunk towards its language's, which is found in the same way from all
+rows of the language, as if `PRIOR` more rows had that one's mean and covariance: few rows of a source say little against it, many outweigh it.
 
 The transformed statistics are whole numbers (eighths of the deviation that is tolerated
 anyway, FLOORS), so sums are exact and reruns agree. All iterations work on the counts of cells (rows
@@ -27,14 +27,14 @@ from pyspark.sql import Window as W
 from .common import SPACE, drop_rows, durable, join_spread, let, only, row_key
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
-#: Rows that a group of its own has at least.
-LEAST = 100
+#: Rows that the estimate of the language counts for in that of a source.
+PRIOR = 50
 #: By how much less the logarithm of a determinant's root doesn't count as falling.
 STILL = 1e-2
 #: Share of a group's rows that is fitted, the factor that makes its covariance that of all, bins of distances, and the largest squared distance (of a chi-square variable with five degrees, one in 100,000 lies beyond it).
 SHARE, CONSISTENCY, BINS, CUTOFF = 0.6, 1.66, 64, 30.9
 FEATURES = ["z_length", "z_symbols", "z_shouts", "z_lines", "z_repeats"]
-FLOORS = [0.1, 0.8, 0.4, 0.9, 1.5]
+FLOORS = [0.1, 0.8, 0.4, 0.9, 2.2]
 UNITS = 8  # whole numbers to a floor
 _D = len(FEATURES)
 _M, _T = [f"m{i}" for i in range(_D)], [f"t{i}{j}" for i in range(_D) for j in range(i + 1)]
@@ -96,23 +96,39 @@ def with_features(counts: DataFrame) -> DataFrame:
         rate(c("n_symbols"), c("word_chars") + 50, 1000),
         rate(c("n_shouts") + 3, c("word_chars") + 200, 1000),
         rate(c("n_dup_lines"), c("n_lines") + 10, 100),
-        rate(c("n_repeat_words"), c("n_words") + 50, 1000),
+        F.sqrt(1000 * c("n_repeat_words") / (c("n_words") + 50)),
     ]
     failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEATED * c("n_words"))
-    # a key that tells a null from any text
-    group = F.to_json(F.struct("lang", "source"))
-    return counts.select("*", failed.alias("base_failed"), group.alias("group"), *(F.round(v * (UNITS / f)).cast("long").alias(z) for z, v, f in zip(FEATURES, values, FLOORS)))
+    # keys that tell a null from any text, and a language from a group
+    key = lambda level, *columns: F.concat(F.lit(level), F.to_json(F.struct(*columns)))
+    return counts.select("*", failed.alias("base_failed"), key("group", "lang", "source").alias("group"), key("lang", "lang").alias("of_lang"), *(F.round(v * (UNITS / f)).cast("long").alias(z) for z, v, f in zip(FEATURES, values, FLOORS)))
 
 
-def _estimate(chosen: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: mean m0.., inverse Cholesky factor t00.., log determinant of the floored covariance; from cells of `w` rows."""
+_C = [f"c{i}{j}" for i in range(_D) for j in range(i + 1)]
+
+
+def _moments(chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: n, mean m0.. and covariance c00.. of cells of `w` rows."""
     # expressions as SQL text, which is built and planned quickly
     pairs = [(i, j) for i in range(_D) for j in range(i + 1)]
     sums = [F.expr(f"sum(w * {z})").alias(f"s{i}") for i, z in enumerate(FEATURES)]
     products = [F.expr(f"sum(w * {FEATURES[i]} * {FEATURES[j]})").alias(f"p{i}{j}") for i, j in pairs]
     out = chosen.groupBy(*keys).agg(F.expr("sum(w)").alias("n"), *sums, *products)
-    cov = lambda i, j: f"{CONSISTENCY}D * (p{i}{j} / n - s{i} / n * s{j} / n) + {UNITS**2 if i == j else 0} AS c{i}{j}"
-    out = out.selectExpr(*keys, *(f"s{i} / n AS m{i}" for i in range(_D)), *(cov(i, j) for i, j in pairs))
+    return out.selectExpr(*keys, "n", *(f"s{i} / n AS m{i}" for i in range(_D)), *(f"{CONSISTENCY}D * (p{i}{j} / n - s{i} / n * s{j} / n) AS c{i}{j}" for i, j in pairs))
+
+
+def _shrunk(own: DataFrame, language: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of groups (with `of_lang`) after PRIOR more rows with their language's mean and covariance; `language` has these as `pool`."""
+    told = language.selectExpr("pool AS of_lang", *(k for k in keys if k != "pool"), *(f"{c} AS prior_{c}" for c in (*_M, *_C)))
+    share, other = f"(n / (n + {PRIOR}D))", f"({PRIOR}D / (n + {PRIOR}D))"
+    cov = lambda i, j: f"{share} * c{i}{j} + {other} * prior_c{i}{j} + {share} * {other} * (m{i} - prior_m{i}) * (m{j} - prior_m{j}) AS c{i}{j}"
+    joined = own.join(told, ["of_lang", *(k for k in keys if k != "pool")])
+    return joined.selectExpr(*keys, "n", *(f"{share} * m{i} + {other} * prior_m{i} AS m{i}" for i in range(_D)), *(cov(i, j) for i in range(_D) for j in range(i + 1)))
+
+
+def _factored(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: mean m0.., inverse Cholesky factor t00.., log determinant of the floored covariance."""
+    out = moments.selectExpr(*keys, *_M, *(f"c{i}{j} + {UNITS**2 if i == j else 0} AS c{i}{j}" for i in range(_D) for j in range(i + 1)))
     # the Cholesky factor column by column, then its inverse diagonal by diagonal
     for j in range(_D):
         rest = lambda i, k=j: " - ".join([f"c{i}{k}", *(f"l{i}{m} * l{k}{m}" for m in range(k))])
@@ -124,6 +140,13 @@ def _estimate(chosen: DataFrame, keys: list[str]) -> DataFrame:
     return out.selectExpr(*keys, *_M, *_T, " + ".join(f"ln(l{i}{i})" for i in range(_D)) + " AS logdet")
 
 
+def _estimate(chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Estimates of the pools of `chosen` (keys, of_lang, FEATURES, w): those of languages, where `of_lang` is null, and those of groups, shrunk to them."""
+    language = _moments(chosen.filter("of_lang is null"), keys)
+    own = _moments(chosen.filter("of_lang is not null"), [*keys, "of_lang"])
+    return _factored(language.unionByName(_shrunk(own, language, keys)), keys)
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of a row's features from its estimate."""
     parts = [" + ".join(f"t{i}{j} * ({FEATURES[j]} - m{j})" for j in range(i + 1)) for i in range(_D)]
@@ -147,23 +170,13 @@ def _medians(cells: DataFrame, value: str) -> DataFrame:
     return ranked.filter("2 * _upto >= _all").groupBy("pool", "axis").agg(F.min(value).alias("median"))
 
 
-def pools(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """group, rows (their number) and pool: the group itself, or what it is judged with if it has fewer than `least` rows."""
-    sizes = rows.groupBy("group", "lang").agg(F.count("*").alias("rows"))
-    small = F.col("rows") < least
-    rest = sizes.filter(small).groupBy(F.col("lang").alias("_lang")).agg(F.sum("rows").alias("_rest"))
-    named = sizes.join(rest, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    pool = F.when(~small, F.col("group")).when(F.col("_rest") >= least, F.to_json(F.struct("lang"))).otherwise(F.lit("small"))
-    return durable(named.select("group", "rows", pool.alias("pool")))
-
-
 def _fits(start: DataFrame) -> DataFrame:
     """pool, start and the estimate of the nearest cells of each, written to the shared folder."""
     return durable(_estimate(_nearest(start, ["pool", "start"]), ["pool", "start"]))
 
 
 def concentrate(cells: DataFrame) -> DataFrame:
-    """Per pool the minimum-covariance-determinant estimate (m0.., t00.., logdet) of its cells (pool, FEATURES, w)."""
+    """Per pool the minimum-covariance-determinant estimate (m0.., t00.., logdet) of its cells (pool, of_lang, FEATURES, w): of_lang is null for a language's."""
     axes = cells.select("pool", "w", F.posexplode(F.array(*FEATURES)).alias("axis", "z"))
     middle = durable(_medians(axes, "z"))
     away = axes.join(middle, ["pool", "axis"]).withColumn("off", F.abs(F.col("z") - F.col("median")))
@@ -187,12 +200,13 @@ def concentrate(cells: DataFrame) -> DataFrame:
     return seen.groupBy("pool").agg(F.min(F.struct("logdet", "start", *values)).alias("b")).select("pool", *(F.col(f"b.{c}").alias(c) for c in [*values, "logdet"]))
 
 
-def estimates(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per group: n (its rows), m0.., t00.. of the estimate that it is judged by."""
-    known = pools(rows, least)
-    cells = rows.groupBy("group", *FEATURES).agg(F.count("*").alias("w")).join(known.select("group", "pool"), "group")
-    cells = durable(cells.groupBy("pool", *FEATURES).agg(F.sum("w").alias("w")))
-    return durable(known.join(concentrate(cells), "pool").select("group", F.col("rows").alias("n"), *_M, *_T))
+def estimates(rows: DataFrame) -> DataFrame:
+    """Per group: n (its rows), m0.., t00.. of its estimate."""
+    cells = durable(rows.groupBy("group", "of_lang", *FEATURES).agg(F.count("*").alias("w")))
+    own = cells.select(F.col("group").alias("pool"), "of_lang", *FEATURES, "w")
+    language = cells.groupBy(F.col("of_lang").alias("pool"), *FEATURES).agg(F.sum("w").alias("w")).select("pool", F.lit(None).cast("string").alias("of_lang"), *FEATURES, "w")
+    sizes = cells.groupBy("group").agg(F.sum("w").alias("n"))
+    return durable(sizes.join(concentrate(durable(own.union(language))), F.col("group") == F.col("pool")).select("group", "n", *_M, *_T))
 
 
 def _judged(docs: DataFrame) -> DataFrame:
