@@ -793,6 +793,27 @@ def test_html_text_is_found_by_the_distribution():
     assert html_extract.surges([1, 1, 60, 1, 39, 1, 1], 100) == [(2, 5)]
 
 
+def test_html_articles_and_names_inside():
+    long = "A sentence of the main text that goes on for a while. " * 4
+    flat = lambda *parts: " ".join(" ".join(parts).split())
+    aside = "<div>" + "Other words of the page. " * 32 + "</div>"
+    assert html_extract.main_text(f"<body>{aside}<article><p>Hi.</p></article>{aside}") == "Hi."
+    assert html_extract.main_text(f"<body><article><h2>One</h2><p>{long}</p></article>{aside}<article><p>{long}</p><p>Two.</p></article>") == flat("One", long, long, "Two.")
+    for name in ("notice-of-meeting", "related-work", "content share", "news-alerts-explained"):
+        assert html_extract.main_text(f"<article><p>{long}</p><div class='{name}'>{long}</div></article>") == flat(long, long), name
+    for name in ("notice", "related-posts", "share-buttons", "post-comments", "ad-banner", "cookie_notice x"):
+        assert html_extract.main_text(f"<article><p>{long}</p><div class='{name}'>{long}</div><p>End.</p></article>") == flat(long, "End."), name
+    assert html_extract.main_text(f"<body><p>{long}</p><p>More of it, sixty characters long or so, and then it ends.</p><div>Contact: office@example.org, 12 Some Street, Some Town, phone 555</div></body>") == flat(long, "More of it, sixty characters long or so, and then it ends.")
+
+
+def test_html_texts_of_the_given_pages_need_the_distribution(spark, sf, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    whole = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "surges", lambda weights, threshold: [(k := max(range(len(weights)), key=weights.__getitem__), k + 1)])
+    changed = sum(a != html_extract.main_text(p) for a, p in zip(whole, pages))
+    assert changed > 0.5 * len(pages)
+
+
 def test_html_text_without_any_names(spark, sf):
     """The given pages with plain divs for article, menu, advert and footer."""
     import html

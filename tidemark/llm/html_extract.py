@@ -9,15 +9,18 @@ line that enters when the sum reaches the page's threshold (surge) and ends with
 leaves when the sum falls below it (dive). The threshold is a part of the page's largest sum, within
 LOWEST and HIGHEST. Texts parted by less text than they have are one, if they lie in one
 element. The heaviest text is the main one. It is completed by what belongs to its ends: headings right before it,
-and short lines next to it in the same element. If most of it lies in an article or main
-element, it is that element's lines. A page without a surge gives its longest stretch of lines.
+and short lines next to it in the same element. Where a page has article or main elements, only their lines have weight, and all
+texts between a surge and its dive in them are the main text, completed by the lines next to them in the same article or main element that are too light
+for a surge of their own. A page without a surge gives its longest stretch of lines.
+
+An element's name tells that it is a menu or the like. Inside an article or main element the whole name must, and no other name may say content.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 from typing import NamedTuple
@@ -31,8 +34,6 @@ from .common import only
 WINDOW = 3
 #: The threshold of a sum is this part of the page's largest one, but not under LOWEST or over HIGHEST.
 PART, LOWEST, HIGHEST = 1 / 3, 40, 240
-#: How much more the lines of an article or main element weigh when the main text is chosen.
-FAVOUR = 4
 
 # Elements by what they do to lines.
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -45,6 +46,11 @@ TEXTS = HEADINGS | {"p", "li", "dd", "dt", "blockquote", "pre", "td", "th", "fig
 #: Open elements that a start tag ends, and the elements beyond which it ends none.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|comments?|comment-?list|disqus|respond|cookies?|consent|footer|footnav|header|masthead|menus?|nav|navbar|navigation|notices?|alerts?|newsletter|subscribe|popup|modal|promos?|promotions?|sponsored|related|share|sharing|social|sidebars?|widgets?|toolbar|pagination|pager|skip-?link|login|signup)(?=$|[\s_-])", re.I)
+#: What may stand around such a name, and names of content.
+_AROUND = r"(?:site|page|post|article|entry|user|reader|top|bottom|social|main|in|inline)", r"(?:box|bar|list|link|button|wrap|wrapper|container|section|area|block|widget|unit|banner|form|thread|item|body|text|icon|post|article|stories|story|content|new|panel|inner|message)s?"
+_NAMES = NAMES.pattern.split("(?:", 2)[2].rsplit(")(?=", 1)[0]
+NAMED = re.compile(rf"(?:{_AROUND[0]}[-_])*(?:{_NAMES})(?:[-_](?:{_NAMES}|{_AROUND[1]}))*", re.I)
+CONTENT = {"content", "text", "body", "article", "entry", "post", "story", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 #: Outside containers, lines of short items between bars, and copyright lines: they start no text.
@@ -57,10 +63,18 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)} if text else {}
 
 
+def _named(attrs: dict[str, str], inside: bool) -> bool:
+    names = [attrs.get("class", ""), attrs.get("id", "")]
+    if not inside:
+        return any(NAMES.search(x) for x in names)
+    whole = [x.lower() for n in names for x in n.split()]
+    return not CONTENT & set(whole) and any(NAMED.fullmatch(x) for x in whole)
+
+
 def _unwanted(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if tag in UNWANTED or tag == "header" and not inside or "hidden" in attrs or attrs.get("role", "").lower() in ROLES:
         return True
-    return tag not in ("html", "body", "main") and any(NAMES.search(attrs.get(k, "")) for k in ("class", "id"))
+    return tag not in ("html", "body", "main") and _named(attrs, inside)
 
 
 class Line(NamedTuple):
@@ -234,26 +248,46 @@ def _completed(page: list[Line], i: int, j: int) -> tuple[int, int]:
     return i, j
 
 
+def _trimmed(page: list[Line], i: int, j: int) -> tuple[int, int]:
+    """A text of text blocks of the body itself without other lines of the body at its ends."""
+    if 2 * sum(x.weight for x in page[i:j] if x.parent == -1 and x.tag in TEXTS) > sum(x.weight for x in page[i:j]):
+        other = lambda x: x.parent == -1 and x.tag not in TEXTS
+        while j > i + 1 and other(page[j - 1]):
+            j -= 1
+        while j > i + 1 and other(page[i]):
+            i += 1
+    return i, j
+
+
+def _contained(page: list[Line], found: list[tuple[int, int]], threshold: float) -> list[Line]:
+    """The lines of all texts found in containers, and the light ones next to them in the same container."""
+    kept = [False] * len(page)
+    for i, j in found:
+        for k in range(i, j):
+            kept[k] = page[k].container > 0
+    held = [k for k, x in enumerate(page) if x.container]  # what lies between containers parts nothing
+    for order in (held, held[::-1]):
+        for a, b in zip(order, order[1:]):
+            kept[b] = kept[b] or kept[a] and page[a].container == page[b].container and page[b].weight < threshold
+    return [x for x, k in zip(page, kept) if k]
+
+
 def main_text(html_text: str | None) -> str:
     """The lines of the main text, joined by a space; the first of equally heavy texts."""
     page = list(lines(html_text or ""))
-    weights = [x.weight for x in page]
+    contained = any(x.container and x.weight for x in page)
+    weights = [0 if contained and not x.container else x.weight for x in page]
     highest = max(block_sums(weights), default=0)
     threshold = max(LOWEST, min(HIGHEST, highest * PART))
-    found = surges(weights, threshold if highest >= threshold else 1)
+    threshold = threshold if highest >= threshold else 1
+    found = surges(weights, threshold)
     if not found:
         return " ".join(x.text for x in page) if len(page) == 1 else ""
+    if contained:
+        return " ".join(x.text for x in _contained(page, found, threshold))
     upto, chars = [0, *accumulate(weights)], [0, *accumulate(len(x.text) for x in page)]
-    held = [0, *accumulate(x.weight if x.container else 0 for x in page)]
-    i, j = max(_joined(page, found, upto, chars), key=lambda s: upto[s[1]] - upto[s[0]] + (FAVOUR - 1) * (held[s[1]] - held[s[0]]))
-    if (held[j] - held[i]) * FAVOUR >= (upto[j] - upto[i]) - (held[j] - held[i]):
-        within = Counter()
-        for x in page[i:j]:
-            within[x.container] += x.weight if x.container else 0
-        best = max(within, key=within.get)
-        if best:
-            return " ".join(x.text for x in page if x.container == best)
-    i, j = _completed(page, i, j)
+    i, j = max(_joined(page, found, upto, chars), key=lambda s: upto[s[1]] - upto[s[0]])
+    i, j = _completed(page, *_trimmed(page, i, j))
     return " ".join(x.text for x in page[i:j])
 
 
