@@ -565,6 +565,29 @@ def test_sibling_licences_are_told_apart(text, want):
     assert ",".join(sorted(found)) == (want or "")
 
 
+@pytest.mark.parametrize("text, want", [
+    ("// SPDX-License-Identifier: MIT", {"mit"}), ("# SPDX-License-Identifier: GPL-2.0-or-later", {"gpl-2.0"}), ("SPDX-License-Identifier: CC-BY-SA-4.0", {"cc-by-sa-4.0"}),
+    ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.", {"gpl-3.0"}), ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS", {"apache-2.0"}),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", {"lgpl-2.1"}),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", {"mpl-2.0"}),
+    ("CC0 1.0 Universal", {"cc0-1.0"}), ("To the extent possible under law, Ann has waived all copyright and related or neighboring rights to this work.", {"cc0-1.0"}), ("Licensed under the EUPL, Version 1.2 or later", {"eupl-1.2"}),
+    ("Distributed under the terms of the MIT License", {"mit"}), ("It is released under the GNU GPL v2 or later", {"gpl-2.0"}),
+    ("This software is not licensed under the MIT License", set()), ("It isn't released under the MIT License", set()), ("It is not only licensed under the MIT License", {"mit"}), ("A text about the general public and its versions, under two licenses", set()),
+])
+def test_license_scan_finds_common_notices(text, want):
+    known = license_scan.prepare(license_scan.TEMPLATES)
+    assert {known[m[0]].license for m in license_scan.scan(f"Words before. {text} and after", known)} == want
+
+
+def test_license_scan_is_linear_in_matches():
+    import time
+
+    known = license_scan.prepare(license_scan.TEMPLATES)
+    began = time.process_time()
+    assert len(license_scan.scan("under the MIT License. " * 30_000, known)) == 30_000
+    assert time.process_time() - began < 20  # with the square of the matches it took minutes
+
+
 def test_license_scan_keeps_every_match():
     known = license_scan.prepare(license_scan.TEMPLATES)
     spans = lambda text: sorted((known[m[0]].license, m[2], m[3]) for m in license_scan.scan(text, known))

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import only
 
 COVERAGE, SPAN = 0.8, 1.5
-
+#: Words of a notice that a word before it can deny.
+SHORT = 12
 
 
 class Template(NamedTuple):
@@ -59,6 +60,27 @@ TEXTS = {
     "mit-grant": Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("hereby granted",)),
     "unlicense-text": Template("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("public domain",)),
 }
+# The heads of licences, the standard notices of others, and names in tags.
+HEADS = {
+    "gpl-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ("gnu general public license version 3 29 june 2007",)),
+    "gpl-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", ("gnu general public license version 2 june 1991",)),
+    "lgpl-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ("gnu lesser general public license version 3",)),
+    "lgpl-2.1": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", ("gnu lesser general public license version 2 1",)),
+    "agpl-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", ("gnu affero general public license version 3",)),
+    "apache-2.0": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", ("apache license version 2 0 january 2004",)),
+    "mpl-2.0": ("Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\"", ("mozilla public license version 2 0",)),
+    "eupl-1.2": ("EUROPEAN UNION PUBLIC LICENCE v. 1.2 EUPL © the European Union 2007, 2016", ("european union public licence v 1 2",)),
+    "cc0-1.0": ("CC0 1.0 Universal", ("cc0 1 0 universal",)),
+}
+NOTICES = {
+    "lgpl-2.1-header": Template("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ("gnu lesser general public license", "version 2 1")),
+    "lgpl-3.0-header": Template("lgpl-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", ("gnu lesser general public license", "version 3")),
+    "mpl-2.0-header": Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ("mozilla public license v 2 0",)),
+    "cc0-1.0-waiver": Template("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    "eupl-1.2-name": Template("eupl-1.2", "Licensed under the EUPL, Version 1.2", ("eupl version 1 2",)),
+    "eupl-1.2-short": Template("eupl-1.2", "Licensed under the EUPL", ("the eupl",)),
+}
+TAGS = ("MIT", "ISC", "Zlib", "BSL-1.0", "Unlicense", "Artistic-2.0", "EPL-2.0", "EUPL-1.2", "MPL-2.0", "Apache-1.1", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0")
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -83,10 +105,19 @@ def named_templates() -> dict[str, Template]:
     for own, name in NAMED.items():
         out[f"{own}-name"] = Template(own, f"Licensed under the {name}", plain(name))
         out[f"{own}-released"] = Template(own, f"Released under the {name}", plain(name))
+        out[f"{own}-distributed"] = Template(own, f"Distributed under the terms of the {name}", plain(name))
+    for tag in TAGS:
+        out[f"{tag.lower()}-tag"] = Template(tag.lower(), f"SPDX-License-Identifier: {tag}", plain(f"SPDX-License-Identifier: {tag}"))
+    for own, (head, phrases) in HEADS.items():
+        out[f"{own}-head"] = Template(own, head, phrases)
+    for kind, (_, versions) in GNU.items():
+        for v in versions:
+            own = f"{kind}-{v if '.' in v else v + '.0'}"
+            out[f"{own}-abbreviated"] = Template(own, f"under the GNU {kind.upper()} v{v}", plain(f"GNU {kind} v{v}"))
     return out
 
 
-TEMPLATES = named_templates() | TEXTS
+TEMPLATES = named_templates() | TEXTS | NOTICES
 
 
 class Prepared(NamedTuple):
@@ -164,6 +195,13 @@ def trimmed(pairs: list[tuple[int, int]], template: int) -> list[tuple[int, int]
     return pairs[first : last + 1]
 
 
+def negated(words: list[str], first: int, size: int) -> bool:
+    """Whether a short notice is denied: `not` or the like among the three words before it."""
+    before = words[max(0, first - 3) : first]
+    denied = [i for i, w in enumerate(before) if w in ("not", "never", "cannot") or w == "t" and i and before[i - 1] in ("isn", "aren", "wasn", "don", "doesn", "won", "can")]
+    return size <= SHORT and bool(denied) and (before + ["" if first >= len(words) else words[first]])[denied[-1] + 1] != "only"
+
+
 def scan(text: str | None, templates: dict[str, Prepared], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """(template, coverage, first word, last word + 1) of all matches that reach `coverage`, without those that overlap a heavier one; by template and place."""
     words = words_of(text or "")
@@ -205,20 +243,22 @@ def scan(text: str | None, templates: dict[str, Prepared], coverage: float = COV
                         regions[-1][1] = max(regions[-1][1], at[x + need - 1] + 1)
                         continue
                 regions.append([low, high])
-        for low, high in regions:
-            seek(name, low, high)
+        for low, high in regions:  # a match is shorter than `reach`, so it lies in one of these pieces whole
+            for x in range(low, max(low + 1, high - reach), reach):
+                seek(name, x, min(high, x + 2 * reach))
     # of matches that share words, the one with the most aligned words stands, then the one with fewer words between;
     # the other notice is sought again in what the first leaves of its region
-    kept: list[tuple[str, float, int, int]] = []
+    kept: list[tuple[int, int, str, float]] = []  # in order of place, as none overlap
     while found:
         _, _, first, name, end, part, low, high = heappop(found)
-        over = next((o for o in kept if o[2] < end and first < o[3]), None)
-        if over is None:
-            kept.append((name, part, first, end))
-            over = ("", 0.0, first, end)
-        seek(name, low, over[2])
-        seek(name, over[3], high)
-    return sorted(kept, key=lambda m: (m[0], m[2]))
+        at = bisect_left(kept, (first,))
+        near = [o for o in kept[max(0, at - 1) : at + 1] if o[0] < end and first < o[1]]
+        if not near:
+            kept.insert(at, (first, end, name, part))
+        over = near[0] if near else kept[at]
+        seek(name, low, over[0])
+        seek(name, over[1], high)
+    return sorted(((name, part, first, end) for first, end, name, part in kept if not negated(words, first, len(templates[name].words))), key=lambda m: (m[0], m[2]))
 
 
 @cache
