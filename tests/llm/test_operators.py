@@ -759,9 +759,9 @@ def test_every_language_and_source_has_its_own_verdict(spark, sf):
 
 def test_repeated_windows_alone_can_reject(spark):
     rng = np.random.default_rng(4)
-    clean = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 300)) + "." for _ in range(60)]
+    clean = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 3000)) + "." for _ in range(60)]
     words = clean[0].split()
-    rows = [(i, t, "en", "a", 0) for i, t in enumerate(clean)] + [(100, " ".join(words[:270] + words[:27] + ["end."]), "en", "a", 0)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(clean)] + [(100, " ".join(words[:2700] + words[:295] + ["end."]), "en", "a", 0)]
     got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, DOCS)).collect()}
     assert not got[100].base_failed and not got[100].kept and all(got[i].kept for i in range(60))
 

@@ -34,7 +34,7 @@ STILL = 1e-2
 #: Share of a group's rows that is fitted, the factor that makes its covariance that of all, bins of distances, and the largest squared distance (of a chi-square variable with five degrees, one in 100,000 lies beyond it).
 SHARE, CONSISTENCY, BINS, CUTOFF = 0.6, 1.66, 64, 30.9
 FEATURES = ["z_length", "z_symbols", "z_shouts", "z_lines", "z_repeats"]
-FLOORS = [0.1, 0.8, 0.4, 0.9, 2.2]
+FLOORS = [0.1, 0.8, 0.4, 0.9, 2.45]
 UNITS = 8  # whole numbers to a floor
 _D = len(FEATURES)
 _M, _T = [f"m{i}" for i in range(_D)], [f"t{i}{j}" for i in range(_D) for j in range(i + 1)]
@@ -141,10 +141,13 @@ def _factored(moments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _estimate(chosen: DataFrame, keys: list[str]) -> DataFrame:
-    """Estimates of the pools of `chosen` (keys, of_lang, FEATURES, w): those of languages, where `of_lang` is null, and those of groups, shrunk to them."""
-    language = _moments(chosen.filter("of_lang is null"), keys)
-    own = _moments(chosen.filter("of_lang is not null"), [*keys, "of_lang"])
-    return _factored(language.unionByName(_shrunk(own, language, keys)), keys)
+    """Estimates of the pools of `chosen` (keys, of_lang, FEATURES, w): those of languages, where `of_lang` is null, and those of groups, shrunk to them.
+
+    The moments, a row per pool, are written once: what follows has short plans of its own.
+    """
+    moments = durable(_moments(chosen, [*keys, "of_lang"]))
+    language = moments.filter("of_lang is null").drop("of_lang")
+    return _factored(language.unionByName(_shrunk(moments.filter("of_lang is not null"), language, keys)), keys)
 
 
 def _distance() -> Column:
