@@ -48,11 +48,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what they write goes to a folder of its own in the shared checkpoint folder."""
+    """All stages over `documents`; what they write goes to a folder of its own in the shared checkpoint folder, each until the next stage has written its own.
+
+    Rows with null or empty texts fail the quality rules; null ids, languages and sources are values of their own; of repeated rows one stays. Further
+    columns of any name go along up to the mix. An empty table gives no rows.
+    """
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            _remove(spark, before)
+        before = f"{at}/{name}"
     return docs
