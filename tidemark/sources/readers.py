@@ -49,7 +49,7 @@ CHANNELS = {"crawl": "crawl", "eurlex_nim": "transposition"}
 
 
 def load_dims(spark: SparkSession, config_dir: str) -> dict[str, DataFrame]:
-    """IO-04: keyword terms, phrases and pairs, places, sources and groups of a folder of YAML files.
+    """IO-04: keyword terms, exclusions, places, sources and groups of a folder of YAML files.
 
     Configuration is small and read on the driver. Source files are merged from all subfolders of
     `domains`; names that begin with _ are skipped, and the file's stem is kept as source_file.
