@@ -1,7 +1,7 @@
 """URL filters: a rule table first, then a logistic regression on hashed character n-grams.
 
-The model is trained on the driver from a small table of labelled URLs (a fixed size, composed by
-`labelled_urls` from a list of words), so every run gives the same weights. Scoring takes whole batches: n-grams
+The model is trained on the driver from a small table of labelled URLs of a fixed size: sites written out in
+`url_table`, and names composed by `composed_urls` from lists of words, so every run gives the same weights. Scoring takes whole batches: n-grams
 of all hosts and paths are hashed at once and summed as one sparse product.
 """
 
@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import url_table
 from .common import only
 
 #: (pattern, action): the host up to the first "/", and with it the start of the path.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-BUCKETS, GRAMS, PATH_WEIGHT, THRESHOLD = 1 << 14, (3, 4, 5), 0.3, 0.35
+BUCKETS, GRAMS, PATH_WEIGHT, THRESHOLD = 1 << 14, (3, 4, 5), 0.3, 0.5
 
 # Words of the training table's sites and paths. The last line of WANTED holds words that look like unwanted ones.
 UNWANTED = """casino poker slots betting bets jackpot roulette blackjack bingo gambling lottery porn xxx sexy sexcam adult nude webcams escort hookup fetish
@@ -30,18 +31,16 @@ WANTED = """library museum university college school council city town village c
     software python linux health hospital clinic charity church trust foundation photo design craft pottery textile gov edu standards
     sussex essex alphabet betty winter windows pillow cameron campus adelaide advent address analysis therapist cocktail class hackney torrential loanwords""".split()
 NEUTRAL = "online club shop world hub zone direct my the go best top house point live day new group".split()
-ENDINGS = ["com", "org", "net", "info", "co.uk", "io", "example.com", "example.org", "example.net"]
-PATHS = ["/en/12", "/de/407/", "/fr/33.html", "/es/9", "/articles/2021/05", "/about", "/", "/index.html", "/blog/post-7", ""]
+ENDINGS = ["com", "org", "net", "info", "co.uk", "io", "com", "net", "de", "fr", "eu"]
+PATHS = ["/", "/about", "/index.html", "/", "/p/12", "/a/b", "/2021/05/title", ""]
 UNWANTED_PATHS = ["/click/1", "/win/now", "/free/bonus", "/aff/77", "/track/px.gif", "/ads/show"]
 WANTED_PATHS = ["/docs/guide", "/news/2020/08", "/research/paper.pdf", "/events", "/contact", "/history"]
 SITES = (5, 6)  # of each wanted and unwanted word
-#: Sites with names that say nothing, as most have; they are wanted.
-SYLLABLES, PLAIN_SITES = "an the re on in er st ou nd es".split(), 160
-#: URLs hashed at a time.
-AT_ONCE = 1024
+#: Characters of URLs hashed at a time; a longer URL is hashed alone.
+AT_ONCE = 1 << 17
 
 
-def labelled_urls() -> list[tuple[str, str, int]]:
+def composed_urls() -> list[tuple[str, str, int]]:
     """(host, path, 1 if unwanted): so many names for each word, joined with another of its kind or a neutral one.
 
     One path in four is of its site's kind; the others are plain, as are endings, and decide nothing.
@@ -55,13 +54,14 @@ def labelled_urls() -> list[tuple[str, str, int]]:
                 name = first + ("-", "", "", str(i % 9 + 1))[(i + j) % 4] + second
                 host = ("", "www.", "", "m.", "blog.")[(i + 2 * j) % 5] + f"{name}.{ENDINGS[(i + 4 * j) % len(ENDINGS)]}"
                 out.append((host, own[i % len(own)] if j == 3 else PATHS[(i + 3 * j) % len(PATHS)], label))
-    n = len(SYLLABLES)
-    for i in range(PLAIN_SITES):
-        name = "".join(SYLLABLES[(i // n**k + k * i) % n] for k in range(2 + i % 3))
-        out.append((("", "www.", "m.")[i % 3] + f"{name}.{ENDINGS[i % len(ENDINGS)]}", PATHS[i % len(PATHS)], 0))
     return out
 
 
+def labelled_urls() -> list[tuple[str, str, int]]:
+    """The training table: sites written out, and composed names."""
+    return url_table.rows() + composed_urls()
+
+
 def ngrams(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, value) of the n-grams of all texts, a bucket once for each row; a row's values have length one."""
     framed = [f"^{t}$" for t in texts]
@@ -117,7 +117,9 @@ def scorer(weights: np.ndarray):
     def unwanted(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in parts:
             h, p = hosts.tolist(), paths.tolist()
-            yield pd.Series(np.concatenate([np.zeros(0), *(scores(weights, h[i : i + AT_ONCE], p[i : i + AT_ONCE]) for i in range(0, len(h), AT_ONCE))]))
+            group = (hosts.str.len() + paths.str.len() + 4).to_numpy(np.int64).cumsum() // AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(h)]
+            yield pd.Series(np.concatenate([np.zeros(0), *(scores(weights, h[i:j], p[i:j]) for i, j in zip(cuts, cuts[1:]))]))
 
     return unwanted
 
