@@ -10,11 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
+from tidemark.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, url_filter, url_table
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -319,17 +320,43 @@ def test_url_rules_and_model(spark):
 
 
 def test_url_model_finds_sites_left_out():
-    """Sites left out of the table are judged by those that stay: recall and precision of unwanted ones, and wanted ones kept."""
-    rows = url_filter.labelled_urls()
+    """Written-out sites left out of the table, many with words that no other row has: how many are judged right."""
+    rows, made = url_table.rows(), url_filter.composed_urls()
     hits = misses = alarms = kept = 0
     for fold in range(5):
         out = [zlib.crc32(r[0].encode()) % 5 == fold for r in rows]
-        w = url_filter.train([r for r, x in zip(rows, out) if not x])
+        w = url_filter.train([r for r, x in zip(rows, out) if not x] + made)
         test = [r for r, x in zip(rows, out) if x]
         for s, (_, _, y) in zip(url_filter.scores(w, [r[0] for r in test], [r[1] for r in test]), test):
             blocked = s >= url_filter.THRESHOLD
             hits, misses, alarms, kept = hits + (blocked and y), misses + (not blocked and y), alarms + (blocked and not y), kept + (not blocked and not y)
-    assert hits / (hits + misses) > 0.9 and hits / (hits + alarms) > 0.9 and kept / (kept + alarms) > 0.95
+    assert hits / (hits + misses) > 0.85 and hits / (hits + alarms) > 0.9 and kept / (kept + alarms) > 0.92
+
+
+def test_url_model_equals_plain_gradient_steps():
+    """An independent fit of the penalised likelihood, by gradient steps on dense columns, gives the same scores."""
+    rows = url_table.rows()[::4]
+    row, bucket, value = url_filter.features([r[0] for r in rows], [r[1] for r in rows])
+    used, at = np.unique(bucket, return_inverse=True)
+    x = np.zeros((len(rows), len(used) + 1))
+    np.add.at(x, (row, at), value)
+    x[:, -1] = 1
+    y, w, l2 = np.array([r[2] for r in rows], float), np.zeros(len(used) + 1), 0.02
+    step = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 + l2)
+    for _ in range(20_000):
+        w -= step * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) + l2 * w)
+    got = url_filter.scores(url_filter.train(rows, l2=l2), [r[0] for r in rows], [r[1] for r in rows])
+    want = 1 / (1 + np.exp(-x @ w))
+    assert np.allclose(got, want, atol=1e-4) and ((got >= 0.5) == (want >= 0.5)).all()
+
+
+def test_url_batches_are_cut_by_characters():
+    """Long URLs among short ones are scored as they are alone."""
+    w = url_filter.train(url_table.rows())
+    hosts = [("county-library." * (5_000 if i % 7 == 3 else 1)) + "org" for i in range(40)]
+    got = next(iter(url_filter.scorer(w).func(iter([(pd.Series(hosts), pd.Series(["/x"] * 40))]))))
+    assert np.allclose(got, [url_filter.scores(w, [h], ["/x"])[0] for h in hosts])
+    assert len(next(iter(url_filter.scorer(w).func(iter([(pd.Series([], dtype=object), pd.Series([], dtype=object))]))))) == 0
 
 
 def test_url_model_on_other_names():
@@ -498,13 +525,26 @@ def test_mix_holds_the_words_of_the_selected_blocks(spark):
         stream = [(s, r[0], w) for r in sorted((r for r in rows if r[2] == s), key=lambda r: (number(r[0]), r[0])) for w in r[1].split()]
         blocks = -(-len(stream) // 16)
         begin = number("start", f'{{"source":"{s}"}}', 0) % blocks
-        times = lambda q: [((k + 1) * q + begin) // blocks - (k * q + begin) // blocks for k in range(blocks)]
+        times = lambda q: [q // blocks + ((k - begin) % blocks < q % blocks) for k in range(blocks)]
         quota = next(q for q in range(2 * blocks + 1) if sum(times(q)[p // 16] for p in range(len(stream))) == taken[s])
         for p, x in enumerate(stream):
             want[x] += times(quota)[p // 16]
     got = Counter((r.source, r.doc_id, w) for r in mixing.mixed_documents(df).collect() for w in r.text.split())
     assert got == +want
-    assert mixing.block_words(" a b  c\td e f ", 1, 1, 1, 2, block=2) == "a\nd e"
+    assert mixing.stretches(" a b  c\td e f ", 0, 1, 3, 5) == "a\nd e" and mixing.stretches(" a b ", 0, 0, 1, 9) == "b" and mixing.stretches("a b", 0, 0, 1, 1) == ""
+
+
+def test_mix_leaves_documents_whole_but_at_the_ends_of_runs(spark, sf):
+    """Of each shard at most the two documents at its run's ends are cut; all others are taken whole so many times."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = {r.doc_id: " ".join(WORD.findall(r.text or "")) for r in docs.collect()}
+    sources = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    cut, parts = {r.doc_id for r in mixing.mix(docs).collect() if r.size and r.taken % r.size}, Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        if " ".join(WORD.findall(r.text)) != words[r.doc_id]:
+            assert r.doc_id in cut
+            parts[sources[r.doc_id]] += 1
+    assert cut and max(parts.values()) <= 2 and sum(parts.values()) == len(cut)
 
 
 def test_license_scan(spark):

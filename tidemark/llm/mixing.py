@@ -6,9 +6,10 @@
 3. The blocks of BLOCK words that the targets make are allocated one by one to the source
    with the highest quotient target / (2 * blocks so far + 1), then within each source to its
    shards by their sizes, so each shard has a whole number of blocks, its quota.
-4. A shard's documents, in a seeded order, make a stream of equal blocks; the quota is spread
-   over them evenly from a seeded start, each block being taken once more or not than the
-   others. A document gets the words of its own that these blocks hold.
+4. A shard's documents, in a seeded order, make a stream of equal blocks, all taken equally often
+   but for the blocks of one run from a seeded block on (past the stream's end it goes on at its
+   start), which are taken once more. As the order is seeded, so is what the run holds; whole
+   documents lie in it or out of it, and at most the two at its ends are cut.
 
 Quotients near the last seat alone are ranked (see `apportion`), so rows don't grow with blocks.
 """
@@ -16,8 +17,6 @@ Quotients near the last seat alone are ranked (see `apportion`), so rows don't g
 from __future__ import annotations
 
 import re
-from collections import deque
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -101,15 +100,22 @@ def placed_rows(docs: DataFrame, weights: tuple[int, ...], share: float, cap: in
     keyed = shares.join(shards.select("group", "shard", "n"), ["group", "shard"]).select(F.to_json(F.struct("group", "shard")).alias("key"), "n", "words", "blocks", "quota", start.alias("begin"))
     full = join_spread(streamed.withColumn("key", F.to_json(F.struct("group", "shard"))), keyed, "key", "n")
 
-    def before(at: Column) -> Column:
-        """Words that the mix takes of the first `at` words of the shard's stream."""
-        whole = F.floor(at / block)
-        blocks_of = lambda k: F.floor((k * F.col("quota") + F.col("begin")) / F.col("blocks"))  # noqa: E731  taken of the first k
-        return blocks_of(whole) * block + (blocks_of(whole + 1) - blocks_of(whole)) * (at - whole * block)
-
-    taken = F.when(F.col("size") > 0, before(F.col("upto")) - before(F.col("upto") - F.col("size"))).otherwise(F.lit(0))
+    each, more = F.expr("quota div blocks"), F.expr("quota % blocks")
+    full = full.withColumn("each", each).withColumn("run_from", F.col("begin") * block)
+    full = full.withColumn("run_to", F.least(F.col("begin") + more, F.col("blocks")) * block).withColumn("wrap_to", F.greatest(F.col("begin") + more - F.col("blocks"), F.lit(0)) * block)
     first = F.col("upto") - F.col("size")
-    return full.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "row_key", "group", first.alias("first"), "quota", "begin", "blocks")
+    extra = sum(F.greatest(b - a, F.lit(0)) for a, b in in_run(first, F.col("size"), "run_from", "run_to", "wrap_to"))
+    taken = F.col("each") * F.col("size") + extra
+    return full.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "row_key", "group", first.alias("first"), "each", "run_from", "run_to", "wrap_to")
+
+
+def in_run(first: Column, size: Column, run_from: str, run_to: str, wrap_to: str) -> list[tuple[Column, Column]]:
+    """Two stretches, from one word up to another, of a text of `size` words that starts at word `first` of its shard: those in the shard's run.
+
+    The run is the shard's words from `run_from` to `run_to` and those up to `wrap_to`; a stretch without words ends where it starts or before.
+    """
+    inside = lambda at: F.least(F.greatest(at - first, F.lit(0)), size)
+    return [(F.lit(0).cast("long"), inside(F.col(wrap_to))), (inside(F.col(run_from)), inside(F.col(run_to)))]
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -122,45 +128,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return placed_rows(docs, weights, share, cap, block, shard_words).select("doc_id", "size", "source_size", "target", "taken", "row_key")
 
 
-def block_words(text: str, first: int, quota: int, begin: int, blocks: int, block: int = BLOCK) -> str:
-    """The words of `text`, the first of which is word `first` of its shard, in blocks that are taken once more than others.
-
-    Blocks in a row stay as they stand in the text; a line feed is where words are left out.
-    """
-    words, at, runs, last = re.finditer(WORD, text), first, [], None
-    while True:
-        k = at // block
-        n = (k + 1) * block - at
-        at += n
-        if ((k + 1) * quota + begin) // blocks - (k * quota + begin) // blocks > quota // blocks:
-            head = next(words, None)
-            if head is None:
-                break
-            tail = (deque(islice(words, n - 1), maxlen=1) or [head])[-1]
-            if last == k - 1:
-                runs[-1][1] = tail.end()
-            else:
-                runs.append([head.start(), tail.end()])
-            last = k
-        elif next(islice(words, n - 1, None), None) is None:
-            break
-    return "\n".join(text[i:j] for i, j in runs)
+def stretches(text: str, *ends: int) -> str:
+    """The words of `text` from one word up to another, for each pair of `ends` (in ascending order), as they stand there; a line feed between two stretches."""
+    words, at, out = re.finditer(WORD, text), 0, []
+    for i, j in zip(ends[::2], ends[1::2]):
+        start = end = None
+        while at < j and (word := next(words, None)) is not None:
+            if at == i:
+                start = word.start()
+            at, end = at + 1, word.end()
+        if start is not None:
+            out.append(text[start:end])
+    return "\n".join(out)
 
 
 @F.pandas_udf(T.StringType())
-def extra_words(texts: pd.Series, first: pd.Series, quota: pd.Series, begin: pd.Series, blocks: pd.Series) -> pd.Series:
-    return pd.Series([block_words(*x) if x[0] and x[2] % x[4] else "" for x in zip(texts, first, quota, begin, blocks)], dtype="object")
+def cut_words(texts: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series([stretches(*x) if x[0] else "" for x in zip(texts, a, b, c, d)], dtype="object")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: `docs` with their columns, each word as often as its block is taken.
 
-    A shard's blocks are taken k or k + 1 times: its texts have k whole copies and one of their words in
-    the blocks that are taken once more; n_chars, where the table has it, follows the text.
+    A shard's texts are taken k times whole, and once more those in its run; a text that the run holds in part (at most
+    two in a shard) has its words in the run once more. n_chars, where the table has it, follows the text.
     Null and empty texts give nothing. Rows that repeat an id, text and source are dealt one after the other; an empty table gives none.
     """
     placed = placed_rows(docs, WEIGHTS, SHARE, CAP, BLOCK, SHARD_WORDS).groupBy(F.col("doc_id").alias("_id"), F.col("group").alias("_group"), "row_key")
-    amounts = placed.agg(F.count("*").alias("_rows"), F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.min("first").alias("_first"), *(F.first(c).alias(f"_{c}") for c in ("quota", "begin", "blocks")))
+    amounts = placed.agg(F.count("*").alias("_rows"), F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.min("first").alias("_first"), *(F.first(c).alias(f"_{c}") for c in ("each", "run_from", "run_to", "wrap_to")))
     amounts = durable(amounts.filter("_taken > 0"))
     keyed = packed(docs).select("_doc", "doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_row_key"), F.to_json(F.struct(F.col("_doc")["source"].alias("source"))).alias("_of"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_group")) & (F.col("_row_key") == F.col("row_key"))
@@ -171,9 +166,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     like = W.partitionBy("_id", "_group", "row_key").orderBy("_row_key")
     repeated = likely.join(several, same).withColumn("_at", F.col("_first") + (F.row_number().over(like) - 1) * F.col("_size"))
     found = once.union(repeated).withColumn("text", F.col("_doc")["text"].cast("string"))
-    whole = F.floor(F.col("_quota") / F.col("_blocks")).cast("int")
-    part = extra_words(F.col("text"), F.col("_at"), F.col("_quota"), F.col("_begin"), F.col("_blocks"))
-    out = found.select("_doc", F.explode(F.concat(F.array_repeat(F.col("text"), whole), F.array(part))).alias("_text")).filter("_text <> ''")
+    wrapped, run = in_run(F.col("_at"), F.col("_size"), "_run_from", "_run_to", "_wrap_to")
+    extra = sum(F.greatest(b - a, F.lit(0)) for a, b in (wrapped, run))
+    whole = F.col("_each") + (extra >= F.col("_size")).cast("long")
+    part = cut_words(F.when((extra > 0) & (extra < F.col("_size")), F.col("text")), *wrapped, *run)
+    out = found.select("_doc", F.explode(F.concat(F.array_repeat(F.col("text"), whole.cast("int")), F.array(part))).alias("_text")).filter("_text <> ''")
     new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)

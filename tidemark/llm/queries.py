@@ -122,8 +122,8 @@ _MIX = f"""
         h2 AS (SELECT *, greatest(1, CAST(ceil(words / 16) AS BIGINT)) AS blocks, words::DOUBLE AS weight, CASE WHEN words > 0 THEN 2 * greatest(1, CAST(ceil(words / 16) AS BIGINT)) ELSE 0 END AS cap FROM h),
         g AS (SELECT *, {_hash("'start'", 'grp', 'shard')} % blocks AS start FROM ({_seats('h2', 'grp', 'source_quota', 'weight', 'cap', 'shard')})),
         e AS (SELECT u.*, unnest([CAST(upto AS BIGINT), CAST(upto - size AS BIGINT)]) AS pos, unnest([1, -1]) AS sign, quota, blocks, start FROM u JOIN g ON u.grp = g.grp AND u.shard = g.shard),
-        t AS (SELECT *, ((pos // 16) * quota + start) // blocks AS low, ((pos // 16 + 1) * quota + start) // blocks AS high FROM e)
-        SELECT doc_id, size, source_size, target, CAST(sum(sign * (low * 16 + (high - low) * (pos % 16))) AS BIGINT) AS taken FROM t GROUP BY doc_id, size, source_size, target, grp, shard, upto"""
+        t AS (SELECT *, pos * (quota // blocks) + least(greatest(pos - 16 * start, 0), 16 * least(quota % blocks, blocks - start)) + least(pos, 16 * greatest(start + quota % blocks - blocks, 0)) AS upto_pos FROM e)
+        SELECT doc_id, size, source_size, target, CAST(sum(sign * upto_pos) AS BIGINT) AS taken FROM t GROUP BY doc_id, size, source_size, target, grp, shard, upto"""
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": f"""
