@@ -45,6 +45,12 @@ def test_extract(spark):
     assert cut.text == "Hea"
 
 
+def test_extract_leaves_names_without_semicolon(spark):
+    html = "<title>a &amp&amp; b&amp</title><body><main><p>x&amp;&amp</p><p>y &ampx; &ltz &amp;lt; &eacute;&#233;&#xe9 &no; &</p></main>"
+    row = extract.extract_content(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
+    assert (row.title, row.text) == ("a &amp& b&amp", "x&&amp\ny &ampx; &ltz &lt; ééé &no; &")
+
+
 T = keywords.Term
 
 
