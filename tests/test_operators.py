@@ -390,6 +390,24 @@ def test_index_gives_what_the_scan_gives(spark, tmp_path):
     assert ranks(search_index.search_index(df, path, "energie", policy_type="law")) == ranks(store.search_text(df, "energie", policy_type="law"))
 
 
+def test_index_tasks_grow_with_the_rows_not_with_the_session(spark, tmp_path, monkeypatch):
+    most, path, before = 40, str(tmp_path / "i"), spark.conf.get("spark.sql.shuffle.partitions")
+    df = searched(spark, [(i, "heat law", f"reuse of heat {i % 7}", "keep heat", "FR", "law") for i in range(300)])
+    monkeypatch.setattr(search_index, "ROWS", most, raising=False)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        search_index.add_batch(df, path, 0)
+        search_index.add_batch(df.filter("seq % 3 = 0"), path, 1, gone=df.filter("seq % 3 = 0 OR seq = 1").select("seq"))
+        counts = search_index.phrase_counts(spark, path, [["reuse", "of", "hea"]], store.WEIGHTS)
+        sent = [r["count"] for r in counts.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sent) == 299 and max(sent) <= most
+        assert re.findall(r"Exchange \w+\(seq#\d+L, (\d+)\)", counts._jdf.queryExecution().executedPlan().toString()) == ["53", "53"]  # five words in each of 400 rows, 101 that went
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = spark.read.parquet(f"{path}/postings/batch=0").groupBy(F.input_file_name()).count()
+    assert spark.read.parquet(f"{path}/postings/batch=0").count() == 300 * 9 and max(r["count"] for r in files.collect()) <= 4 * most
+
+
 def test_index_batches_replace_and_read_their_words_only(spark, tmp_path):
     path = str(tmp_path / "i")
     old, now = searched(spark), searched(spark, [r if r[0] != 4 else (4, "heat law", "new", "", "US", "law") for r in SEARCHED if r[0] != 3])

@@ -21,6 +21,13 @@ from pyspark.sql import functions as F
 from .store import TEXT_FIELDS, WEIGHTS, bm25, matching, query_tokens, tokens_of
 
 PARTS = 64
+#: Rows that a task is given: up to MANY tasks of ROWS, as from there on Spark's shuffle writer holds in memory what a task sends; then larger ones, up to MOST_ROWS.
+ROWS, MOST_ROWS, MANY = 500_000, 4_000_000, 200
+
+
+def tasks(rows: int) -> int:
+    """How many tasks deal with so many rows: whatever the session's number of partitions, which may stay while the tables grow."""
+    return max(1, min(-(-rows // ROWS), MANY), -(-rows // MOST_ROWS))
 
 
 def part_of(first: str) -> int:
@@ -60,24 +67,32 @@ def add_batch(rows: DataFrame | None, path: str, batch: int, gone: DataFrame | N
     spark = (rows if rows is not None else gone).sparkSession
     facts = []
     if gone is not None:
-        out = gone.select(F.col("seq").cast("long").alias("seq")).distinct()
-        old = live(_stored(spark, f"{path}/sizes", "seq long, words int, batch int").filter(F.col("batch") < batch), spark, path, before=batch)
-        facts.append(old.join(out, "seq", "left_semi").agg((-F.count("*")).alias("rows"), (-F.coalesce(F.sum("words"), F.lit(0))).alias("words")))
-        out.write.mode("overwrite").parquet(f"{path}/gone/batch={batch}")
+        gone.select(F.col("seq").cast("long").alias("seq")).distinct().write.mode("overwrite").parquet(f"{path}/gone/batch={batch}")
+        out = spark.read.parquet(f"{path}/gone/batch={batch}")
+        held = _stored(spark, f"{path}/sizes", "seq long, words int, batch int").filter(F.col("batch") < batch)
+        n = tasks(held.count() + _gone(spark, path).count())
+        old = live(held, spark, path, before=batch, n=n).join(out.repartition(n, "seq"), "seq", "left_semi")
+        facts.append(old.agg((-F.count("*")).alias("rows"), (-F.coalesce(F.sum("words"), F.lit(0))).alias("words")))
     if rows is not None:
-        found = postings(rows)
-        found.repartitionByRange("part", "token", "seq").sortWithinPartitions("part", "token", "seq").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings/batch={batch}")
         sizes(rows).write.mode("overwrite").parquet(f"{path}/sizes/batch={batch}")
-        facts.append(spark.read.parquet(f"{path}/sizes/batch={batch}").agg(F.count("*").alias("rows"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")))
+        new = spark.read.parquet(f"{path}/sizes/batch={batch}").agg(F.count("*").alias("rows"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+        dealt = postings(rows).repartitionByRange(tasks(new.first()["words"]), "part", "token", "seq")
+        dealt.sortWithinPartitions("part", "token", "seq").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings/batch={batch}")
+        facts.append(new)
     total = facts[0] if len(facts) == 1 else facts[0].union(facts[1])
     total.agg(F.sum("rows").alias("rows"), F.sum("words").alias("words")).write.mode("overwrite").parquet(f"{path}/facts/batch={batch}")
 
 
-def live(rows: DataFrame, spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Rows (seq, batch) of the index that no later batch took out."""
+def _gone(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     gone = _stored(spark, f"{path}/gone", "seq long, batch int")
-    if before is not None:
-        gone = gone.filter(F.col("batch") < before)
+    return gone if before is None else gone.filter(F.col("batch") < before)
+
+
+def live(rows: DataFrame, spark: SparkSession, path: str, before: int | None = None, n: int | None = None) -> DataFrame:
+    """Rows (seq, batch) of the index that no later batch took out, dealt by seq to `n` tasks, else to as many as their number asks for."""
+    gone = _gone(spark, path, before)
+    n = n or tasks(rows.count() + gone.count())
+    rows, gone = rows.repartition(n, "seq"), gone.repartition(n, "seq")  # both alike, so the join deals neither anew
     last = gone.groupBy("seq").agg(F.max("batch").alias("_gone")).withColumnRenamed("seq", "_seq")
     return rows.join(last, (F.col("seq") == F.col("_seq")) & (F.col("batch") < F.col("_gone")), "left_anti")
 
