@@ -492,6 +492,25 @@ def test_idle_records_are_forgotten(spark, tmp_path):
     assert sorted(out, key=lambda r: r[1]) == [("a", 1, "x"), ("b", 2, "y"), ("a", 3, "x"), ("c", 5, None), ("b", 7, "z")]
 
 
+def test_language_sends_python_small_rows(spark, monkeypatch):
+    texts = ["", None, "a", "der und die " * 200, "the of \n and " * 100, "日本語😀" * 50, "x", "le les des " * 3000, "ab"]
+    docs = spark.createDataFrame([(2**53 + i, t, "de" if i % 2 else "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    sent = language._sent(docs, ["doc_id"], "text").agg(F.max(F.length("_piece")), F.count_distinct("doc_id")).first()
+    assert tuple(sent) == (language.SENT, len(texts))
+    for most, rows in ((language.SENT, "10000"), (1, "3"), (5, "7")):  # texts end anywhere in a batch, or go over several
+        monkeypatch.setattr(language, "SENT", most)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            model = language.fit(docs)
+            sums = {k: sum((language.counts(t) for i, t in enumerate(texts) if t and (i % 2 == 1) == (k == "de")), start=language.counts("")) + 1 for k in ("de", "en")}
+            assert model.languages == ["de", "en"] and all((model.shares[i] == language.np.log(sums[k] / sums[k].sum())).all() for i, k in enumerate(("de", "en")))
+            got = {r.doc_id: (r.language, r.score) for r in language.score_rows(docs.drop("lang"), model).collect()}
+            want = {r.doc_id: (r.f.language, r.f.score) for r in docs.select("doc_id", language.score(F.col("text"), model).alias("f")).collect()}
+            assert got == want and len(got) == len(texts)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_language_of_unseen_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL AND length(text) > 50")
     model = language.fit(docs.filter("doc_id % 5 <> 0"))

@@ -219,15 +219,15 @@ def language_model(spark, sf_dir):
 
 @query(f"WITH {_GRAMS} SELECT d.doc_id, CASE WHEN length(text) > 50 THEN language END AS language, round(score, 6) AS score FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id")
 def ex03_ngram_language(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", "text", language.score(F.col("text"), language_model(spark, sf_dir)).alias("found"))
-    return found.select("doc_id", F.when(F.length("text") > 50, F.col("found.language")).alias("language"), F.round("found.score", 6).alias("score"))
+    found = language.score_rows(table(spark, sf_dir, "documents").select("doc_id", "text", (F.length("text") > 50).alias("told")), language_model(spark, sf_dir))
+    return found.select("doc_id", F.when(F.col("told"), F.col("language")).alias("language"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_GRAMS} SELECT lang, count(*) AS n, count(*) FILTER (language = lang) AS correct FROM documents d JOIN b ON b.doc_id = d.doc_id WHERE d.doc_id % 5 = 0 AND length(text) > 50 AND lang IS NOT NULL GROUP BY lang")
 def ex03_held_out(spark, sf_dir):
     """The fifth of the documents that the model hasn't seen, by their declared language."""
     held = table(spark, sf_dir, "documents").filter("doc_id % 5 = 0 AND length(text) > 50 AND lang IS NOT NULL")
-    found = held.select("lang", language.detect(F.col("text"), language_model(spark, sf_dir)).alias("language"))
+    found = language.score_rows(held.select("lang", "text"), language_model(spark, sf_dir))
     return found.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("correct"))
 
 
